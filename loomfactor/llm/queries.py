@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomfactor.llm import simhash
+from loomfactor.llm import simhash, toxicity
 from loomfactor.llm.common import table
 
 
@@ -12,7 +12,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
     "op7_simhash": op7_simhash,
 }
 
