@@ -245,42 +245,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int
     return Model(model(fold >= 0, s), slope, intercept)
 
 
-def score(self, text: str | None) -> float:
-        x = self.slope * self.kn.evidence(text) + self.intercept
-        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int = 6_000_000) -> Model:
-    """Count on the executors, bring back at most the bigrams of the bounded sample, calibrate across folds."""
-    rows = sample(docs, labels, max_rows, max_chars)
-    counted = (
-        rows.mapInArrow(_bigrams, "label int, fold int, h long, w long")
-        .groupBy("label", "fold", "h", "w")
-        .agg(F.count("*").alias("n"))
-        .toArrow()
-    )
-    label, fold, h, w, n = (c.to_numpy() for c in counted.columns)
-    h, w = h.view(np.uint64), w.view(np.uint64)
-
-    def model(keep: np.ndarray) -> KneserNey:
-        return KneserNey(h[keep], w[keep], label[keep], n[keep].astype(float))
-
-    halves = docs.sparkSession.sparkContext.broadcast([model(fold == 1), model(fold == 0)])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            texts, _, k = (c.to_pylist() for c in batch.columns)
-            x = [halves.value[f].evidence(t) for t, f in zip(texts, k)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.float64())], ["label", "x"])
-
-    found = rows.mapInArrow(judge, "label int, x double").toArrow()
-    y, x = (c.to_numpy() for c in found.columns)
-    if len(set(y.tolist())) < 2:
-        share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
-        return Model(model(fold < 0), 0.0, float(np.log(share / (1 - share))))
-    return Model(model(fold >= 0), *fit_logistic(x, y))
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
