@@ -27,15 +27,17 @@ from pyspark.sql import functions as F
 from loomfactor.llm.common import small_batches
 
 DISCOUNT = 0.75
-#: Strengths of the shrinkage to the level below; the F1 score of held-out predictions picks one.
-SHRINKS = (5.0, 10.0, 20.0, 40.0)
+#: Standard deviations by which a class's count must differ from its expected share to count at all.
+NOISE = 3.0
+#: Documents a class that stand for the rates of the level below.
+SHRINK = 5.0
 #: Words added to a text's length when its evidence is normalised.
 PRIOR_WORDS = 10.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256)
 )
-#: Stands before the first word of a text, and for "any word" in counts of words alone.
+#: Stands before the first word of a text, and for "any word" in counts of words and of contexts.
 _START = xxhash.xxh64_intdigest(b"", 1)
 _ALONE = np.uint64(xxhash.xxh64_intdigest(b"", 2))
 
@@ -57,73 +59,72 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(29))) * _MIX
 
 
-def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), default)
-    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[i] == wanted, values[i], default)
-
-
-def _totals(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, inverse = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(inverse, weights, len(unique))
-
-
 class KneserNey:
     """log P(toxic) - log P(ordinary) of words in context, from counts of documents by class.
 
-    Discounts and backoff weights come from counts pooled over the classes; what is left of a discounted
-    count is dealt to the classes by their smoothed share of it. Counts are of documents, not of places, so
-    that a document that repeats itself has one voice, and ``shrink`` documents a class stand for the level
-    below: an expression seen in few documents differs little between the classes.
+    Counts are of documents, not of places, so a document that repeats itself has one voice. The pooled count
+    n of a pair is discounted (all of it if 1, else DISCOUNT) and the rest backs off to single words. What is
+    left is dealt to the classes by rate: their counts are first discounted towards the share that the pooled
+    count makes expected, by NOISE standard deviations, and SHRINK more documents stand for the level below.
     """
 
-    def __init__(self, h: np.ndarray, w: np.ndarray, label: np.ndarray, n: np.ndarray, shrink: float = 5.0):
-        alone = h == _ALONE
-        self.words, rates, pooled = _rates(w[alone], label[alone], n[alone], shrink)
-        total = max(pooled.sum(), 1.0)
+    def __init__(self, h: np.ndarray, w: np.ndarray, counts: np.ndarray):
+        """counts: one row for each (h, w), the documents of class 0 and of class 1."""
+        counts = counts.astype(float)
+        pooled = counts.sum(axis=1)
+        alone, any_w = h == _ALONE, w == _ALONE
+        pair = ~alone & ~any_w & (pooled > 1)
+        order = np.argsort(w[alone])
+        self.words, single = w[alone][order], counts[alone][order]
+        rates = _rates(single, 1.0)
+        n, total = single.sum(axis=1), max(single.sum(), 1.0)
         uniform = DISCOUNT * len(self.words) / total / (len(self.words) + 1)
-        self.unigram = [np.maximum(pooled - DISCOUNT, 0) / total * r + uniform for r in rates]
-        h, w, label, n = h[~alone], w[~alone], label[~alone], n[~alone]
-        prior = [_at(self.words, r, w, 1.0) for r in rates]
-        key = _pair(h, w)
-        self.pairs, pair_rates, seen = _rates(key, label, n, shrink, prior)
-        context = h[np.unique(key, return_index=True)[1]]
-        self.contexts, sums = _totals(context, seen)
-        self.backoff = _totals(context, np.minimum(seen, DISCOUNT))[1] / np.maximum(sums, 1)
-        high = np.maximum(seen - DISCOUNT, 0) / np.maximum(_at(self.contexts, sums, context, 1.0), 1)
-        self.high = [high * r for r in pair_rates]
+        self.unigram = np.maximum(n - DISCOUNT, 0)[:, None] / total * rates + uniform
+        order = np.argsort(h[any_w])
+        self.contexts, sums = h[any_w][order], pooled[any_w][order]
+        key = _pair(h[pair], w[pair])
+        order = np.argsort(key)
+        self.pairs, h, w, n = key[order], h[pair][order], w[pair][order], pooled[pair][order]
+        at = np.searchsorted(self.contexts, h)
+        self.backoff = 1 - np.bincount(at, n - DISCOUNT, len(sums)) / np.maximum(sums, 1)
+        below = rates[np.minimum(np.searchsorted(self.words, w), len(rates) - 1)] if len(w) else 1.0
+        self.high = ((n - DISCOUNT) / sums[at])[:, None] * _rates(counts[pair][order], below)
 
     def log_ratio(self, words: np.ndarray) -> float:
         """Sum over the words of a text. A word that neither class has seen says nothing."""
         if not len(words) or not len(self.words):
             return 0.0
         before = _before(words)
-        i = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        known = self.words[i] == words
-        pair = _pair(before, words)
-        j = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        met = self.pairs[j] == pair
-        back = _at(self.contexts, self.backoff, before, 1.0)
-        p = [back * self.unigram[c][i] + np.where(met, self.high[c][j], 0.0) for c in (0, 1)]
-        return float(np.where(known, np.log(p[1] / p[0]), 0.0).sum())
+        i, known = _find(self.words, words)
+        j, met = _find(self.pairs, _pair(before, words))
+        k, followed = _find(self.contexts, before)
+        p = np.where(followed, self.backoff[k], 1.0)[:, None] * self.unigram[i]
+        if len(self.pairs):
+            p += np.where(met[:, None], self.high[j], 0.0)
+        return float(np.where(known, np.log(p[:, 1] / p[:, 0]), 0.0).sum())
 
     def evidence(self, text: str | None) -> float:
         words = word_hashes(text)
         return self.log_ratio(words) / (len(words) + PRIOR_WORDS)
 
 
-def _rates(keys, label, n, shrink, prior=None):
-    """Unique keys, for each class how much likelier than overall they are in it, and their pooled counts."""
-    unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    counts = [np.bincount(inverse, np.where(label == c, n, 0), len(unique)) for c in (0, 1)]
-    pooled = counts[0] + counts[1]
-    total = max(pooled.sum(), 1.0)
-    rates = []
-    for c in (0, 1):
-        below = 1.0 if prior is None else prior[c][first]
-        rates.append((counts[c] + shrink * below) / (pooled * counts[c].sum() / total + shrink))
-    return unique, rates, pooled
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted in sorted keys, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return i, keys[i] == wanted
+
+
+def _rates(counts: np.ndarray, below: np.ndarray | float) -> np.ndarray:
+    """How much likelier than overall each row is in class 0 and in class 1."""
+    total = counts.sum()
+    share = counts.sum(axis=0) / max(total, 1.0)
+    pooled = counts.sum(axis=1)
+    expected = pooled[:, None] * share
+    off = counts[:, 1] - expected[:, 1]
+    off = np.sign(off) * np.maximum(np.abs(off) - NOISE * np.sqrt(pooled * share[0] * share[1]), 0)
+    return (expected + off[:, None] * np.array([-1, 1]) + SHRINK * below) / (expected + SHRINK)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -177,10 +178,11 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) ->
 
 
 def _distinct(words: np.ndarray) -> np.ndarray:
-    """The distinct words and word pairs of a text, as (word before, word)."""
+    """The distinct words and word pairs of a text as (word before, word), and each pair's context."""
     alone = np.unique(words)
     pairs = np.unique(np.stack([_before(words), words], axis=1), axis=0)
-    return np.concatenate([np.stack([np.full(len(alone), _ALONE), alone], axis=1), pairs])
+    contexts = np.stack([pairs[:, 0], np.full(len(pairs), _ALONE)], axis=1)
+    return np.concatenate([np.stack([np.full(len(alone), _ALONE), alone], axis=1), pairs, contexts])
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +191,10 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, c, k in zip(texts, label, fold):
             words = word_hashes(t)
             if len(words):
-                pairs = _distinct(words)
-                cols = [pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)]
-                same = [pa.array(np.full(len(pairs), v, dtype=np.int32)) for v in (c, k)]
-                yield pa.RecordBatch.from_arrays([*same, *cols], ["label", "fold", "h", "w"])
+                found = _distinct(words)
+                cols = [pa.array(found[:, i].copy().view(np.int64)) for i in (0, 1)]
+                group = pa.array(np.full(len(found), 2 * k + c, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([group, *cols], ["part", "h", "w"])
 
 
 class Model:
@@ -208,41 +210,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int
     """Count on the executors, bring back at most the bigrams of the bounded sample, calibrate across folds."""
     rows = sample(docs, labels, max_rows, max_chars)
     counted = (
-        rows.mapInArrow(_bigrams, "label int, fold int, h long, w long")
-        .groupBy("label", "fold", "h", "w")
-        .agg(F.count("*").alias("n"))
+        rows.mapInArrow(_bigrams, "part int, h long, w long")
+        .groupBy("h", "w")
+        .agg(*[F.count_if(F.col("part") == k).cast("int").alias(f"n{k}") for k in range(4)])
+        .filter((F.expr("n0 + n1 + n2 + n3") > 1) | F.lit(int(_ALONE.view(np.int64))).isin(F.col("h"), F.col("w")))
         .toArrow()
     )
-    label, fold, h, w, n = (c.to_numpy() for c in counted.columns)
-    h, w = h.view(np.uint64), w.view(np.uint64)
+    h, w, *parts = (c.to_numpy() for c in counted.columns)
+    h, w, n = h.view(np.uint64), w.view(np.uint64), np.stack(parts, axis=1)
 
-    def model(keep: np.ndarray, shrink: float) -> KneserNey:
-        return KneserNey(h[keep], w[keep], label[keep], n[keep].astype(float), shrink)
+    def model(counts: np.ndarray) -> KneserNey:
+        seen = counts.sum(axis=1) > 0
+        return KneserNey(h[seen], w[seen], counts[seen])
 
-    halves = docs.sparkSession.sparkContext.broadcast(
-        [[model(fold == 1, s) for s in SHRINKS], [model(fold == 0, s) for s in SHRINKS]]
-    )
+    halves = docs.sparkSession.sparkContext.broadcast([model(n[:, 2:]), model(n[:, :2])])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             texts, _, k = (c.to_pylist() for c in batch.columns)
-            x = [[m.evidence(t) for m in halves.value[f]] for t, f in zip(texts, k)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+            x = [halves.value[f].evidence(t) for t, f in zip(texts, k)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.float64())], ["label", "x"])
 
-    found = rows.mapInArrow(judge, "label int, x array<double>").toArrow()
+    y, x = (c.to_numpy() for c in rows.mapInArrow(judge, "label int, x double").toArrow().columns)
     halves.unpersist()
-    y = found.column(0).to_numpy()
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
-        return Model(model(fold < 0, SHRINKS[0]), 0.0, float(np.log(share / (1 - share))))
-    fits = []
-    for s, x in zip(SHRINKS, np.array(found.column(1).to_pylist()).T):
-        slope, intercept = fit_logistic(x, y)
-        p = 1 / (1 + np.exp(-np.clip(slope * x + intercept, -30, 30)))
-        right, wrong = ((p >= 0.5) & (y == 1)).sum(), ((p >= 0.5) != (y == 1)).sum()
-        fits.append((-2 * right / max(2 * right + wrong, 1), s, slope, intercept))
-    _, s, slope, intercept = min(fits)
-    return Model(model(fold >= 0, s), slope, intercept)
+        return Model(model(n[:, :2] * 0), 0.0, float(np.log(share / (1 - share))))
+    return Model(model(n[:, :2] + n[:, 2:]), *fit_logistic(x, y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

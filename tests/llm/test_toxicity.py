@@ -30,19 +30,23 @@ def test_held_out_rows_are_told_apart(spark):
 def test_log_ratio_is_that_of_the_stated_model():
     """The arrays against the formulas, word by word."""
     texts = [("you are scum", 1), ("you scum go", 1), ("you are kind", 0), ("they are kind people", 0), ("you go", 0)]
+    texts = texts * 4
     rows = [(c, h, w) for t, c in texts for h, w in toxicity._distinct(toxicity.word_hashes(t)).tolist()]
-    keys = np.array([r[1:] for r in rows], dtype=np.uint64)
-    label, n = np.array([r[0] for r in rows]), np.ones(len(rows))
-    kn = toxicity.KneserNey(keys[:, 0].copy(), keys[:, 1].copy(), label, n, shrink=2.0)
-    alone, d, k = int(toxicity._ALONE), toxicity.DISCOUNT, 2.0
+    keys = sorted({r[1:] for r in rows})
+    h, w = np.array(keys, dtype=np.uint64).T
+    counts = np.array([[sum(r == (c, *k) for r in rows) for c in (0, 1)] for k in keys])
+    kn = toxicity.KneserNey(h.copy(), w.copy(), counts)
+    alone, d, k = int(toxicity._ALONE), toxicity.DISCOUNT, toxicity.SHRINK
     uni = [(c, w) for c, h, w in rows if h == alone]
-    big = [(c, h, w) for c, h, w in rows if h != alone]
+    big = [(c, h, w) for c, h, w in rows if alone not in (h, w)]
     types = {w for _, w in uni}
 
     def rate(c, got, every, below):
-        mine = sum(r[0] == c for r in every)
-        own = sum(r[0] == c for r in got)
-        return (own + k * below) / (len(got) * mine / len(every) + k)
+        share = sum(r[0] == c for r in every) / len(every)
+        expected = len(got) * share
+        off = sum(r[0] == c for r in got) - expected
+        room = toxicity.NOISE * np.sqrt(len(got) * share * (1 - share))
+        return (expected + np.sign(off) * max(abs(off) - room, 0) + k * below) / (expected + k)
 
     def p(c, h, w):
         got = [r for r in uni if r[1] == w]
@@ -51,10 +55,11 @@ def test_log_ratio_is_that_of_the_stated_model():
         follow = [r for r in big if r[1] == h]
         if not follow:
             return low
-        kinds = {r[2] for r in follow}
+        sizes = {x: sum(r[2] == x for r in follow) for x in {r[2] for r in follow}}
+        back = sum(1 if s == 1 else d for s in sizes.values()) / len(follow)
         both = [r for r in follow if r[2] == w]
-        back = sum(min(sum(r[2] == x for r in follow), d) for x in kinds) / len(follow)
-        high = max(len(both) - d, 0) / len(follow) * rate(c, both, big, r1) if both else 0.0
+        pairs = [r for r in big if sum(q[1:] == r[1:] for q in big) > 1]
+        high = (len(both) - d) / len(follow) * rate(c, both, pairs, r1) if len(both) > 1 else 0.0
         return high + back * low
 
     words = toxicity.word_hashes("you scum are they unseen")
@@ -63,7 +68,7 @@ def test_log_ratio_is_that_of_the_stated_model():
         for h, w in zip(toxicity._before(words).tolist(), words.tolist())
     )
     assert kn.log_ratio(words) == pytest.approx(want, abs=1e-12)
-    assert kn.log_ratio(toxicity.word_hashes("scum")) > 0 > kn.log_ratio(toxicity.word_hashes("kind"))
+    assert kn.log_ratio(toxicity.word_hashes("scum")) > 0 >= kn.log_ratio(toxicity.word_hashes("kind"))
 
 
 def test_nulls_empty_tables_and_extra_columns(spark):
