@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomfactor.llm import simhash, toxicity
+from loomfactor.llm import chat, licenses, simhash, toxicity
 from loomfactor.llm.common import table
 
 
@@ -16,9 +17,49 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    roles = F.array(F.lit("user"), F.lit("assistant"))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.posexplode(roles).alias("turn", "role"))
+    extra = extra.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", said.alias("text"))
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_chat": op8_chat,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat": r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized as (
+  select *,
+    length(replace(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t'), ': ', '\c'))
+    + length('### : ') + length(' </turn>') + 1
+    + case when role in ('system', 'user', 'assistant', 'tool') then length(role)
+        else 1 + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\t'), ': ', '\c')) end as chars,
+    coalesce(lag(role) over (partition by conv_id order by turn nulls first, role, text), 'start') as before,
+    row_number() over (partition by conv_id order by turn desc nulls last, role desc, text desc) as back
+  from rows
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars,
+  bool_and(before || '>' || role in ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user',
+    'assistant>tool', 'tool>assistant', 'tool>tool')) and max(case when back = 1 then role end) = 'assistant' as valid_order
+from sized group by conv_id
+""",
+}
