@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfactor.llm import chat, licenses, simhash, toxicity
+from loomfactor.llm import ann, chat, licenses, simhash, toxicity
 from loomfactor.llm.common import table
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_toxicity": op4_toxicity,
+    "op6_ann": op6_ann,
     "op7_simhash": op7_simhash,
     "op8_chat": op8_chat,
     "op10_licenses": op10_licenses,
