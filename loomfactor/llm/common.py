@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,15 +36,33 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    # The plans behind df are done with: once their objects are collected, Spark drops their shuffle files.
+    del df
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote and no later step reads."""
+    paths = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+    done = [p for p in _written if p.rsplit("/", 1)[-1] in paths]
+    _delete(df.sparkSession, done)
+    for p in done:
+        _written.remove(p)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables written so far. Call it only when no DataFrame that reads them is needed."""
-    jvm = spark._jvm
+    _delete(spark, _written)
+    _written.clear()
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -56,12 +75,3 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, rows: int = 51
 
 def id_or_last(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
-
-
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def as_i64(values: np.ndarray) -> pa.Array:
-    """Unsigned hashes as the signed longs Spark knows."""
-    return pa.array(np.ascontiguousarray(values).view(np.int64))

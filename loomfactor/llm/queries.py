@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfactor.llm import ann, chat, licenses, simhash, toxicity
+from loomfactor.llm import ann, chat, licenses, simhash, substring, suffix_array, toxicity
 from loomfactor.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,15 +34,21 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_substring": op3_substring,
     "op4_toxicity": op4_toxicity,
     "op6_ann": op6_ann,
     "op7_simhash": op7_simhash,
     "op8_chat": op8_chat,
+    "op9_suffix_array": op9_suffix_array,
     "op10_licenses": op10_licenses,
 }
 
