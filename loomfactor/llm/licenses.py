@@ -53,9 +53,9 @@ def index(notices=NOTICES) -> dict[str, tuple[float, list[tuple[int, int]]]]:
 
 def normalise(text: Column) -> Column:
     """The words of a text, lower case, each between single spaces; one space if there are none."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
-    return F.concat(F.lit(" "), F.trim(F.translate(words, upper, lower)), F.lit(" "))
+    # The Kelvin sign is the one other letter whose lower case is an ASCII letter alone; it stays a letter of its own.
+    return F.concat(F.lit(" "), F.trim(F.lower(F.replace(words, F.lit("\u212a"), F.lit("\u0138")))), F.lit(" "))
 
 
 def _spaces(text: Column) -> Column:
@@ -78,6 +78,11 @@ def places(norm: Column, phrase: str) -> Column:
     return F.when(F.contains(norm, F.lit(f" {phrase} ")), found(pieces)).otherwise(none)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once: inside a lambda a plain expression would be computed per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def notices_found(norm: Column, notices=NOTICES, rare: int = 8, share: float = 0.6) -> Column:
     """Array of (label, score): for each notice the largest share of its words that stand in place, if at least
     ``share``, its highest-IDF postings agree on the place, and its key phrase stands in the text."""
@@ -90,26 +95,31 @@ def notices_found(norm: Column, notices=NOTICES, rare: int = 8, share: float = 0
             for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("p")) for k, p in at]))
         ]
     )
-    all_words = F.split(F.trim(norm), " ")
-    placed = F.filter(
-        F.transform(all_words, lambda w, i: F.struct(F.try_element_at(idf, w).alias("idf"), w.alias("w"), i.alias("i"))),
-        lambda s: s["idf"].isNotNull(),
-    )
-    # The file's highest-IDF notice words, all places of each.
-    top = F.slice(F.array_sort(F.array_distinct(F.transform(placed, lambda s: F.struct((-s["idf"]).alias("v"), s["w"].alias("w"))))), 1, rare)
-    names = F.transform(top, lambda s: s["w"])
-    starts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.filter(placed, lambda s: F.array_contains(names, s["w"])),
-                lambda s: F.transform(
-                    F.try_element_at(postings, s["w"]), lambda q: F.struct(q["k"].alias("k"), (s["i"] - q["p"]).alias("at"))
-                ),
+
+    def placed(all_words: Column) -> Column:
+        found = F.transform(all_words, lambda w, i: F.struct(F.try_element_at(idf, w).alias("idf"), w.alias("w"), i.alias("i")))
+        return F.filter(found, lambda s: s["idf"].isNotNull())
+
+    def top(found: Column) -> Column:
+        """The file's highest-IDF notice words."""
+        ranked = F.array_sort(F.array_distinct(F.transform(found, lambda s: F.struct((-s["idf"]).alias("v"), s["w"].alias("w")))))
+        return F.transform(F.slice(ranked, 1, rare), lambda s: s["w"])
+
+    def starts(found: Column, names: Column) -> Column:
+        """Where the postings of all places of these words put a notice."""
+        kept = F.filter(found, lambda s: F.array_contains(names, s["w"]))
+        return F.array_distinct(
+            F.flatten(
+                F.transform(
+                    kept,
+                    lambda s: F.transform(
+                        F.try_element_at(postings, s["w"]), lambda q: F.struct(q["k"].alias("k"), (s["i"] - q["p"]).alias("at"))
+                    ),
+                )
             )
         )
-    )
 
-    def score_at(s: Column) -> Column:
+    def score_at(all_words: Column, s: Column) -> Column:
         out = F.struct(F.lit("").alias("label"), F.lit(0.0).alias("score"))
         for k, (label, text, key) in reversed(list(enumerate(notices))):
             want = text.split()
@@ -119,12 +129,16 @@ def notices_found(norm: Column, notices=NOTICES, rare: int = 8, share: float = 0
             out = F.when(s["k"] == k, found).otherwise(out)
         return out
 
+    def found(w: Column) -> Column:
+        at = _let(placed(w), lambda p: _let(top(p), lambda names: starts(p, names)))
+        return F.filter(F.transform(at, lambda s: score_at(w, s)), lambda s: s["score"] >= share)
+
     none = F.array().cast("array<struct<label:string,score:double>>")
     keys = [F.contains(norm, F.lit(f" {key} ")) for _, _, key in notices]
     some = keys[0]
     for k in keys[1:]:
         some = some | k
-    return F.when(some, F.filter(F.transform(starts, score_at), lambda s: s["score"] >= share)).otherwise(none)
+    return F.when(some, _let(F.split(F.trim(norm), " "), found)).otherwise(none)
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def test_edges(spark):
     texts = [
         None, "", " -- ", "CC BY", "cc by cc by", "cc-by cc", "All Rights Reserved. all rights reserved",
         "x GENERAL public\nLicense y cc by", "Licensed under CC BY-NC 4.0. Released under the MIT License",
-        "under the apache license version 2 0", "apache license", "ccé by cc by", "İcc by", "é " * 60000 + "all rights reserved",
+        "under the apache license version 2 0", "apache license", "ccé by cc by", "İcc by", "cc \u212a cc by \u212aby", "é " * 60000 + "all rights reserved",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this work",
     ]
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, "cc by", "x", 1), (3, "CC BY", "x", 1)]
