@@ -110,7 +110,7 @@ def search(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     tables: int = 4,
-    share: float = 0.25,
+    share: float = 0.35,
     width: float = 2.0,
     tile: int = 4096,
     sample: int = 2000,
@@ -135,7 +135,7 @@ def search(
         return spark.createDataFrame([], schema)
     # Cell walls are fitted on a bounded sample, the rows of the smallest hashes of their ids.
     spread = np.array([r.v for r in units.orderBy(F.xxhash64("uid"), "uid").limit(sample).select("v").collect()])
-    hashes = int(np.clip(round(np.log(n / 200) / np.log(3)), 1, 8))
+    hashes = int(np.clip(round(np.log(n / 600) / np.log(3)), 4, 8))
     fam = Hashes(dim, norm, spread, tables, hashes, width, seed)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def search(
     probes = queries.mapInArrow(probe, "t int, bucket long, s int, q long, v array<double>")
     sizes = spark.createDataFrame([(t, b, c) for (t, b), c in cuts.items()], "t int, bucket long, k int")
     tiles = items.join(F.broadcast(sizes), ["t", "bucket"]).withColumn("s", F.pmod(F.xxhash64("uid"), F.col("k")).cast("int"))
-    keep = k + 12
+    keep = k + 4
 
     found = (
         probes.groupBy("t", "bucket", "s")
