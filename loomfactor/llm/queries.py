@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfactor.llm import ann, chat, licenses, simhash, substring, suffix_array, toxicity
+import corpus_pipeline
+from loomfactor.llm import ann, chat, decontaminate, html, licenses, mixing, simhash, substring, suffix_array, toxicity
 from loomfactor.llm.common import table
 
 
@@ -17,6 +18,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tk")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = corpus_pipeline.domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labels, corpus_pipeline.TARGETS).select("doc_id", "tokens", "p", "rate")
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -43,13 +58,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_mixing": op2_mixing,
     "op3_substring": op3_substring,
     "op4_toxicity": op4_toxicity,
+    "op5_html": op5_html,
     "op6_ann": op6_ann,
     "op7_simhash": op7_simhash,
     "op8_chat": op8_chat,
     "op9_suffix_array": op9_suffix_array,
     "op10_licenses": op10_licenses,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

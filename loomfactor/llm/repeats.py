@@ -26,11 +26,12 @@ from loomfactor.llm.common import id_or_last, materialize, small_batches
 Symbols = Callable[[str], np.ndarray]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, oid, tk, text): a null text is empty; oid orders documents, null ids last; tk names the text."""
+def keyed(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, oid, tk, text) and the columns to keep: a null text is empty; oid orders documents, null ids last; tk names the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_or_last().alias("oid"), text.alias("text")).select(
-        "doc_id", "oid", F.xxhash64("text").alias("tk"), "text"
+    kept = F.struct(*[F.col(c) for c in keep]).alias("kept") if keep else F.lit(True).alias("kept")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_or_last().alias("oid"), text.alias("text"), kept).select(
+        "doc_id", "oid", F.xxhash64("text").alias("tk"), "text", "kept"
     )
 
 
@@ -52,7 +53,8 @@ def segment_table(docs: DataFrame, symbols: Symbols, window: int, gram: int) ->
 
 def repeated(segs: DataFrame) -> DataFrame:
     """The segments whose anchor occurs more than once."""
-    often = segs.groupBy("c").agg(F.count("*").alias("times")).filter("times > 1").select("c")
+    # Written first, so that both sides of the join are plain shuffles and a hot anchor's rows can be split.
+    often = materialize(segs.groupBy("c").agg(F.count("*").alias("times")).filter("times > 1").select("c"))
     return segs.join(often, "c")
 
 
@@ -121,7 +123,7 @@ def ranges(rows: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def cut(docs: DataFrame, spans: DataFrame, keys: list[str], finish: Callable, schema: str) -> DataFrame:
-    """One row per row of docs from its text and its spans (first, last window): finish(ids, texts, spans lists)."""
+    """One row per row of docs from its text and its spans (first, last window): finish(ids, texts, spans lists, kept columns)."""
     lists = spans.groupBy(*keys).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +136,9 @@ def cut(docs: DataFrame, spans: DataFrame, keys: list[str], finish: Callable, sc
             for size in lengths:
                 held.append((a[at : at + size], b[at : at + size]))
                 at += size
-            yield finish(batch.column(0), batch.column(1).to_pylist(), held)
+            yield finish(batch.column(0), batch.column(1).to_pylist(), held, batch.column(3))
 
-    joined = docs.join(lists.hint("shuffle_hash"), keys, "left").select("doc_id", "text", "spans")
+    joined = docs.join(lists.hint("shuffle_hash"), keys, "left").select("doc_id", "text", "spans", "kept")
     return joined.mapInArrow(run, schema)
 
 

@@ -143,7 +143,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, tile: int = 20000) -> Data
     docs = repeats.keyed(docs)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
-    def finish(ids: pa.Array, texts: list[str], spans: list) -> pa.RecordBatch:
+    def finish(ids: pa.Array, texts: list[str], spans: list, _) -> pa.RecordBatch:
         out = []
         for text, (a, b) in zip(texts, spans):
             every = words(text)

@@ -115,28 +115,34 @@ def matches(docs: DataFrame, window: int, batches: int, tile: int) -> DataFrame:
     return dups.join(runs, ["c", "f"]).select("tk", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, batches: int = 4, tile: int = 20000, keep_text: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also the text that
-    stays, without characters of which a byte was removed."""
-    docs = repeats.keyed(docs)
+def remove_repeats(
+    docs: DataFrame, window: int = 200, batches: int = 4, tile: int = 20000, keep_text: bool = False, keep: list[str] = ()
+) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept, the text
+    that stays without characters of which a byte was removed; and the columns of docs named by keep."""
+    types = dict(docs.dtypes)
+    docs = repeats.keyed(docs, keep)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = [x.split()[0] for x in schema.split(", ")] + ["extra"] * bool(keep)
 
-    def finish(ids: pa.Array, texts: list[str], spans: list) -> pa.RecordBatch:
+    def finish(ids: pa.Array, texts: list[str], spans: list, extra: pa.Array) -> pa.RecordBatch:
         out = []
         for text, (a, b) in zip(texts, spans):
             raw = raw_bytes(text)
             gone = repeats.removed(len(raw), a, b, window)
-            kept = raw[~gone].tobytes()
+            left = raw[~gone].tobytes()
             edges = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            row = [len(raw), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest()]
+            row = [len(raw), int(gone.sum()), edges, hashlib.sha256(left).hexdigest()]
             if keep_text:
                 char = np.cumsum((raw & 0xC0) != 0x80) - 1
                 broken = np.zeros(char[-1] + 1 if len(raw) else 0, bool)
                 broken[char[gone]] = True
                 row.append(raw[~broken[char]].tobytes().decode() if len(raw) else "")
             out.append(row)
-        cols = [ids, *[pa.array(x) for x in zip(*out)]]
+        cols = [ids, *[pa.array(x) for x in zip(*out)], *([extra] if keep else [])]
         return pa.RecordBatch.from_arrays(cols, names)
 
-    return repeats.cut(docs, matches(docs, window, batches, tile), ["tk"], finish, schema)
+    if keep:
+        schema += ", extra struct<" + ",".join(f"`{c}`:{types[c]}" for c in keep) + ">"
+    out = repeats.cut(docs, matches(docs, window, batches, tile), ["tk"], finish, schema)
+    return out.select(*[n for n in names if n != "extra"], *[f"extra.{c}" for c in keep])

@@ -239,23 +239,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int
     return Model(model(n[:, :2] + n[:, 2:]), *fit_logistic(x, y))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row of docs."""
+def with_score(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs with a column score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, names = docs.columns.index("text"), [*docs.columns, "score"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            s = [shared.value.score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+            s = [shared.value.score(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, score double"
-    )
+    return docs.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
-    return score(docs, fit(docs, labels, **bounds)).select(
+    model = fit(docs, labels, **bounds)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_score(rows, model).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
