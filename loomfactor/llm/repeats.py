@@ -124,7 +124,7 @@ def ranges(rows: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def cut(docs: DataFrame, spans: DataFrame, keys: list[str], finish: Callable, schema: str) -> DataFrame:
     """One row per row of docs from its text and its spans (first, last window): finish(ids, texts, spans lists, kept columns)."""
-    lists = spans.groupBy(*keys).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    lists = materialize(spans.groupBy(*keys).agg(F.collect_set(F.struct("a", "b")).alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 64):

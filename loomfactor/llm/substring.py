@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loomfactor.llm import anchors, repeats
 from loomfactor.llm.common import discard, materialize
 
-GRAM = 4
+GRAM = 2
 #: Contents that one shard's automaton holds, about.
 GROUP = 8000
 
@@ -129,13 +129,16 @@ def matches(docs: DataFrame, window: int, tile: int) -> DataFrame:
     groups = max(8, stuff.count() // GROUP)
     rows = repeats.grouped(repeats.with_symbols(docs, stuff, word_symbols, window), groups, tile)
     runs = materialize(rows.groupBy("g", "i", "j").applyInArrow(_shard(window), "c long, f long, a int, b int"))
-    owners = stuff.select("c", "f", F.col("owner.oid").alias("first"))
     # A later document's segment of equal content lies in the owner whole; the owner's own is as the automaton says.
-    later = dups.join(owners, ["c", "f"]).filter("oid > first")
-    whole = later.select("tk", "oid", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1).alias("b"))
-    own = dups.join(runs.join(owners, ["c", "f"]).select("c", "f", "first", "a", "b"), ["c", "f"]).filter("oid = first")
-    part = own.select("tk", "oid", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
-    return whole.unionByName(part)
+    own = runs.groupBy("c", "f").agg(F.collect_list(F.struct("a", "b")).alias("own"))
+    marks = stuff.select("c", "f", "times", F.col("owner.oid").alias("first")).join(own, ["c", "f"], "left")
+    marks = materialize(marks.filter("times > 1 or own is not null").drop("times"))
+    discard(stuff)
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))
+    spans = dups.join(marks, ["c", "f"]).select(
+        "tk", "oid", "start", F.explode(F.when(F.col("oid") > F.col("first"), whole).otherwise(F.col("own"))).alias("s")
+    )
+    return spans.select("tk", "oid", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, tile: int = 20000) -> DataFrame:
