@@ -13,32 +13,38 @@ def _paired(long: DataFrame) -> DataFrame:
     return long.filter(F.col("f").isNotNull() & F.col("fwd").isNotNull())
 
 
-def _corr(x: str, y: str, least: float | None) -> Column:
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    enough = F.count(F.lit(1)) * spread > least if least is not None else spread > 0
-    return F.when((F.count(F.lit(1)) >= 10) & enough, F.covar_pop(x, y) / spread)
-
-
 def _ordinal(x: str, *more: str) -> Column:
     return F.row_number().over(Window.partitionBy(*DAY).orderBy(x, *more)).cast("double")
 
 
-def _average_rank(x: str) -> Column:
-    day = Window.partitionBy(*DAY)
-    return F.rank().over(day.orderBy(x)) + (F.count("*").over(Window.partitionBy(*DAY, x)) - 1) / F.lit(2.0)
+def daily(long: DataFrame, ranks: str = "ordinal") -> DataFrame:
+    """(expr_id, t, trade_date, cells, n, pairs, ic, rank_ic) of every day, in one pass over the long frame: both
+    ranks and the sums share one exchange. Ordinal ranks break ties by code and ask for some spread; average ranks
+    share ties and only need it not to be zero."""
+    ok = F.col("f").isNotNull() & F.col("fwd").isNotNull()
+    rows = long.withColumn("ok", ok)
+    same = Window.partitionBy(*DAY, "ok")
+    if ranks == "ordinal":
+        rank = lambda x: F.row_number().over(same.orderBy(x, "code")).cast("double")
+    else:
+        rank = lambda x: F.rank().over(same.orderBy(x)) + (F.count("*").over(Window.partitionBy(*DAY, "ok", x)) - 1) / F.lit(2.0)
+    rows = rows.withColumns({"rf": rank("f"), "rr": rank("fwd")})
+    n = F.count_if("ok")
+
+    def corr(x: str, y: str) -> Column:
+        a, b = F.when(F.col("ok"), F.col(x)), F.when(F.col("ok"), F.col(y))
+        spread = F.stddev_pop(a) * F.stddev_pop(b)
+        enough = n * spread > 1e-10 if ranks == "ordinal" else spread > 0
+        return F.when((n >= 10) & enough, F.covar_pop(a, b) / spread)
+
+    return rows.groupBy(*DAY).agg(
+        F.count("*").alias("cells"), F.count("f").alias("n"), n.alias("pairs"), corr("f", "fwd").alias("ic"), corr("rf", "rr").alias("rank_ic")
+    )
 
 
 def daily_ic(long: DataFrame, ranks: str = "ordinal") -> DataFrame:
-    """(expr_id, t, trade_date, ic, rank_ic) of the days with pairs. Ordinal ranks break ties by code and ask for
-    some spread; average ranks share ties and only need it not to be zero."""
-    pairs = _paired(long)
-    if ranks == "ordinal":
-        ranked = pairs.withColumns({"rf": _ordinal("f", "code"), "rr": _ordinal("fwd", "code")})
-        least = 1e-10
-    else:
-        ranked = pairs.withColumns({"rf": _average_rank("f"), "rr": _average_rank("fwd")})
-        least = None
-    return ranked.groupBy(*DAY).agg(_corr("f", "fwd", least).alias("ic"), _corr("rf", "rr", least).alias("rank_ic"))
+    """(expr_id, t, trade_date, ic, rank_ic) of the days with pairs."""
+    return daily(long, ranks).filter("pairs > 0").select(*DAY, "ic", "rank_ic")
 
 
 def usable_days(long: DataFrame, least: int) -> DataFrame:
@@ -54,18 +60,19 @@ def _ratio(mean: Column, sd: Column) -> Column:
 def summary(long: DataFrame, least: int = 30, train_end: str | None = None, test_start: str | None = None, ranks: str = "ordinal") -> DataFrame:
     """One row per expression: coverage, usable days, IC and rank IC with their ratios, for all days and for the
     training and test days, and the score."""
-    cells = long.groupBy("expr_id").agg((F.count("f") / F.count(F.lit(1))).alias("coverage"))
-    ics = usable_days(long, least).join(daily_ic(long, ranks), DAY, "left")
+    days = daily(long, ranks)
+    usable = F.col("n") >= least
     train = F.col("trade_date") <= F.lit(train_end) if train_end else F.lit(False)
     test = F.col("trade_date") >= F.lit(test_start) if test_start else F.lit(False)
-    r = F.col("rank_ic")
-    stats = ics.groupBy("expr_id").agg(
-        F.count(F.lit(1)).alias("usable_days"),
-        F.avg("ic").alias("mean_ic"),
-        _ratio(F.avg("ic"), F.stddev_pop("ic")).alias("icir"),
+    r, ic = F.when(usable, F.col("rank_ic")), F.when(usable, F.col("ic"))
+    stats = days.groupBy("expr_id").agg(
+        (F.sum("n") / F.sum("cells")).alias("coverage"),
+        F.count_if(usable).alias("usable_days"),
+        F.avg(ic).alias("mean_ic"),
+        _ratio(F.avg(ic), F.stddev_pop(ic)).alias("icir"),
         F.avg(r).alias("mean_rank_ic"),
         _ratio(F.avg(r), F.stddev_pop(r)).alias("rank_icir"),
-        F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("positive_rank_ic_ratio"),
+        F.avg(F.when(usable, F.when(r > 0, 1.0).otherwise(0.0))).alias("positive_rank_ic_ratio"),
         *[
             x
             for name, mask in (("train", train), ("test", test))
@@ -78,11 +85,11 @@ def summary(long: DataFrame, least: int = 30, train_end: str | None = None, test
         F.col("train_mean_rank_ic").isNotNull() & F.col("test_mean_rank_ic").isNotNull(),
         F.abs("test_mean_rank_ic") * F.abs("test_rank_icir") * agree,
     )
-    return cells.join(stats, "expr_id", "left").withColumn("score", score).withColumn("usable_days", F.coalesce("usable_days", F.lit(0)))
+    return stats.withColumn("score", score)
 
 
 def year_rank_ic(long: DataFrame, least: int = 30) -> DataFrame:
-    days = usable_days(long, least).join(daily_ic(long), DAY, "left")
+    days = daily(long).filter(F.col("n") >= least)
     return days.groupBy("expr_id", F.substring("trade_date", 1, 4).alias("year")).agg(F.avg("rank_ic").alias("rank_ic"))
 
 
@@ -107,11 +114,11 @@ def quantile_spread(long: DataFrame, q: int = 5, least: int = 50) -> DataFrame:
 
 def rolling_ic(long: DataFrame, windows: tuple[int, ...] = (20, 60, 120), ranks: str = "average") -> DataFrame:
     """Rank IC of each day with its mean over the w days before it, if half of them have one."""
-    days = long.select(*DAY).distinct().join(daily_ic(long, ranks), DAY, "left")
+    days = daily(long, ranks).select(*DAY, "rank_ic")
     order = Window.partitionBy("expr_id").orderBy("t")
     cols = {}
     for w in windows:
         back = order.rowsBetween(-w, -1)
         enough = (F.row_number().over(order) > w) & (F.count("rank_ic").over(back) >= w // 2)
         cols[f"rolling_{w}_rank_ic"] = F.when(enough, F.avg("rank_ic").over(back))
-    return days.withColumns(cols).drop("ic")
+    return days.withColumns(cols)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from loomfactor.functions.missing import clean
 from loomfactor.operators.registry import OPS
 from loomfactor.plans.expressions import Node, canonical
@@ -20,6 +22,8 @@ class Compiler:
         self.levels: dict[str, int] = {}
         #: Depth -> columns that a select at that depth adds.
         self.selects: dict[int, dict[str, Column]] = {}
+        #: Depth -> inputs of ranks at that depth, by the column that holds the rank.
+        self.ranks: dict[int, dict[str, Column]] = {}
 
     def add(self, node: Node) -> str:
         """Plan a node and what it needs; returns its key."""
@@ -47,7 +51,10 @@ class Compiler:
             if op.windowed:
                 level += 1
                 name = f"_e{len(self.columns)}_{step}"
-                self.selects.setdefault(level, {})[name] = value
+                if node.value == "Rank":
+                    self.ranks.setdefault(level, {})[name] = args[0]
+                else:
+                    self.selects.setdefault(level, {})[name] = value
                 value = F.col(name)
             earlier.append(value)
         self._put(key, earlier[-1], level)
@@ -56,11 +63,39 @@ class Compiler:
         self.columns[key], self.levels[key] = column, level
 
     def run(self, panel: DataFrame) -> DataFrame:
-        for level in sorted(self.selects):
-            panel = panel.withColumns(self.selects[level])
+        for level in range(1, max([0, *self.selects, *self.ranks]) + 1):
+            added, ranks = self.selects.get(level, {}), self.ranks.get(level, {})
+            if len(ranks) <= FEW_RANKS:
+                added = added | {n: clean(OPS["Rank"].passes[0]([x], 0, [])) for n, x in ranks.items()}
+                ranks = {}
+            panel = panel.withColumns(added) if added else panel
+            panel = _rank_together(panel, ranks) if ranks else panel
         return panel
 
 
+#: So many ranks at one depth have a window each; more are ranked as one long column.
+FEW_RANKS = 2
+
+
+def _rank_together(panel: DataFrame, ranks: dict[str, Column]) -> DataFrame:
+    """panel with an ordinal percentile for each input. Each would sort every date by itself; here the inputs become
+    one column, ranked in one window over (rank, date), and go back to their cells: two exchanges for any number.
+    The columns of the panel travel with the first of the ranks, so nothing is computed twice or joined."""
+    names = list(ranks)
+    kept = F.struct(*[F.col(c) for c in panel.columns])
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("x")) for i, x in enumerate(ranks.values())])
+    long = panel.select("t", "trade_date", "code", F.posexplode(cells).alias("i", "cell"), kept.alias("row"))
+    long = long.select("t", "trade_date", "code", "i", F.col("cell.x").alias("x"), F.when(F.col("i") == 0, F.col("row")).alias("row"))
+    same = Window.partitionBy("i", "trade_date", F.col("x").isNull())
+    place = F.row_number().over(same.orderBy("x", "code")) / F.count("*").over(same)
+    ranked = long.withColumn("r", F.when(F.col("x").isNotNull(), place))
+    back = ranked.groupBy("t", "code").agg(
+        F.first("row", ignorenulls=True).alias("row"),
+        F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("r"),
+    )
+    return back.select("row.*", *[F.try_element_at("r", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
 def evaluate(panel: DataFrame, nodes: dict[str, Node], keep: list[str] = ()) -> DataFrame:
     """(t, trade_date, code, keep..., one column for each named expression) of a dense panel."""
     compiler = Compiler()
