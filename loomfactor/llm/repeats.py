@@ -58,6 +58,30 @@ def repeated(segs: DataFrame) -> DataFrame:
     return segs.join(often, "c")
 
 
+def repeated_by_sort(segs: DataFrame) -> DataFrame:
+    """As repeated(), in one shuffle and without writing segs: in the order of the anchor, a segment is repeated if
+    its neighbour has the same anchor. A task holds one batch and one row, however large a class is, but the rows of
+    one class meet in one task; for texts of which most segments are kept anyway this moves far fewer bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, of which the next batch decides, and whether it is known to be repeated
+        known = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            c = batch.column(0).to_numpy()
+            same = c[1:] == c[:-1]
+            hit = np.concatenate((same, [False])) | np.concatenate(([held is not None and known], same))
+            held, known = batch.slice(batch.num_rows - 1, 1), bool(hit[-1])
+            yield batch.filter(pa.array(np.append(hit[:-1], False)))
+        if held is not None and known:
+            yield held
+
+    return segs.repartition("c").sortWithinPartitions("c").mapInArrow(run, segs.schema)
+
+
 def contents(dups: DataFrame) -> DataFrame:
     """(c, f, times, owner): each distinct content, its occurrences, and the first document that holds it."""
     place = F.struct("oid", "tk", "start", "n")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loomfactor.llm import anchors, repeats
 from loomfactor.llm.common import discard, materialize
 
-GRAM = 2
+GRAM = 4
 #: Contents that one shard's automaton holds, about.
 GROUP = 8000
 
@@ -122,9 +122,7 @@ def _shard(window: int):
 
 def matches(docs: DataFrame, window: int, tile: int) -> DataFrame:
     """(tk, oid, a, b): runs of windows of each document that start in an earlier one."""
-    segs = materialize(repeats.segment_table(docs, word_symbols, window, GRAM))
-    dups = materialize(repeats.repeated(segs))
-    discard(segs)
+    dups = materialize(repeats.repeated_by_sort(repeats.segment_table(docs, word_symbols, window, GRAM)))
     stuff = materialize(repeats.contents(dups))
     groups = max(8, stuff.count() // GROUP)
     rows = repeats.grouped(repeats.with_symbols(docs, stuff, word_symbols, window), groups, tile)

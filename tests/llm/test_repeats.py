@@ -101,3 +101,12 @@ def test_automaton_against_plain_search():
     text = rng.integers(0, 4, 60).tolist()
     want = [max((m for m in range(1, e + 2) if tuple(text[e + 1 - m : e + 1]) in factors), default=0) for e in range(60)]
     assert sam.matching(text) == want
+
+
+def test_both_ways_to_find_repeated_segments(spark):
+    from loomfactor.llm import repeats
+
+    docs = repeats.keyed(table(spark, SF, "documents"))
+    segs = repeats.segment_table(docs, substring.word_symbols, 13, 4)
+    a, b = (sorted(map(tuple, f(segs).collect())) for f in (repeats.repeated, repeats.repeated_by_sort))
+    assert a == b and len(a) > 100
