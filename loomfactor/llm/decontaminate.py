@@ -131,7 +131,7 @@ def contaminated(
         length, h = (c.to_numpy() for c in rows.columns)
         found = _matches(docs, {int(s): np.sort(h[length == s]) for s in np.unique(length)})
         hits = found if hits is None else hits.unionByName(found)
-    hits = hits.dropDuplicates(["doc_id", "tk", "length", "pos"])
+    hits = materialize(hits.dropDuplicates(["doc_id", "tk", "length", "pos"]))  # read twice below
     met = hits.join(items, ["h", "length"]).withColumn("start", F.col("pos") - F.col("at"))
     place = ["doc_id", "tk", "item_id", "start"]
     slots = met.select(*place, F.explode(F.arrays_zip("values", "found")).alias("s")).filter("s.values <> ''")
