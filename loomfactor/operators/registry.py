@@ -18,10 +18,18 @@ from loomfactor.functions.missing import safe_div
 from loomfactor.operators.panel import by_code
 
 
+class Pass:
+    """What a builder gets beside its arguments: the columns of earlier passes, and hold(), which names a window
+    column that is built once and may be used, here and by other operators on the same arguments, any number of times."""
+
+    def __init__(self, hold: Callable[[str, Column], Column], earlier: list[Column]):
+        self.hold, self.earlier = hold, earlier
+
+
 @dataclass(frozen=True)
 class Op:
     kind: str  # unary, binary, rolling or pair
-    #: One builder for each pass: (arguments, window, columns of earlier passes) -> Column.
+    #: One builder for each pass: (arguments, window, Pass) -> Column.
     passes: tuple[Callable[..., Column], ...]
     windowed: bool = False
 
@@ -42,47 +50,65 @@ def frame(w: int) -> Window:
     return by_code().rowsBetween(-(w - 1), 0)
 
 
-def _full(agg: Callable[[Column, int], Column]) -> Op:
-    """A statistic of a frame in which all w rows have a value."""
-    return Op("rolling", (lambda a, w, p: F.when(F.count(a[0]).over(frame(w)) == w, agg(a[0], w)),), True)
+def _stat(stat: str, x: Column, w: int, p: Pass) -> Column:
+    f = STATS[stat]
+    return p.hold(stat, f(x).over(frame(w)))
+
+
+#: Statistics of a frame that operators share.
+STATS: dict[str, Callable[[Column], Column]] = {
+    "count": F.count,
+    "mean": F.avg,
+    "sum": F.sum,
+    "std": F.stddev_pop,
+    "var": F.var_pop,
+    "max": F.max,
+    "min": F.min,
+    "median": lambda x: F.percentile(x, F.lit(0.5)),
+    "skewness": F.skewness,
+    "kurtosis": F.kurtosis,
+    "list": F.collect_list,
+}
 
 
-def _over(f: Callable[[Column], Column]) -> Op:
-    return _full(lambda x, w: f(x).over(frame(w)))
+def _full(agg: Callable[[Column, int, Pass], Column]) -> Op:
+    """A statistic of a frame in which all w rows have a value."""
+    return Op("rolling", (lambda a, w, p: F.when(_stat("count", a[0], w, p) == w, agg(a[0], w, p)),), True)
 
 
-def _rank(a, w, p) -> Column:
-    """Ordinal percentile among the date's values, ties in the order of the code."""
-    same = Window.partitionBy("trade_date", a[0].isNull())
-    return F.when(a[0].isNotNull(), F.row_number().over(same.orderBy(a[0], "code")) / F.count("*").over(same))
+def _over(stat: str) -> Op:
+    return _full(lambda x, w, p: _stat(stat, x, w, p))
 
 
-def _list(x: Column, w: int) -> Column:
-    return F.collect_list(x).over(frame(w))
+def rank_of(x: Column) -> Column:
+    """Ordinal percentile among the date's values, ties in the order of the code."""
+    same = Window.partitionBy("trade_date", x.isNull())
+    return F.when(x.isNotNull(), F.row_number().over(same.orderBy(x, "code")) / F.count("*").over(same))
 
 
-def _ts_rank(x: Column, w: int) -> Column:
-    values = _list(x, w)
+def _ts_rank(x: Column, w: int, p: Pass) -> Column:
+    values = _stat("list", x, w, p)
     below, equal = F.size(F.filter(values, lambda v: v < x)), F.size(F.filter(values, lambda v: v == x))
     return (below + (equal + 1) / F.lit(2.0)) / F.lit(float(w))
 
 
-def _ts_mad(x: Column, w: int) -> Column:
-    mean = F.avg(x).over(frame(w))
-    return F.aggregate(_list(x, w), F.lit(0.0), lambda s, v: s + F.abs(v - mean)) / F.lit(float(w))
+def _ts_mad(x: Column, w: int, p: Pass) -> Column:
+    values, mean = _stat("list", x, w, p), _stat("mean", x, w, p)
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + F.abs(v - mean)) / F.lit(float(w))
 
 
-def _ts_wma(x: Column, w: int) -> Column:
+def _ts_wma(x: Column, w: int, p: Pass) -> Column:
     t = F.col("t").cast("double")
-    return (F.sum(t * x).over(frame(w)) - (t - w) * F.sum(x).over(frame(w))) / F.lit(w * (w + 1) / 2)
+    weighted = p.hold("sum of t x", F.sum(t * x).over(frame(w)))
+    return (weighted - (t - w) * _stat("sum", x, w, p)) / F.lit(w * (w + 1) / 2)
 
 
-def _ts_skew(x: Column, w: int) -> Column:
-    return F.coalesce(F.skewness(x).over(frame(w)) * F.lit(sqrt(w * (w - 1)) / (w - 2)), F.lit(0.0))
+def _ts_skew(x: Column, w: int, p: Pass) -> Column:
+    return F.coalesce(_stat("skewness", x, w, p) * F.lit(sqrt(w * (w - 1)) / (w - 2)), F.lit(0.0))
 
 
-def _ts_kurt(x: Column, w: int) -> Column:
-    raw = ((w + 1) * F.kurtosis(x).over(frame(w)) + 6) * F.lit((w - 1) / ((w - 2) * (w - 3)))
+def _ts_kurt(x: Column, w: int, p: Pass) -> Column:
+    raw = ((w + 1) * _stat("kurtosis", x, w, p) + 6) * F.lit((w - 1) / ((w - 2) * (w - 3)))
     return F.coalesce(raw, F.lit(-3.0))
 
 
@@ -93,20 +119,21 @@ def _so_far(at: int = 0) -> Window:
 def _ema_decay(a, w, p) -> Column:
     """Log of the weight that older values keep at an observation: (1-alpha)^gap against the new value's alpha."""
     alpha = 2.0 / (w + 1)
-    before = F.last(F.when(a[0].isNotNull(), F.col("t")), ignorenulls=True).over(_so_far(-1))
+    before = p.hold("last t", F.last(F.when(a[0].isNotNull(), F.col("t")), ignorenulls=True).over(_so_far(-1)))
     old = F.pow(F.lit(1 - alpha), (F.col("t") - before).cast("double"))
     return F.when(a[0].isNotNull(), F.coalesce(F.ln(old / (old + alpha)), F.lit(0.0)))
 
 
 def _ema_level(a, w, p) -> Column:
-    return F.sum(p[0]).over(_so_far())
+    return p.hold("log weight", F.sum(p.earlier[0]).over(_so_far()))
 
 
 def _ema(a, w, p) -> Column:
-    first = F.row_number().over(by_code()) == F.min(F.when(a[0].isNotNull(), F.col("t"))).over(_so_far())
-    weight = F.when(first, 1.0).otherwise(1 - F.exp(p[0]))
-    value = F.exp(p[1]) * F.sum(weight * a[0] * F.exp(-p[1])).over(_so_far())
-    return F.when(F.count(a[0]).over(_so_far()) >= w, value)
+    decay, level = p.earlier
+    # The first observation has decay 0 and no older value to share with: its weight is 1.
+    weight = F.when(decay == 0, 1.0).otherwise(1 - F.exp(decay))
+    total = p.hold("weighted", F.sum(weight * a[0] * F.exp(-level)).over(_so_far()))
+    return F.when(p.hold("seen", F.count(a[0]).over(_so_far())) >= w, F.exp(level) * total)
 
 
 def _pairs(a: list[Column]) -> tuple[Column, Column]:
@@ -116,23 +143,25 @@ def _pairs(a: list[Column]) -> tuple[Column, Column]:
 
 def _ts_cov(a, w, p) -> Column:
     x, y = _pairs(a)
-    return F.when(F.count(x).over(frame(w)) == w, F.covar_samp(x, y).over(frame(w)))
+    n = p.hold("pairs", F.count(x).over(frame(w)))
+    return F.when(n == w, p.hold("covariance", F.covar_samp(x, y).over(frame(w))))
 
 
 def _ts_corr(a, w, p) -> Column:
     x, y = _pairs(a)
-    n, win = F.count(x).over(frame(w)), frame(w)
-    spread = F.stddev_pop(x).over(win) * F.stddev_pop(y).over(win)
+    n = p.hold("pairs", F.count(x).over(frame(w)))
+    spread = p.hold("std x", F.stddev_pop(x).over(frame(w))) * p.hold("std y", F.stddev_pop(y).over(frame(w)))
+    together = p.hold("covariance of all", F.covar_pop(x, y).over(frame(w)))
     enough = (n >= max(2, w // 2)) & (F.col("t") >= w) & (n * spread > 1e-10)
-    return F.when(enough, F.covar_pop(x, y).over(win) / spread)
+    return F.when(enough, together / spread)
 
 
-def _lag(x: Column, w: int) -> Column:
-    return F.lag(x, w).over(by_code())
+def _lag(x: Column, w: int, p: Pass) -> Column:
+    return p.hold("lag", F.lag(x, w).over(by_code()))
 
 
-def _plain(f: Callable[[Column, int], Column]) -> Op:
-    return Op("rolling", (lambda a, w, p: f(a[0], w),), True)
+def _plain(f: Callable[[Column, int, Pass], Column]) -> Op:
+    return Op("rolling", (lambda a, w, p: f(a[0], w, p),), True)
 
 
 OPS: dict[str, Op] = {
@@ -141,7 +170,7 @@ OPS: dict[str, Op] = {
     "Inv": _row("unary", lambda x: safe_div(F.lit(1.0), x)),
     "Sign": _row("unary", F.signum),
     "Log": _row("unary", lambda x: F.when(x > 0, F.ln(x))),
-    "Rank": Op("unary", (_rank,), True),
+    "Rank": Op("unary", (lambda a, w, p: rank_of(a[0]),), True),
     "Add": _row("binary", lambda x, y: x + y),
     "Sub": _row("binary", lambda x, y: x - y),
     "Mul": _row("binary", lambda x, y: x * y),
@@ -150,20 +179,20 @@ OPS: dict[str, Op] = {
     "Greater": Op("binary", (_both(F.greatest),)),
     "Less": Op("binary", (_both(F.least),)),
     "Ref": _plain(_lag),
-    "TsMean": _over(F.avg),
-    "TsSum": _over(F.sum),
-    "TsStd": _over(F.stddev_pop),
-    "TsVar": _over(F.var_pop),
-    "TsMax": _over(F.max),
-    "TsMin": _over(F.min),
-    "TsMed": _over(lambda x: F.percentile(x, F.lit(0.5))),
-    "TsDelta": _plain(lambda x, w: x - _lag(x, w)),
-    "TsPctChange": _plain(lambda x, w: safe_div(x - _lag(x, w), _lag(x, w))),
-    "TsDiv": _full(lambda x, w: safe_div(x, F.avg(x).over(frame(w)))),
-    "TsIr": _full(lambda x, w: safe_div(F.avg(x).over(frame(w)), F.stddev_pop(x).over(frame(w)))),
-    "TsMinMaxDiff": _full(lambda x, w: F.max(x).over(frame(w)) - F.min(x).over(frame(w))),
-    "TsMaxDiff": _full(lambda x, w: x - F.max(x).over(frame(w))),
-    "TsMinDiff": _full(lambda x, w: x - F.min(x).over(frame(w))),
+    "TsMean": _over("mean"),
+    "TsSum": _over("sum"),
+    "TsStd": _over("std"),
+    "TsVar": _over("var"),
+    "TsMax": _over("max"),
+    "TsMin": _over("min"),
+    "TsMed": _over("median"),
+    "TsDelta": _plain(lambda x, w, p: x - _lag(x, w, p)),
+    "TsPctChange": _plain(lambda x, w, p: safe_div(x - _lag(x, w, p), _lag(x, w, p))),
+    "TsDiv": _full(lambda x, w, p: safe_div(x, _stat("mean", x, w, p))),
+    "TsIr": _full(lambda x, w, p: safe_div(_stat("mean", x, w, p), _stat("std", x, w, p))),
+    "TsMinMaxDiff": _full(lambda x, w, p: _stat("max", x, w, p) - _stat("min", x, w, p)),
+    "TsMaxDiff": _full(lambda x, w, p: x - _stat("max", x, w, p)),
+    "TsMinDiff": _full(lambda x, w, p: x - _stat("min", x, w, p)),
     "TsMad": _full(_ts_mad),
     "TsSkew": _full(_ts_skew),
     "TsKurt": _full(_ts_kurt),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomfactor.functions.missing import clean
-from loomfactor.operators.registry import OPS
+from loomfactor.operators.registry import OPS, Pass, rank_of
 from loomfactor.plans.expressions import Node, canonical
 
 
@@ -20,10 +20,13 @@ class Compiler:
     def __init__(self):
         self.columns: dict[str, Column] = {}
         self.levels: dict[str, int] = {}
-        #: Depth -> columns that a select at that depth adds.
-        self.selects: dict[int, dict[str, Column]] = {}
+        #: Depth -> columns that are added there, in this order: inputs of windows, windows, values of operators.
+        self.inputs: dict[int, dict[str, Column]] = {}
+        self.windows: dict[int, dict[str, Column]] = {}
+        self.values: dict[int, dict[str, Column]] = {}
         #: Depth -> inputs of ranks at that depth, by the column that holds the rank.
         self.ranks: dict[int, dict[str, Column]] = {}
+        self.names: dict[tuple, str] = {}
 
     def add(self, node: Node) -> str:
         """Plan a node and what it needs; returns its key."""
@@ -44,32 +47,40 @@ class Compiler:
         inputs = node.args[:-1] if timed else node.args
         window = int(node.args[-1].value) if timed else 0
         keys = [self.add(a) for a in inputs]
-        args, level = [self.columns[k] for k in keys], max(self.levels[k] for k in keys)
+        level = max(self.levels[k] for k in keys)
+        if not op.windowed:
+            value = op.passes[0]([self.columns[k] for k in keys], window, Pass(lambda n, c: c, []))
+            self._put(key, clean(value), level)
+            return
+        args = [self._named(self.inputs, level + 1, ("input", k), self.columns[k]) for k in keys]
         earlier: list[Column] = []
         for step, build in enumerate(op.passes):
-            value = clean(build(args, window, earlier))
-            if op.windowed:
-                level += 1
-                name = f"_e{len(self.columns)}_{step}"
-                if node.value == "Rank":
-                    self.ranks.setdefault(level, {})[name] = args[0]
-                else:
-                    self.selects.setdefault(level, {})[name] = value
-                value = F.col(name)
-            earlier.append(value)
+            level += 1
+            own = ("value", key, step)
+            if node.value == "Rank":
+                earlier.append(self._named(self.ranks, level, own, args[0]))
+                continue
+            hold = lambda stat, c, at=level, k=tuple(keys): self._named(self.windows, at, (stat, window, k, at), c)
+            earlier.append(self._named(self.values, level, own, clean(build(args, window, Pass(hold, list(earlier))))))
         self._put(key, earlier[-1], level)
 
+    def _named(self, where: dict[int, dict[str, Column]], level: int, key: tuple, column: Column) -> Column:
+        """A column that is added once at a depth, under a name of its own."""
+        if key not in self.names:
+            self.names[key] = f"_e{len(self.names)}"
+            where.setdefault(level, {})[self.names[key]] = column
+        return F.col(self.names[key])
+
     def _put(self, key: str, column: Column, level: int) -> None:
         self.columns[key], self.levels[key] = column, level
 
     def run(self, panel: DataFrame) -> DataFrame:
-        for level in range(1, max([0, *self.selects, *self.ranks]) + 1):
-            added, ranks = self.selects.get(level, {}), self.ranks.get(level, {})
-            if len(ranks) <= FEW_RANKS:
-                added = added | {n: clean(OPS["Rank"].passes[0]([x], 0, [])) for n, x in ranks.items()}
-                ranks = {}
-            panel = panel.withColumns(added) if added else panel
-            panel = _rank_together(panel, ranks) if ranks else panel
+        for level in range(1, max([0, *self.values, *self.ranks]) + 1):
+            ranks = self.ranks.get(level, {})
+            few = {n: rank_of(x) for n, x in ranks.items()} if len(ranks) <= FEW_RANKS else {}
+            for added in (self.inputs.get(level, {}), self.windows.get(level, {}), self.values.get(level, {}), few):
+                panel = panel.withColumns(added) if added else panel
+            panel = _rank_together(panel, ranks) if ranks and not few else panel
         return panel
 
 
