@@ -1,6 +1,6 @@
 """Mixing to target weights: soft domain membership and document rates by projected-gradient least squares.
 
-A naive Bayes classifier, counted over all labelled documents in hashed word buckets, gives each document a
+A naive Bayes classifier, counted over at most ``max_rows`` labelled documents in hashed word buckets, gives each document a
 posterior over domains from its mean log-likelihood (sharpened by ``sharp`` words, so membership stays soft).
 Rates r >= 0 then minimise the squared distance between the expected domain totals sum_i r_i m_i p_i (m: share of
 all tokens, p: posterior) and the targets, starting from r = 1. A step moves every rate against the gradient
@@ -32,9 +32,14 @@ def _words_of(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
         yield (word_hashes(text) % BUCKETS).astype(np.int64)
 
 
+def sample(labels: DataFrame, max_rows: int) -> DataFrame:
+    """At most max_rows labelled ids, those of the smallest hashes: few enough to be broadcast, so no text moves."""
+    return labels.select("doc_id", "domain").orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(max_rows)
+
+
 def bucket_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(domain, bucket, n) over every labelled document: at most domains * BUCKETS rows."""
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "domain"), "doc_id").select("domain", "text")
+    """(domain, bucket, n) over the documents labelled: at most domains * BUCKETS rows."""
+    labelled = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("domain", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -51,16 +56,22 @@ def bucket_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "domain string, bucket long, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n"))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sharp: float) -> DataFrame:
-    """docs with tokens (long) and p (array of posteriors in the order of domains)."""
+def fit(docs: DataFrame, labels: DataFrame, domains: list[str], max_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihood of each bucket by domain, log prior)."""
     counts = np.ones((len(domains), BUCKETS))
-    rows = bucket_counts(docs, labels).filter(F.col("domain").isin(domains)).toArrow()
+    known = labels.filter(F.col("domain").isin(domains))
+    rows = bucket_counts(docs, sample(known, max_rows)).toArrow()
     for d, b, n in zip(*(c.to_pylist() for c in rows.columns)):
         counts[domains.index(d), b] += n
-    seen = {r.domain: r.n for r in labels.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    seen = {r.domain: r.n for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     prior = np.log(np.array([seen.get(d, 0) + 1.0 for d in domains]))
     logs = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((logs, prior - np.logaddexp.reduce(prior)))
+    return logs, prior - np.logaddexp.reduce(prior)
+
+
+def with_posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], sharp: float) -> DataFrame:
+    """docs with tokens (long) and p (array of posteriors in the order of domains)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fields]
     names = [f.name for f in fields] + ["tokens", "p"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", tokens long, p array<double>"
@@ -97,6 +108,7 @@ def mix(
     sharp: float = 20.0,
     steps: int = 30,
     tolerance: float = 1e-6,
+    max_rows: int = 16_000,
 ) -> DataFrame:
     """Rows of docs with tokens, p and rate: expected domain totals of tokens * rate * p match the targets.
 
@@ -108,7 +120,10 @@ def mix(
     domains = sorted(d for d in targets if d in present)
     if not domains:
         return docs.withColumns({"tokens": F.lit(0).cast("long"), "p": F.array().cast("array<double>"), "rate": F.lit(1.0)})
-    rows = materialize(posteriors(docs, labels, domains, sharp))
+    model = fit(docs, labels, domains, max_rows)
+    scored = with_posteriors(docs, model, sharp)
+    # The steps read tokens and posteriors only; texts are scored once more for the result rather than written.
+    rows = materialize(scored.select("tokens", "p"))
     k = len(domains)
     want = np.array([targets[d] for d in domains])
     want = want / want.sum()
@@ -129,4 +144,4 @@ def mix(
             break
         g = np.array([x or 0.0 for x in gram]).reshape(k, k) / tokens
         history.append(np.linalg.solve(g + 1e-9 * np.eye(k), residual))
-    return rows.withColumn("rate", _rate(history))
+    return scored.withColumn("rate", _rate(history))
