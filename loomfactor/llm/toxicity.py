@@ -1,7 +1,9 @@
 """Toxicity by two class-conditional Kneser-Ney bigram models with a shared backoff.
 
-Discounted bigram counts back off to continuation counts of single words; discounts and backoff weights come
-from counts pooled over both classes, so a rare expression is judged by what both know of it. A text's evidence is the difference of the two log-likelihoods
+Discounted bigram counts back off to continuation counts of single words, the number of distinct words (or the
+start of a text) that stand before each in either class; discounts and backoff weights too come from counts pooled
+over both classes, so a rare expression is judged by what both know of it. How a single word's mass is dealt to the
+classes is told by counts of documents: numbers of distinct words before it saturate in the larger class first. A text's evidence is the difference of the two log-likelihoods
 over its number of words (plus a constant, so that a few words prove little), and a logistic curve, fitted
 on texts held out from the counts, turns it into a score from 0 to 1.
 
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfactor.llm.common import small_batches
+from loomfactor.llm.common import materialize, small_batches
 
 DISCOUNT = 0.75
 #: Standard deviations by which a class's count must differ from its expected share to count at all.
@@ -68,8 +70,9 @@ class KneserNey:
     count makes expected, by NOISE standard deviations, and SHRINK more documents stand for the level below.
     """
 
-    def __init__(self, h: np.ndarray, w: np.ndarray, counts: np.ndarray):
-        """counts: one row for each (h, w), the documents of class 0 and of class 1."""
+    def __init__(self, h: np.ndarray, w: np.ndarray, counts: np.ndarray, joint: np.ndarray | None = None):
+        """counts: one row for each (h, w), the documents of class 0 and of class 1. joint: in the rows of single
+        words, the number of distinct words before each (without it, documents stand for them)."""
         counts = counts.astype(float)
         pooled = counts.sum(axis=1)
         alone, any_w = h == _ALONE, w == _ALONE
@@ -77,7 +80,8 @@ class KneserNey:
         order = np.argsort(w[alone])
         self.words, single = w[alone][order], counts[alone][order]
         rates = _rates(single, 1.0)
-        n, total = single.sum(axis=1), max(single.sum(), 1.0)
+        n = single.sum(axis=1) if joint is None else joint[alone][order].astype(float)
+        total = max(n.sum(), 1.0)
         uniform = DISCOUNT * len(self.words) / total / (len(self.words) + 1)
         self.unigram = np.maximum(n - DISCOUNT, 0)[:, None] / total * rates + uniform
         order = np.argsort(h[any_w])
@@ -197,6 +201,12 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([group, *cols], ["part", "h", "w"])
 
 
+def continuations(pairs: DataFrame) -> DataFrame:
+    """(h, w, n0 to n3) -> w and the number of distinct words before it in fold 0, in fold 1 and in both."""
+    folds = ["n0 + n1", "n2 + n3", "n0 + n1 + n2 + n3"]
+    return pairs.groupBy("w").agg(*[F.count_if(F.expr(x) > 0).cast("int").alias(f"c{i}") for i, x in enumerate(folds)])
+
+
 class Model:
     def __init__(self, kn: KneserNey, slope: float, intercept: float):
         self.kn, self.slope, self.intercept = kn, slope, intercept
@@ -209,21 +219,27 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int = 6_000_000) -> Model:
     """Count on the executors, bring back at most the bigrams of the bounded sample, calibrate across folds."""
     rows = sample(docs, labels, max_rows, max_chars)
-    counted = (
+    counted = materialize(
         rows.mapInArrow(_bigrams, "part int, h long, w long")
         .groupBy("h", "w")
         .agg(*[F.count_if(F.col("part") == k).cast("int").alias(f"n{k}") for k in range(4)])
-        .filter((F.expr("n0 + n1 + n2 + n3") > 1) | F.lit(int(_ALONE.view(np.int64))).isin(F.col("h"), F.col("w")))
-        .toArrow()
     )
-    h, w, *parts = (c.to_numpy() for c in counted.columns)
+    any_w = F.lit(int(_ALONE.view(np.int64)))
+    known = counted.filter((F.expr("n0 + n1 + n2 + n3") > 1) | any_w.isin(F.col("h"), F.col("w"))).toArrow()
+    before = continuations(counted.filter(~any_w.isin(F.col("h"), F.col("w")))).toArrow()
+    h, w, *parts = (c.to_numpy() for c in known.columns)
     h, w, n = h.view(np.uint64), w.view(np.uint64), np.stack(parts, axis=1)
+    word, *parts = (c.to_numpy() for c in before.columns)
+    order = np.argsort(word.view(np.uint64))
+    word, contexts = word.view(np.uint64)[order], np.stack(parts, axis=1)[order]
+    at, met = _find(word, w)
+    joint = np.where(((h == _ALONE) & met)[:, None], contexts[at], 0) if len(word) else np.zeros((len(w), 3))
 
-    def model(counts: np.ndarray) -> KneserNey:
+    def model(counts: np.ndarray, fold: int) -> KneserNey:
         seen = counts.sum(axis=1) > 0
-        return KneserNey(h[seen], w[seen], counts[seen])
+        return KneserNey(h[seen], w[seen], counts[seen], joint[seen, fold])
 
-    halves = docs.sparkSession.sparkContext.broadcast([model(n[:, 2:]), model(n[:, :2])])
+    halves = docs.sparkSession.sparkContext.broadcast([model(n[:, 2:], 1), model(n[:, :2], 0)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -235,8 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int
     halves.unpersist()
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
-        return Model(model(n[:, :2] * 0), 0.0, float(np.log(share / (1 - share))))
-    return Model(model(n[:, :2] + n[:, 2:]), *fit_logistic(x, y))
+        return Model(KneserNey(h[:0], w[:0], n[:0, :2]), 0.0, float(np.log(share / (1 - share))))
+    return Model(model(n[:, :2] + n[:, 2:], 2), *fit_logistic(x, y))
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:

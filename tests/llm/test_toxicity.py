@@ -93,3 +93,19 @@ def test_sample_keeps_its_bounds(spark):
     got = toxicity.sample(docs, labels, 100, 50_000).toPandas()
     sizes = got.assign(n=got.text.str.len()).groupby("label").n.agg(["count", "sum"])
     assert (sizes["count"] <= 100).all() and (sizes["sum"] <= 50_000).all()
+
+
+def test_lower_order_counts_the_distinct_words_before(spark):
+    """Hand-counted: 'francisco' is in ten texts but only behind 'san', 'rose' in three behind three words."""
+    said = ["in san francisco now"] * 10 + ["a rose", "the rose", "red rose"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(said * 4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(said) * 4)], "doc_id long, toxic int")
+    kn = toxicity.fit(docs, labels).kn
+    low = {w: kn.unigram[toxicity._find(kn.words, toxicity.word_hashes(w))[0][0]] for w in ("francisco", "rose", "san")}
+    assert (low["rose"] > low["francisco"]).all() and low["francisco"] == pytest.approx(low["san"])
+    # Distinct pairs: four of the first text with the start, and (start, a), (start, the), (start, red), three before rose.
+    total, types, d = 10, 8, toxicity.DISCOUNT
+    rest = d * types / total / (types + 1)
+    assert low["francisco"] == pytest.approx((1 - d) / total + rest) and low["rose"] == pytest.approx((3 - d) / total + rest)
+    pairs = spark.createDataFrame([(1, 9, 2, 1, 0, 0), (2, 9, 0, 3, 1, 0), (3, 9, 0, 0, 0, 1)], "h long, w long, n0 int, n1 int, n2 int, n3 int")
+    assert tuple(toxicity.continuations(pairs).first()) == (9, 2, 2, 3)
