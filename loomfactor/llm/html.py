@@ -27,13 +27,13 @@ from loomfactor.llm.common import small_batches
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
 )
-_HIDDEN = re.compile(
-    r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I
-)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title svg math iframe object select textarea datalist".split())
+UNSEEN = frozenset("head script style template noscript title svg annotation annotation-xml iframe object select datalist".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+#: What a head may hold; any other start tag ends it, as does text.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Blocks set apart by an empty line, and other blocks.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
 BLOCK = APART | frozenset(
@@ -65,6 +65,23 @@ class Node:
         self.tag, self.children, self.hidden = tag, [], hidden
 
 
+def _hidden(rest: str) -> bool:
+    """Do these attributes hide an element: by name, or by the declaration of its style that prevails."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(rest):
+        value = value[1:-1] if value[:1] in "\"'" else value
+        found.setdefault(name.lower(), entities.unescape(value).strip().lower())
+    if "hidden" in found or found.get("aria-hidden") == "true":
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for part in re.sub(r"(?s)/\*.*?\*/", " ", found.get("style", "")).split(";"):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        if bool(mark) >= style.get(name.strip(), (False, ""))[0]:
+            style[name.strip()] = bool(mark), value.strip()
+    return style.get("display", (0, ""))[1] == "none" or style.get("visibility", (0, ""))[1] in ("hidden", "collapse")
+
+
 def parse(page: str) -> Node:
     """The tree of a page: nodes and strings."""
     root = Node("")
@@ -74,6 +91,8 @@ def parse(page: str) -> Node:
         m = _TAG.search(page, at)
         stop = m.start() if m else end
         if stop > at:
+            if open_[-1].tag == "head" and page[at:stop].strip(" \t\r\n\f"):
+                open_.pop()
             open_[-1].children.append(entities.unescape(page[at:stop]) if "&" in page[at:stop] else page[at:stop])
         if not m:
             break
@@ -89,11 +108,15 @@ def parse(page: str) -> Node:
                 if open_[i].tag in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                     break
             continue
+        if open_[-1].tag == "head" and tag not in HEAD:
+            open_.pop()
         _imply(open_, tag)
-        node = Node(tag, tag in UNSEEN or bool(rest and _HIDDEN.search(rest)))
+        node = Node(tag, tag in UNSEEN or bool(rest and _hidden(rest)))
         open_[-1].children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if tag == "textarea":
+                node.children.append(entities.unescape(page[at : close.start() if close else end]))
             at = close.end() if close else end
         elif tag not in VOID and not rest.endswith("/"):
             open_.append(node)
@@ -227,9 +250,18 @@ def _rows(node: Node) -> Iterator[Node]:
                 yield x
 
 
+def _stray(node: Node) -> Iterator[str]:
+    """Strings that lie in a table or its sections, outside rows."""
+    for x in node.children:
+        if isinstance(x, str):
+            yield x
+        elif x.tag in ("thead", "tbody", "tfoot") and not x.hidden:
+            yield from _stray(x)
+
+
 def _table(node: Node, depth: int) -> list[str]:
     """Captions and stray content first, then rows with their cells padded to the width of the column."""
-    out, grid = _lines([x for x in node.children if isinstance(x, str)], False, depth), []
+    out, grid = _lines(list(_stray(node)), False, depth), []
     for row in _rows(node):
         cells = [x for x in row.children if isinstance(x, Node) and x.tag in ("td", "th") and not x.hidden]
         if row.tag != "tr":

@@ -50,3 +50,20 @@ def test_whole_table(spark):
     odd = spark.createDataFrame([(None, "<p>a", "t"), (1, None, "t"), (1, None, "t")], "page_id long, html string, text string")
     assert sorted((repr(r.page_id), r.text) for r in html.extract(odd).collect()) == [("1", ""), ("1", ""), ("None", "a")]
     assert html.extract(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><p>all text", "all text"),
+        ("<head><meta charset=x>bare text<p>more", "bare text\n\nmore"),
+        ("<head><style>a{}</style> <script>x</script></head>b", "b"),
+        ("<p style='overflow: hidden !important'>a</p><p title='a hidden gem'>b<p class='x hidden y' data-x='display:none'>c", "a\n\nb\n\nc"),
+        ("<p style='display:none; display:block'>a<p style='display: none !important; display:block'>no", "a"),
+        ("<p STYLE='color:red;VISIBILITY : Hidden'>no<p HIDDEN=''>no<p id=a hidden>no<p>yes", "yes"),
+        ("a <math><mi>x</mi><annotation>no</annotation></math> <textarea>b &amp; <i></textarea> c", "a x b & <i> c"),
+        ("<table><tbody>stray<tr><td>a</table>", "stray\na"),
+    ],
+)
+def test_no_visible_text_is_lost(page, text):
+    assert html.render(page) == text
