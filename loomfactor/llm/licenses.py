@@ -1,9 +1,9 @@
 """License scans by a positional rare-token index over license notices, in DataFrame functions only.
 
 The index holds, for each word of the notices below that is rare among them, its postings (notice, position).
-A file's highest-IDF notice words are looked up; a posting places its notice at (word's position in the file -
-position in the notice), and postings that agree on that place are intersected: enough of the notice's words
-must stand where it says, and the notice's key phrase must stand in the file. Beside these, a fixed list of
+A notice can only be found in a file that holds its key phrase; for these notices all index words of the file are
+looked up, however many. A posting places its notice at (word's position in the file - position in the notice), and
+postings that agree on that place are intersected: enough of the notice's words must stand where it says. Beside these, a fixed list of
 phrases is counted wherever its words stand consecutively.
 
 IDF is over the notices, so the index is fixed and small and is broadcast; files are read in one pass.
@@ -83,11 +83,10 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def notices_found(norm: Column, notices=NOTICES, rare: int = 8, share: float = 0.6) -> Column:
+def notices_found(norm: Column, notices=NOTICES, share: float = 0.6) -> Column:
     """Array of (label, score): for each notice the largest share of its words that stand in place, if at least
-    ``share``, its highest-IDF postings agree on the place, and its key phrase stands in the text."""
+    ``share``, one of its index words stands in place, and its key phrase stands in the text."""
     words = index(notices)
-    idf = F.create_map(*[F.lit(x) for w, (v, _) in words.items() for x in (w, v)])
     postings = F.create_map(
         *[
             x
@@ -96,41 +95,35 @@ def notices_found(norm: Column, notices=NOTICES, rare: int = 8, share: float = 0
         ]
     )
 
-    def placed(all_words: Column) -> Column:
-        found = F.transform(all_words, lambda w, i: F.struct(F.try_element_at(idf, w).alias("idf"), w.alias("w"), i.alias("i")))
-        return F.filter(found, lambda s: s["idf"].isNotNull())
-
-    def top(found: Column) -> Column:
-        """The file's highest-IDF notice words."""
-        ranked = F.array_sort(F.array_distinct(F.transform(found, lambda s: F.struct((-s["idf"]).alias("v"), s["w"].alias("w")))))
-        return F.transform(F.slice(ranked, 1, rare), lambda s: s["w"])
-
-    def starts(found: Column, names: Column) -> Column:
-        """Where the postings of all places of these words put a notice."""
-        kept = F.filter(found, lambda s: F.array_contains(names, s["w"]))
-        return F.array_distinct(
-            F.flatten(
-                F.transform(
-                    kept,
-                    lambda s: F.transform(
-                        F.try_element_at(postings, s["w"]), lambda q: F.struct(q["k"].alias("k"), (s["i"] - q["p"]).alias("at"))
-                    ),
-                )
-            )
+    def starts(all_words: Column, held: Column) -> Column:
+        """place * number of notices + notice, for every posting of every word of the file, of the notices held."""
+        found = F.transform(all_words, lambda w, i: F.struct(F.try_element_at(postings, w).alias("q"), i.alias("i")))
+        found = F.filter(found, lambda s: s["q"].isNotNull())
+        kept = F.transform(
+            found,
+            lambda s: F.transform(
+                F.filter(s["q"], lambda q: F.get(held, q["k"])),
+                lambda q: (s["i"] - q["p"]).cast("long") * len(notices) + q["k"],
+            ),
         )
+        # Longs, as distinct structs are found by comparing all with all.
+        return F.array_distinct(F.flatten(kept))
+
+    def place_of(v: Column) -> Column:
+        k = F.pmod(v, F.lit(len(notices)).cast("long"))
+        return F.struct(k.alias("k"), ((v - k) / len(notices)).cast("int").alias("at"))
 
     def score_at(all_words: Column, s: Column) -> Column:
         out = F.struct(F.lit("").alias("label"), F.lit(0.0).alias("score"))
-        for k, (label, text, key) in reversed(list(enumerate(notices))):
+        for k, (label, text, _) in reversed(list(enumerate(notices))):
             want = text.split()
             hit = sum((F.coalesce(F.get(all_words, s["at"] + j) == w, F.lit(False)).cast("int") for j, w in enumerate(want)), F.lit(0))
-            held = F.contains(norm, F.lit(f" {key} "))
-            found = F.struct(F.lit(label).alias("label"), F.when(held, hit / F.lit(float(len(want)))).otherwise(0.0).alias("score"))
+            found = F.struct(F.lit(label).alias("label"), (hit / F.lit(float(len(want)))).alias("score"))
             out = F.when(s["k"] == k, found).otherwise(out)
         return out
 
     def found(w: Column) -> Column:
-        at = _let(placed(w), lambda p: _let(top(p), lambda names: starts(p, names)))
+        at = F.transform(_let(F.array(*keys), lambda held: starts(w, held)), place_of)
         return F.filter(F.transform(at, lambda s: score_at(w, s)), lambda s: s["score"] >= share)
 
     none = F.array().cast("array<struct<label:string,score:double>>")

@@ -50,3 +50,13 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, labels string, norm int")
     check(df)
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_notices_among_many_other_notice_words(spark):
+    """Words that other notices hold too do not keep a notice from being looked up."""
+    others = "a file holds 1 or 3 and any are attribution binary charge copy creative dedicated domain forms "
+    said = ["Released under the MIT License", "subject to the terms of the Mozilla Public License v 2 0", "dedicated to the public domain under CC0 1 0 universal"]
+    texts = [others * n + x for n in (1, 2000) for x in said] + [others + " . ".join(said), others + "mit license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.labels for r in licenses.scan(df).orderBy("doc_id").collect()]
+    assert got == ["mit", "mpl-2.0", "cc0"] * 2 + ["cc0,mit,mpl-2.0", ""]
