@@ -6,6 +6,9 @@ Rates r >= 0 then minimise the squared distance between the expected domain tota
 all tokens, p: posterior) and the targets, starting from r = 1. A step moves every rate against the gradient
 p_i . (G^-1 residual), G the Gram matrix of the posteriors, and projects it on r >= 0. As a rate is a function of
 its document's posterior and the residuals so far, a step is one aggregation that returns one number a domain.
+If the residual is not below the tolerance after ``steps`` steps, proximal Newton steps on the dual go on from
+there, which have the same form, until it is or no longer falls: targets that no rates can meet are met as nearly
+as possible, with a warning that gives the residual left.
 
 Defined results: a null or empty text has no tokens and the prior as its posterior; ids labelled more than once
 count each label; domains without labelled rows get no target; with no labels at all every rate is 1; repeated
@@ -14,6 +17,7 @@ rows each return a row; an empty table returns no rows; other columns are not re
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +105,61 @@ def _rate(history: list[np.ndarray]):
     return F.aggregate(steps, rate, lambda r, y: F.greatest(F.lit(0.0), r - dot(y)))
 
 
+def finish(rows: DataFrame, want: np.ndarray, tolerance: float, rounds: int = 30) -> tuple[list[np.ndarray], np.ndarray]:
+    """(steps, residual) that bring rows (tokens, p, rate) to the least squared residual from their present rates.
+
+    Each step y makes a rate max(0, rate - p . y), where y minimises a convex function whose gradient is want -
+    totals + eps y. Newton's method with halved steps finds it, one aggregation for each y that is tried.
+    """
+    k = len(want)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    all_tokens = float(rows.agg(F.sum("tokens")).first()[0] or 0)
+    if not all_tokens:
+        return [], np.zeros(k)
+
+    def moved(rate, y: np.ndarray):
+        return F.greatest(F.lit(0.0), rate - sum((F.col("p")[i] * float(v) for i, v in enumerate(y)), F.lit(0.0)))
+
+    def at(rate, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(half the squared rates, totals, Gram matrix of the rows with a rate above zero) after y."""
+        read = rows.select("tokens", "p", moved(rate, y).alias("r"))
+        t = F.col("tokens") / all_tokens
+        sums = [F.sum(t * F.col("r") * F.col("p")[i]) for i in range(k)]
+        gram = [F.sum(F.when(F.col("r") > 0, t * F.col("p")[i] * F.col("p")[j]).otherwise(0.0)) for i, j in pairs]
+        half, *out = read.agg(F.sum(t * F.col("r") * F.col("r")) / 2, *sums, *gram).first()
+        h = np.zeros((k, k))
+        for (i, j), v in zip(pairs, out[k:]):
+            h[i, j] = h[j, i] = v
+        return half, np.array(out[:k]), h
+
+    rate, history, before = F.col("rate"), [], None
+    half, got, h = at(rate, np.zeros(k))
+    eps = 1e-6 * max(np.trace(h) / k, 1e-3)
+    for _ in range(rounds):
+        residual = got - want
+        still = before is not None and np.abs(residual - before).max() < tolerance
+        if still or np.abs(residual).max() < tolerance:
+            return history, residual
+        before, y = residual, np.zeros(k)
+        for _ in range(60):
+            g = want - got + eps * y
+            if np.abs(g).max() < tolerance / 10:
+                break
+            step, value = -np.linalg.solve(h + eps * np.eye(k), g), half + y @ want + eps * (y @ y) / 2
+            size = 1.0
+            while True:
+                tried = y + size * step
+                half, got, h = at(rate, tried)
+                now = half + tried @ want + eps * (tried @ tried) / 2
+                if now <= value + 1e-4 * size * (g @ step) + 1e-12 * (1 + abs(value)) or size < 1e-6:
+                    break
+                size /= 2
+            y = tried
+        history.append(y)
+        rate = moved(rate, y)
+    raise RuntimeError(f"rates did not settle in {rounds} rounds; residual {got - want}")
+
+
 def mix(
     docs: DataFrame,
     labels: DataFrame,
@@ -135,13 +194,18 @@ def mix(
 
     gram = rows.agg(*[F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]).first()
     history: list[np.ndarray] = []
+    settled = False
     for _ in range(steps):
         got, tokens = totals(_rate(history))
-        if not tokens:
-            break
-        residual = got / tokens - want
-        if np.abs(residual).max() < tolerance:
+        residual = got / tokens - want if tokens else np.zeros(k)
+        settled = np.abs(residual).max() < tolerance
+        if settled:
             break
         g = np.array([x or 0.0 for x in gram]).reshape(k, k) / tokens
         history.append(np.linalg.solve(g + 1e-9 * np.eye(k), residual))
+    if not settled:
+        more, residual = finish(materialize(rows.withColumn("rate", _rate(history))), want, tolerance)
+        history += more
+        if np.abs(residual).max() >= tolerance:
+            warnings.warn(f"no rates meet the targets of {domains}; residual {residual.tolist()}", stacklevel=2)
     return scored.withColumn("rate", _rate(history))

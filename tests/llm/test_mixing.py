@@ -49,3 +49,23 @@ def test_posteriors_follow_the_words(spark):
     assert np.allclose(totals(rows), [0.8, 0.2], atol=1e-4) and by[59].rate > 1 > by[58].rate
     assert {r.rate for r in mixing.mix(df, labels.limit(0), {"ab": 1.0}).collect()} == {1.0}
     assert mixing.mix(df.limit(0), labels, {"ab": 1.0}).count() == 0
+
+
+def test_four_overlapping_domains_meet_their_targets(spark):
+    rng = np.random.default_rng(5)
+    share = rng.dirichlet(np.ones(4), 400)
+    docs = [(i, " ".join(f"w{j}" for j in rng.choice(4, 40, p=q))) for i, q in enumerate(share)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, f"d{q.argmax()}") for i, q in enumerate(share)], "doc_id long, domain string")
+    want = np.array([0.4, 0.3, 0.2, 0.1])
+    rows = mixing.mix(df, labels, {f"d{i}": w for i, w in enumerate(want)}, sharp=4.0).collect()
+    m, p = np.array([r.tokens for r in rows], float), np.array([r.p for r in rows])
+    assert np.abs((m / m.sum() * brute_rates(rows, want, 30)) @ p - want).max() > 1e-3
+    assert np.abs(totals(rows) - want).max() < 2e-6 and min(r.rate for r in rows) >= 0
+
+
+def test_targets_out_of_reach_are_met_as_nearly_as_possible(spark):
+    rows = spark.createDataFrame([(10, [0.6, 0.4], 1.0), (10, [0.4, 0.6], 1.0)], "tokens long, p array<double>, rate double")
+    steps, residual = mixing.finish(rows, np.array([0.9, 0.1]), 1e-6)
+    best = (0.9 * 0.6 + 0.1 * 0.4) / (0.6**2 + 0.4**2)
+    assert steps and np.allclose(residual, [0.6 * best - 0.9, 0.4 * best - 0.1], atol=1e-5)
