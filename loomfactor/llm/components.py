@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfactor.llm.common import materialize
+from loomfactor.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     )
     seen = None
     for _ in range(max_rounds):
-        edges = materialize(_star(_star(edges, True), False))
+        before, edges = edges, materialize(_star(_star(edges, True), False))
+        discard(before)
         # The edge set stands still once every node hangs from its root; the sum of hashes tells.
         now = edges.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")

@@ -5,7 +5,8 @@ repeated window and go no further. The others are grouped by anchor and content:
 stretch of symbols with its occurrences, and a class is the contents that share an anchor. Only contents with
 company in their class need to be compared symbol by symbol; their symbols are read from one text that holds
 them. All steps are equi-joins and partial aggregates on hashes, so a passage that a third of all texts share
-is not gathered anywhere; a class of more than ``tile`` contents is compared tile against tile.
+is not gathered anywhere; the contents of a class of more than ``tile`` contents are never brought together either:
+each of their windows becomes a row, and equal windows meet by hash.
 
 Texts are told apart by a 64-bit hash, and a repeated row is simply one more place.
 """
@@ -24,6 +25,8 @@ from loomfactor.llm.common import id_or_last, materialize, small_batches
 
 #: Turns a text into its symbols.
 Symbols = Callable[[str], np.ndarray]
+#: Parts among which the segments of a known common anchor are dealt.
+SALTS = 64
 
 
 def keyed(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -35,20 +38,37 @@ def keyed(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     )
 
 
-def segment_table(docs: DataFrame, symbols: Symbols, window: int, gram: int) -> DataFrame:
-    """(c, f, tk, oid, start, n, off): class, content, text, document, first window, windows, offset of the anchor."""
-    names = ["c", "f", "tk", "oid", "start", "n"]
+def segment_table(docs: DataFrame, symbols: Symbols, window: int, gram: int, common: np.ndarray | None = None) -> DataFrame:
+    """(c, f, tk, oid, start, n, salt): class, content, text, document, first window, windows; salt deals the segments
+    of the common anchors, is 0 for all others and NULL if no common anchors are given."""
+    names = ["c", "f", "tk", "oid", "start", "n", "salt"]
+    shared = docs.sparkSession.sparkContext.broadcast(common) if common is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value if shared is not None else None
         for batch in small_batches(batches, "text", 128):
             found = [anchors.segments(symbols(t), window, gram) for t in batch.column(2).to_pylist()]
             sizes = [len(x[0]) for x in found]
             c, start, n, _, f = (np.concatenate(x) for x in zip(*found))
             oid, tk = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1))
             cols = [c.view(np.int64), f.view(np.int64), tk, oid, start.astype(np.int32), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
+            if known is None:
+                salt = pa.nulls(len(c), pa.int32())
+            else:
+                dealt = 1 + (tk + start + oid).view(np.uint64) % np.uint64(SALTS)
+                salt = pa.array(np.where(np.isin(cols[0], known), dealt, 0).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), salt], names)
 
-    return docs.select("oid", "tk", "text").mapInArrow(run, "c long, f long, tk long, oid long, start int, n int")
+    return docs.select("oid", "tk", "text").mapInArrow(run, "c long, f long, tk long, oid long, start int, n int, salt int")
+
+
+def common_anchors(docs: DataFrame, symbols: Symbols, window: int, gram: int, rows: int = 1000, least: int = 16) -> np.ndarray:
+    """The most frequent anchors of ``rows`` documents (those of the smallest hashes): surely repeated, and few. They only
+    decide how segments are dealt to tasks, not what is found."""
+    some = docs.orderBy(F.xxhash64("tk", "oid"), "tk", "oid").limit(rows).repartition(16)
+    counts = segment_table(some, symbols, window, gram).groupBy("c").agg(F.count("*").alias("n"))
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "c").limit(2048)
+    return np.sort(np.array([r.c for r in top.collect()], np.int64))
 
 
 def repeated(segs: DataFrame) -> DataFrame:
@@ -60,8 +80,7 @@ def repeated(segs: DataFrame) -> DataFrame:
 
 def repeated_by_sort(segs: DataFrame) -> DataFrame:
     """As repeated(), in one shuffle and without writing segs: in the order of the anchor, a segment is repeated if
-    its neighbour has the same anchor. A task holds one batch and one row, however large a class is, but the rows of
-    one class meet in one task; for texts of which most segments are kept anyway this moves far fewer bytes."""
+    its neighbour has the same anchor. Segments of a common anchor are known to be repeated; they are dealt by their salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, of which the next batch decides, and whether it is known to be repeated
@@ -71,15 +90,15 @@ def repeated_by_sort(segs: DataFrame) -> DataFrame:
                 continue
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            c = batch.column(0).to_numpy()
+            c, common = batch.column(0).to_numpy(), batch.column(6).fill_null(0).to_numpy() > 0
             same = c[1:] == c[:-1]
-            hit = np.concatenate((same, [False])) | np.concatenate(([held is not None and known], same))
+            hit = common | np.concatenate((same, [False])) | np.concatenate(([held is not None and known], same))
             held, known = batch.slice(batch.num_rows - 1, 1), bool(hit[-1])
             yield batch.filter(pa.array(np.append(hit[:-1], False)))
         if held is not None and known:
             yield held
 
-    return segs.repartition("c").sortWithinPartitions("c").mapInArrow(run, segs.schema)
+    return segs.repartition("c", "salt").sortWithinPartitions("c").mapInArrow(run, segs.schema)
 
 
 def contents(dups: DataFrame) -> DataFrame:
@@ -97,13 +116,19 @@ def with_symbols(docs: DataFrame, stuff: DataFrame, symbols: Symbols, window: in
     names = ["c", "f", "k", "oid", "n", "symbols"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()  # rows that repeat id and text hold the same contents
         for batch in small_batches(batches, "text", 64):
+            fresh = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fresh.append(key not in done)
+                done.add(key)
+            batch = batch.filter(pa.array(fresh))
             oid = batch.column(0).to_numpy()
-            lengths = batch.column(2).value_lengths().to_numpy()
-            flat = batch.column(2).flatten()
+            lengths = batch.column(3).value_lengths().to_numpy()
+            flat = batch.column(3).flatten()
             c, f, k, start, n = (flat.field(i).to_numpy() for i in range(5))
             out, at = [], 0
-            for text, size in zip(batch.column(1).to_pylist(), lengths.tolist()):
+            for text, size in zip(batch.column(2).to_pylist(), lengths.tolist()):
                 whole = symbols(text)
                 ends = start[at : at + size] + n[at : at + size] + window - 1
                 out += [whole[s:e].tobytes() for s, e in zip(start[at : at + size].tolist(), ends.tolist())]
@@ -111,25 +136,45 @@ def with_symbols(docs: DataFrame, stuff: DataFrame, symbols: Symbols, window: in
             cols = [c, f, k, np.repeat(oid, lengths), n]
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(out, pa.binary())], names)
 
-    found = docs.join(lists.hint("shuffle_hash"), ["tk", "oid"]).select("oid", "text", "items")
+    found = docs.join(lists.hint("shuffle_hash"), ["tk", "oid"]).select("oid", "tk", "text", "items")
     return found.mapInArrow(run, "c long, f long, k long, oid long, n int, symbols binary")
 
 
-def grouped(rows: DataFrame, groups: int, tile: int) -> DataFrame:
-    """Adds (g, i, j): the group in which a content meets its class. A class of more than tile contents is cut
-    into tiles, and every pair of tiles is a group of its own."""
-    k = F.ceil(F.col("k") / tile).cast("int")
-    rows = rows.withColumn("t", k).withColumn("s", F.pmod(F.xxhash64("f"), F.col("t")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    return rows.select(
-        F.when(F.col("t") > 1, F.col("c")).otherwise(F.pmod("c", F.lit(groups))).alias("g"),
-        F.least("s", "o").alias("i"),
-        F.greatest("s", "o").alias("j"),
-        *[x for x in rows.columns if x not in ("t", "s", "o")],
-    )
+def largest_class(stuff: DataFrame) -> int:
+    return stuff.groupBy("c").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+
+
+def window_rows(rows: DataFrame, decode: Callable[[bytes], np.ndarray], window: int) -> DataFrame:
+    """(c, f, oid, j, h1, h2): a row for each window of contents, with two hashes of its symbols."""
+    names = ["c", "f", "oid", "j", "h1", "h2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "symbols", 256):
+            if not batch.num_rows:
+                continue
+            n = batch.column(3).to_numpy()
+            h1, h2 = [], []
+            for raw, size in zip(batch.column(4).to_pylist(), n.tolist()):
+                symbols = decode(raw)
+                h1.append(anchors.Rolling(symbols).hashes(np.arange(size), window))
+                h2.append(anchors.Rolling(anchors.mix(symbols)).hashes(np.arange(size), window))
+            row, j = spread(n)
+            c, f, oid = (batch.column(i).to_numpy()[row] for i in range(3))
+            cols = [c, f, oid, j.astype(np.int32), np.concatenate(h1).view(np.int64), np.concatenate(h2).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names)
+
+    return rows.select("c", "f", "oid", "n", "symbols").mapInArrow(run, "c long, f long, oid long, j int, h1 long, h2 long")
+
+
+def joined_runs(marks: DataFrame) -> DataFrame:
+    """(c, f, j) of marked windows -> (c, f, a, b), runs of consecutive ones; a content has few windows."""
+    lists = marks.groupBy("c", "f").agg(F.array_sort(F.collect_set("j")).alias("j"))
+    # In a run of consecutive numbers, number less place is the same.
+    tagged = lists.select("c", "f", F.posexplode("j").alias("p", "j")).groupBy("c", "f", (F.col("j") - F.col("p")).alias("r"))
+    return tagged.agg(F.min("j").alias("a"), F.max("j").alias("b")).select("c", "f", "a", "b")
 
 
-def spread(parts: list[pa.Array], lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner row, window number) of every window of contents that hold lengths windows each."""
     rows = np.repeat(np.arange(len(lengths)), lengths)
     first = np.repeat(np.cumsum(lengths) - lengths, lengths)

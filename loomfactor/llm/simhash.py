@@ -8,6 +8,11 @@ radius. Trees are built in the task that holds the shard (shipped by shuffle: a
 fingerprints would have no size bound). A shard of more than ``tile`` fingerprints is cut into tiles, and
 each pair of tiles is one tree and one set of searches.
 
+``representatives`` keeps one document of each group of near copies by similarity instead: fingerprints of several
+words of 64 bits over distinct shingles, linked within the number of bits at which two texts of that Jaccard similarity
+differ, one standard deviation allowed. That radius is too wide for the pigeonhole index; its shards are keyed by
+samples of bits, so many that a pair at the threshold shares one with probability 0.95, and more similar pairs almost surely.
+
 Defined results: a null or empty text has fingerprint zero and links like any other; repeated rows each
 return their row; a null doc_id keeps its row and never names a component unless all members lack an id;
 an empty table returns no rows; columns other than doc_id and text are not read.
@@ -24,45 +29,64 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomfactor.llm.anchors import mix
 from loomfactor.llm.common import NO_ID, id_or_last, materialize, small_batches
 from loomfactor.llm.components import components
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """SimHash of a text's word shingles; bytes.lower and bytes.split act on ASCII only."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    n = max(1, len(words) - shingle + 1)
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, words: int = 1, distinct: bool = False) -> list[int]:
+    """SimHash of a text's word shingles, as so many 64-bit words; bytes.lower and bytes.split act on ASCII only."""
+    said = (text or "").encode().lower().split()
+    if not said:
+        return [0] * words
+    joined = b" ".join(said)
+    ends = np.cumsum([len(w) + 1 for w in said])
+    n = max(1, len(said) - shingle + 1)
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stops = (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(joined[s:e], seed) for s, e in zip(starts, stops)], dtype=np.uint64)
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 16384):
-        bits = np.unpackbits(h[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) for every row of docs; fp holds the 64 bits as a signed long."""
+    if distinct:
+        h = np.unique(h)
+    out = []
+    for _ in range(words):
+        counts = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(h), 16384):
+            bits = np.unpackbits(h[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.int32)
+        out.append(int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0]))
+        h = mix(h)
+    return out
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, words: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, tk, fp0, fp1, ...) for every row of docs: the xxhash64 of the text, and the bits as signed longs."""
+    names = ["doc_id", "tk", *word_names(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            found = [fingerprint(t, shingle, seed, words, distinct) for t in batch.column(2).to_pylist()]
+            fps = np.array(found, dtype=np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x) for x in fps.T.copy())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, fp long"
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text")).mapInArrow(
+        run, ", ".join(f"{x} long" for x in names)
     )
 
 
+def word_names(words: int) -> list[str]:
+    return [f"fp{i}" for i in range(words)]
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Bits set in each row of words."""
+    return np.bitwise_count(values).sum(axis=-1, dtype=np.int64)
+
+
 class BKTree:
-    """BK-tree over distinct 64-bit values, built and searched in batches: the subtree of a child holds all
-    values at one Hamming distance from the parent. Small subtrees stay flat."""
+    """BK-tree over distinct fingerprints (rows of 64-bit words), built and searched in batches: the subtree of a child
+    holds all values at one Hamming distance from the parent. Small subtrees stay flat."""
 
     LEAF = 48
 
@@ -71,7 +95,7 @@ class BKTree:
         self.values, self.ids, self.children = values, ids, None
         if len(values) > self.LEAF:
             self.pivot, self.pivot_id = values[0], ids[0]
-            dist = np.bitwise_count(values[1:] ^ self.pivot)
+            dist = _bits(values[1:] ^ self.pivot)
             self.children = {
                 int(d): BKTree(values[1:][dist == d], ids[1:][dist == d]) for d in np.unique(dist)
             }
@@ -81,12 +105,12 @@ class BKTree:
         """Yield (query ids, value ids) within the radius."""
         if self.children is None:
             for at in range(0, len(queries), 8192):
-                near = np.bitwise_count(queries[at : at + 8192, None] ^ self.values[None, :]) <= radius
+                near = _bits(queries[at : at + 8192, None] ^ self.values[None, :]) <= radius
                 q, v = np.nonzero(near)
                 if len(q):
                     yield q_ids[at + q], self.ids[v]
             return
-        dist = np.bitwise_count(queries ^ self.pivot).astype(np.int64)
+        dist = _bits(queries ^ self.pivot)
         hit = dist <= radius
         if hit.any():
             yield q_ids[hit], np.full(int(hit.sum()), self.pivot_id)
@@ -125,18 +149,18 @@ def _small_links(values: list[int], radius: int) -> list[int]:
     return parent
 
 
-def shard_links(tree_values: np.ndarray, query_values: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Star links (member, smallest member) of the components within one shard. Values are signed longs;
-    query_values: those of another tile, or None to link the tree's own values."""
-    values = tree_values if query_values is None else np.concatenate([tree_values, query_values])
-    if len(values) <= 32 and query_values is None:
-        parent = _small_links(values.view(np.uint64).tolist(), radius)
+def shard_links(tree: np.ndarray, queries: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+    """Star links (member, smallest member) of the components within one shard. Rows are an id and the words of a
+    fingerprint, signed longs; queries: those of another tile, or None to link the tree's own values."""
+    rows = tree if queries is None else np.concatenate([tree, queries])
+    values = np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
+    if len(rows) <= 32 and queries is None:
+        parent = _small_links([int.from_bytes(v.tobytes(), "little") for v in values], radius)
     else:
-        tree = BKTree(tree_values.view(np.uint64))
-        q = values.view(np.uint64) if query_values is None else query_values.view(np.uint64)
-        q_ids = np.arange(len(values)) if query_values is None else np.arange(len(tree_values), len(values))
-        parent = np.arange(len(values))
-        for a, b in tree.search(q, q_ids, radius):
+        index = BKTree(values[: len(tree)])
+        first = 0 if queries is None else len(tree)
+        parent = np.arange(len(rows))
+        for a, b in index.search(values[first:], np.arange(first, len(rows)), radius):
             while True:  # labels first: most pairs of a dense group are joined already
                 for _ in range(64):
                     up = parent[parent]
@@ -148,7 +172,7 @@ def shard_links(tree_values: np.ndarray, query_values: np.ndarray | None, radius
                     break
                 np.minimum.at(parent, high, low)
     groups: dict[int, list[int]] = {}
-    for i, v in enumerate(values.tolist()):
+    for i, v in enumerate(rows[:, 0].tolist()):
         groups.setdefault(_find(parent, i), []).append(v)
     return [(v, low) for g in groups.values() if len(g) > 1 for low in [min(g)] for v in g if v != low]
 
@@ -159,7 +183,7 @@ def _search_shards(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             rows = np.stack([c.astype(np.int64) for c in cols], axis=1)
             if held:
                 rows = np.concatenate([*held, rows])
@@ -176,11 +200,11 @@ def _search_shards(radius: int):
         out: list[tuple[int, int]] = []
         for g in groups:
             if g[0, 2] == g[0, 3]:
-                out += shard_links(g[:, 5], None, radius)
+                out += shard_links(g[:, 5:], None, radius)
             else:
                 first = g[:, 4] == g[0, 2]
                 if first.any() and not first.all():
-                    out += shard_links(g[first, 5], g[~first, 5], radius)
+                    out += shard_links(g[first, 5:], g[~first, 5:], radius)
         if out:
             a = np.array(out, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
@@ -196,21 +220,38 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(nodes: DataFrame, radius: int = 4, blocks: int | None = None, tile: int = 4096) -> DataFrame:
-    """nodes(fp), distinct -> links (a, b) that join exactly the fingerprints reachable within the radius."""
-    if blocks is None:  # as the table grows, longer shard keys keep shards small; any choice finds all pairs
+def sampled_masks(words: int, bits: int, tables: int) -> list[list[int]]:
+    """So many masks, each of so many bits of a fingerprint of several words, as signed longs."""
+    rng = np.random.default_rng(20)
+    out = []
+    for _ in range(tables):
+        mask = np.zeros(64 * words, np.uint8)
+        mask[rng.choice(64 * words, bits, replace=False)] = 1
+        out.append(np.packbits(mask, bitorder="little").view(np.int64).tolist())
+    return out
+
+
+def links(nodes: DataFrame, radius: int = 4, masks: list[list[int]] | None = None, tile: int = 4096) -> DataFrame:
+    """nodes(id, fp0, ...), distinct -> links (a, b) between ids. Without masks they join exactly the fingerprints
+    reachable within the radius; masks name other shards, whose members are linked if within it."""
+    if masks is None:  # as the table grows, longer shard keys keep shards small; any choice finds all pairs
         n = nodes.count()
-        blocks = radius + (2 if n < 2**24 else 3 if n < 2**32 else 4)
-    masks = F.array(*[F.lit(m).cast("long") for m in block_masks(blocks, radius)])
-    keyed = nodes.select("fp", F.posexplode(masks).alias("replica", "mask")).select(
-        F.col("replica").cast("int"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
+        masks = [[m] for m in block_masks(radius + (2 if n < 2**24 else 3 if n < 2**32 else 4), radius)]
+    names = [c for c in nodes.columns if c != "id"]
+    every = F.array(*[F.array(*[F.lit(w).cast("long") for w in m]) for m in masks])
+    keyed = nodes.select("*", F.posexplode(every).alias("replica", "mask"))
+    keyed = keyed.select(
+        F.col("replica").cast("int").alias("replica"),
+        F.xxhash64(*[F.col(c).bitwiseAND(F.col("mask")[i]) for i, c in enumerate(names)]).alias("key"),
+        "id",
+        *names,
     )
     shards = keyed.groupBy("replica", "key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = keyed.join(shards, ["replica", "key"]).withColumn("k", F.ceil(F.col("n") / tile).cast("int"))
-    shared = shared.withColumn("s", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    shared = shared.withColumn("s", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     tiled = shared.select(
-        "replica", "key", "s", "fp", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
-    ).select("replica", "key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "fp")
+        "replica", "key", "s", "id", *names, F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
+    ).select("replica", "key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "id", *names)
     return (
         tiled.repartition("replica", "key", "i", "j")
         .sortWithinPartitions("replica", "key", "i", "j")
@@ -222,9 +263,9 @@ def near_duplicates(
     docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, tile: int = 4096
 ) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    fps = materialize(fingerprints(docs, shingle, seed))
+    fps = materialize(fingerprints(docs, shingle, seed).select("doc_id", F.col("fp0").alias("fp")))
     nodes = materialize(fps.groupBy("fp").agg(F.min(id_or_last()).alias("low")))
-    roots = components(links(nodes.select("fp"), radius, tile=tile))
+    roots = components(links(nodes.select(F.col("fp").alias("id"), F.col("fp").alias("fp0")), radius, tile=tile))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
@@ -233,3 +274,25 @@ def near_duplicates(
     return fps.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def bit_share(similarity: float) -> float:
+    """Expected share of differing bits of two texts of equal size and this Jaccard similarity of shingles."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, tile: int = 4096) -> DataFrame:
+    """(doc_id, tk) of one document of each group of near copies, by id (nulls last), then by text hash: a row of docs
+    stays if its id (null-safe) and the xxhash64 of its text are found here. Rows that repeat both are one document."""
+    names, p = word_names(words), bit_share(similarity)
+    size = 64 * words
+    radius = int(size * p + np.sqrt(size * p * (1 - p)))
+    rows = materialize(fingerprints(docs, shingle, words=words, distinct=True))
+    low = F.struct(id_or_last().alias("oid"), "tk")
+    nodes = materialize(rows.groupBy(*names).agg(F.min(low).alias("low")).withColumn("id", F.xxhash64(*names)))
+    bits = min(max(12, nodes.count().bit_length() + 1), size // 2)
+    masks = sampled_masks(words, bits, int(np.ceil(3 / (1 - p) ** bits)))
+    roots = components(links(nodes.select("id", *names), radius, masks, tile))
+    placed = nodes.join(roots, nodes.id == roots.node, "left").select("low", F.coalesce("root", "id").alias("root"))
+    first = placed.groupBy("root").agg(F.min("low").alias("low"))
+    return first.select(F.nullif("low.oid", F.lit(NO_ID)).alias("doc_id"), "low.tk")

@@ -4,7 +4,8 @@ References are sharded by anchor class (see repeats): all windows that could be
 shard a suffix automaton of the contents of earlier documents is built in the order of documents, and each next
 document's contents are streamed through it for matching statistics: the length of the longest suffix, at each
 word, that the automaton knows. Where it reaches the window length, a window has been seen before. Automata go to
-the tasks by shuffle: those of a whole corpus have no size bound, so they are not broadcast.
+the tasks by shuffle: those of a whole corpus have no size bound, so they are not broadcast. A class of more than
+``tile`` contents would make one automaton too large: its windows are matched as rows, by two 64-bit hashes.
 
 Defined results: a null text has no words; repeated rows have the same id, so neither is earlier than the other;
 rows with a null id come after all others; a text shorter than the window keeps everything; an empty table
@@ -122,11 +123,21 @@ def _shard(window: int):
 
 def matches(docs: DataFrame, window: int, tile: int) -> DataFrame:
     """(tk, oid, a, b): runs of windows of each document that start in an earlier one."""
-    dups = materialize(repeats.repeated_by_sort(repeats.segment_table(docs, word_symbols, window, GRAM)))
+    common = repeats.common_anchors(docs, word_symbols, window, GRAM)
+    dups = materialize(repeats.repeated_by_sort(repeats.segment_table(docs, word_symbols, window, GRAM, common)))
     stuff = materialize(repeats.contents(dups))
     groups = max(8, stuff.count() // GROUP)
-    rows = repeats.grouped(repeats.with_symbols(docs, stuff, word_symbols, window), groups, tile)
-    runs = materialize(rows.groupBy("g", "i", "j").applyInArrow(_shard(window), "c long, f long, a int, b int"))
+    rows = repeats.with_symbols(docs, stuff, word_symbols, window)
+    crowded = repeats.largest_class(stuff) > tile
+    rows = materialize(rows) if crowded else rows
+    usual = rows.filter(F.col("k") <= tile).withColumn("g", F.pmod("c", F.lit(groups)))
+    runs = usual.groupBy("g").applyInArrow(_shard(window), "c long, f long, a int, b int")
+    if crowded:
+        # A window of a crowded class was seen before if the first document that holds it is an earlier one.
+        wins = materialize(repeats.window_rows(rows.filter(F.col("k") > tile), lambda raw: np.frombuffer(raw, np.uint64), window))
+        first = materialize(wins.groupBy("h1", "h2").agg(F.min("oid").alias("first"), F.max("oid").alias("top")).filter("first < top"))
+        runs = runs.unionByName(repeats.joined_runs(wins.join(first, ["h1", "h2"]).filter("oid > first").select("c", "f", "j")))
+    runs = materialize(runs)
     # A later document's segment of equal content lies in the owner whole; the owner's own is as the automaton says.
     own = runs.groupBy("c", "f").agg(F.collect_list(F.struct("a", "b")).alias("own"))
     marks = stuff.select("c", "f", "times", F.col("owner.oid").alias("first")).join(own, ["c", "f"], "left")
@@ -139,7 +150,7 @@ def matches(docs: DataFrame, window: int, tile: int) -> DataFrame:
     return spans.select("tk", "oid", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, tile: int = 20000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, tile: int = 20_000) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 of the words kept, joined by spaces."""
     docs = repeats.keyed(docs)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"

@@ -107,6 +107,44 @@ def test_both_ways_to_find_repeated_segments(spark):
     from loomfactor.llm import repeats
 
     docs = repeats.keyed(table(spark, SF, "documents"))
-    segs = repeats.segment_table(docs, substring.word_symbols, 13, 4)
-    a, b = (sorted(map(tuple, f(segs).collect())) for f in (repeats.repeated, repeats.repeated_by_sort))
-    assert a == b and len(a) > 100
+    common = repeats.common_anchors(docs, substring.word_symbols, 13, 4, least=4)
+    assert len(common)
+    plain, dealt = (repeats.segment_table(docs, substring.word_symbols, 13, 4, x) for x in (None, common))
+    a, b, c = (sorted(map(tuple, f(x).drop("salt").collect())) for f, x in ((repeats.repeated, plain), (repeats.repeated_by_sort, plain), (repeats.repeated_by_sort, dealt)))
+    assert a == b == c and len(a) > 100
+    assert {s for (s,) in dealt.select("salt").distinct().collect()} > {0}
+
+
+def _array(rng, texts, window, start):
+    raw = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in texts]
+    n = np.array([len(x) - window + 1 for x in raw])
+    ids = np.arange(start, start + len(raw))
+    return suffix_array.SuffixArray(ids, ids, n, np.frombuffer(b"".join(raw), np.uint8), window), raw
+
+
+def test_suffix_arrays_are_in_byte_order_and_merge():
+    """Order, common prefixes, merging and lookup against plain sorting of the suffixes."""
+    rng, window = np.random.default_rng(8), 9
+    (one, a), (two, b) = _array(rng, [40, 9, 33], window, 0), _array(rng, [25, 60], window, 10)
+    merged, hit = one.merge(two)
+    for array, texts in ((one, a), (two, b), (merged, a + b)):
+        said = [array.raw[p : p + window].tobytes() for p in array.order]
+        want = sorted(x[i : i + window] for x in texts for i in range(len(x) - window + 1))
+        assert said == want
+        shared = [next((k for k in range(window) if x[k] != y[k]), window) for x, y in zip(want, want[1:])]
+        assert array.lcp.tolist() == [0, *shared]
+    sides = [{x[i : i + window] for x in texts for i in range(len(x) - window + 1)} for texts in (a, b)]
+    both = sides[0] & sides[1]
+    assert both and [s in both for s in (merged.raw[p : p + window].tobytes() for p in merged.order)] == hit.tolist()
+    mine, theirs = one.lookup(two)
+    for array, marks in ((one, mine), (two, theirs)):
+        assert [array.raw[p : p + window].tobytes() in both for p in array.order] == marks.tolist()
+    c, _, first, last = two.ranges(theirs)
+    got = {(int(x) - 10, i) for x, s, e in zip(c, first, last) for i in range(s, e + 1)}
+    assert got == {(t, i) for t, x in enumerate(b) for i in range(len(x) - window + 1) if x[i : i + window] in both}
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_any_number_of_batches_gives_the_same(spark, batches):
+    docs = table(spark, SF, "documents")
+    assert rows(suffix_array.remove_repeats(docs, batches=batches)) == brute_bytes([(r.doc_id, r.text) for r in docs.collect()], 200)

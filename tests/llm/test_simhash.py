@@ -64,7 +64,7 @@ def test_links_in_dense_shards(spark, tile):
     base = rng.integers(0, 2**63, 6, dtype=np.uint64)
     values = [int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 20, (60, 2))]
     values = sorted(set(values + [int(x) for x in rng.integers(0, 2**63, 300, dtype=np.uint64)]))
-    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    df = spark.createDataFrame([(v, v) for v in values], "id long, fp0 long")
     parent = {v: v for v in values}
 
     def find(x):
@@ -83,7 +83,36 @@ def test_links_in_dense_shards(spark, tile):
 def test_bk_tree_finds_all_within_radius():
     rng = np.random.default_rng(1)
     values = np.unique(rng.integers(0, 2**16, 3000, dtype=np.uint64))
-    tree = simhash.BKTree(values)
-    found = {(int(a), int(b)) for q, v in tree.search(values, np.arange(len(values)), 2) for a, b in zip(q, v)}
+    tree = simhash.BKTree(values[:, None])
+    found = {(int(a), int(b)) for q, v in tree.search(values[:, None], np.arange(len(values)), 2) for a, b in zip(q, v)}
     a, b = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 2)
     assert found == set(zip(a.tolist(), b.tolist()))
+
+
+def jaccard(a, b):
+    a, b = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.lower().split() for x in (a, b)))
+    return len(a & b) / len(a | b)
+
+
+def test_representatives_follow_the_similarity_of_shingles(spark):
+    """Copies with a few changed words go, texts that share half their shingles stay; one document of each group stays."""
+    rng = np.random.default_rng(9)
+    docs, near, apart = [], [], []
+    for g in range(60):
+        words = [f"g{x}" for x in rng.integers(0, 4000, 300)]
+        for copy, changes in enumerate((0, 2, 4, 30)):
+            said = list(words)
+            for at in rng.choice(300, changes, replace=False):
+                said[at] = f"n{rng.integers(1e9)}"
+            docs.append((10 * g + copy, " ".join(said)))
+        (near if jaccard(docs[-3][1], docs[-4][1]) >= 0.9 else []).append(10 * g + 1)
+        (near if jaccard(docs[-2][1], docs[-4][1]) >= 0.87 else []).append(10 * g + 2)
+        (apart if jaccard(docs[-1][1], docs[-4][1]) <= 0.6 else []).append(10 * g + 3)
+    docs += [(None, docs[0][1]), (0, docs[0][1]), (None, "a b"), (None, "c d"), (7, "seven one"), (7, "seven two"), (8, None), (9, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [r.doc_id for r in simhash.representatives(df).collect()]
+    assert {10 * g for g in range(60)} <= set(got) and got.count(0) == 1 and got.count(None) == 2 and got.count(7) == 2
+    assert 8 in got and 9 not in got
+    assert len(near) > 80 and sum(x in got for x in near) <= 0.03 * len(near)
+    assert len(apart) > 50 and sum(x in got for x in apart) >= 0.97 * len(apart)
+    assert simhash.representatives(df.limit(0)).count() == 0
