@@ -1,56 +1,81 @@
 """A corpus pipeline from the operators of loomfactor.llm: each stage takes the documents its predecessor kept.
 
-Scratch tables of a stage are released when the next one begins: by then its output has been written.
+A stage owns the scratch tables it writes. They are released when the next stage begins: by then its output has been
+written. Tables of other queries are left alone.
+
+Every stage takes null ids and texts, repeated rows and ids, empty tables and further columns; it returns COLUMNS, and
+the last one tokens and rate beside them. Rows that repeat an id with different texts are different documents.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfactor.llm import decontaminate, mixing, simhash, suffix_array, toxicity
-from loomfactor.llm.common import release, scratch_dir, table
+from loomfactor.llm.common import Scope, scratch_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Domains are pairs of labels; weights that the mix of tokens should have.
 TARGETS = {"q1t0": 0.90, "q0t0": 0.08, "q1t1": 0.015, "q0t1": 0.005}
 
 
+#: Scopes of stages that STAGES ran and whose tables may still be read.
+_open: list[Scope] = []
+
+
+def staged(stage):
+    """A stage that owns its scratch tables and releases those of the stage before it."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _open:
+            _open.pop().release()
+        with Scope(spark) as own:
+            out = stage(spark, docs, sf_dir)
+        _open.append(own)
+        return out
+
+    return run_stage
+
+
 def text_key():
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+@staged
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
-    release(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_score(docs.select(COLUMNS), model).filter("score < 0.5").select(COLUMNS)
 
 
+@staged
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays (one row, if its id repeats)."""
-    release(spark)
-    found = simhash.near_duplicates(docs)
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi")
-    first = kept.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
-    return first.select("doc_id", *[f"row.{c}" for c in COLUMNS[1:]])
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document of the smallest id stays."""
+    heads = simhash.representatives(docs).select(F.col("doc_id").alias("head"), "tk")
+    rows = docs.select(COLUMNS).withColumn("tk", text_key())
+    kept = rows.join(heads, (rows.tk == heads.tk) & rows.doc_id.eqNullSafe(heads["head"]), "left_semi")
+    # Rows that repeat both id and text are one document; copies are merged before the shuffle.
+    rest = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
+    return kept.groupBy("doc_id", "tk").agg(F.first("text").alias("text"), rest).select("doc_id", "text", "rest.*")
 
 
+@staged
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that stand in more than one place go; a document left with nothing goes."""
-    release(spark)
     cut = suffix_array.remove_repeats(docs.select(COLUMNS), keep=["lang", "source", "n_chars"], keep_text=True)
     cut = cut.filter("n_removed = 0 or length(trim(kept)) > 0")
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept").cast("long"))
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
+@staged
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that give away a benchmark item go."""
-    release(spark)
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("tk").distinct()
     return docs.withColumn("tk", text_key()).join(found, "tk", "left_anti").select(COLUMNS)
 
@@ -60,9 +85,9 @@ def domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", name.alias("domain"))
 
 
+@staged
 def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document gets the rate at which the mix draws it; one that is never drawn goes."""
-    release(spark)
     mixed = mixing.mix(docs.select(COLUMNS), domains(table(spark, sf_dir, "labels")), TARGETS)
     return mixed.filter("rate > 0").select(*COLUMNS, "tokens", "rate")
 
@@ -83,8 +108,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns for the table documents."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = f"{scratch_dir(spark)}/stage-{uuid.uuid4().hex}"
-        out.write.parquet(path)
+        with Scope(spark) as own:
+            out = stage.__wrapped__(spark, docs, sf_dir)
+            path = f"{scratch_dir(spark)}/stage-{uuid.uuid4().hex}"
+            out.write.parquet(path)
+        own.release()
         docs = spark.read.parquet(path)
     return docs
