@@ -7,12 +7,13 @@ buckets whatever the number of rows, so the directory of buckets and counts may
 buckets of each table in the order of estimated success (the sum of squared gaps between its projections and
 the cells' walls) until they hold ``share`` of all rows. Candidates are reranked by exact distance.
 
-Buckets are cut into tiles of at most ``tile`` vectors, so a hot bucket is many tasks. Equal vectors are indexed
+Buckets are cut into tiles of about ``tile`` vectors and queries into tiles of about as many; a bucket's tile meets one
+tile of queries in a task, so neither a hot bucket nor many queries outgrow it. Equal vectors are indexed
 once, with the k + 1 smallest ids, which is all that any answer can need of them.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or differ in length from the
-vector of the smallest id take no part; rows with a null id take no part; rows that repeat an id are one row,
-the first by its components; no queries or candidates give no rows; other columns are not read.
+Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most
+(of two equally frequent lengths the greater counts) take no part; rows with a null id take no part; rows that repeat an
+id are one row, the first by its components; no queries or candidates give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists(v, lambda x: x != 0)
     )
-    first = rows.select(F.min_by(F.size("v"), "vec_id").alias("dim")).first()
-    return rows.filter(F.size("v") == F.lit(first.dim)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
+    most = lengths.agg(F.max_by("dim", F.struct("n", "dim")).alias("dim")).first()
+    return rows.filter(F.size("v") == F.lit(most.dim)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -86,20 +88,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False)).reshape(len(column), -1)
 
 
-def _score(key: tuple, queries: pa.Table, items: pa.Table, keep: int) -> Iterator[pa.Table]:
-    empty = pa.table({"q": pa.array([], pa.int64()), "uid": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
+def _score(queries: pa.Table, items: pa.Table, keep: int) -> pa.Table:
+    """(q, uid, s): the best items of each query, ties to the smaller uid. Matrix products tell which can be among them;
+    their order is that of products summed component by component, as inner_product() sums them."""
     if not queries.num_rows or not items.num_rows:
-        return empty
-    uid = items["uid"].combine_chunks().to_numpy()
-    order = np.argsort(uid)
-    uid, x = uid[order], _matrix(items["v"].combine_chunks())[order]
-    q_ids, q_all = queries["q"].combine_chunks().to_numpy(), _matrix(queries["v"].combine_chunks())
+        return pa.table({"q": pa.array([], pa.int64()), "uid": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
+    uid, x = items["uid"].combine_chunks().to_numpy(), _matrix(items["v"].combine_chunks())
+    q_ids, y = queries["q"].combine_chunks().to_numpy(), _matrix(queries["v"].combine_chunks())
+    slack = 1e-12 * np.abs(x).max() * np.abs(y).max() * x.shape[1] ** 2
     out = []
-    for at in range(0, len(q_ids), 512):
-        s = q_all[at : at + 512] @ x.T
-        best = np.argsort(-s, axis=1, kind="stable")[:, :keep]
-        rows = np.repeat(q_ids[at : at + 512], best.shape[1])
-        out.append((rows, uid[best].ravel(), np.take_along_axis(s, best, axis=1).ravel()))
+    for at in range(0, len(q_ids), 256):
+        s = y[at : at + 256] @ x.T
+        least = np.partition(s, -keep, axis=1)[:, -keep] if keep < s.shape[1] else s.min(axis=1)
+        for i, row in enumerate(s):
+            found = np.flatnonzero(row >= least[i] - slack)
+            exact = np.cumsum(x[found] * y[at + i], axis=1)[:, -1]
+            best = np.lexsort((uid[found], -exact))[:keep]
+            out.append((np.full(len(best), q_ids[at + i]), uid[found][best], exact[best]))
     return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("q", "uid", "s"), zip(*out))})
 
 
@@ -135,8 +140,10 @@ def search(
         return spark.createDataFrame([], schema)
     # Cell walls are fitted on a bounded sample, the rows of the smallest hashes of their ids.
     spread = np.array([r.v for r in units.orderBy(F.xxhash64("uid"), "uid").limit(sample).select("v").collect()])
-    hashes = int(np.clip(round(np.log(n / 600) / np.log(3)), 4, 8))
+    # A table has at most 5**7 buckets, which bounds the directory that is brought here and broadcast.
+    hashes = int(np.clip(round(np.log(n / 600) / np.log(3)), 4, 7))
     fam = Hashes(dim, norm, spread, tables, hashes, width, seed)
+    query_tiles = max(1, -(-queries.count() // tile))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,43 +154,43 @@ def search(
                     yield pa.RecordBatch.from_arrays(cols, ["t", "bucket", "uid", "v"])
 
     items = units.select("uid", "v").mapInArrow(index, "t int, bucket long, uid long, v array<double>")
-    counted = items.groupBy("t", "bucket").agg(F.count("*").alias("n")).collect()  # at most tables * 5**hashes rows
+    counts = items.groupBy("t", "bucket").agg(F.count("*").alias("n"))
+    table, bucket, count = (c.to_numpy() for c in counts.toArrow().columns)
     directory = []
     for t in range(tables):
-        mine = sorted((r.bucket, r.n) for r in counted if r.t == t)
-        directory.append((np.array([b for b, _ in mine]), np.array([c for _, c in mine])))
-    cuts = {(r.t, r.bucket): -(-r.n // tile) for r in counted}
-    shared = spark.sparkContext.broadcast((directory, cuts))
+        order = np.flatnonzero(table == t)[np.argsort(bucket[table == t])]
+        directory.append((bucket[order], count[order]))
+    shared = spark.sparkContext.broadcast(directory)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directory, cuts = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                got = [(t, int(x), s, q) for t, q, found in fam.probes(_matrix(part.column(1)), directory, share) for x in found for s in range(cuts[t, int(x)])]
-                t, bucket, s, q = np.array(got, dtype=np.int64).T
+                part, got = b.slice(at, 64), []
+                for t, q, found in fam.probes(_matrix(part.column(1)), shared.value, share):
+                    buckets, counts = shared.value[t]
+                    k = -(-counts[np.searchsorted(buckets, found)] // tile)  # tiles of each bucket
+                    s = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                    got.append(np.stack([np.full(len(s), t), np.repeat(found, k), s, np.full(len(s), q)]))
+                t, bucket, s, q = np.concatenate(got, axis=1)
                 cols = [pa.array(t.astype(np.int32)), pa.array(bucket), pa.array(s.astype(np.int32)), part.column(0).take(pa.array(q)), part.column(1).take(pa.array(q))]
                 yield pa.RecordBatch.from_arrays(cols, ["t", "bucket", "s", "q", "v"])
 
     probes = queries.mapInArrow(probe, "t int, bucket long, s int, q long, v array<double>")
-    sizes = spark.createDataFrame([(t, b, c) for (t, b), c in cuts.items()], "t int, bucket long, k int")
+    probes = probes.withColumn("o", F.pmod(F.xxhash64("q"), F.lit(query_tiles)).cast("int"))
+    sizes = counts.select("t", "bucket", F.ceil(F.col("n") / tile).alias("k"))
     tiles = items.join(F.broadcast(sizes), ["t", "bucket"]).withColumn("s", F.pmod(F.xxhash64("uid"), F.col("k")).cast("int"))
-    keep = k + 4
-
+    tiles = tiles.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))))
+    keep, group = k + 1, ["t", "bucket", "s", "o"]
     found = (
-        probes.groupBy("t", "bucket", "s")
-        .cogroup(tiles.groupBy("t", "bucket", "s"))
-        .applyInArrow(lambda key, a, b: _score(key, a, b, keep), "q long, uid long, s double")
-    )
-    near = found.groupBy("q", "uid").agg(F.max("s").alias("s"))
-    best = Window.partitionBy("q").orderBy(F.desc("s"), "uid")
-    near = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep).select("q", "uid")
-    # Exact products of the few that are left, every id of their vectors, then each query without itself.
-    exact = (
-        near.join(units, "uid")
-        .join(queries.select(F.col("uid").alias("q"), F.col("v").alias("w")), "q")
-        .select("q", F.explode("ids").alias("vec_id"), inner_product(F.col("v"), F.col("w")).alias("score"))
+        probes.groupBy(*group)
+        .cogroup(tiles.groupBy(*group))
+        .applyInArrow(lambda _, a, b: _score(a, b, keep), "q long, uid long, s double")
     )
+    near = found.groupBy("q", "uid").agg(F.max("s").alias("score"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "uid")
+    near = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep).drop("r")
+    # Every id of the vectors that are left, then each query without itself.
+    exact = near.join(units.select("uid", "ids"), "uid").select("q", F.explode("ids").alias("vec_id"), "score")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     lists = (
         exact.withColumn("r", F.row_number().over(best))

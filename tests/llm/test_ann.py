@@ -60,3 +60,24 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert ann.search(df.limit(0), every_20th()).count() == 0
     few = answers(ann.search(df.filter("vec_id in (0, 1, 70)"), every_20th(), share=1.0))
     assert [i for i, _ in few[0]] == [i for i, _ in brute([r for r in rows if r[0] in (0, 1, 70)])[0]]
+
+
+def test_one_vector_of_another_length_takes_no_part(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 50)]
+    df = spark.createDataFrame([(0, [1.0]), (60, [2.0] * 9), *rows], "vec_id long, embedding array<double>")
+    got, want = answers(ann.search(df, every_20th(), share=1.0)), brute(rows)
+    assert got.keys() == want.keys() == {20, 40}
+    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)
+
+
+def test_ties_go_to_the_smaller_id_whatever_the_tiles(spark):
+    """All queries fall in one bucket, and far more candidates than asked for are equally near."""
+    rows = [(i, [1.0, 0.0, 0.0, 0.001 * i]) for i in range(0, 2000, 20)]
+    rows += [(i, [0.5, float(a), float(b), 0.0]) for i, (a, b) in enumerate(((a, b) for a in range(-7, 8) for b in range(-7, 8)), 3001)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows)
+    for tile in (7, 4096):
+        got = answers(ann.search(df, every_20th(), share=1.0, tile=tile))
+        assert got.keys() == want.keys()
+        assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)
