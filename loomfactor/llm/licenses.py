@@ -1,12 +1,13 @@
 """License scans by a positional rare-token index over license notices, in DataFrame functions only.
 
-The index holds, for each word of the notices below that is rare among them, its postings (notice, position).
-A notice can only be found in a file that holds its key phrase; for these notices all index words of the file are
-looked up, however many. A posting places its notice at (word's position in the file - position in the notice), and
-postings that agree on that place are intersected: enough of the notice's words must stand where it says. Beside these, a fixed list of
-phrases is counted wherever its words stand consecutively.
+The notices are templates: the sentences and file headers by which licenses are named. The index holds the words of the
+highest IDF of each template, ``RARE`` of them, with their postings (notice, position). All words of a file are looked
+up, however long it is. A posting places its notice at (word's position in the file - position in the notice); postings
+are intersected by that relative position: two rare words of a template must agree on a place (one, if it has only one).
+There the whole template is compared word by word, and its mandatory key phrase must stand in the file. Beside these, a
+fixed list of phrases is counted wherever its words stand consecutively.
 
-IDF is over the notices, so the index is fixed and small and is broadcast; files are read in one pass.
+IDF is over the notices, so the index is fixed and small and goes with the plan; files are read in one pass.
 
 Defined results: a null or empty text has no words, no labels and score 0; repeated rows each return a row; a
 null doc_id keeps its row; an empty table returns no rows; other columns are not read.
@@ -23,30 +24,69 @@ from pyspark.sql import functions as F
 #: Phrases counted as such, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Notices (label, words, key phrase): sentences that publishers use to name a license. Fixed values.
+#: Notices (label, words, key phrase): sentences and file headers that publishers use to name a license. Fixed values.
 NOTICES = (
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or "
+        "agreed to in writing software distributed under the license is distributed on an as is basis",
+        "in compliance with the license",
+    ),
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+        "files the software to deal in the software without restriction including without limitation the rights to use copy modify "
+        "merge publish distribute sublicense and or sell copies of the software",
+        "to deal in the software without restriction",
+    ),
     ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+        "published by the free software foundation either version 3 of the license or at your option any later version",
+        "gnu general public license",
+    ),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license"),
     ("lgpl", "licensed under the gnu lesser general public license version", "lesser general public license"),
+    (
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
+        "license as published by the free software foundation",
+        "lesser general public license",
+    ),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    (
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice",
+        "retain the above copyright notice",
+    ),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
     ("cc-by", "licensed under cc by 4 0", "cc by"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0"),
 )
+#: Words of each notice that the index holds.
+RARE = 8
 
 
 def index(notices=NOTICES) -> dict[str, tuple[float, list[tuple[int, int]]]]:
-    """word -> (IDF, postings): words found in at most a third of the notices."""
+    """word -> (IDF, postings) of the words of the highest IDF of each notice; ties go to the word that comes first."""
     seen = Counter(w for _, text, _ in notices for w in set(text.split()))
     out: dict[str, tuple[float, list[tuple[int, int]]]] = {}
     for k, (_, text, _) in enumerate(notices):
-        for at, w in enumerate(text.split()):
-            if seen[w] * 3 <= len(notices):
+        words = text.split()
+        rare = sorted(dict.fromkeys(words), key=lambda w: seen[w])[:RARE]
+        for at, w in enumerate(words):
+            if w in rare:
                 out.setdefault(w, (math.log(len(notices) / seen[w]), []))[1].append((k, at))
     return out
 
@@ -84,9 +124,9 @@ def _let(value: Column, body) -> Column:
 
 
 def notices_found(norm: Column, notices=NOTICES, share: float = 0.6) -> Column:
-    """Array of (label, score): for each notice the largest share of its words that stand in place, if at least
-    ``share``, one of its index words stands in place, and its key phrase stands in the text."""
-    words = index(notices)
+    """Array of (label, score): for each notice whose key phrase stands in the text and each place on which its rare words
+    agree, the share of its words that stand in place, if at least ``share``."""
+    words, size = index(notices), len(notices)
     postings = F.create_map(
         *[
             x
@@ -94,40 +134,47 @@ def notices_found(norm: Column, notices=NOTICES, share: float = 0.6) -> Column:
             for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("p")) for k, p in at]))
         ]
     )
+    held_words = Counter(k for _, at in words.values() for k, _ in at)
+    alone = [k for k in range(size) if held_words[k] == 1]
+    templates = F.array(*[F.array(*[F.lit(w) for w in text.split()]) for _, text, _ in notices])
+    labels = F.array(*[F.lit(label) for label, _, _ in notices])
+    keys = [F.contains(norm, F.lit(f" {key} ")) for _, _, key in notices]
 
-    def starts(all_words: Column, held: Column) -> Column:
-        """place * number of notices + notice, for every posting of every word of the file, of the notices held."""
+    def placed(all_words: Column, held: Column) -> Column:
+        """place * number of notices + notice, in order, for every posting of every word of the file, of the notices held."""
         found = F.transform(all_words, lambda w, i: F.struct(F.try_element_at(postings, w).alias("q"), i.alias("i")))
         found = F.filter(found, lambda s: s["q"].isNotNull())
         kept = F.transform(
             found,
             lambda s: F.transform(
                 F.filter(s["q"], lambda q: F.get(held, q["k"])),
-                lambda q: (s["i"] - q["p"]).cast("long") * len(notices) + q["k"],
+                lambda q: (s["i"] - q["p"]).cast("long") * size + q["k"],
             ),
         )
-        # Longs, as distinct structs are found by comparing all with all.
-        return F.array_distinct(F.flatten(kept))
+        return F.array_sort(F.flatten(kept))
 
-    def place_of(v: Column) -> Column:
-        k = F.pmod(v, F.lit(len(notices)).cast("long"))
-        return F.struct(k.alias("k"), ((v - k) / len(notices)).cast("int").alias("at"))
+    def agreed(v: Column) -> Column:
+        """Those that two postings name; one is enough for a notice with one word in the index."""
+        def twice(x: Column, i: Column) -> Column:
+            enough = F.coalesce(F.get(v, i + 1) == x, F.lit(False))
+            return (enough | F.pmod(x, F.lit(size)).isin(alone)) if alone else enough
 
-    def score_at(all_words: Column, s: Column) -> Column:
-        out = F.struct(F.lit("").alias("label"), F.lit(0.0).alias("score"))
-        for k, (label, text, _) in reversed(list(enumerate(notices))):
-            want = text.split()
-            hit = sum((F.coalesce(F.get(all_words, s["at"] + j) == w, F.lit(False)).cast("int") for j, w in enumerate(want)), F.lit(0))
-            found = F.struct(F.lit(label).alias("label"), (hit / F.lit(float(len(want)))).alias("score"))
-            out = F.when(s["k"] == k, found).otherwise(out)
-        return out
+        # Longs, as distinct structs are found by comparing all with all.
+        return F.array_distinct(F.filter(v, twice))
+
+    def score_at(all_words: Column, v: Column) -> Column:
+        k = F.pmod(v, F.lit(size)).cast("int")
+        at = ((v - k) / size).cast("int")
+        want = F.get(templates, k)
+        hits = F.transform(want, lambda w, j: F.coalesce(F.get(all_words, at + j) == w, F.lit(False)).cast("int"))
+        score = F.aggregate(hits, F.lit(0), lambda s, x: s + x) / F.size(want)
+        return F.struct(F.get(labels, k).alias("label"), score.alias("score"))
 
     def found(w: Column) -> Column:
-        at = F.transform(_let(F.array(*keys), lambda held: starts(w, held)), place_of)
-        return F.filter(F.transform(at, lambda s: score_at(w, s)), lambda s: s["score"] >= share)
+        at = _let(_let(F.array(*keys), lambda held: placed(w, held)), agreed)
+        return F.filter(F.transform(at, lambda v: score_at(w, v)), lambda s: s["score"] >= share)
 
     none = F.array().cast("array<struct<label:string,score:double>>")
-    keys = [F.contains(norm, F.lit(f" {key} ")) for _, _, key in notices]
     some = keys[0]
     for k in keys[1:]:
         some = some | k
