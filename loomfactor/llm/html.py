@@ -1,22 +1,25 @@
 """HTML to text as laid out: a tree builder with implied tags, visibility rules, block spacing, lists and tables.
 
-Tags are read by one regular expression. The tree builder closes elements that a start tag ends by rule (a
+Tags are read one after the other. The tree builder closes elements that a start tag ends by rule (a
 paragraph before a block, a list item before the next, a cell before the next cell or row), ignores end tags
-that match nothing, and closes all that is open inside the one it ends. Elements that are not displayed by
-nature, by the hidden attribute or by an inline style give no text. The renderer collapses white space outside
-pre, puts blocks on lines of their own and paragraphs apart, marks list items by depth and number, and pads table
-cells so that columns align.
+that match nothing, and closes all that is open inside the one it ends. An element is not displayed by nature, by the
+hidden attribute, or by a declaration of display in its style or in a style element; visibility is inherited and may be
+taken back inside. Style elements count with their rules for a single tag, class or id, or a compound of these, outside
+at-rules. What is marked as hidden from assistive readers (aria-hidden) is decoration and left out too. Of a select
+element the selected option is shown. The renderer collapses white space outside pre, puts blocks on lines of their own
+and paragraphs apart, marks list items by depth and number, and pads table cells, spans included, so that columns align.
+It keeps its own stack: pages may nest to any depth.
 
 Defined results: null or empty pages give an empty text; unclosed, misnested or cut tags are repaired by the
-rules above; repeated rows each return a row; a null page_id keeps its row; an empty table returns no rows;
-columns other than page_id and html are not read.
+rules above; a tag whose quotes never close ends at the next '>'; repeated rows each return a row; a null page_id keeps
+its row; an empty table returns no rows; columns other than page_id and html are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,13 +27,17 @@ from pyspark.sql import functions as F
 
 from loomfactor.llm.common import small_batches
 
+#: Comments, tags with attributes whose quoted values may hold '>', declarations. Nothing is tried twice.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>|<[!?][^>]*>", re.S
 )
+#: The same without quotes, used from the first tag on that does not close.
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_SELECTOR = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title svg annotation annotation-xml iframe object select datalist".split())
+UNSEEN = frozenset("head script style template noscript title desc defs metadata annotation annotation-xml iframe object datalist".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 #: What a head may hold; any other start tag ends it, as does text.
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
@@ -48,55 +55,134 @@ ENDS = {
     "tr": ({"tr", "td", "th", "caption"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
-    "thead": ({"tr", "td", "th", "tbody", "caption"}, {"table"}),
-    "tbody": ({"tr", "td", "th", "thead", "caption"}, {"table"}),
-    "tfoot": ({"tr", "td", "th", "tbody"}, {"table"}),
+    "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}),
+    "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}),
+    "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}),
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
 #: No implied or explicit end tag of an outer element reaches through these.
 WALLS = frozenset("table td th".split())
+#: The widest span of columns that a cell may have.
+SPAN = 1000
 
 
 class Node:
-    __slots__ = ("tag", "children", "hidden")
+    """An element. shown is None where visibility is inherited; gone elements and all they hold are not displayed."""
 
-    def __init__(self, tag: str, hidden: bool = False):
-        self.tag, self.children, self.hidden = tag, [], hidden
+    __slots__ = ("tag", "children", "attributes", "gone", "shown")
 
+    def __init__(self, tag: str, attributes: dict[str, str] | None = None):
+        self.tag, self.children, self.attributes = tag, [], attributes or {}
+        self.gone, self.shown = tag in UNSEEN, None
 
-def _hidden(rest: str) -> bool:
-    """Do these attributes hide an element: by name, or by the declaration of its style that prevails."""
+
+def _attributes(rest: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, value in _ATTRIBUTE.findall(rest):
         value = value[1:-1] if value[:1] in "\"'" else value
-        found.setdefault(name.lower(), entities.unescape(value).strip().lower())
-    if "hidden" in found or found.get("aria-hidden") == "true":
-        return True
-    style: dict[str, tuple[bool, str]] = {}
-    for part in re.sub(r"(?s)/\*.*?\*/", " ", found.get("style", "")).split(";"):
+        found.setdefault(name.lower(), entities.unescape(value).strip())
+    return found
+
+
+def _declared(style: str) -> dict[str, tuple[bool, str]]:
+    """Property -> (important, value) of the declaration that prevails."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in re.sub(r"(?s)/\*.*?\*/", " ", style.lower()).split(";"):
         name, _, value = part.partition(":")
         value, mark, _ = value.partition("!")
-        if bool(mark) >= style.get(name.strip(), (False, ""))[0]:
-            style[name.strip()] = bool(mark), value.strip()
-    return style.get("display", (0, ""))[1] == "none" or style.get("visibility", (0, ""))[1] in ("hidden", "collapse")
+        if bool(mark) >= out.get(name.strip(), (False, ""))[0]:
+            out[name.strip()] = bool(mark), value.strip()
+    return out
+
+
+def _without_at_rules(css: str) -> str:
+    out, at = [], 0
+    while (start := css.find("@", at)) >= 0:
+        out.append(css[at:start])
+        end, brace = css.find(";", start), css.find("{", start)
+        if brace < 0 or 0 <= end < brace:
+            at = end + 1 if end >= 0 else len(css)
+            continue
+        depth, at = 1, brace + 1
+        while depth and at < len(css):
+            depth += {"{": 1, "}": -1}.get(css[at], 0)
+            at += 1
+    return "".join(out) + css[at:]
+
+
+def style_rules(css: str) -> list[tuple[str, frozenset[str], tuple, dict]]:
+    """(tag or '', names, specificity, declarations) of the rules with simple selectors that hide or show."""
+    css, out = _without_at_rules(re.sub(r"(?s)/\*.*?\*/", " ", css)), []
+    for order, (selectors, body) in enumerate(re.findall(r"([^{}]+)\{([^{}]*)\}", css)):
+        said = {k: v for k, v in _declared(body).items() if k in ("display", "visibility")}
+        for selector in selectors.split(",") if said else ():
+            if (m := _SELECTOR.fullmatch(selector.strip())) and m[0]:
+                names = re.findall(r"[.#][\w-]+", m[2])
+                tag = "" if m[1] in (None, "*") else m[1].lower()
+                out.append((tag, frozenset(names), (sum(x[0] == "#" for x in names), len(names), bool(tag), order), said))
+    return out
+
+
+def _hide(root: Node) -> None:
+    """Decide of every element whether it is displayed and what it says of visibility."""
+    todo, sheets = [root], []
+    every: list[Node] = []
+    while todo:
+        node = todo.pop()
+        every.append(node)
+        if node.tag == "style":
+            sheets += [x for x in node.children if isinstance(x, str)]
+        todo += [x for x in reversed(node.children) if isinstance(x, Node)]
+    rules = style_rules("\n".join(sheets)) if sheets else []
+    for node in every:
+        said = node.attributes
+        if not said and not rules:
+            continue
+        names = {f".{x}" for x in said.get("class", "").split()} | ({f"#{said['id']}"} if "id" in said else set())
+        best: dict[str, tuple] = {}
+        found = [(weight, body) for tag, need, weight, body in rules if tag in ("", node.tag) and need <= names]
+        if "style" in said:
+            found.append(((9**9,), _declared(said["style"])))
+        for weight, body in found:
+            for name, (important, value) in body.items():
+                best[name] = max(best.get(name, ((False, ()), "")), ((important, weight), value), key=lambda x: x[0])
+        if "display" in best:
+            node.gone |= best["display"][1] == "none"
+        else:
+            node.gone |= "hidden" in said
+        node.gone |= said.get("aria-hidden", "").lower() == "true"
+        if "visibility" in best:
+            node.shown = {"hidden": False, "collapse": False, "visible": True}.get(best["visibility"][1])
 
 
 def parse(page: str) -> Node:
     """The tree of a page: nodes and strings."""
     root = Node("")
     open_: list[Node] = [root]
-    at, end = 0, len(page)
-    while at < end:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            if open_[-1].tag == "head" and page[at:stop].strip(" \t\r\n\f"):
+    at, end, pattern = 0, len(page), _TAG
+
+    def text(start: int, stop: int) -> None:
+        if stop > start:
+            said = page[start:stop]
+            if open_[-1].tag == "head" and said.strip(" \t\r\n\f"):
                 open_.pop()
-            open_[-1].children.append(entities.unescape(page[at:stop]) if "&" in page[at:stop] else page[at:stop])
-        if not m:
+            open_[-1].children.append(entities.unescape(said) if "&" in said else said)
+
+    begun = 0
+    while at < end:
+        start = page.find("<", at)
+        if start < 0 or page.find(">", start) < 0 and not page.startswith("<!--", start):
             break
-        at = m.end()
+        m = pattern.match(page, start)
+        if not m and page[start + 1 : start + 2].isalpha() | page.startswith("</", start):
+            pattern = _PLAIN
+            m = pattern.match(page, start)
+        if not m:
+            at = start + 1
+            continue
+        text(begun, start)
+        at = begun = m.end()
         closing, tag, rest = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
         if not tag:
             continue
@@ -111,15 +197,20 @@ def parse(page: str) -> Node:
         if open_[-1].tag == "head" and tag not in HEAD:
             open_.pop()
         _imply(open_, tag)
-        node = Node(tag, tag in UNSEEN or bool(rest and _hidden(rest)))
+        node = Node(tag, _attributes(rest) if rest else None)
         open_[-1].children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if tag == "textarea":
-                node.children.append(entities.unescape(page[at : close.start() if close else end]))
-            at = close.end() if close else end
+            said = page[at : close.start() if close else end]
+            if tag == "style":
+                node.children.append(said)
+            elif tag == "textarea":
+                node.children.append(entities.unescape(said))
+            at = begun = close.end() if close else end
         elif tag not in VOID and not rest.endswith("/"):
             open_.append(node)
+    text(begun, end)
+    _hide(root)
     return root
 
 
@@ -184,70 +275,104 @@ class Layout:
             self.lines += lines
 
 
-def _render(children: list, out: Layout, pre: bool, depth: int = 0) -> None:
-    if depth > 400:  # deeper pages are flattened, their text is kept
-        stack = list(reversed(children))
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                out.text(x, pre)
-            elif not x.hidden:
-                stack += reversed(x.children)
-        return
+#: A step of the renderer: it yields the steps it waits for, and the stack of steps is kept by _run, not by Python.
+Step = Generator["Step", list, list]
+
+
+def _run(step: Step) -> list:
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def _render(children: list, out: Layout, pre: bool, shown: bool) -> Step:
     for x in children:
         if isinstance(x, str):
-            out.text(x, pre)
-        elif x.hidden:
+            if shown:
+                out.text(x, pre)
             continue
-        elif x.tag == "br":
-            out.line(keep=True)
+        if x.gone:
+            continue
+        seen = shown if x.shown is None else x.shown
+        if x.tag == "br":
+            if seen:
+                out.line(keep=True)
         elif x.tag == "hr":
             out.block(False)
         elif x.tag in ("ul", "ol"):
             out.block(True)
-            out.add(_list(x, pre, depth + 1))
+            out.add((yield _list(x, pre, seen)))
             out.block(True)
         elif x.tag == "table":
             out.block(True)
-            out.add(_table(x, depth + 1))
+            out.add((yield _table(x, seen)))
             out.block(True)
+        elif x.tag == "select":
+            yield _render(_chosen(x), out, pre, seen)
         elif x.tag in BLOCK:
             keep = pre or x.tag == "pre"
             out.block(x.tag in APART, pre)
-            _render(x.children, out, keep, depth + 1)
+            yield _render(x.children, out, keep, seen)
             out.block(x.tag in APART, keep)
         else:
-            _render(x.children, out, pre, depth + 1)
+            yield _render(x.children, out, pre, seen)
+    return []
 
 
-def _lines(children: list, pre: bool, depth: int) -> list[str]:
+def _lines(children: list, pre: bool, shown: bool) -> Step:
     part = Layout()
-    _render(children, part, pre, depth)
+    yield _render(children, part, pre, shown)
     part.block(False, pre)
     return part.lines
 
 
-def _list(node: Node, pre: bool, depth: int) -> list[str]:
+def _chosen(select: Node) -> list:
+    """What a select element shows: its selected options or else the first; all of them in a list."""
+    options, todo = [], list(reversed(select.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node) and x.tag == "option":
+            options.append(x)
+        elif isinstance(x, Node):
+            todo += reversed(x.children)
+    if "multiple" in select.attributes or select.attributes.get("size", "1") not in ("", "0", "1"):
+        return [y for x in options for y in (x, " ")]
+    marked = [x for x in options if "selected" in x.attributes]
+    return marked[-1:] or options[:1]
+
+
+def _list(node: Node, pre: bool, shown: bool) -> Step:
     out, number = [], 0
     for x in node.children:
-        if isinstance(x, Node) and x.tag == "li" and not x.hidden:
+        if isinstance(x, Node) and x.tag == "li" and not x.gone:
+            seen = shown if x.shown is None else x.shown
             number += 1
             mark = f"{number}. " if node.tag == "ol" else "- "
-            body = [s for s in _lines(x.children, pre, depth + 1) if s] or [""]
+            body = [s for s in (yield _lines(x.children, pre, seen)) if s]
+            if not body and not seen:
+                continue
+            body = body or [""]
             out.append((mark + body[0]).rstrip())
             out += [" " * len(mark) + s for s in body[1:]]
         else:
-            out += _lines([x], pre, depth + 1)
+            out += yield _lines([x], pre, shown)
     return out
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _rows(node: Node, shown: bool) -> Iterator[tuple[Node, bool]]:
     for x in node.children:
-        if isinstance(x, Node) and not x.hidden:
+        if isinstance(x, Node) and not x.gone:
+            seen = shown if x.shown is None else x.shown
             if x.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(x)
+                yield from _rows(x, seen)
             else:
-                yield x
+                yield x, seen
 
 
 def _stray(node: Node) -> Iterator[str]:
@@ -255,33 +380,58 @@ def _stray(node: Node) -> Iterator[str]:
     for x in node.children:
         if isinstance(x, str):
             yield x
-        elif x.tag in ("thead", "tbody", "tfoot") and not x.hidden:
+        elif x.tag in ("thead", "tbody", "tfoot") and not x.gone:
             yield from _stray(x)
 
 
-def _table(node: Node, depth: int) -> list[str]:
-    """Captions and stray content first, then rows with their cells padded to the width of the column."""
-    out, grid = _lines(list(_stray(node)), False, depth), []
-    for row in _rows(node):
-        cells = [x for x in row.children if isinstance(x, Node) and x.tag in ("td", "th") and not x.hidden]
+def _span(cell: Node, name: str) -> int:
+    said = cell.attributes.get(name, "")
+    return min(max(int(said), 1), SPAN) if said.isascii() and said.isdigit() and len(said) < 9 else 1
+
+
+def _table(node: Node, shown: bool) -> Step:
+    """Captions and stray content first, then rows with their cells padded to the width of the columns they span."""
+    out, grid = (yield _lines(list(_stray(node)), False, shown)), []
+    below: dict[int, int] = {}  # column -> rows it is still taken by a cell from above
+    for row, seen in _rows(node, shown):
         if row.tag != "tr":
-            out += _lines(row.children, False, depth + 1)
+            out += yield _lines([row], False, shown)
             continue
         stray = [x for x in row.children if not (isinstance(x, Node) and x.tag in ("td", "th"))]
-        out += _lines(stray, False, depth + 1)
-        grid.append([" ".join(s for s in _lines(c.children, False, depth + 1) if s) for c in cells])
-    widths: list[int] = []
+        out += yield _lines(stray, False, seen)
+        cells, column = [], 0
+        taken, below = below, {c: left - 1 for c, left in below.items() if left > 1}
+        for x in row.children:
+            if not (isinstance(x, Node) and x.tag in ("td", "th")) or x.gone:
+                continue
+            while column in taken:
+                column += 1
+            lines = yield _lines(x.children, False, seen if x.shown is None else x.shown)
+            wide, high = _span(x, "colspan"), _span(x, "rowspan")
+            cells.append((column, wide, " ".join(s for s in lines if s)))
+            if high > 1:
+                below |= {c: high - 1 for c in range(column, column + wide)}
+            column += wide
+        grid.append(cells)
+    widths = [0] * max((c + w for row in grid for c, w, _ in row), default=0)
+    for c, w, text in (x for row in grid for x in row if x[1] == 1):
+        widths[c] = max(widths[c], len(text))
+    for c, w, text in (x for row in grid for x in row if x[1] > 1):
+        widths[c + w - 1] += max(0, len(text) - sum(widths[c : c + w]) - 3 * (w - 1))
     for row in grid:
-        widths += [0] * (len(row) - len(widths))
-        for i, cell in enumerate(row):
-            widths[i] = max(widths[i], len(cell))
-    out += [" | ".join(cell.ljust(widths[i]) for i, cell in enumerate(row)).rstrip() for row in grid if any(row)]
+        if any(text for _, _, text in row):
+            parts, at = [], 0
+            for c, w, text in row:
+                parts += [" " * widths[i] for i in range(at, c)]
+                parts.append(text.ljust(sum(widths[c : c + w]) + 3 * (w - 1)))
+                at = c + w
+            out.append(" | ".join(parts).rstrip())
     return out
 
 
 def render(page: str | None) -> str:
     """All visible text of a page as it is laid out."""
-    return "\n".join(_lines(parse(page or "").children, False, 0)).strip("\n")
+    return "\n".join(_run(_lines(parse(page or "").children, False, True))).strip("\n")
 
 
 def extract(pages: DataFrame) -> DataFrame:
