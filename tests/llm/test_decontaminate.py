@@ -1,23 +1,53 @@
+from collections import Counter
+from itertools import groupby
+
 from loomfactor.llm import decontaminate as d
 from loomfactor.llm.common import table
 
 
-def brute(docs, items, window=8, plain=4, share=0.5):
-    """Every item at every start of every document, token by token."""
+def item_parts(question, window, plain):
+    """(at, size, whether the values count) of the windows that are searched."""
+    want, slots = d.canonicalise(question)
+    size = min(window, len(want))
+    every = range(len(want) - size + 1) if size else []
+    special = {a for a in every if slots[a : a + size].count("") >= min(plain, size)}
+    return want, slots, [(a, size, a not in special) for a in every if a in special or 2 * len(special) < len(every)]
+
+
+def brute(docs, items, window=8, plain=4, share=0.5, verbatim=25):
+    """Every item at every place of every document, token by token."""
     out = set()
+    parts = [(item, *item_parts(question, window, plain)) for item, question in items]
     for doc, text in docs:
         tokens, values = d.canonicalise(text)
-        for item, question in items:
-            want, slots = d.canonicalise(question)
-            size = min(window, len(want))
-            good = [a for a in range(len(want) - size + 1) if size and slots[a : a + size].count("") >= min(plain, size)]
+        held = set(tokens)
+        for item, want, slots, good in parts:
+            if not good or not held & set(want):
+                continue
+            hits = []
+            for a, size, exact in good:
+                for p in range(len(tokens) - size + 1):
+                    if tokens[p] == want[a] and tokens[p : p + size] == want[a : a + size] and (not exact or values[p : p + size] == slots[a : a + size]):
+                        hits.append((p - a, a, slots[a : a + size], values[p : p + size]))
             best = 0
-            for start in range(-len(want), len(tokens)):
-                hit = [a for a in good if start + a >= 0 and tokens[start + a : start + a + size] == want[a : a + size]]
-                pairs = {(slots[i], values[start + i]) for a in hit for i in range(a, a + size) if slots[i]}
-                if hit and len(pairs) == len({p for p, _ in pairs}) == len({q for _, q in pairs}):
-                    best = max(best, len(hit))
-            if good and best / len(good) >= share:
+            for shift in (0, d.DRIFT):
+                near = {}
+                for h in hits:
+                    near.setdefault((h[0] + shift) // (2 * d.DRIFT), []).append(h)
+                for group in near.values():
+                    honest = lambda h: all(v == f for v, f in zip(h[2], h[3]) if v)
+                    most = {}
+                    for start in sorted({h[0] for h in group}, key=lambda s: (-sum(h[0] == s for h in group), -sum(h[0] == s and honest(h) for h in group), s)):
+                        votes = Counter((v, f) for h in group if h[0] == start for v, f in zip(h[2], h[3]) if v)
+                        for v in {v for v, _ in votes} - set(most):
+                            most[v] = max((n, f) for (x, f), n in votes.items() if x == v)[1]
+                    fits = [h for h in group if all(most[v] == f for v, f in zip(h[2], h[3]) if v)]
+                    matched = len({a for _, a, _, _ in fits})
+                    same = sorted((h[0], h[1]) for h in group if honest(h))
+                    longest = max((len(list(g)) + good[0][1] - 1 for _, g in groupby(enumerate(same), lambda x: (x[1][0], x[1][1] - x[0]))), default=0)
+                    if matched / len(good) >= share or longest >= verbatim:
+                        best = max(best, matched)
+            if best:
                 out.add((doc, item, best))
     return out
 
@@ -64,6 +94,42 @@ def test_documents_match_brute_force(spark):
     docs, items = (table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "benchmark"))
     small = items.limit(12)
     plain = [(r.doc_id, r.text) for r in docs.collect()]
-    assert found(d.contaminated(docs, small)) == brute([x for x in plain if len(x[1]) < 4000], [(r.item_id, r.text) for r in small.collect()]) | {
-        x for x in found(d.contaminated(docs, small)) if x[0] in {i for i, t in plain if len(t) >= 4000}
-    }
+    assert found(d.contaminated(docs, small)) == brute(plain, [(r.item_id, r.text) for r in small.collect()])
+
+
+LISTS = [
+    (1, "Alice Smith, Bob Jones, Carol White, Dave Brown, Erin Black"),
+    (2, "What is 12 + 7 * 3 - 4 / 2?"),
+    (3, "Capital Of France: Paris. Capital Of Spain: Madrid."),
+    (None, "the slow green turtle walks under the busy bridge near an old mill pond today"),
+    (5, "Mr. Lee pays 5 dollars for 3 pounds of rice and 2 pounds of beans; how much does Mr. Lee pay for 8 pounds of rice alone?"),
+    (6, " ".join(f"long{i}" for i in range(60))),
+]
+
+
+def test_items_of_names_and_numbers_and_parts_of_items(spark):
+    docs = [(10 + i, f"before it {t} and after") for i, t in LISTS if i] + [
+        (20, "Someone: Alice Smith, Bob Jones, Carol White, Dave Brown, Erin Green"),
+        (21, "What is 13 + 8 * 4 - 5 / 3?"),
+        (22, "Mrs. Van Der Berg pays 40 dollars for 3 pounds of rice and 20 pounds of beans; how much does Mrs. Van Der Berg pay for 80 pounds of rice alone?"),
+        (23, "Mr. Lee pays 5 dollars for 5 pounds of rice and 5 pounds of beans; how much does Mr. Lee really pay for 8 pounds of rice alone?"),
+        (24, "see " + " ".join(f"long{i}" for i in range(20, 46)) + " here"),
+        (25, "see " + " ".join(f"long{i}" for i in range(20, 31)) + " here"),
+        (26, LISTS[3][1]),
+        (27, "Kim pays for rice and beans"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(LISTS, "item_id long, text string")
+    got = found(d.contaminated(df, items))
+    assert got == brute(docs, LISTS)
+    pairs = {(a, b) for a, b, _ in got}
+    assert {(11, 1), (12, 2), (13, 3), (15, 5), (16, 6), (22, 5), (23, 5), (24, 6), (26, None)} <= pairs
+    assert not pairs & {(21, 2), (25, 6), (27, 5)}
+
+
+def test_one_odd_slot_does_not_reject_an_alignment():
+    row = lambda at, values, found: {"start": 0, "at": at, "values": values, "found": found}
+    windows = [row(0, ["a", ""], ["x", ""]), row(1, ["", "a"], ["", "x"]), row(2, ["a", ""], ["y", ""]), row(3, ["b", ""], ["x", ""])]
+    assert d.judge(windows) == (3, 0, False)
+    assert d.judge([row(0, ["a", ""], ["a", ""]), row(1, ["", ""], ["", ""])]) == (2, 3, True)
+    assert d.canonicalise("New York has twenty five parks, Ann")[1] == ["new york", "", "twenty five", "", "ann"]
