@@ -6,19 +6,21 @@ Rates r >= 0 then minimise the squared distance between the expected domain tota
 all tokens, p: posterior) and the targets, starting from r = 1. A step moves every rate against the gradient
 p_i . (G^-1 residual), G the Gram matrix of the posteriors, and projects it on r >= 0. As a rate is a function of
 its document's posterior and the residuals so far, a step is one aggregation that returns one number a domain.
-If the residual is not below the tolerance after ``steps`` steps, proximal Newton steps on the dual go on from
-there, which have the same form, until it is or no longer falls: targets that no rates can meet are met as nearly
-as possible, with a warning that gives the residual left.
+If the residual is not below the tolerance after ``steps`` steps, or grows, proximal Newton steps on the dual go on from
+the best one, which have the same form, until it is or no longer falls: targets that no rates can meet are met as nearly
+as possible, with a warning that gives the residual left. Texts are read and scored once.
 
 Defined results: a null or empty text has no tokens and the prior as its posterior; ids labelled more than once
-count each label; domains without labelled rows get no target; with no labels at all every rate is 1; repeated
-rows each return a row; an empty table returns no rows; other columns are not read.
+count each label; domains without labelled rows get no target; with no labels at all every rate is 1 and posteriors are
+empty; repeated rows each return a row; an empty table returns no rows; other columns are passed on, but those named
+tokens, p or rate, which are replaced.
 """
 
 from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,21 +90,21 @@ def with_posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], sharp
             for w in _words_of(batch, text_at):
                 x = prior + (sharp * logs[:, w].mean(axis=1, dtype=np.float64) if len(w) else 0.0)
                 sizes.append(len(w))
-                p.append(np.exp(x - np.logaddexp.reduce(x)).tolist())
+                p.append(np.exp(x - np.logaddexp.reduce(x)).tolist() if len(x) else [])
             extra = [pa.array(sizes, pa.int64()), pa.array(p, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _moved(rate, y: np.ndarray):
+    """A rate after one step, projected on r >= 0."""
+    return F.greatest(F.lit(0.0), rate - sum((F.col("p")[i] * float(v) for i, v in enumerate(y)), F.lit(0.0)))
+
+
 def _rate(history: list[np.ndarray]):
-    """The rate of a document after the steps so far: each moves it and projects it on r >= 0."""
-    rate = F.lit(1.0)
-    if not history:
-        return rate
-    steps = F.array(*[F.array(*[F.lit(float(v)) for v in y]) for y in history])
-    dot = lambda y: F.aggregate(F.zip_with("p", y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return F.aggregate(steps, rate, lambda r, y: F.greatest(F.lit(0.0), r - dot(y)))
+    """The rate of a document after the steps so far."""
+    return reduce(_moved, history, F.lit(1.0))
 
 
 def finish(rows: DataFrame, want: np.ndarray, tolerance: float, rounds: int = 30) -> tuple[list[np.ndarray], np.ndarray]:
@@ -117,12 +119,9 @@ def finish(rows: DataFrame, want: np.ndarray, tolerance: float, rounds: int = 30
     if not all_tokens:
         return [], np.zeros(k)
 
-    def moved(rate, y: np.ndarray):
-        return F.greatest(F.lit(0.0), rate - sum((F.col("p")[i] * float(v) for i, v in enumerate(y)), F.lit(0.0)))
-
     def at(rate, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """(half the squared rates, totals, Gram matrix of the rows with a rate above zero) after y."""
-        read = rows.select("tokens", "p", moved(rate, y).alias("r"))
+        read = rows.select("tokens", "p", _moved(rate, y).alias("r"))
         t = F.col("tokens") / all_tokens
         sums = [F.sum(t * F.col("r") * F.col("p")[i]) for i in range(k)]
         gram = [F.sum(F.when(F.col("r") > 0, t * F.col("p")[i] * F.col("p")[j]).otherwise(0.0)) for i, j in pairs]
@@ -156,7 +155,7 @@ def finish(rows: DataFrame, want: np.ndarray, tolerance: float, rounds: int = 30
                 size /= 2
             y = tried
         history.append(y)
-        rate = moved(rate, y)
+        rate = _moved(rate, y)
     raise RuntimeError(f"rates did not settle in {rounds} rounds; residual {got - want}")
 
 
@@ -168,43 +167,50 @@ def mix(
     steps: int = 30,
     tolerance: float = 1e-6,
     max_rows: int = 16_000,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Rows of docs with tokens, p and rate: expected domain totals of tokens * rate * p match the targets.
+    """Rows of docs (its columns named by keep, or all) with tokens, p and rate: expected domain totals of tokens * rate * p
+    match the targets.
 
     labels: (doc_id, domain). targets: domain -> weight, of those that have labelled rows; they are scaled to sum
     to 1, and the mix keeps the number of tokens of docs.
     """
-    labels = labels.filter("doc_id is not null and domain is not null")
-    present = {r.domain for r in labels.select("domain").distinct().collect()}
-    domains = sorted(d for d in targets if d in present)
+    keep = [c for c in keep or docs.columns if c not in ("tokens", "p", "rate")]
+    labels = labels.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(list(targets)))
+    domains = sorted(r.domain for r in labels.select("domain").distinct().collect())
+    model = fit(docs, labels, domains, max_rows) if domains else (np.zeros((0, BUCKETS), np.float32), np.zeros(0))
+    rows = docs.drop("tokens", "p", "rate")
+    scored = materialize(with_posteriors(rows, model, sharp).select(*keep, "tokens", "p"))
     if not domains:
-        return docs.withColumns({"tokens": F.lit(0).cast("long"), "p": F.array().cast("array<double>"), "rate": F.lit(1.0)})
-    model = fit(docs, labels, domains, max_rows)
-    scored = with_posteriors(docs, model, sharp)
-    # The steps read tokens and posteriors only; texts are scored once more for the result rather than written.
-    rows = materialize(scored.select("tokens", "p"))
+        return scored.withColumn("rate", F.lit(1.0))
     k = len(domains)
     want = np.array([targets[d] for d in domains])
     want = want / want.sum()
 
-    def totals(rate) -> tuple[np.ndarray, float]:
-        sums = [F.sum(F.col("tokens") * rate * F.col("p")[i]) for i in range(k)]
-        *out, all_tokens = rows.agg(*sums, F.sum("tokens")).first()
-        return np.array([x or 0.0 for x in out]), float(all_tokens or 0)
+    def totals(history: list[np.ndarray]) -> np.ndarray:
+        read = scored.select("tokens", "p", _rate(history).alias("r"))
+        out = read.agg(*[F.sum(F.col("tokens") * F.col("r") * F.col("p")[i]) for i in range(k)]).first()
+        return np.array([x or 0.0 for x in out]) / tokens
 
-    gram = rows.agg(*[F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]).first()
+    gram = [F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
+    tokens, *gram = (float(x or 0) for x in scored.agg(F.sum("tokens"), *gram).first())
+    if not tokens:
+        return scored.withColumn("rate", F.lit(1.0))
+    inverse = np.linalg.inv(np.array(gram).reshape(k, k) / tokens + 1e-9 * np.eye(k))
     history: list[np.ndarray] = []
-    settled = False
+    best, left = 0, np.inf
     for _ in range(steps):
-        got, tokens = totals(_rate(history))
-        residual = got / tokens - want if tokens else np.zeros(k)
-        settled = np.abs(residual).max() < tolerance
-        if settled:
+        residual = totals(history) - want
+        if np.abs(residual).max() >= left:  # a step that gains nothing ends the descent
+            break
+        best, left = len(history), np.abs(residual).max()
+        if left < tolerance:
             break
-        g = np.array([x or 0.0 for x in gram]).reshape(k, k) / tokens
-        history.append(np.linalg.solve(g + 1e-9 * np.eye(k), residual))
-    if not settled:
-        more, residual = finish(materialize(rows.withColumn("rate", _rate(history))), want, tolerance)
+        history.append(inverse @ residual)
+    history = history[:best]
+    if left >= tolerance:
+        start = materialize(scored.select("tokens", "p", _rate(history).alias("rate")))
+        more, residual = finish(start, want, tolerance)
         history += more
         if np.abs(residual).max() >= tolerance:
             warnings.warn(f"no rates meet the targets of {domains}; residual {residual.tolist()}", stacklevel=2)

@@ -25,7 +25,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = corpus_pipeline.domains(table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, labels, corpus_pipeline.TARGETS).select("doc_id", "tokens", "p", "rate")
+    return mixing.mix(docs, labels, corpus_pipeline.TARGETS, keep=["doc_id"])
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,35 @@ def test_targets_out_of_reach_are_met_as_nearly_as_possible(spark):
     steps, residual = mixing.finish(rows, np.array([0.9, 0.1]), 1e-6)
     best = (0.9 * 0.6 + 0.1 * 0.4) / (0.6**2 + 0.4**2)
     assert steps and np.allclose(residual, [0.6 * best - 0.9, 0.4 * best - 0.1], atol=1e-5)
+
+
+def brute_posteriors(docs, labels, domains, sharp):
+    """Naive Bayes over hashed words, counted in plain Python."""
+    said = [(d, (mixing.word_hashes(t) % mixing.BUCKETS).astype(int).tolist()) for d, t in docs]
+    counts = {k: np.ones(mixing.BUCKETS) for k in domains}
+    for d, k in labels:
+        for at, words in said:
+            if at == d:
+                np.add.at(counts[k], words, 1)
+    prior = np.array([1.0 + sum(k == x for _, x in labels) for k in domains])
+    out = []
+    for _, words in said:
+        logs = [np.mean([np.log(counts[k][w] / counts[k].sum()) for w in words]) if words else 0.0 for k in domains]
+        p = np.exp(np.log(prior / prior.sum()) + sharp * np.array(logs))
+        out.append((len(words), p / p.sum()))
+    return out
+
+
+def test_posteriors_and_columns_against_plain_python(spark):
+    rng = np.random.default_rng(1)
+    docs = [(i, " ".join(f"x{j}" for j in rng.integers(0, 12, 30) + 6 * (i % 3))) for i in range(30)] + [(90, None), (91, "")]
+    labels = [(i, f"d{i % 3}") for i in range(20)] + [(4, "d2")]
+    df = spark.createDataFrame([(*d, -1, "p", 2.0) for d in docs], "doc_id long, text string, tokens int, p string, rate double")
+    known = spark.createDataFrame(labels, "doc_id long, domain string")
+    got = mixing.mix(df, known, {"d0": 0.2, "d1": 0.3, "d2": 0.5}).orderBy("doc_id").collect()
+    want = brute_posteriors(docs, labels, ["d0", "d1", "d2"], 20.0)
+    assert [r.tokens for r in got] == [n for n, _ in want] and np.allclose([r.p for r in got], [p for _, p in want], atol=1e-4)
+    assert np.allclose(totals(got), [0.2, 0.3, 0.5], atol=1e-5)
+    none = mixing.mix(df, known.limit(0), {"d0": 1.0}, keep=["doc_id"]).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.tokens, r.p, r.rate) for r in none] == [(d, n, [], 1.0) for (d, _), (n, _) in zip(docs, want)]
+    assert mixing.mix(df.filter("doc_id >= 90"), known, {"d0": 1.0}).count() == 2
