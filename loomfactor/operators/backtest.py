@@ -1,53 +1,68 @@
-"""A long-only top-quantile portfolio on a dense panel (t, trade_date, code, f, close), f NULL where missing."""
+"""A long-only top-quantile portfolio on a dense panel (t, trade_date, code, f, close), f NULL where missing.
+
+A panel, and all that follows from it, may carry factor_id and top_pct: each pair of them is a portfolio of its own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomfactor.operators.panel import by_code
+KEYS = ("factor_id", "top_pct")
+
+
+def keys(rows: DataFrame) -> list[str]:
+    return [k for k in KEYS if k in rows.columns]
+
 
+def by_code(rows: DataFrame) -> Window:
+    return Window.partitionBy(*keys(rows), "code").orderBy("t")
 
-def top_weights(panel: DataFrame, top: float, every: int = 5, direction: int = 1) -> DataFrame:
+
+def top_weights(panel: DataFrame, top: float | Column, every: int = 5, direction: int = 1) -> DataFrame:
     """panel with w: on each ``every``-th calendar row the best names share the weight, in between and on days
     without any value the last weights stay."""
     turn = F.pmod(F.col("t") - 1, F.lit(every)) == 0
-    same = Window.partitionBy("trade_date", F.col("f").isNull())
-    day = Window.partitionBy("trade_date")
-    n = F.count("f").over(day)
+    own = [*keys(panel), "trade_date"]
+    same = Window.partitionBy(*own, F.col("f").isNull())
+    n = F.count("f").over(Window.partitionBy(*own))
     k = F.greatest(F.lit(1), F.floor(n * top))
     place = F.row_number().over(same.orderBy((F.col("f") * direction).desc(), "code"))
     fresh = F.when(turn & (n > 0), F.when(F.col("f").isNotNull() & (place <= k), 1.0 / k).otherwise(0.0))
-    held = F.last("_w", ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
+    held = F.last("_w", ignorenulls=True).over(by_code(panel).rowsBetween(Window.unboundedPreceding, 0))
     return panel.withColumn("_w", fresh).withColumn("w", F.coalesce(held, F.lit(0.0))).drop("_w")
 
 
 def returns(weighted: DataFrame, fee_bps: float = 10.0, slip_bps: float = 5.0) -> DataFrame:
-    """(t, trade_date, gross, turnover, net), dated by the day on which the return is earned; the last row has none."""
-    nxt = F.lead("close").over(by_code())
-    earned = F.coalesce(F.when(F.col("close") != 0, F.col("w") * (nxt / F.col("close") - 1)), F.lit(0.0))
-    change = F.abs(F.lead("w").over(by_code()) - F.col("w"))
-    rows = weighted.withColumns({"_g": earned, "_c": change, "_d": F.lead("trade_date").over(by_code())}).filter("_d is not null")
-    daily = rows.groupBy("t", F.col("_d").alias("trade_date")).agg(F.sum("_g").alias("gross"), F.sum("_c").alias("turnover"))
+    """(keys, t, trade_date, gross, turnover, net), dated by the day on which the return is earned; the last row has none."""
+    own = by_code(weighted)
+    earned = F.coalesce(F.when(F.col("close") != 0, F.col("w") * (F.lead("close").over(own) / F.col("close") - 1)), F.lit(0.0))
+    change = F.abs(F.lead("w").over(own) - F.col("w"))
+    rows = weighted.withColumns({"_g": earned, "_c": change, "_d": F.lead("trade_date").over(own)}).filter("_d is not null")
+    daily = rows.groupBy(*keys(weighted), "t", F.col("_d").alias("trade_date")).agg(F.sum("_g").alias("gross"), F.sum("_c").alias("turnover"))
     return daily.withColumn("net", F.col("gross") - F.col("turnover") * (fee_bps + slip_bps) / 1e4)
 
 
 def equity(daily: DataFrame) -> DataFrame:
-    """daily with equity, the product of 1 + net so far. One row per date."""
-    order = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.withColumn("equity", F.exp(F.sum(F.log1p("net")).over(order)))
+    """daily with equity, the product of 1 + net so far, whatever the signs: 0 from a total loss on. A portfolio has one
+    row a date; without keys the curve is one portfolio's."""
+    order = Window.partitionBy(*keys(daily)).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    grown = 1 + F.col("net")
+    size = F.exp(F.sum(F.when(grown != 0, F.ln(F.abs(grown)))).over(order))
+    sign = F.when(F.pmod(F.count_if(grown < 0).over(order), F.lit(2)) == 1, -1.0).otherwise(1.0)
+    return daily.withColumn("equity", F.when(F.count_if(grown == 0).over(order) > 0, 0.0).otherwise(sign * size))
 
 
 def stats(daily: DataFrame, train_end: str, test_start: str) -> DataFrame:
-    """One row: total return, drawdown and win rate of all days; yearly figures of the training days; test figures."""
-    order = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    """One row a portfolio: total return, drawdown and win rate of all days; yearly figures of the training days; test figures."""
+    order = Window.partitionBy(*keys(daily)).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     curve = equity(daily)
     curve = curve.withColumn("peak", F.greatest(F.max("equity").over(order), F.lit(1.0)))
     train, test = F.when(F.col("trade_date") <= train_end, F.col("net")), F.when(F.col("trade_date") >= test_start, F.col("net"))
     year = lambda x: F.avg(x) * 252
     vol = lambda x: F.stddev_pop(x) * F.sqrt(F.lit(252.0))
-    out = curve.agg(
+    out = curve.groupBy(*keys(daily)).agg(
         (F.max_by("equity", "t") - 1).alias("total_return"),
         F.min(F.col("equity") / F.col("peak") - 1).alias("max_drawdown"),
         F.avg((F.col("net") > 0).cast("double")).alias("win_rate"),
@@ -61,13 +76,14 @@ def stats(daily: DataFrame, train_end: str, test_start: str) -> DataFrame:
     return out.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("ann_return") / -F.col("max_drawdown")))
 
 
-def run(panel: DataFrame, factors: dict[str, int], tops: tuple[float, ...] = (0.05, 0.10), **options) -> DataFrame:
-    """(factor_id, top_pct, t, trade_date, gross, turnover, net) of a wide panel with a column for each factor."""
-    out = None
-    for name, direction in factors.items():
-        cells = panel.select("t", "trade_date", "code", F.col(name).alias("f"), "close")
-        for top in tops:
-            one = returns(top_weights(cells, top, direction=direction), **options)
-            one = one.select(F.lit(name).alias("factor_id"), F.lit(top).alias("top_pct"), *one.columns)
-            out = one if out is None else out.unionByName(one)
-    return out
+def directions(summary: DataFrame) -> DataFrame:
+    """(factor_id, direction): 1 where the mean rank IC is not negative, else -1, also where there is none."""
+    return summary.select("factor_id", F.when(F.col("mean_rank_ic") >= 0, 1).otherwise(-1).alias("direction"))
+
+
+def run(long: DataFrame, summary: DataFrame, tops: tuple[float, ...] = (0.05, 0.10), every: int = 5, **costs: float) -> DataFrame:
+    """(factor_id, top_pct, t, trade_date, gross, turnover, net) of all factors of a long panel (factor_id, t, trade_date,
+    code, f, close) that have a row in summary, which is a row a factor, in the direction of their rank IC."""
+    told = long.join(F.broadcast(directions(summary)), "factor_id").withColumn("f", F.col("f") * F.col("direction"))
+    cells = told.select("factor_id", F.explode(F.array(*[F.lit(t) for t in tops])).alias("top_pct"), "t", "trade_date", "code", "f", "close")
+    return returns(top_weights(cells, F.col("top_pct"), every), **costs)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomfactor.operators.metrics import daily
 from loomfactor.operators.panel import forward_return
 
 
@@ -30,3 +31,11 @@ def loss(panel: DataFrame, cleaned: DataFrame) -> float:
 def quantile_returns(cleaned: DataFrame) -> DataFrame:
     periods = [c for c in cleaned.columns if c.startswith("period_")]
     return cleaned.groupBy("factor_quantile").agg(*[F.avg(c).alias(f"mean_{c}") for c in periods], F.count("*").alias("n"))
+
+
+def ic_by_period(cleaned: DataFrame) -> DataFrame:
+    """(trade_date, period, ic) of a clean table: rank correlation, shared ties, of the factor with each forward return."""
+    periods = [c for c in cleaned.columns if c.startswith("period_")]
+    long = cleaned.unpivot(["trade_date", "code", "factor"], periods, "expr_id", "fwd")
+    long = long.withColumns({"f": F.col("factor"), "t": F.lit(0)})
+    return daily(long, "average").select("trade_date", F.col("expr_id").alias("period"), F.col("rank_ic").alias("ic"))

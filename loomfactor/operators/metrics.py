@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +45,67 @@ def daily(long: DataFrame, ranks: str = "ordinal") -> DataFrame:
     )
 
 
+def cells(column: pa.ChunkedArray) -> np.ndarray:
+    """Doubles, NaN where missing."""
+    return column.combine_chunks().to_numpy(zero_copy_only=False).astype(float)
+
+
+def percentiles(x: np.ndarray) -> np.ndarray:
+    """Ordinal percentiles of the values of one date, ties in the order of the rows; NaN where missing."""
+    order = np.argsort(x, kind="stable")  # NaN last
+    n = int((~np.isnan(x)).sum())
+    out = np.full(len(x), np.nan)
+    out[order[:n]] = np.arange(1, n + 1) / max(n, 1)
+    return out
+
+
+def _correlation(x: np.ndarray, y: np.ndarray) -> float:
+    """As corr() in daily() for ordinal ranks."""
+    if len(x) < 10:
+        return np.nan
+    a, b = x - x.mean(), y - y.mean()
+    spread = np.sqrt((a * a).mean()) * np.sqrt((b * b).mean())
+    return (a * b).mean() / spread if len(x) * spread > 1e-10 else np.nan
+
+
+#: Expressions that are scored together for a date.
+BLOCK = 16
+
+
+def daily_of_many(wide: DataFrame, names: list[str]) -> DataFrame:
+    """daily() of a wide frame (t, trade_date, code, fwd, one column for each expression) with ordinal ranks. In long form
+    each expression would sort every date twice; here a date's cross-section of some expressions is one Arrow table, and
+    the returns are sorted once for them. A cross-section is the codes listed on a date."""
+    blocks = [names[i : i + BLOCK] for i in range(0, len(names), BLOCK)]
+    pad = lambda b: F.array(*[F.col(c) for c in b], *[F.lit(None).cast("double")] * (BLOCK - len(b)))
+    rows = wide.select("t", "trade_date", "code", "fwd", F.posexplode(F.array(*[pad(b) for b in blocks])).alias("b", "x"))
+
+    def score(key: tuple, table: pa.Table) -> pa.Table:
+        t, day, b = (k.as_py() for k in key)
+        table = table.take(pc.sort_indices(table["code"]))
+        fwd, x = cells(table["fwd"]), cells(pa.chunked_array([table["x"].combine_chunks().flatten()])).reshape(-1, BLOCK)
+        by_return, priced = np.argsort(fwd, kind="stable"), ~np.isnan(fwd)
+        out = []
+        for i, name in enumerate(blocks[b]):
+            f = x[:, i]
+            known = ~np.isnan(f)
+            ok = known & priced
+            pairs = int(ok.sum())
+            ic, rank_ic = _correlation(f[ok], fwd[ok]), np.nan
+            if pairs >= 10:
+                places = np.empty((2, len(f)))
+                for k, order in enumerate((np.argsort(f, kind="stable"), by_return)):
+                    places[k, order[ok[order]]] = np.arange(1, pairs + 1)
+                rank_ic = _correlation(places[0, ok], places[1, ok])
+            out.append((name, t, day, len(f), int(known.sum()), pairs, ic, rank_ic))
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(c, k, from_pandas=True) for c, k in zip(zip(*out), kinds)], [*DAY, "cells", "n", "pairs", "ic", "rank_ic"])
+
+    return rows.groupBy("t", "trade_date", "b").applyInArrow(
+        score, "expr_id string, t int, trade_date string, cells long, n long, pairs long, ic double, rank_ic double"
+    )
+
+
 def daily_ic(long: DataFrame, ranks: str = "ordinal") -> DataFrame:
     """(expr_id, t, trade_date, ic, rank_ic) of the days with pairs."""
     return daily(long, ranks).filter("pairs > 0").select(*DAY, "ic", "rank_ic")
@@ -60,7 +124,11 @@ def _ratio(mean: Column, sd: Column) -> Column:
 def summary(long: DataFrame, least: int = 30, train_end: str | None = None, test_start: str | None = None, ranks: str = "ordinal") -> DataFrame:
     """One row per expression: coverage, usable days, IC and rank IC with their ratios, for all days and for the
     training and test days, and the score."""
-    days = daily(long, ranks)
+    return summarise(daily(long, ranks), least, train_end, test_start)
+
+
+def summarise(days: DataFrame, least: int = 30, train_end: str | None = None, test_start: str | None = None) -> DataFrame:
+    """summary() of the rows of daily() or daily_of_many()."""
     usable = F.col("n") >= least
     train = F.col("trade_date") <= F.lit(train_end) if train_end else F.lit(False)
     test = F.col("trade_date") >= F.lit(test_start) if test_start else F.lit(False)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from math import sqrt
+from math import log, sqrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,24 +116,55 @@ def _so_far(at: int = 0) -> Window:
     return by_code().rowsBetween(Window.unboundedPreceding, at)
 
 
+#: Weights of the moving average are kept as exponents; a code's rows are cut into stretches over which the weight of the
+#: oldest value falls by no more than this exponent, so that nothing overflows however long the panel is.
+STRETCH = 500.0
+
+
 def _ema_decay(a, w, p) -> Column:
     """Log of the weight that older values keep at an observation: (1-alpha)^gap against the new value's alpha."""
     alpha = 2.0 / (w + 1)
     before = p.hold("last t", F.last(F.when(a[0].isNotNull(), F.col("t")), ignorenulls=True).over(_so_far(-1)))
-    old = F.pow(F.lit(1 - alpha), (F.col("t") - before).cast("double"))
-    return F.when(a[0].isNotNull(), F.coalesce(F.ln(old / (old + alpha)), F.lit(0.0)))
+    fall = (F.col("t") - before).cast("double") * F.lit(log(1 - alpha))
+    return F.when(a[0].isNotNull(), F.coalesce(fall - F.ln(F.exp(fall) + alpha), F.lit(0.0)))
 
 
 def _ema_level(a, w, p) -> Column:
     return p.hold("log weight", F.sum(p.earlier[0]).over(_so_far()))
 
 
-def _ema(a, w, p) -> Column:
+def _stretch(level: Column) -> Column:
+    return F.floor(-level / STRETCH)
+
+
+def _in_stretch(level: Column) -> Column:
+    """The level since the start of its stretch."""
+    return level + STRETCH * _stretch(level)
+
+
+def _ema_local(a, w, p) -> Column:
+    """The average of the values of the own stretch alone, at the weights they have in the whole."""
     decay, level = p.earlier
     # The first observation has decay 0 and no older value to share with: its weight is 1.
     weight = F.when(decay == 0, 1.0).otherwise(1 - F.exp(decay))
-    total = p.hold("weighted", F.sum(weight * a[0] * F.exp(-level)).over(_so_far()))
-    return F.when(p.hold("seen", F.count(a[0]).over(_so_far())) >= w, F.exp(level) * total)
+    own = Window.partitionBy("code", _stretch(level)).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    return F.exp(_in_stretch(level)) * p.hold("weighted", F.sum(weight * a[0] * F.exp(-_in_stretch(level))).over(own))
+
+
+def _ema_end(a, w, p) -> Column:
+    """The local average at the last row of a stretch."""
+    _, level, local = p.earlier
+    after = p.hold("next stretch", F.lead(_stretch(level)).over(Window.partitionBy("code").orderBy(_stretch(level), "t")))
+    return F.when(after > _stretch(level), local)
+
+
+def _ema(a, w, p) -> Column:
+    """Values older than the stretch before have lost all weight: e^-500 is beyond the precision of a double."""
+    _, level, local, end = p.earlier
+    past = Window.partitionBy("code").orderBy(_stretch(level), "t").rowsBetween(Window.unboundedPreceding, -1)
+    older = p.hold("older", F.last(F.when(end.isNotNull(), F.struct(end.alias("y"), level.alias("l"))), ignorenulls=True).over(past))
+    value = local + F.coalesce(F.exp(level - older["l"]) * older["y"], F.lit(0.0))
+    return F.when(p.hold("seen", F.count(a[0]).over(_so_far())) >= w, value)
 
 
 def _pairs(a: list[Column]) -> tuple[Column, Column]:
@@ -198,7 +229,7 @@ OPS: dict[str, Op] = {
     "TsKurt": _full(_ts_kurt),
     "TsRank": _full(_ts_rank),
     "TsWMA": _full(_ts_wma),
-    "TsEMA": Op("rolling", (_ema_decay, _ema_level, _ema), True),
+    "TsEMA": Op("rolling", (_ema_decay, _ema_level, _ema_local, _ema_end, _ema), True),
     "TsCov": Op("pair", (_ts_cov,), True),
     "TsCorr": Op("pair", (_ts_corr,), True),
 }

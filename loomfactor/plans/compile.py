@@ -6,14 +6,15 @@ the same depth are built in the same select, so passes over the same partitionin
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.window import Window
-
 from loomfactor.functions.missing import clean
+from loomfactor.operators.metrics import cells, percentiles
 from loomfactor.operators.registry import OPS, Pass, rank_of
-from loomfactor.plans.expressions import Node, canonical
+from loomfactor.plans.expressions import Call, Const, Expr, Field, canonical
 
 
 class Compiler:
@@ -28,24 +29,24 @@ class Compiler:
         self.ranks: dict[int, dict[str, Column]] = {}
         self.names: dict[tuple, str] = {}
 
-    def add(self, node: Node) -> str:
-        """Plan a node and what it needs; returns its key."""
-        key = canonical(node)
-        if key in self.columns:
-            return key
-        if node.kind == "field":
-            self._put(key, clean(F.col(node.value).cast("double")), 0)
-        elif node.kind == "const":
-            self._put(key, F.lit(float(node.value)), 0)
-        else:
-            self._operator(key, node)
+    def add(self, expr: Expr) -> str:
+        """Plan an expression and what it needs; returns its key."""
+        key = canonical(expr)
+        if key not in self.columns:
+            match expr:
+                case Field(name):
+                    self._put(key, clean(F.col(name).cast("double")), 0)
+                case Const(value):
+                    self._put(key, F.lit(float(value)), 0)
+                case Call():
+                    self._operator(key, expr)
         return key
 
-    def _operator(self, key: str, node: Node) -> None:
-        op = OPS[node.value]
+    def _operator(self, key: str, call: Call) -> None:
+        op = OPS[call.op]
         timed = op.kind in ("rolling", "pair")
-        inputs = node.args[:-1] if timed else node.args
-        window = int(node.args[-1].value) if timed else 0
+        inputs = call.args[:-1] if timed else call.args
+        window = int(call.args[-1].value) if timed else 0
         keys = [self.add(a) for a in inputs]
         level = max(self.levels[k] for k in keys)
         if not op.windowed:
@@ -57,7 +58,7 @@ class Compiler:
         for step, build in enumerate(op.passes):
             level += 1
             own = ("value", key, step)
-            if node.value == "Rank":
+            if call.op == "Rank":
                 earlier.append(self._named(self.ranks, level, own, args[0]))
                 continue
             hold = lambda stat, c, at=level, k=tuple(keys): self._named(self.windows, at, (stat, window, k, at), c)
@@ -84,30 +85,27 @@ class Compiler:
         return panel
 
 
-#: So many ranks at one depth have a window each; more are ranked as one long column.
+#: So many ranks at one depth have a window each; more are ranked date by date.
 FEW_RANKS = 2
 
 
 def _rank_together(panel: DataFrame, ranks: dict[str, Column]) -> DataFrame:
-    """panel with an ordinal percentile for each input. Each would sort every date by itself; here the inputs become
-    one column, ranked in one window over (rank, date), and go back to their cells: two exchanges for any number.
-    The columns of the panel travel with the first of the ranks, so nothing is computed twice or joined."""
-    names = list(ranks)
-    kept = F.struct(*[F.col(c) for c in panel.columns])
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("x")) for i, x in enumerate(ranks.values())])
-    long = panel.select("t", "trade_date", "code", F.posexplode(cells).alias("i", "cell"), kept.alias("row"))
-    long = long.select("t", "trade_date", "code", "i", F.col("cell.x").alias("x"), F.when(F.col("i") == 0, F.col("row")).alias("row"))
-    same = Window.partitionBy("i", "trade_date", F.col("x").isNull())
-    place = F.row_number().over(same.orderBy("x", "code")) / F.count("*").over(same)
-    ranked = long.withColumn("r", F.when(F.col("x").isNotNull(), place))
-    back = ranked.groupBy("t", "code").agg(
-        F.first("row", ignorenulls=True).alias("row"),
-        F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("r"),
-    )
-    return back.select("row.*", *[F.try_element_at("r", F.lit(i)).alias(n) for i, n in enumerate(names)])
-
-
-def evaluate(panel: DataFrame, nodes: dict[str, Node], keep: list[str] = ()) -> DataFrame:
+    """panel with an ordinal percentile for each input. Each would sort every date by itself; here a date's cross-section
+    is one Arrow table whose columns are ranked in turn: one exchange for any number. A cross-section is the codes
+    listed on a date."""
+    inputs, names = panel.withColumns(ranks), list(ranks)
+
+    def rank(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["code"]))
+        for name in names:
+            at = table.schema.get_field_index(name)
+            table = table.set_column(at, name, pa.array(percentiles(cells(table[name])), from_pandas=True))
+        return table
+
+    return inputs.groupBy("trade_date").applyInArrow(rank, inputs.schema)
+
+
+def evaluate(panel: DataFrame, nodes: dict[str, Expr], keep: list[str] = ()) -> DataFrame:
     """(t, trade_date, code, keep..., one column for each named expression) of a dense panel."""
     compiler = Compiler()
     keys = {name: compiler.add(node) for name, node in nodes.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -10,10 +11,22 @@ from loomfactor.operators.registry import COMMUTE, OPS
 
 
 @dataclass(frozen=True)
-class Node:
-    kind: str  # field, const or op
-    value: str | float
-    args: tuple["Node", ...] = ()
+class Field:
+    name: str
+
+
+@dataclass(frozen=True)
+class Const:
+    value: float
+
+
+@dataclass(frozen=True)
+class Call:
+    op: str
+    args: tuple["Expr", ...]
+
+
+Expr = Field | Const | Call
 
 
 def _split(text: str) -> list[str]:
@@ -30,28 +43,29 @@ def _split(text: str) -> list[str]:
     return [p.strip() for p in parts]
 
 
-def parse(text: str) -> Node:
+def parse(text: str) -> Expr:
     text = text.strip()
     if text.startswith("$") and text[1:].isidentifier():
-        return Node("field", text[1:])
+        return Field(text[1:])
     head, bracket, tail = text.partition("(")
     if bracket and head.strip().isidentifier() and tail.endswith(")"):
-        return Node("op", head.strip(), tuple(parse(a) for a in _split(tail[:-1])))
+        return Call(head.strip(), tuple(parse(a) for a in _split(tail[:-1])))
     try:
-        return Node("const", float(text))
+        return Const(float(text))
     except ValueError:
         raise ValueError(f"PARSE_ERROR:{text}") from None
 
 
-def canonical(node: Node) -> str:
-    if node.kind == "field":
-        return f"${node.value}"
-    if node.kind == "const":
-        return f"{node.value:g}"
-    args = [canonical(a) for a in node.args]
-    if node.value in COMMUTE and len(args) == 2:
-        args.sort()
-    return f"{node.value}({','.join(args)})"
+def canonical(expr: Expr) -> str:
+    """The key of an expression. Constants are written in full: 10, 0.5, 1234567."""
+    match expr:
+        case Field(name):
+            return f"${name}"
+        case Const(value):
+            return str(int(value)) if value.is_integer() and abs(value) < 2**53 else repr(value)
+        case Call(op, args):
+            keys = [canonical(a) for a in args]
+            return f"{op}({','.join(sorted(keys) if op in COMMUTE and len(keys) == 2 else keys)})"
 
 
 @dataclass(frozen=True)
@@ -83,10 +97,10 @@ class Validator:
     windows: Iterable[int] = (10, 20, 30, 40, 50)
     limits: Limits = field(default_factory=Limits)
 
-    def check(self, node: Node) -> str:
-        """'OK', or the reason why an expression is refused."""
+    def check(self, expr: Expr) -> str:
+        """'OK', or the reason why an expression is refused. Reasons are fixed values."""
         try:
-            size = self._size(node)
+            size = self._size(expr)
         except ValueError as e:
             return str(e)
         for name in ("depth", "nodes", "ts_ops", "pair_ops", "binary_ops"):
@@ -94,37 +108,53 @@ class Validator:
                 return f"{name.upper()}_EXCEEDED:{getattr(size, name)}"
         return "OK"
 
-    def _size(self, node: Node) -> Size:
-        if node.kind == "const":
-            return Size(1, 1)
-        if node.kind == "field":
-            if node.value not in set(self.fields):
-                raise ValueError(f"UNKNOWN_FIELD:{node.value}")
-            return Size(1, 1)
-        op = OPS.get(str(node.value)) if node.kind == "op" else None
+    def _size(self, expr: Expr) -> Size:
+        match expr:
+            case Const():
+                return Size(1, 1)
+            case Field(name):
+                if name not in set(self.fields):
+                    raise ValueError(f"UNKNOWN_FIELD:{name}")
+                return Size(1, 1)
+            case Call():
+                return self._call(expr)
+        raise ValueError(f"UNKNOWN_NODE:{type(expr).__name__}")
+
+    def _call(self, call: Call) -> Size:
+        op = OPS.get(call.op)
         if op is None:
-            raise ValueError(f"UNKNOWN_OPERATOR:{node.value}" if node.kind == "op" else f"UNKNOWN_NODE:{node.kind}")
-        self._form(node, op.kind, op.arity)
+            raise ValueError(f"UNKNOWN_OPERATOR:{call.op}")
         timed = op.kind in ("rolling", "pair")
-        below = [self._size(a) for a in node.args if not (timed and a.kind == "const")]
+        self._form(call, timed, op.kind, op.arity)
+        # No constant of a rolling operator counts, be it the window or not.
+        below = [self._size(a) for a in call.args if not (timed and isinstance(a, Const))]
         inner = reduce(Size.__add__, below, Size())
-        self._inputs(node)
+        self._inputs(call)
         own = Size(0, 1, op.kind == "rolling", op.kind == "pair", op.kind == "binary")
         return Size(inner.depth + 1) + Size(0, *(getattr(inner + own, k) for k in ("nodes", "ts_ops", "pair_ops", "binary_ops")))
 
-    def _form(self, node: Node, kind: str, arity: int) -> None:
-        right = len(node.args) == arity
-        if kind in ("rolling", "pair"):
-            if not right or node.args[-1].kind != "const":
-                raise ValueError(f"{'PAIR_' * (kind == 'pair')}ROLLING_NEEDS_WINDOW:{node.value}")
-            if (w := int(node.args[-1].value)) not in set(self.windows):
-                raise ValueError(f"BAD_WINDOW:{node.value}:{w}")
+    def _form(self, call: Call, timed: bool, kind: str, arity: int) -> None:
+        right = len(call.args) == arity
+        if timed:
+            if not right or not isinstance(call.args[-1], Const):
+                raise ValueError(f"{'PAIR_' * (kind == 'pair')}ROLLING_NEEDS_WINDOW:{call.op}")
+            w = call.args[-1].value
+            if w not in set(self.windows):
+                raise ValueError(f"BAD_WINDOW:{call.op}:{int(w) if math.isfinite(w) else w}")
         elif not right:
-            raise ValueError(f"ARITY:{node.value}")
+            raise ValueError(f"ARITY:{call.op}")
 
-    def _inputs(self, node: Node) -> None:
+    def _inputs(self, call: Call) -> None:
         """Rules on what an operator may be applied to."""
-        if node.value == "Log" and node.args[0].value not in ("Abs", "SLog1p", "Greater"):
-            raise ValueError("LOG_INPUT_UNSAFE")
-        if node.value == "Pow" and (node.args[1].kind != "const" or node.args[1].value not in (0.5, 2.0, 3.0)):
-            raise ValueError("POW_ONLY_CONSTANT_0.5_2_3")
+        if call.op == "Log":
+            match call.args[0]:
+                case Call("Abs" | "SLog1p" | "Greater"):
+                    pass
+                case _:
+                    raise ValueError("LOG_INPUT_UNSAFE")
+        if call.op == "Pow":
+            match call.args[1]:
+                case Const(0.5 | 2.0 | 3.0):
+                    pass
+                case _:
+                    raise ValueError("POW_ONLY_CONSTANT_0.5_2_3")
