@@ -10,8 +10,8 @@ from loomfactor.operators.metrics import daily
 from loomfactor.operators.panel import forward_return
 
 
-def clean_factor(panel: DataFrame, periods: tuple[int, ...] = (1, 5, 10), quantiles: int = 5) -> DataFrame:
-    """(trade_date, code, factor, period_p..., factor_quantile): rows with the factor and all forward returns, by
+def clean_factor(panel: DataFrame, periods: tuple[int, ...] = (1, 5, 10), quantiles: int = 5, keep: list[str] = ()) -> DataFrame:
+    """(trade_date, code, factor, period_p..., factor_quantile, keep...): rows with the factor and all forward returns, by
     the date's quantile edges (linear interpolation, upper edge included)."""
     rows = panel.withColumns({f"period_{p}": forward_return(p) for p in periods})
     rows = rows.dropna(subset=["f", *[f"period_{p}" for p in periods]])
@@ -19,7 +19,7 @@ def clean_factor(panel: DataFrame, periods: tuple[int, ...] = (1, 5, 10), quanti
     edges = F.percentile("f", F.array(*cuts)).over(Window.partitionBy("trade_date"))
     rows = rows.withColumn("_edges", edges)
     quantile = 1 + F.size(F.filter("_edges", lambda e: F.col("f") > e))
-    return rows.select("trade_date", "code", F.col("f").alias("factor"), *[f"period_{p}" for p in periods], quantile.cast("int").alias("factor_quantile"))
+    return rows.select("trade_date", "code", F.col("f").alias("factor"), *[f"period_{p}" for p in periods], quantile.cast("int").alias("factor_quantile"), *keep)
 
 
 def loss(panel: DataFrame, cleaned: DataFrame) -> float:

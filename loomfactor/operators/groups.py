@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,3 +57,18 @@ def neutralise(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """rows with the value less its group mean, and its ratio to that mean."""
     mean = F.avg(value).over(Window.partitionBy(*by))
     return rows.withColumns({f"{value}_neutral": F.col(value) - mean, f"{value}_ratio": F.when(mean != 0, F.col(value) / mean)})
+
+
+def overall_rank(rows: DataFrame, value: str, tie: str, parts: int = 32) -> Column:
+    """Place of each row of a whole table by value, greatest first, NULLs last, ties in the order of tie. Rows are dealt to
+    ``parts`` stretches of the value and ranked inside each; the sizes of the stretches before are added."""
+    edges = sorted(set(rows.approxQuantile(value, [i / parts for i in range(1, parts)], 0.005)))
+    stretch = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>"), lambda e: e > F.col(value))), F.lit(parts + 1))
+    stretch = F.when(F.col(value).isNull(), parts + 1).otherwise(stretch)
+    sizes = rows.groupBy(stretch.alias("s")).agg(F.count("*").alias("n")).collect()  # at most parts + 1 rows
+    before, total = [], 0
+    for r in sorted(sizes):
+        before += [F.lit(r.s), F.lit(total)]
+        total += r.n
+    place = F.row_number().over(Window.partitionBy(stretch).orderBy(F.desc_nulls_last(value), tie))
+    return (place + (F.try_element_at(F.create_map(*before), stretch) if before else F.lit(0))).cast("long")

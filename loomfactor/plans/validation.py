@@ -47,6 +47,8 @@ def factor_panels(features: DataFrame, factors: DataFrame, config: Config) -> tu
         if told == "OK":
             trees[r.factor_id] = tree
     spark = features.sparkSession
+    if "industry" not in features.columns:
+        features = features.withColumn("industry", F.lit(None).cast("string"))
     fields = [f for f in config.fields if f in features.columns]
     panel = densify(features, [*fields, "close", "circ_mv"]).withColumn("fwd", forward_return(config.horizon))
     keep = ["fwd", "close", "circ_mv"]
@@ -81,11 +83,12 @@ def run(features: DataFrame, factors: DataFrame, config: Config, out: str) -> di
     found |= {"portfolio_summary": stats, "equity_curves": curve.select("factor_id", "top_pct", F.col("trade_date").alias("date"), "equity")}
     for name in first:
         cells = long.filter(F.col("factor_id") == name)
-        table = _written(diagnostics.clean_factor(cells.join(groups.industry_map(features).withColumnRenamed("industry", "group"), "code", "left")), f"{out}/clean/{name}")
+        table = _written(diagnostics.clean_factor(cells, keep=["industry"]), f"{out}/clean/{name}")
         if diagnostics.loss(cells, table) <= config.max_loss:
             found[f"quantile_returns_{name}"] = diagnostics.quantile_returns(table)
             found[f"ic_by_period_{name}"] = diagnostics.ic_by_period(table)
-    return {name: table if name in ("factor_metrics_summary",) else _written(table, f"{out}/{name}") for name, table in found.items()}
+    done = ("factor_metrics_summary",)
+    return {name: table if name in done else _written(table, f"{out}/{name}") for name, table in found.items()}
 
 
 def _written(table: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -12,8 +13,9 @@ from pyspark.sql.window import Window
 from loomfactor.functions.features import OTHER, PUBLIC, with_features
 from loomfactor.operators import backtest, diagnostics, groups, metrics
 from loomfactor.operators.panel import by_code, densify, forward_return
+from loomfactor.plans import mining
 from loomfactor.plans.compile import evaluate, long_form
-from loomfactor.plans.expressions import parse
+from loomfactor.plans.expressions import Call, Expr, parse
 from loomfactor.plans.grammar import enumerate_templates
 from loomfactor.sources import adapters, store, tables
 
@@ -28,7 +30,7 @@ TRAIN_END, TEST_START, LEAST = "19961231", "19970101", 10
 
 
 #: Single divisions, equal to the last bit on both sides, and a quotient of sums whose sixth decimal can tie.
-EXACT, FINE = {"close"}, {"amount_per_vol": 9}
+EXACT, FINE = {"close"}, {"amount_per_vol": 9, "m1": 2, "m2": 2}
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -580,10 +582,10 @@ select code, industry, round(score, 6) + 0.0::DOUBLE as score, row_number() over
 def _composite(spark, sf_dir):
     m = adapters.bars(spark, sf_dir).groupBy("code").agg((F.sum("net_mf_amount") / F.nullif(F.sum("amount"), F.lit(0.0))).alias("flow"), F.avg("volume_ratio").alias("vr"), F.max("circ_mv").alias("mv"))
     s = m.join(adapters.snapshot(spark, sf_dir), "code", "left").select("code", F.coalesce("industry", F.lit("UNKNOWN")).alias("industry"), F.coalesce("flow", F.lit(0.0)).alias("flow"), F.least("vr", F.lit(2.0)).alias("vr"), "mv")
-    s = s.withColumn("score", 0.5 * F.col("flow") + 0.5 * F.col("vr"))
-    place = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "code")).cast("long").alias(f"{c}_rank")
+    s = s.withColumn("score", 0.5 * F.col("flow") + 0.5 * F.col("vr")).persist()  # a row a code, read by every ranking
+    places = [groups.overall_rank(s, c, "code").alias(f"{c}_rank") for c in ("flow", "vr", "mv")]
     inside = F.row_number().over(Window.partitionBy("industry").orderBy(F.desc("score"), "code")).cast("long").alias("industry_rank")
-    return rounded(s.select("code", "industry", "score", place("flow"), place("vr"), place("mv"), inside))
+    return rounded(s.select("code", "industry", "score", *places, inside))
 
 
 @_q("d_neutralize", f"with {BARS}, {_SNAP} select code, trade_date, round(vol - avg(vol) over g, 6) + 0.0::DOUBLE as vol_neutral, round(vol / nullif(avg(vol) over g, 0), 6) as vol_ratio from feat join snap using (code) window g as (partition by trade_date, industry)")
@@ -618,14 +620,279 @@ def _top50(spark, sf_dir):
     return listed.select("trade_date", "code", place.alias("rn")).filter("rn <= 50")
 
 
-# ---- a batch of expressions --------------------------------------------------------------------------------------
+@_q("d_filter_top", f"with {BARS} select code, trade_date, close, round(ret_1d, 6) + 0.0::DOUBLE as ret_1d from feat where trade_date >= '19970101' and close > 1500 and ret_1d is not null order by ret_1d desc, code, trade_date limit 10")
+def _filter_top(spark, sf_dir):
+    rows = features(spark, sf_dir).filter("trade_date >= '19970101' and close > 1500 and ret_1d is not null")
+    return rounded(rows.orderBy(F.desc("ret_1d"), "code", "trade_date").limit(10).select("code", "trade_date", "close", "ret_1d"))
 
 
-@_q("mining_batch")
+@_q("d_industry_day", f"with {BARS}, {_SNAP} select code, name, industry, close, trade_date from feat join snap using (code) where trade_date = '19960301' and industry = 'ASIA'")
+def _industry_day(spark, sf_dir):
+    rows = adapters.bars(spark, sf_dir).filter("trade_date = '19960301'")
+    return rounded(rows.join(F.broadcast(adapters.snapshot(spark, sf_dir).filter("industry = 'ASIA'")), "code").select("code", "name", "industry", "close", "trade_date"))
+
+
+@_q("d_kline_day", f"with {BARS} select trade_date, open, high, low, close, vol, round(amount, 4) as amount from feat where code = '1' and trade_date between '19940101' and '19961231'")
+def _kline_day(spark, sf_dir):
+    rows = adapters.bars(spark, sf_dir).filter("code = '1' and trade_date between '19940101' and '19961231'")
+    return rows.select("trade_date", "open", "high", "low", "close", "vol", F.round("amount", 4).alias("amount"))
+
+
+@_q(
+    "d_kline_hour",
+    """select user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as trade_time, first(value order by ts, event_id) as open, max(value) as high, min(value) as low,
+  last(value order by ts, event_id) as close, count(*)::DOUBLE as vol from events
+where user_id = (select min(user_id) from events) and hour(ts) between 9 and 15 group by 1, 2""",
+)
+def _kline_hour(spark, sf_dir):
+    rows, order = adapters.read(spark, sf_dir, "events"), F.struct("ts", "event_id")
+    first = rows.agg(F.min("user_id").alias("user_id"))
+    rows = rows.filter(F.hour("ts").between(9, 15)).join(F.broadcast(first), "user_id", "left_semi")
+    bars = rows.groupBy("user_id", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("trade_time"))
+    return bars.agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count("*").cast("double").alias("vol"))
+
+
+@_q(
+    "d_adhoc_factors",
+    f"""with {BARS}, m as (select code, trade_date, close, close / lag(close, 20) over (partition by code order by trade_date) - 1 as mom_20, net_mf / nullif(amount, 0) as flow from feat)
+select code, trade_date, close, round(mom_20, 6) + 0.0::DOUBLE as mom_20, round(flow, 6) + 0.0::DOUBLE as flow from m where trade_date = '19961001' and code in ('1', '2', '3', '5', '8')""",
+)
+def _adhoc(spark, sf_dir):
+    """The window comes before the filter on the date: after it there would be nothing to lag."""
+    rows = adapters.bars(spark, sf_dir).filter(F.col("code").isin("1", "2", "3", "5", "8"))
+    own = Window.partitionBy("code").orderBy("trade_date")
+    cols = {"mom_20": F.col("close") / F.lag("close", 20).over(own) - 1, "flow": F.col("net_mf_amount") / F.nullif("amount", F.lit(0.0))}
+    return rounded(rows.withColumns(cols).filter("trade_date = '19961001'").select("code", "trade_date", "close", "mom_20", "flow"))
+
+
+# ---- long panels, groups that change, keys -----------------------------------------------------------------------
+
+
+@_q(
+    "const_keys",
+    f"with {PANEL} select t, code, round(y * 1234567, 2) as m1, round(y * 1234568, 2) as m2, round(case when y is not null then greatest(y, 3.1234567::DOUBLE) end, 6) as m3, "
+    "round(case when y is not null then greatest(y, 3.1234576::DOUBLE) end, 6) as m4 from p",
+)
+def _const_keys(spark, sf_dir):
+    base = panel(spark, sf_dir, (Y,)).withColumnRenamed(Y, "y")
+    exprs = {"m1": "Mul($y,1234567)", "m2": "Mul($y,1234568)", "m3": "Greater($y,3.1234567)", "m4": "Greater($y,3.1234576)"}
+    out = evaluate(base, {k: parse(e) for k, e in exprs.items()})
+    return rounded(out.select(F.col("t").cast("long").alias("t"), "code", *exprs))
+
+
+@_q(
+    "op_tsema_long",
+    """with recursive p as (
+  select t, c, case when (t * 13 + c) % 17 > 0 and not (c = 2 and t between 900 and 3100) then ((t * 37 + c * 101) % 997) / 997.0::DOUBLE end as x
+  from generate_series(1, 5000) a(t) cross join generate_series(1, 3) b(c)
+), r(t, c, y, seen, last) as (
+  select 0::BIGINT, c, null::DOUBLE, 0::BIGINT, null::BIGINT from generate_series(1, 3) b(c)
+  union all
+  select p.t, p.c, case when p.x is null then r.y when r.y is null then p.x
+      else (power(9.0::DOUBLE / 11, p.t - r.last) * r.y + 2.0::DOUBLE / 11 * p.x) / (power(9.0::DOUBLE / 11, p.t - r.last) + 2.0::DOUBLE / 11) end,
+    r.seen + (p.x is not null)::BIGINT, case when p.x is null then r.last else p.t end
+  from r join p on p.c = r.c and p.t = r.t + 1
+) select t, 'c' || c as code, round(case when seen >= 10 then y end, 6) as v from r where t > 0""",
+)
+def _ema_long(spark, sf_dir):
+    """Five thousand rows a code, one of them with a gap of two thousand: far beyond what one exponent can hold."""
+    grid = spark.range(1, 5001).select(F.col("id").alias("t")).crossJoin(spark.range(1, 4).select(F.col("id").alias("c")))
+    held = ((F.col("t") * 13 + F.col("c")) % 17 > 0) & ~((F.col("c") == 2) & F.col("t").between(900, 3100))
+    rows = grid.select("t", F.lpad(F.col("t").cast("string"), 8, "0").alias("trade_date"), F.concat(F.lit("c"), F.col("c")).alias("code"), F.when(held, ((F.col("t") * 37 + F.col("c") * 101) % 997) / 997.0).alias("x"))
+    return rounded(evaluate(rows, {"v": parse("TsEMA($x,10)")}).select("t", "code", "v"))
+
+
+@_q(
+    "rolling_ic_120",
+    """with d as (
+  select p_brand as code, datediff('day', date '1990-01-01', l_shipdate::date)::INTEGER as t, avg(l_quantity) as f, avg(l_linenumber) as fwd from lineitem join part on l_partkey = p_partkey group by 1, 2
+), k as (
+  select t, rank() over (partition by t order by f) + (count(*) over (partition by t, f) - 1) / 2.0 as a, rank() over (partition by t order by fwd) + (count(*) over (partition by t, fwd) - 1) / 2.0 as b from d
+), c as (select t, case when count(*) >= 10 and stddev_pop(a) * stddev_pop(b) > 0 then covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) end as ic from k group by t)
+select t, round(ic, 6) + 0.0::DOUBLE as rank_ic, round(case when row_number() over (order by t) > 120 and count(ic) over z >= 60 then avg(ic) over z end, 6) + 0.0::DOUBLE as rolling_120_rank_ic
+from c window z as (order by t rows between 120 preceding and 1 preceding)""",
+)
+def _rolling_120(spark, sf_dir):
+    part = adapters.read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("code"))
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    rows = adapters.read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    long = rows.groupBy("code", day.alias("t")).agg(F.avg("l_quantity").alias("f"), F.avg("l_linenumber").alias("fwd"))
+    long = long.withColumns({"expr_id": F.lit("quantity"), "trade_date": F.col("t").cast("string")})
+    return rounded(metrics.rolling_ic(long, (120,)).select("t", "rank_ic", "rolling_120_rank_ic"))
+
+
+@_q(
+    "industry_last",
+    """with r as (select cast(l_suppkey as varchar) as code, strftime(date_trunc('month', l_shipdate), '%Y%m%d') as d, max(case when l_quantity > 48 then l_returnflag || l_linestatus end) as industry from lineitem group by 1, 2)
+select code, coalesce(arg_max(industry, d) filter (industry is not null), 'UNKNOWN') as industry from r group by 1""",
+)
+def _industry_last(spark, sf_dir):
+    """Industries that change over time and are often missing: the last known one counts."""
+    month = F.date_format(F.date_trunc("month", "l_shipdate"), "yyyyMMdd").alias("trade_date")
+    told = F.max(F.when(F.col("l_quantity") > 48, F.concat("l_returnflag", "l_linestatus"))).alias("industry")
+    return groups.industry_map(adapters.read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("code"), month).agg(told))
+
+
+@_q(
+    "ic_by_period",
+    f"""with {SCORED}, k as (select trade_date, code, f, lead(close, 1) over o / close - 1 as period_1, lead(close, 5) over o / close - 1 as period_5, lead(close, 10) over o / close - 1 as period_10
+  from e window o as (partition by code order by t)), c as (select * from k where f is not null and period_1 is not null and period_5 is not null and period_10 is not null),
+l as (unpivot c on period_1, period_5, period_10 into name period value r), x as (
+  select trade_date, period, rank() over (partition by trade_date, period order by f) + (count(*) over (partition by trade_date, period, f) - 1) / 2.0 as a,
+    rank() over (partition by trade_date, period order by r) + (count(*) over (partition by trade_date, period, r) - 1) / 2.0 as b from l)
+select trade_date, period, round(case when count(*) >= 10 and stddev_pop(a) * stddev_pop(b) > 0 then covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) end, 6) + 0.0::DOUBLE as ic from x group by 1, 2""",
+)
+def _ic_by_period(spark, sf_dir):
+    return rounded(diagnostics.ic_by_period(diagnostics.clean_factor(scored(spark, sf_dir))))
+
+
+# ---- batches of expressions --------------------------------------------------------------------------------------
+
+
+def batch_sql(exprs: dict[str, Expr]) -> str:
+    """CTEs up to l (expr_id, t, trade_date, code, fwd, close, f), for expressions that are rolling operators over fields
+    with Rank, SLog1p, Sub and Div around them."""
+    ts: dict[str, str] = {}
+    lists, averages = set(), set()
+
+    def rolling(call: Call) -> str:
+        x, y = [a.name for a in call.args[:-1]] + [""] * (call.op not in ("TsCorr", "TsCov"))
+        if call.op in ("TsRank", "TsMad"):
+            lists.add(x)
+        if call.op == "TsEMA":
+            averages.add(x)
+            sql = f"case when k_{x} >= {W} then exp(l_{x}) * s_{x} end"
+        else:
+            sql = OP_SQL[call.op][1]
+            sql = re.sub(r"\bn = 10\b", "count(x) over w = 10", sql).replace("(a, lambda", f"(a_{x}, lambda")
+            sql = re.sub(r"\bx\b", x, re.sub(r"\by\b", y, sql) if y else sql)
+        return ts.setdefault(sql, f"c{len(ts)}")
+
+    ranks: dict[str, str] = {}
+
+    def value(e: Expr) -> str:
+        if e.op == "Rank":
+            return ranks.setdefault(rolling(e.args[0]), f"r{len(ranks)}")
+        if e.op == "SLog1p":
+            c = rolling(e.args[0])
+            return f"sign({c}) * ln(1 + abs({c}))"
+        a, b = (value(x) for x in e.args)
+        return f"({a} - {b})" if e.op == "Sub" else f"case when abs({b}) >= 1e-9 then {a} / {b} end"
+
+    values = {name: value(e) for name, e in exprs.items()}
+    feats = ", ".join(f"{sql} as {f}" for f, sql in FEATURE_SQL.items() if f in PUBLIC)
+    chain, last = [], "pall"
+    for x in sorted(averages):
+        ema = _EMA.replace("(select *, case when x is not null then t -", f"(select *, case when {x} is not null then t -")
+        ema = re.sub(r"\bx\b", x, ema)
+        for old in ("gap", "lp", "l", "k", "s"):
+            ema = re.sub(rf"\b{old}\b", f"{old}_{x}", ema)
+        for old, new in zip("ghiq", (f"{n}_{x}" for n in ("eg", "eh", "ei", "eq"))):
+            ema = re.sub(rf"\b{old} as \(", f"{new} as (", re.sub(rf"from {old}\b", f"from {new}", ema))
+        chain.append(ema.lstrip(", ").replace("from p\n", f"from {last}\n"))
+        last = f"eq_{x}"
+    framed = f"window w as (partition by code order by t rows between {W - 1} preceding and current row), o as (partition by code order by t)"
+    held = "".join(f", list({x}) over w as a_{x}" for x in sorted(lists))
+    parts = [
+        PANEL,
+        f"fall as (select code, trade_date, close as price, {feats} from feat)",
+        "pall as (select c.t, c.trade_date, k.code, f.* exclude (code, trade_date, price), f.price as close, lead(f.price, 5) over (partition by k.code order by c.t) / f.price - 1 as fwd "
+        "from cal c cross join (select distinct code from feat) k left join fall f using (trade_date, code))",
+        *chain,
+        f"ql as (select *{held} from {last} window w as (partition by code order by t rows between {W - 1} preceding and current row))",
+        f"ts as (select t, trade_date, code, fwd, close, {', '.join(f'{sql} as {c}' for sql, c in ts.items())} from ql {framed})",
+        "rk as (select *, " + ", ".join(
+            f"case when {c} is not null then row_number() over (partition by trade_date, {c} is null order by {c}, code) / count(*) over (partition by trade_date, {c} is null) end as {r}"
+            for c, r in ranks.items()
+        ) + " from ts)",
+        f"fin as (select t, trade_date, code, fwd, close, {', '.join(f'({v})::DOUBLE as {n}' for n, v in values.items())} from rk)",
+        f"l as (select * from fin unpivot include nulls (f for expr_id in ({', '.join(values)})))",
+    ]
+    return ", ".join(parts)
+
+
+#: From l to j (usable days with their IC), s (figures of each expression).
+BATCH_STATS = f"""lp as (
+  select *, row_number() over (partition by expr_id, t order by f, code) as rf, row_number() over (partition by expr_id, t order by fwd, code) as rr, count(*) over (partition by expr_id, t) as np
+  from l where f is not null and fwd is not null
+), d0 as (
+  select expr_id, t, count(*) as n, stddev_pop(f) * stddev_pop(fwd) as s, covar_pop(f, fwd) as c, stddev_pop(rf) * stddev_pop(rr) as rs, covar_pop(rf, rr) as rc from lp group by 1, 2
+), d as (
+  select expr_id, t, case when n >= 10 and n * s > 1e-10 then c / s end as ic, case when n >= 10 and n * rs > 1e-10 then rc / rs end as r from d0
+), u as (
+  select expr_id, t, trade_date, count(f) as n, count(*) as cells from l group by 1, 2, 3
+), j as (
+  select u.expr_id, u.t, u.trade_date, row_number() over (partition by u.expr_id order by u.t) as u, ic, r, case when trade_date <= '{TRAIN_END}' then r end as a, case when trade_date >= '{TEST_START}' then r end as b
+  from u left join d using (expr_id, t) where n >= {LEAST}
+), cov as (select expr_id, sum(n) / sum(cells) as coverage from u group by 1
+), s as (
+  select expr_id, any_value(coverage) as coverage, count(j.t) as usable_days, avg(ic) as mean_ic, avg(ic) / nullif(stddev_pop(ic), 0) as icir, avg(r) as mean_rank_ic, avg(r) / nullif(stddev_pop(r), 0) as rank_icir,
+    avg(case when j.t is null then null when r > 0 then 1.0::DOUBLE else 0.0::DOUBLE end) as pos, avg(a) as ta, avg(a) / nullif(stddev_pop(a), 0) as ti, avg(b) as sa, avg(b) / nullif(stddev_pop(b), 0) as si
+  from cov left join j using (expr_id) group by 1
+)"""
+BATCH_COLUMNS = """round(coverage, 6) as coverage, usable_days, round(mean_ic, 6) + 0.0::DOUBLE as mean_ic, round(icir, 6) + 0.0::DOUBLE as icir, round(mean_rank_ic, 6) + 0.0::DOUBLE as mean_rank_ic,
+  round(rank_icir, 6) + 0.0::DOUBLE as rank_icir, round(pos, 6) as positive_rank_ic_ratio, round(ta, 6) + 0.0::DOUBLE as train_mean_rank_ic, round(ti, 6) + 0.0::DOUBLE as train_rank_icir,
+  round(sa, 6) + 0.0::DOUBLE as test_mean_rank_ic, round(si, 6) + 0.0::DOUBLE as test_rank_icir, round(abs(sa) * abs(si) * case when ta * sa > 0 then 1 else 0.25::DOUBLE end, 6) + 0.0::DOUBLE as score"""
+BATCH = {f"e{i:03d}": parse(e) for i, e in enumerate(enumerate_templates(PUBLIC, windows=(W,), limit=64)[0])}
+
+
+@_q("mining_batch", f"with {batch_sql(BATCH)}, {BATCH_STATS} select expr_id, {BATCH_COLUMNS} from s")
 def mining_batch(spark, sf_dir):
     """Sixty-four template expressions, compiled together and scored in one pass."""
-    found, _ = enumerate_templates(PUBLIC, windows=(W,), limit=64)
-    nodes = {f"e{i:03d}": parse(e) for i, e in enumerate(found)}
     base = densify(features(spark, sf_dir), [*PUBLIC, "close"]).withColumn("fwd", forward_return(5))
-    wide = evaluate(base, nodes, ["fwd"])
-    return rounded(metrics.summary(long_form(wide, list(nodes), ["fwd"]), LEAST, TRAIN_END, TEST_START))
+    wide = evaluate(base, BATCH, ["fwd"])
+    return rounded(metrics.summarise(metrics.daily_of_many(wide, list(BATCH)), LEAST, TRAIN_END, TEST_START))
+
+
+RUN = ["Rank(TsMean($ret_1d,10))", "Sub(Rank(TsMean($vol_log,10)),Rank(TsMean($ret_1d,10)))", "SLog1p(TsDelta($ret_1d,10))"]
+REFUSED = {"Abs($none)": "UNKNOWN_FIELD:none", "Foo($ret_1d)": "UNKNOWN_OPERATOR:Foo", "Log($ret_1d)": "LOG_INPUT_UNSAFE", "Add($ret_1d": "PARSE_ERROR:Add($ret_1d", "TsMean($ret_1d,7)": "BAD_WINDOW:TsMean:7"}
+_RUN_ROWS = " union all ".join(
+    [f"select '{e}' as canonical, 'OK' as status, 'e{i}' as expr_id" for i, e in enumerate(RUN)] + [f"select '{e}', '{why}', 'none'" for e, why in REFUSED.items()]
+)
+
+
+@_q(
+    "mining_run",
+    f"""with {batch_sql({f"e{i}": parse(e) for i, e in enumerate(RUN)})}, {BATCH_STATS}, tk as (
+  select l.expr_id, l.code, j.u, row_number() over (partition by l.expr_id, l.t order by f, code) / count(*) over (partition by l.expr_id, l.t) as rk from l join j using (expr_id, t) where f is not null
+), tm as (select *, lag(rk) over o as before, lag(u) over o as ub from tk window o as (partition by expr_id, code order by u)
+), tp as (select expr_id, avg(case when ub = u - 1 then abs(rk - before) end) as turnover from tm group by 1
+), q0 as (select expr_id, t, avg(case when rf / np >= 1 - 1 / 5.0::DOUBLE then fwd end) - avg(case when rf / np <= 1 / 5.0::DOUBLE then fwd end) as spread, count(*) as n from lp group by 1, 2
+), qs as (select expr_id, avg(spread) as spread from q0 where n >= {LEAST} group by 1
+), rr as ({_RUN_ROWS})
+select canonical, status, {BATCH_COLUMNS}, round(turnover, 6) as turnover_proxy, round(spread, 6) + 0.0::DOUBLE as quantile_spread from rr left join s using (expr_id) left join tp using (expr_id) left join qs using (expr_id)""",
+)
+def _mining_run(spark, sf_dir):
+    """Good and bad expressions: each is a row, with its figures or with the reason why it has none."""
+    config = mining.Config(windows=(W,), least=LEAST, least_spread=LEAST, train_end=TRAIN_END, test_start=TEST_START)
+    return rounded(mining.results(features(spark, sf_dir), [*RUN, RUN[0], *REFUSED], config).drop("expr"))
+
+
+PORTFOLIOS = {"f1": parse("Rank(TsMean($ret_1d,10))"), "f2": parse("Rank(TsDelta($vol_log,10))")}
+
+
+@_q(
+    "backtest_batch",
+    f"""with {batch_sql(PORTFOLIOS)}, {BATCH_STATS}, w0 as (
+  select l.expr_id as factor_id, top_pct, l.t, l.trade_date, code, close, case when mean_rank_ic >= 0 then f else -f end as f
+  from l join s using (expr_id) cross join (select unnest([0.05::DOUBLE, 0.1::DOUBLE]) as top_pct)
+), w1 as (
+  select *, count(f) over (partition by factor_id, top_pct, t) as n, row_number() over (partition by factor_id, top_pct, t, f is null order by f desc, code) as place from w0
+), w2 as (
+  select *, case when (t - 1) % 5 = 0 and n > 0 then case when f is not null and place <= greatest(1, floor(n * top_pct)) then 1 / greatest(1, floor(n * top_pct)) else 0 end end as fresh from w1
+), w3 as (
+  select *, coalesce(last_value(fresh ignore nulls) over (partition by factor_id, top_pct, code order by t rows unbounded preceding), 0) as w from w2
+), r0 as (
+  select factor_id, top_pct, t, lead(trade_date) over o as d, coalesce(w * (lead(close) over o / close - 1), 0) as g, abs(lead(w) over o - w) as c from w3 window o as (partition by factor_id, top_pct, code order by t)
+), r1 as (select factor_id, top_pct, t, d as trade_date, sum(c) as turnover, sum(g) - sum(c) * 15 / 1e4 as net from r0 where d is not null group by 1, 2, 3, 4)
+select factor_id, top_pct, trade_date, round(turnover, 6) as turnover, round(net, 6) + 0.0::DOUBLE as net,
+  round(sum(ln(1 + net)) over (partition by factor_id, top_pct order by t), 6) + 0.0::DOUBLE as log_equity from r1""",
+)
+def _backtest_batch(spark, sf_dir):
+    """Two factors and two portfolio sizes, each in the direction of its rank IC, with a curve of its own."""
+    base = densify(features(spark, sf_dir), [X, Y, "close"]).withColumn("fwd", forward_return(5))
+    wide = evaluate(base, PORTFOLIOS, ["fwd", "close"])
+    found = metrics.summarise(metrics.daily_of_many(wide, list(PORTFOLIOS)), LEAST).withColumnRenamed("expr_id", "factor_id")
+    long = long_form(wide, list(PORTFOLIOS), ["close"]).withColumnRenamed("expr_id", "factor_id")
+    curves = backtest.equity(backtest.run(long, found))
+    return rounded(curves.select("factor_id", F.col("top_pct"), "trade_date", "turnover", "net", F.ln("equity").alias("log_equity")))
