@@ -17,10 +17,17 @@ from loomfactor.operators.registry import OPS, Pass, rank_of
 from loomfactor.plans.expressions import Call, Const, Expr, Field, canonical
 
 
+#: Windows over codes stand at depths up to this one, ranks over dates at its multiples: all windows that need no rank come
+#: before the first ranks, so the panel changes its partitioning once a phase and not once a depth.
+PHASE = 100
+
+
 class Compiler:
     def __init__(self):
         self.columns: dict[str, Column] = {}
         self.levels: dict[str, int] = {}
+        #: Key -> columns of the panel that its column reads.
+        self.reads: dict[str, set[str]] = {}
         #: Depth -> columns that are added there, in this order: inputs of windows, windows, values of operators.
         self.inputs: dict[int, dict[str, Column]] = {}
         self.windows: dict[int, dict[str, Column]] = {}
@@ -28,6 +35,8 @@ class Compiler:
         #: Depth -> inputs of ranks at that depth, by the column that holds the rank.
         self.ranks: dict[int, dict[str, Column]] = {}
         self.names: dict[tuple, str] = {}
+        #: Depth -> columns that inputs added there read.
+        self.wanted: dict[int, set[str]] = {}
 
     def add(self, expr: Expr) -> str:
         """Plan an expression and what it needs; returns its key."""
@@ -35,9 +44,9 @@ class Compiler:
         if key not in self.columns:
             match expr:
                 case Field(name):
-                    self._put(key, clean(F.col(name).cast("double")), 0)
+                    self._put(key, clean(F.col(name).cast("double")), 0, {name})
                 case Const(value):
-                    self._put(key, F.lit(float(value)), 0)
+                    self._put(key, F.lit(float(value)), 0, set())
                 case Call():
                     self._operator(key, expr)
         return key
@@ -51,37 +60,47 @@ class Compiler:
         level = max(self.levels[k] for k in keys)
         if not op.windowed:
             value = op.passes[0]([self.columns[k] for k in keys], window, Pass(lambda n, c: c, []))
-            self._put(key, clean(value), level)
+            self._put(key, clean(value), level, set().union(*(self.reads[k] for k in keys)))
             return
-        args = [self._named(self.inputs, level + 1, ("input", k), self.columns[k]) for k in keys]
-        earlier: list[Column] = []
-        for step, build in enumerate(op.passes):
-            level += 1
-            own = ("value", key, step)
-            if call.op == "Rank":
-                earlier.append(self._named(self.ranks, level, own, args[0]))
-                continue
-            hold = lambda stat, c, at=level, k=tuple(keys): self._named(self.windows, at, (stat, window, k, at), c)
-            earlier.append(self._named(self.values, level, own, clean(build(args, window, Pass(hold, list(earlier))))))
-        self._put(key, earlier[-1], level)
+        first = (level // PHASE + 1) * PHASE if call.op == "Rank" else level + 1
+        self.wanted.setdefault(first, set()).update(*(self.reads[k] for k in keys))
+        args = [self._named(self.inputs, first, ("input", k), self.columns[k]) for k in keys]
+        if call.op == "Rank":
+            column, level = self._named(self.ranks, first, ("value", key), args[0]), first
+        else:
+            earlier: list[Column] = []
+            for step, build in enumerate(op.passes):
+                level += 1
+                hold = lambda stat, c, at=level, k=tuple(keys): self._named(self.windows, at, (stat, window, k, at), c)
+                earlier.append(self._named(self.values, level, ("value", key, step), clean(build(args, window, Pass(hold, list(earlier))))))
+            column = earlier[-1]
+        self._put(key, column, level, {self.names[("value", key) if call.op == "Rank" else ("value", key, len(op.passes) - 1)]})
 
     def _named(self, where: dict[int, dict[str, Column]], level: int, key: tuple, column: Column) -> Column:
         """A column that is added once at a depth, under a name of its own."""
+        key = (*key, level) if key[0] == "input" else key
         if key not in self.names:
             self.names[key] = f"_e{len(self.names)}"
             where.setdefault(level, {})[self.names[key]] = column
         return F.col(self.names[key])
 
-    def _put(self, key: str, column: Column, level: int) -> None:
-        self.columns[key], self.levels[key] = column, level
+    def _put(self, key: str, column: Column, level: int, reads: set[str]) -> None:
+        self.columns[key], self.levels[key], self.reads[key] = column, level, reads
 
-    def run(self, panel: DataFrame) -> DataFrame:
-        for level in range(1, max([0, *self.values, *self.ranks]) + 1):
+    def run(self, panel: DataFrame, outputs: list[str], keep: list[str]) -> DataFrame:
+        """panel with the columns that the outputs read; what later depths do not need is dropped before each exchange."""
+        always = {"t", "trade_date", "code", *keep}.union(*(self.reads[k] for k in outputs))
+        for level in sorted({*self.inputs, *self.windows, *self.values, *self.ranks}):
             ranks = self.ranks.get(level, {})
+            if ranks:
+                later = always.union(*(names for at, names in self.wanted.items() if at >= level))
+                panel = panel.select(*[c for c in panel.columns if c in later])
             few = {n: rank_of(x) for n, x in ranks.items()} if len(ranks) <= FEW_RANKS else {}
             for added in (self.inputs.get(level, {}), self.windows.get(level, {}), self.values.get(level, {}), few):
                 panel = panel.withColumns(added) if added else panel
-            panel = _rank_together(panel, ranks) if ranks and not few else panel
+            if ranks and not few:
+                later = always.union(*(names for at, names in self.wanted.items() if at > level))
+                panel = _rank_together(panel, ranks, [c for c in panel.columns if c in later])
         return panel
 
 
@@ -89,11 +108,11 @@ class Compiler:
 FEW_RANKS = 2
 
 
-def _rank_together(panel: DataFrame, ranks: dict[str, Column]) -> DataFrame:
-    """panel with an ordinal percentile for each input. Each would sort every date by itself; here a date's cross-section
-    is one Arrow table whose columns are ranked in turn: one exchange for any number. A cross-section is the codes
-    listed on a date."""
-    inputs, names = panel.withColumns(ranks), list(ranks)
+def _rank_together(panel: DataFrame, ranks: dict[str, Column], keep: list[str]) -> DataFrame:
+    """The columns to keep with an ordinal percentile for each input. Each would sort every date by itself; here a date's
+    cross-section is one Arrow table whose columns are ranked in turn: one exchange for any number. A cross-section is
+    the codes listed on a date."""
+    inputs, names = panel.select(*keep, *[x.alias(n) for n, x in ranks.items()]), list(ranks)
 
     def rank(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table["code"]))
@@ -109,7 +128,7 @@ def evaluate(panel: DataFrame, nodes: dict[str, Expr], keep: list[str] = ()) ->
     """(t, trade_date, code, keep..., one column for each named expression) of a dense panel."""
     compiler = Compiler()
     keys = {name: compiler.add(node) for name, node in nodes.items()}
-    out = compiler.run(panel)
+    out = compiler.run(panel, list(keys.values()), list(keep))
     return out.select("t", "trade_date", "code", *keep, *[compiler.columns[k].alias(n) for n, k in keys.items()])
 
 

@@ -8,6 +8,7 @@ from loomfactor.functions.features import OTHER, PUBLIC, with_features
 from loomfactor.operators import backtest, metrics
 from loomfactor.operators.panel import densify, forward_return
 from loomfactor.operators.registry import OPS
+from loomfactor.plans import mining, validation
 from loomfactor.plans.compile import evaluate, long_form
 from loomfactor.plans.expressions import Limits, Validator, canonical, parse
 from loomfactor.plans.grammar import enumerate_templates, read_range, save_templates
@@ -193,3 +194,127 @@ def test_incremental_stream_counts_each_file_once(spark, tmp_path):
     assert rows.count() == 3
     assert {(r.k, r.x) for r in incremental.newest(rows, ["k"], "v").collect()} == {("a", 5.0), ("b", 1.0)}
     assert incremental.beyond(rows, rows.filter("v = 1"), "v").count() == 1
+
+
+def test_constants_keep_all_digits(holed):
+    _, df = holed
+    assert canonical(parse("Mul($x,1234567)")) != canonical(parse("Mul($x,1234568)")) and canonical(parse("Pow($x,0.5)")) == "Pow($x,0.5)"
+    out = evaluate(densify(df, ["x"]), {"a": parse("Mul($x,1234567)"), "b": parse("Mul($x,1234568)")}).dropna().toPandas()
+    x = out.b - out.a
+    np.testing.assert_allclose(out.a, x * 1234567, rtol=1e-6)
+
+
+def test_long_averages_lose_nothing(spark):
+    """Six thousand dense rows, a code with a gap, and one that starts late, against pandas."""
+    rng = np.random.default_rng(1)
+    x = pd.DataFrame(rng.normal(size=(6000, 3)), columns=list("abc"))
+    x.loc[1000:4800, "b"] = np.nan
+    x.loc[:700, "c"] = np.nan
+    rows = [(t + 1, f"{t:08d}", c, None if np.isnan(v) else float(v)) for c in "abc" for t, v in enumerate(x[c])]
+    df = spark.createDataFrame(rows, "t int, trade_date string, code string, x double")
+    for w in (10, 50):
+        got = evaluate(df, {"v": parse(f"TsEMA($x,{w})")}).toPandas().pivot(index="trade_date", columns="code", values="v").to_numpy(float)
+        np.testing.assert_allclose(got, x.ewm(span=w, adjust=False, min_periods=w).mean().to_numpy(), atol=1e-9)
+
+
+def test_ranks_inside_windows_inside_ranks(holed):
+    """Windows over ranks over windows, one argument used at several depths."""
+    _, df = holed
+    panel = densify(df, ["x", "y", "close"])
+    texts = ["TsCorr(Rank(TsMean($x,10)),$y,10)", "TsMean($y,10)", "Rank(TsEMA($y,10))", "Rank(TsMean(Rank($x),10))", "Rank($y)", "Sub(Rank(TsStd($y,10)),$close)"]
+    both = evaluate(panel, {f"e{i}": parse(t) for i, t in enumerate(texts)}, ["close"]).toPandas().set_index(["t", "code"]).sort_index()
+    for i, text in enumerate(texts):
+        one = evaluate(panel, {"v": parse(text)}).toPandas().set_index(["t", "code"]).sort_index()
+        np.testing.assert_allclose(both[f"e{i}"].to_numpy(float), one["v"].to_numpy(float), atol=1e-12)
+
+
+def test_many_are_scored_as_one_by_one(holed):
+    _, df = holed
+    wide = densify(df, ["x", "y", "close"]).withColumn("fwd", forward_return(5))
+    got, want = (
+        d.orderBy("expr_id", "t").toPandas() for d in (metrics.daily_of_many(wide, ["x", "y"]), metrics.daily(long_form(wide, ["x", "y"], ["fwd"])))
+    )
+    pd.testing.assert_frame_equal(got, want[got.columns], check_dtype=False, atol=1e-12)
+
+
+def test_equity_follows_the_product_of_any_returns(spark):
+    nets = {"a": [0.1, -0.2, 0.05], "b": [0.5, -1.5, -1.5, 0.1], "c": [0.1, -1.0, 0.3]}
+    rows = [(k, 0.1, t, str(t), 0.0, 0.0, n) for k, v in nets.items() for t, n in enumerate(v)]
+    df = spark.createDataFrame(rows, "factor_id string, top_pct double, t int, trade_date string, gross double, turnover double, net double")
+    got = backtest.equity(df).toPandas().sort_values(["factor_id", "t"])
+    for k, v in nets.items():
+        np.testing.assert_allclose(got[got.factor_id == k].equity, np.cumprod(1 + np.array(v)))
+    stats = {r.factor_id: r for r in backtest.stats(df, "1", "2").collect()}
+    assert stats["c"].total_return == -1 and stats["a"].total_return == pytest.approx(1.1 * 0.8 * 1.05 - 1) and len(stats) == 3
+
+
+def test_overall_rank_of_a_whole_table(spark):
+    from pyspark.sql import functions as F
+
+    from loomfactor.operators import groups
+
+    rng = np.random.default_rng(3)
+    values = [None if i % 50 == 0 else float(v) for i, v in enumerate(rng.integers(0, 300, 900))]
+    df = spark.createDataFrame([(f"{i:04d}", v) for i, v in enumerate(values)], "code string, v double")
+    got = {r.code: r.r for r in df.select("code", groups.overall_rank(df, "v", "code").alias("r")).collect()}
+    want = sorted(range(900), key=lambda i: (values[i] is None, -(values[i] or 0), i))
+    assert [got[f"{i:04d}"] for i in want] == list(range(1, 901))
+    assert df.limit(0).select(groups.overall_rank(df.limit(0), "v", "code")).count() == 0
+
+
+def test_mining_run_scores_resumes_and_writes(spark, tmp_path):
+    """The simulated market end to end: bad expressions are rows, a second run goes on, every output is there."""
+    market = with_features(tables.simulate(spark, 60, 24, seed=7))
+    assert not set(PUBLIC) - {c for c in market.columns if market.filter(f"`{c}` is not null").count()}
+    config = mining.Config(windows=(10,), least=10, least_spread=10, train_end="20240229", test_start="20240301", batch=4)
+    wanted = [*enumerate_templates(PUBLIC, windows=(10,), limit=7)[0], "Abs($none)", "not one ("]
+    out = str(tmp_path / "run")
+    first = mining.run(market, wanted[:5], config, out, data="sim")
+    assert first["n_exprs"] == first["n_results"] == 5 and first["n_resumed"] == 0
+    done = mining.run(market, wanted, config, out, data="sim")
+    assert (done["n_results"], done["n_resumed"], done["run_id"]) == (9, 5, first["run_id"])
+    assert (done["n_dates"], done["n_codes"], done["n_raw_rows"]) == (60, 24, 1440)
+    rows = {r.canonical: r for r in store.ResultStore(spark, f"{out}/results").all(done["run_id"]).collect()}
+    assert rows["Abs($none)"].status == "UNKNOWN_FIELD:none" and rows["not one ("].status.startswith("PARSE_ERROR")
+    good = [r for r in rows.values() if r.status == "OK"]
+    assert len(good) == 7 and all(r.usable_days > 0 and r.coverage > 0.5 and r.turnover_proxy is not None for r in good)
+    for name in ("raw", "expressions", "factor_results", "top100", "summary", "checkpoints"):
+        assert (tmp_path / "run" / name).exists()
+    best = spark.read.option("header", True).csv(f"{out}/top100")
+    assert best.count() == 9 and len(read_range(spark, f"{out}/expressions", 1, 99).collect()) == 9
+    top = tables.read_top_factors(spark, f"{out}/factor_results", 3).collect()
+    assert len(top) == 3 and all(r.factor_id[5:] == "_" + __import__("hashlib").md5(r.expr.encode()).hexdigest()[:8] for r in top)
+
+
+def test_a_failing_expression_gets_an_error_row(spark, tmp_path, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    good = mining.score
+
+    def sometimes(base, planned, config):
+        if any(p.key == "Abs($ret_1d)" for p in planned):
+            raise AnalysisException("no such thing")
+        return good(base, planned, config)
+
+    monkeypatch.setattr(mining, "score", sometimes)
+    market = with_features(tables.simulate(spark, 30, 12, seed=3))
+    out = str(tmp_path / "run")
+    done = mining.run(market, ["Rank($ret_1d)", "Abs($ret_1d)", "Rank($vol_log)"], mining.Config(windows=(10,), least=5), out)
+    rows = {r.canonical: r.status for r in store.ResultStore(spark, f"{out}/results").all(done["run_id"]).collect()}
+    assert rows["Abs($ret_1d)"].startswith("EVAL_ERROR:AnalysisException") and list(rows.values()).count("OK") == 2
+
+
+def test_validation_run_writes_all_its_tables(spark, tmp_path):
+    market = with_features(tables.simulate(spark, 50, 20, seed=5))
+    (tmp_path / "top.csv").write_text("\ufeffcanonical,score\n" + '"Rank(TsMean($ret_1d,10))",0.5\n"Rank(TsDelta($vol_log,10))",0.7\n"Rank($none)",0.9\n"Rank($none)",0.9\n,1\n')
+    factors = tables.read_top_factors(spark, str(tmp_path / "top.csv"))
+    assert [r.expr for r in factors.orderBy("factor_id").collect()] == ["Rank($none)", "Rank(TsDelta($vol_log,10))", "Rank(TsMean($ret_1d,10))"]
+    config = validation.Config(windows=(10,), least=8, least_bucket=8, train_end="20240215", test_start="20240216", clean=1, max_loss=0.9)
+    out = str(tmp_path / "val")
+    found = validation.run(market, factors, config, out)
+    assert sorted(r.status for r in found["factor_compute_status"].collect()) == ["OK", "OK", "UNKNOWN_FIELD:none"]
+    assert found["factor_metrics_summary"].count() == 2 and found["portfolio_summary"].count() == 4
+    assert found["equity_curves"].groupBy("factor_id", "top_pct").count().filter("count = 49").count() == 4
+    assert [r.bucket for r in found["group_metrics_by_size"].collect()].count("mega") == 1 and found["group_metrics_by_industry"].count() == 8
+    assert {n.split("_F")[0] for n in found} >= {"rolling_ic", "quantile_returns", "ic_by_period"}
+    assert tables.read_factor(spark, f"{out}/panels", found["factor_metrics_summary"].first().factor_id).count() == 1000
