@@ -109,7 +109,8 @@ def contents(dups: DataFrame) -> DataFrame:
 
 def with_symbols(docs: DataFrame, stuff: DataFrame, symbols: Symbols, window: int) -> DataFrame:
     """(c, f, k, oid, n, symbols) of the contents that share their class with k - 1 others; symbols as bytes."""
-    company = stuff.groupBy("c").agg(F.count("*").alias("k")).filter("k > 1")
+    # Written first, so that both sides of the join are plain shuffles and a crowded class can be split.
+    company = materialize(stuff.groupBy("c").agg(F.count("*").alias("k")).filter("k > 1"))
     wanted = stuff.join(company, "c").select("c", "f", "k", "owner.*")
     item = F.struct("c", "f", "k", "start", "n")
     lists = wanted.groupBy("tk", "oid").agg(F.collect_list(item).alias("items"))
