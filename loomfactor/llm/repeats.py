@@ -63,9 +63,10 @@ def segment_table(docs: DataFrame, symbols: Symbols, window: int, gram: int, com
 
 
 def common_anchors(docs: DataFrame, symbols: Symbols, window: int, gram: int, rows: int = 1000, least: int = 16) -> np.ndarray:
-    """The most frequent anchors of ``rows`` documents (those of the smallest hashes): surely repeated, and few. They only
-    decide how segments are dealt to tasks, not what is found."""
-    some = docs.orderBy(F.xxhash64("tk", "oid"), "tk", "oid").limit(rows).repartition(16)
+    """The most frequent anchors of about ``rows`` documents, picked by a hash wherever they lie: surely repeated, and few.
+    They only decide how segments are dealt to tasks, not what is found."""
+    one_in = max(1, docs.count() // rows)
+    some = docs.filter(F.pmod(F.xxhash64("oid", "tk"), F.lit(one_in)) == 0).repartition(16)
     counts = segment_table(some, symbols, window, gram).groupBy("c").agg(F.count("*").alias("n"))
     top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "c").limit(2048)
     return np.sort(np.array([r.c for r in top.collect()], np.int64))
