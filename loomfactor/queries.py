@@ -436,6 +436,16 @@ def _industry_map(spark, sf_dir):
     return groups.industry_map(rows)
 
 
+@_q(
+    "industry_map_all",
+    f"with {_SNAP} select cast(l_suppkey as varchar) as code, coalesce(max(industry), 'UNKNOWN') as industry from lineitem l left join snap s on s.code = cast(l_suppkey as varchar) group by 1",
+)
+def _industry_map_all(spark, sf_dir):
+    """Every code's industry, from the whole snapshot."""
+    rows = adapters.bars(spark, sf_dir).select("code", "trade_date").join(adapters.snapshot(spark, sf_dir), "code", "left")
+    return groups.industry_map(rows)
+
+
 @_q(
     "industry_nsamples",
     f"with {SCORED}, {_SNAP} select industry, count(*) as n_samples, 0.0::DOUBLE as positive_ratio from e join snap using (code) where f is not null and fwd is not null group by 1",

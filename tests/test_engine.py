@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from loomfactor.functions.features import OTHER, PUBLIC, with_features
-from loomfactor.operators import backtest, metrics
+from loomfactor.operators import backtest, groups, metrics
 from loomfactor.operators.panel import densify, forward_return
 from loomfactor.operators.registry import OPS
 from loomfactor.plans import mining, validation
@@ -318,3 +318,10 @@ def test_validation_run_writes_all_its_tables(spark, tmp_path):
     assert [r.bucket for r in found["group_metrics_by_size"].collect()].count("mega") == 1 and found["group_metrics_by_industry"].count() == 8
     assert {n.split("_F")[0] for n in found} >= {"rolling_ic", "quantile_returns", "ic_by_period"}
     assert tables.read_factor(spark, f"{out}/panels", found["factor_metrics_summary"].first().factor_id).count() == 1000
+
+
+def test_industry_map_takes_the_last_known_industry(spark):
+    rows = [("a", "20240102", "steel"), ("a", "20240101", "coal"), ("a", "20240103", None), ("b", "20240101", None), ("c", None, "banks")]
+    out = groups.industry_map(spark.createDataFrame(rows, "code string, trade_date string, industry string"))
+    assert {r.code: r.industry for r in out.collect()} == {"a": "steel", "b": "UNKNOWN", "c": "UNKNOWN"}
+    assert groups.industry_map(spark.createDataFrame([], "code string, trade_date string, industry string")).count() == 0
