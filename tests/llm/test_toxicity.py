@@ -109,24 +109,3 @@ def test_lower_order_counts_the_distinct_words_before(spark):
     assert low["francisco"] == pytest.approx((1 - d) / total + rest) and low["rose"] == pytest.approx((3 - d) / total + rest)
     pairs = spark.createDataFrame([(1, 9, 2, 1, 0, 0), (2, 9, 0, 3, 1, 0), (3, 9, 0, 0, 0, 1)], "h long, w long, n0 int, n1 int, n2 int, n3 int")
     assert tuple(toxicity.continuations(pairs).first()) == (9, 2, 2, 3)
-
-
-def test_lower_order_grows_with_the_corpus(spark):
-    """Documents without a label add contexts: counts are those of all texts, by brute force, and repeats add none."""
-    labelled = [(i, "you scum go" if i % 2 else "you kind go") for i in range(60)]
-    more = [(1000 + i, f"w{i % 37} scum  go.\n{'scum ' * (i % 3)}kind") for i in range(300)] + [(2000, None), (2001, ""), (None, "last kind")]
-    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
-    for rows in (labelled, labelled + more, labelled + more * 2):
-        docs = spark.createDataFrame(rows, "doc_id long, text string")
-        kn = toxicity.fit(docs, labels).kn
-        pairs = set()
-        for _, text in rows:
-            words = toxicity.word_hashes(text)
-            pairs |= set(zip(toxicity._before(words).tolist(), words.tolist()))
-        counts = np.array([sum(w == x for _, w in pairs) for x in kn.words.tolist()])
-        total, types, d = counts.sum(), len(kn.words), toxicity.DISCOUNT
-        # The word 'you' is in as many documents of either class, so its rates are 1.
-        you = int(toxicity._find(kn.words, toxicity.word_hashes("you"))[0][0])
-        assert kn.unigram[you] == pytest.approx((counts[you] - d) / total + d * types / total / (types + 1))
-        got = toxicity.continuations(toxicity.corpus_pairs(docs, kn.words), ("n",)).collect()
-        assert {np.int64(r.w).view(np.uint64).item(): r.c0 for r in got} == dict(zip(kn.words.tolist(), counts.tolist()))
