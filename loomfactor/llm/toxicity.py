@@ -1,14 +1,17 @@
 """Toxicity by two class-conditional Kneser-Ney bigram models with a shared backoff.
 
 Discounted bigram counts back off to continuation counts of single words, the number of distinct words (or the
-start of a text) that stand before each in either class; discounts and backoff weights too come from counts pooled
-over both classes, so a rare expression is judged by what both know of it. How a single word's mass is dealt to the
-classes is told by counts of documents: numbers of distinct words before it saturate in the larger class first. A text's evidence is the difference of the two log-likelihoods
-over its number of words (plus a constant, so that a few words prove little), and a logistic curve, fitted
-on texts held out from the counts, turns it into a score from 0 to 1.
-
-The models are fitted on a sample of at most ``max_rows`` rows and ``max_chars`` characters of each class,
-taken in the order of a hash of the id; this bounds what is broadcast. Every text is scored whole.
+start of a text) that stand before each in any document, labelled or not; discounts and backoff weights come from
+counts pooled over both classes, so a rare expression is judged by what both know of it. How a single word's mass is
+dealt to the classes is told by counts of documents: numbers of distinct words before it saturate in the larger class
+first. A text's evidence is the difference of the two log-likelihoods over its number of words (plus a constant, so
+that a few words prove little), and a logistic curve, fitted on texts held out from the counts, turns it into a score
+from 0 to 1.
+
+The models learn labels from a sample of at most ``max_rows`` rows and ``max_chars`` characters of each class, taken
+in the order of a hash of the id; its words bound what is broadcast. Continuation counts of these words are taken over
+the whole texts of all documents, by sketches with a standard error of CONTEXT_ERROR, and are never less than the exact
+counts of the sample. Every text is scored whole.
 
 Defined results: a null or empty text has no words and gets the score of no evidence; rows with a null id
 or label are not learnt from; ids labelled both ways are learnt as toxic; with no labelled row of one of the
@@ -33,6 +36,8 @@ DISCOUNT = 0.75
 NOISE = 3.0
 #: Documents a class that stand for the rates of the level below.
 SHRINK = 5.0
+#: Standard error of the number of distinct words before a word in all documents.
+CONTEXT_ERROR = 0.05
 #: Words added to a text's length when its evidence is normalised.
 PRIOR_WORDS = 10.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -207,6 +212,25 @@ def continuations(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("w").agg(*[F.count_if(F.expr(x) > 0).cast("int").alias(f"c{i}") for i, x in enumerate(folds)])
 
 
+def corpus_continuations(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """(w, n) for each of words (sorted) that occurs: about the number of distinct words before it in all texts. What is
+    shuffled is a sketch for each word and task, however often the word occurs; distinct pairs would outgrow the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            said = [word_hashes(t) for t in batch.column(0).to_pylist()]
+            w, h = np.concatenate(said), np.concatenate([_before(x) for x in said])
+            known = _find(shared.value, w)[1]
+            h, w = h[known], w[known]
+            once = np.unique(_pair(h, w), return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[once].view(np.int64)) for x in (h, w)], ["h", "w"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
+    pairs = texts.mapInArrow(run, "h long, w long")
+    return pairs.groupBy("w").agg(F.approx_count_distinct("h", CONTEXT_ERROR).cast("int").alias("n"))
+
+
 class Model:
     def __init__(self, kn: KneserNey, slope: float, intercept: float):
         self.kn, self.slope, self.intercept = kn, slope, intercept
@@ -217,7 +241,8 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int = 6_000_000) -> Model:
-    """Count on the executors, bring back at most the bigrams of the bounded sample, calibrate across folds."""
+    """Count on the executors, bring back at most the bigrams of the bounded sample and a continuation count of
+    each of its words, calibrate across folds."""
     rows = sample(docs, labels, max_rows, max_chars)
     counted = materialize(
         rows.mapInArrow(_bigrams, "part int, h long, w long")
@@ -226,20 +251,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int
     )
     any_w = F.lit(int(_ALONE.view(np.int64)))
     known = counted.filter((F.expr("n0 + n1 + n2 + n3") > 1) | any_w.isin(F.col("h"), F.col("w"))).toArrow()
-    before = continuations(counted.filter(~any_w.isin(F.col("h"), F.col("w")))).toArrow()
+    before = continuations(counted.filter(~any_w.isin(F.col("h"), F.col("w")))).select("w", F.col("c2").alias("n"))
     h, w, *parts = (c.to_numpy() for c in known.columns)
     h, w, n = h.view(np.uint64), w.view(np.uint64), np.stack(parts, axis=1)
-    word, *parts = (c.to_numpy() for c in before.columns)
+    # One row for each word of the sample, however many documents are counted.
+    everywhere = corpus_continuations(docs, np.sort(w[h == _ALONE]))
+    most = before.union(everywhere).groupBy("w").agg(F.max("n").alias("n")).toArrow()
+    word, contexts = (c.to_numpy() for c in most.columns)
     order = np.argsort(word.view(np.uint64))
-    word, contexts = word.view(np.uint64)[order], np.stack(parts, axis=1)[order]
-    at, met = _find(word, w)
-    joint = np.where(((h == _ALONE) & met)[:, None], contexts[at], 0) if len(word) else np.zeros((len(w), 3))
+    at, met = _find(word.view(np.uint64)[order], w)
+    joint = np.where((h == _ALONE) & met, contexts[order][at], 0) if len(word) else np.zeros(len(w))
 
-    def model(counts: np.ndarray, fold: int) -> KneserNey:
+    def model(counts: np.ndarray) -> KneserNey:
         seen = counts.sum(axis=1) > 0
-        return KneserNey(h[seen], w[seen], counts[seen], joint[seen, fold])
+        return KneserNey(h[seen], w[seen], counts[seen], joint[seen])
 
-    halves = docs.sparkSession.sparkContext.broadcast([model(n[:, 2:], 1), model(n[:, :2], 0)])
+    halves = docs.sparkSession.sparkContext.broadcast([model(n[:, 2:]), model(n[:, :2])])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -252,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
         return Model(KneserNey(h[:0], w[:0], n[:0, :2]), 0.0, float(np.log(share / (1 - share))))
-    return Model(model(n[:, :2] + n[:, 2:], 2), *fit_logistic(x, y))
+    return Model(model(n[:, :2] + n[:, 2:]), *fit_logistic(x, y))
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:

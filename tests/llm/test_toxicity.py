@@ -109,3 +109,26 @@ def test_lower_order_counts_the_distinct_words_before(spark):
     assert low["francisco"] == pytest.approx((1 - d) / total + rest) and low["rose"] == pytest.approx((3 - d) / total + rest)
     pairs = spark.createDataFrame([(1, 9, 2, 1, 0, 0), (2, 9, 0, 3, 1, 0), (3, 9, 0, 0, 0, 1)], "h long, w long, n0 int, n1 int, n2 int, n3 int")
     assert tuple(toxicity.continuations(pairs).first()) == (9, 2, 2, 3)
+
+
+def test_lower_order_grows_with_the_corpus(spark):
+    """Documents without a label add contexts: counts follow those of all texts by brute force, and repeats add none."""
+    labelled = [(i, "you scum go" if i % 2 else "you kind go") for i in range(60)]
+    more = [(1000 + i, f"w{i} scum  go.\n{'scum ' * (i % 3)}kind") for i in range(900)] + [(2000, None), (2001, ""), (None, "last kind")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    for rows in (labelled, labelled + more, labelled + more * 2):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        pairs = set()
+        for _, text in rows:
+            words = toxicity.word_hashes(text)
+            pairs |= set(zip(toxicity._before(words).tolist(), words.tolist()))
+        known = np.sort(toxicity.word_hashes("you scum kind go"))
+        want = {x: sum(w == x for _, w in pairs) for x in known.tolist()}
+        got = {np.int64(r.w).view(np.uint64).item(): r.n for r in toxicity.corpus_continuations(docs, known).collect()}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], rel=4 * toxicity.CONTEXT_ERROR) for x in want)
+        kn = toxicity.fit(docs, labels).kn
+        assert kn.words.tolist() == known.tolist()
+        # The word 'you' is in as many documents of either class, so its rates are 1.
+        total, types, d, at = sum(got.values()), len(known), toxicity.DISCOUNT, int(toxicity.word_hashes("you")[0])
+        you = int(np.searchsorted(kn.words, np.uint64(at)))
+        assert kn.unigram[you] == pytest.approx((got[at] - d) / total + d * types / total / (types + 1))
