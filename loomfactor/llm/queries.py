@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomfactor.llm import ann, chat, decontaminate, html, licenses, mixing, simhash, substring, suffix_array, toxicity
+from loomfactor.llm import ann, chat, decontaminate, divergence, fim, html, licenses, mixing, oracle, pii, simhash, substring, suffix_array, toxicity
 from loomfactor.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mixing": op2_mixing,
@@ -68,10 +80,16 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_suffix_array": op9_suffix_array,
     "op10_licenses": op10_licenses,
+    "op11_fim": op11_fim,
+    "op12_pii": op12_pii,
+    "op13_divergence": op13_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_fim": oracle.FIM,
+    "op12_pii": oracle.PII,
+    "op13_divergence": oracle.DIVERGENCE,
     "op8_chat": r"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
