@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -106,6 +108,123 @@ def daily_of_many(wide: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+#: Dates of one group of cross-sections.
+DAYS = 16
+_VECTOR = pa.struct([("codes", pa.list_(pa.string())), ("ranks", pa.list_(pa.float64()))])
+_SCORED_DAY = pa.struct(
+    [("t", pa.int32()), ("trade_date", pa.string()), ("cells", pa.int64()), ("n", pa.int64()), ("pairs", pa.int64()), ("ic", pa.float64())]
+    + [(c, pa.float64()) for c in ("rank_ic", "spread", "moved")]
+    + [("moves", pa.int64())]
+)
+_DAY_DDL = "t:int,trade_date:string,cells:long,n:long,pairs:long,ic:double,rank_ic:double,spread:double,moved:double,moves:long"
+_VECTOR_DDL = "struct<codes:array<string>,ranks:array<double>>"
+
+
+def _moved(before: tuple[np.ndarray, np.ndarray], now: tuple[np.ndarray, np.ndarray]) -> tuple[float, int]:
+    """(sum of absolute changes, codes) of two vectors (codes in order, rank percentiles)."""
+    if len(before[0]) == len(now[0]) and (before[0] == now[0]).all():
+        return float(np.abs(now[1] - before[1]).sum()), len(now[0])
+    _, i, j = np.intersect1d(before[0], now[0], assume_unique=True, return_indices=True)
+    return float(np.abs(now[1][j] - before[1][i]).sum()), len(i)
+
+
+def _score_day(f: np.ndarray, fwd: np.ndarray, order: np.ndarray, by_return: np.ndarray, q: int) -> tuple:
+    """(values, pairs, ic, rank_ic, spread) of one expression on one date; rows in the order of the code."""
+    known = ~np.isnan(f)
+    ok = known & ~np.isnan(fwd)
+    pairs = int(ok.sum())
+    if not pairs:
+        return int(known.sum()), 0, np.nan, np.nan, np.nan
+    places = np.empty((2, len(f)))
+    for k, by in enumerate((order, by_return)):
+        places[k, by[ok[by]]] = np.arange(1, pairs + 1)
+    share, returns = places[0, ok] / pairs, fwd[ok]
+    top, low = returns[share >= 1 - 1 / q], returns[share <= 1 / q]
+    spread = top.mean() - low.mean() if len(top) and len(low) else np.nan
+    return int(known.sum()), pairs, _correlation(f[ok], returns), _correlation(places[0, ok], places[1, ok]), spread
+
+
+def cross_sections(wide: DataFrame, names: list[str], least: int, q: int = 5, days: int = DAYS) -> DataFrame:
+    """All daily figures of a wide frame (t, trade_date, code, fwd, one column for each expression), which is read once:
+    (expr_id, t, trade_date, cells, n, pairs, ic, rank_ic, spread, moved, moves, error). moved is the sum of absolute changes
+    of rank percentiles since the last usable day (one with at least ``least`` values) over the codes valued on both, moves
+    their number.
+
+    A group is some dates in order and a block of expressions: the rank vector of the last usable day is carried from date to
+    date, and the first and last vectors of a group are handed on, so that groups of one expression are joined at their
+    edges. An expression whose figures cannot be computed gives one row with the error, and the others are not touched.
+    """
+    blocks = [names[i : i + BLOCK] for i in range(0, len(names), BLOCK)]
+    pad = lambda b: F.array(*[F.col(c).cast("double") for c in b], *[F.lit(None).cast("double")] * (BLOCK - len(b)))
+    rows = wide.select("t", "trade_date", "code", "fwd", F.floor(F.col("t") / days).alias("g"), F.posexplode(F.array(*[pad(b) for b in blocks])).alias("b", "x"))
+    names_out = ["expr_id", "g", "days", "first", "last", "error"]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        g, b = (k.as_py() for k in key)
+        table = table.take(pc.sort_indices(table, [("t", "ascending"), ("code", "ascending")]))
+        t, codes = cells(table["t"]), np.array(table["code"].to_pylist(), dtype=object)
+        fwd, x = cells(table["fwd"]), cells(pa.chunked_array([table["x"].combine_chunks().flatten()])).reshape(-1, BLOCK)
+        cuts = [*np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))).tolist(), len(t)]
+        spans = [slice(i, j) for i, j in zip(cuts, cuts[1:])]
+        dates = [table["trade_date"][s.start].as_py() for s in spans]
+        by_return = [np.argsort(fwd[s], kind="stable") for s in spans]
+        out = []
+        for i, name in enumerate(blocks[b]):
+            try:
+                out.append((name, g, *_score_days(t, codes, fwd, x[:, i], spans, dates, by_return), None))
+            except Exception as e:  # noqa: BLE001 - the row says what happened
+                out.append((name, g, [], None, None, f"{type(e).__name__}:{e}"))
+        kinds = [pa.string(), pa.int64(), pa.list_(_SCORED_DAY), _VECTOR, _VECTOR, pa.string()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names_out)
+
+    def _score_days(t, codes, fwd, f, spans, dates, by_return) -> tuple[list[dict], dict | None, dict | None]:
+        said, first, before = [], None, None
+        for s, date, returned in zip(spans, dates, by_return):
+            order = np.argsort(f[s], kind="stable")
+            n, pairs, ic, rank_ic, spread = _score_day(f[s], fwd[s], order, returned, q)
+            moved, moves = None, 0
+            if n >= least:
+                known = ~np.isnan(f[s])
+                ranks = np.empty(len(order))
+                ranks[order[:n]] = np.arange(1, n + 1) / n
+                now = codes[s][known], ranks[known]
+                if before is not None:
+                    moved, moves = _moved(before, now)
+                first, before = first or now, now
+            floats = [None if np.isnan(v) else float(v) for v in (ic, rank_ic, spread)]
+            said.append(dict(zip(_SCORED_DAY.names, (int(t[s.start]), date, s.stop - s.start, n, pairs, *floats, moved, moves))))
+        edges = [v and {"codes": v[0].tolist(), "ranks": v[1].tolist()} for v in (first, before)]
+        return said, *edges
+
+    groups = rows.groupBy("g", "b").applyInArrow(
+        run, f"expr_id string, g long, days array<struct<{_DAY_DDL}>>, first {_VECTOR_DDL}, last {_VECTOR_DDL}, error string"
+    )
+    earlier = Window.partitionBy("expr_id").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    met = groups.withColumn("before", F.last("last", ignorenulls=True).over(earlier))
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vector = lambda v: (np.array(v["codes"], dtype=object), np.array(v["ranks"]))
+            edges = [_moved(vector(v), vector(u)) if u and v else (None, 0) for u, v in zip(batch["first"].to_pylist(), batch["before"].to_pylist())]
+            moved, moves = zip(*edges) if edges else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch["expr_id"], batch["days"], pa.array(moved, pa.float64()), pa.array(moves, pa.int64()), batch["error"]], ["expr_id", "days", "at_edge", "edges", "error"]
+            )
+
+    joined = met.select("expr_id", "days", "first", "before", "error").mapInArrow(
+        join_up, f"expr_id string, days array<struct<{_DAY_DDL}>>, at_edge double, edges long, error string"
+    )
+    flat = joined.select("expr_id", "at_edge", "edges", "error", F.posexplode_outer("days").alias("i", "d"))
+    edge = F.coalesce("i", F.lit(0)) == 0
+    return flat.select(
+        "expr_id",
+        *[F.col(f"d.{c}").alias(c) for c in _SCORED_DAY.names if c not in ("moved", "moves")],
+        F.when(edge & F.col("at_edge").isNotNull(), F.col("at_edge") + F.coalesce("d.moved", F.lit(0.0))).otherwise(F.col("d.moved")).alias("moved"),
+        (F.when(edge, F.col("edges")).otherwise(0) + F.coalesce("d.moves", F.lit(0))).alias("moves"),
+        "error",
+    )
+
+
 def daily_ic(long: DataFrame, ranks: str = "ordinal") -> DataFrame:
     """(expr_id, t, trade_date, ic, rank_ic) of the days with pairs."""
     return daily(long, ranks).filter("pairs > 0").select(*DAY, "ic", "rank_ic")
@@ -127,8 +246,9 @@ def summary(long: DataFrame, least: int = 30, train_end: str | None = None, test
     return summarise(daily(long, ranks), least, train_end, test_start)
 
 
-def summarise(days: DataFrame, least: int = 30, train_end: str | None = None, test_start: str | None = None) -> DataFrame:
-    """summary() of the rows of daily() or daily_of_many()."""
+def summarise(days: DataFrame, least: int = 30, train_end: str | None = None, test_start: str | None = None, least_spread: int = 50) -> DataFrame:
+    """summary() of the rows of daily(), daily_of_many() or cross_sections(). Those of the last have turnover_proxy and
+    quantile_spread too (of days with ``least_spread`` pairs), and the first error of an expression."""
     usable = F.col("n") >= least
     train = F.col("trade_date") <= F.lit(train_end) if train_end else F.lit(False)
     test = F.col("trade_date") >= F.lit(test_start) if test_start else F.lit(False)
@@ -147,6 +267,15 @@ def summarise(days: DataFrame, least: int = 30, train_end: str | None = None, te
             for v in [F.when(mask, r)]
             for x in (F.avg(v).alias(f"{name}_mean_rank_ic"), _ratio(F.avg(v), F.stddev_pop(v)).alias(f"{name}_rank_icir"))
         ],
+        *(
+            [
+                (F.sum("moved") / F.sum("moves")).alias("turnover_proxy"),
+                F.avg(F.when(F.col("pairs") >= least_spread, F.col("spread"))).alias("quantile_spread"),
+                F.min("error").alias("error"),
+            ]
+            if "moved" in days.columns
+            else []
+        ),
     )
     agree = F.when(F.col("train_mean_rank_ic") * F.col("test_mean_rank_ic") > 0, 1.0).otherwise(0.25)
     score = F.when(

@@ -19,11 +19,18 @@ from loomfactor.operators.panel import by_code
 
 
 class Pass:
-    """What a builder gets beside its arguments: the columns of earlier passes, and hold(), which names a window
-    column that is built once and may be used, here and by other operators on the same arguments, any number of times."""
+    """What a builder gets beside its arguments: the columns of earlier passes, hold(), which names a window column that is
+    built once and may be used, here and by other operators on the same arguments, any number of times, and the rows of the
+    code around a row: of its whole history, or of the stretch of it that a task holds."""
 
-    def __init__(self, hold: Callable[[str, Column], Column], earlier: list[Column]):
-        self.hold, self.earlier = hold, earlier
+    def __init__(self, hold: Callable[[str, Column], Column], earlier: list[Column], keys: tuple[str, ...] = ("code",)):
+        self.hold, self.earlier, self.keys = hold, earlier, keys
+
+    def own(self) -> Window:
+        return Window.partitionBy(*self.keys).orderBy("t")
+
+    def frame(self, w: int) -> Window:
+        return self.own().rowsBetween(-(w - 1), 0)
 
 
 @dataclass(frozen=True)
@@ -32,6 +39,10 @@ class Op:
     #: One builder for each pass: (arguments, window, Pass) -> Column.
     passes: tuple[Callable[..., Column], ...]
     windowed: bool = False
+    #: Whether a value depends on all rows before it, however far back.
+    endless: bool = False
+    #: Name of the statistic of ordered values that serves wide windows (see operators/sliding.py).
+    ordered: str | None = None
 
     @property
     def arity(self) -> int:
@@ -46,13 +57,9 @@ def _row(kind: str, f: Callable[..., Column]) -> Op:
     return Op(kind, (lambda a, w, p: f(*a),))
 
 
-def frame(w: int) -> Window:
-    return by_code().rowsBetween(-(w - 1), 0)
-
-
 def _stat(stat: str, x: Column, w: int, p: Pass) -> Column:
     f = STATS[stat]
-    return p.hold(stat, f(x).over(frame(w)))
+    return p.hold(stat, f(x).over(p.frame(w)))
 
 
 #: Statistics of a frame that operators share.
@@ -71,9 +78,9 @@ STATS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _full(agg: Callable[[Column, int, Pass], Column]) -> Op:
+def _full(agg: Callable[[Column, int, Pass], Column], ordered: str | None = None) -> Op:
     """A statistic of a frame in which all w rows have a value."""
-    return Op("rolling", (lambda a, w, p: F.when(_stat("count", a[0], w, p) == w, agg(a[0], w, p)),), True)
+    return Op("rolling", (lambda a, w, p: F.when(_stat("count", a[0], w, p) == w, agg(a[0], w, p)),), True, ordered=ordered)
 
 
 def _over(stat: str) -> Op:
@@ -99,7 +106,7 @@ def _ts_mad(x: Column, w: int, p: Pass) -> Column:
 
 def _ts_wma(x: Column, w: int, p: Pass) -> Column:
     t = F.col("t").cast("double")
-    weighted = p.hold("sum of t x", F.sum(t * x).over(frame(w)))
+    weighted = p.hold("sum of t x", F.sum(t * x).over(p.frame(w)))
     return (weighted - (t - w) * _stat("sum", x, w, p)) / F.lit(w * (w + 1) / 2)
 
 
@@ -174,21 +181,21 @@ def _pairs(a: list[Column]) -> tuple[Column, Column]:
 
 def _ts_cov(a, w, p) -> Column:
     x, y = _pairs(a)
-    n = p.hold("pairs", F.count(x).over(frame(w)))
-    return F.when(n == w, p.hold("covariance", F.covar_samp(x, y).over(frame(w))))
+    n = p.hold("pairs", F.count(x).over(p.frame(w)))
+    return F.when(n == w, p.hold("covariance", F.covar_samp(x, y).over(p.frame(w))))
 
 
 def _ts_corr(a, w, p) -> Column:
     x, y = _pairs(a)
-    n = p.hold("pairs", F.count(x).over(frame(w)))
-    spread = p.hold("std x", F.stddev_pop(x).over(frame(w))) * p.hold("std y", F.stddev_pop(y).over(frame(w)))
-    together = p.hold("covariance of all", F.covar_pop(x, y).over(frame(w)))
+    n = p.hold("pairs", F.count(x).over(p.frame(w)))
+    spread = p.hold("std x", F.stddev_pop(x).over(p.frame(w))) * p.hold("std y", F.stddev_pop(y).over(p.frame(w)))
+    together = p.hold("covariance of all", F.covar_pop(x, y).over(p.frame(w)))
     enough = (n >= max(2, w // 2)) & (F.col("t") >= w) & (n * spread > 1e-10)
     return F.when(enough, together / spread)
 
 
 def _lag(x: Column, w: int, p: Pass) -> Column:
-    return p.hold("lag", F.lag(x, w).over(by_code()))
+    return p.hold("lag", F.lag(x, w).over(p.own()))
 
 
 def _plain(f: Callable[[Column, int, Pass], Column]) -> Op:
@@ -216,7 +223,7 @@ OPS: dict[str, Op] = {
     "TsVar": _over("var"),
     "TsMax": _over("max"),
     "TsMin": _over("min"),
-    "TsMed": _over("median"),
+    "TsMed": _full(lambda x, w, p: _stat("median", x, w, p), "median"),
     "TsDelta": _plain(lambda x, w, p: x - _lag(x, w, p)),
     "TsPctChange": _plain(lambda x, w, p: safe_div(x - _lag(x, w, p), _lag(x, w, p))),
     "TsDiv": _full(lambda x, w, p: safe_div(x, _stat("mean", x, w, p))),
@@ -224,12 +231,12 @@ OPS: dict[str, Op] = {
     "TsMinMaxDiff": _full(lambda x, w, p: _stat("max", x, w, p) - _stat("min", x, w, p)),
     "TsMaxDiff": _full(lambda x, w, p: x - _stat("max", x, w, p)),
     "TsMinDiff": _full(lambda x, w, p: x - _stat("min", x, w, p)),
-    "TsMad": _full(_ts_mad),
+    "TsMad": _full(_ts_mad, "deviation"),
     "TsSkew": _full(_ts_skew),
     "TsKurt": _full(_ts_kurt),
-    "TsRank": _full(_ts_rank),
+    "TsRank": _full(_ts_rank, "rank"),
     "TsWMA": _full(_ts_wma),
-    "TsEMA": Op("rolling", (_ema_decay, _ema_level, _ema_local, _ema_end, _ema), True),
+    "TsEMA": Op("rolling", (_ema_decay, _ema_level, _ema_local, _ema_end, _ema), True, endless=True),
     "TsCov": Op("pair", (_ts_cov,), True),
     "TsCorr": Op("pair", (_ts_corr,), True),
 }

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfactor.functions.missing import clean
+from loomfactor.operators import sliding, stretches
 from loomfactor.operators.metrics import cells, percentiles
+from loomfactor.operators.ranks import rank_apart
 from loomfactor.operators.registry import OPS, Pass, rank_of
 from loomfactor.plans.expressions import Call, Const, Expr, Field, canonical
 
@@ -22,8 +24,21 @@ from loomfactor.plans.expressions import Call, Const, Expr, Field, canonical
 PHASE = 100
 
 
+#: Steps of t a task holds of a code whose wide windows slide: a group is one Arrow table there.
+SLIDING_STRETCH = 50_000
+
+
 class Compiler:
-    def __init__(self):
+    """``given`` names the columns of the panel that hold sub-expressions already. ``stretch`` cuts histories into that many
+    steps of t, where no operator needs all of them. ``apart`` names a folder for ranks of dates too wide for a task."""
+
+    def __init__(self, given: dict[str, str] | None = None, stretch: int | None = None, apart: str | None = None):
+        self.given, self.stretch, self.apart = given or {}, stretch, apart
+        #: Depth -> rows that windows there reach back.
+        self.back: dict[int, int] = {}
+        #: Depth -> statistics of ordered values that slide there: column -> (statistic, input, width).
+        self.slides: dict[int, dict[str, tuple[str, str, int]]] = {}
+        self.endless = False
         self.columns: dict[str, Column] = {}
         self.levels: dict[str, int] = {}
         #: Key -> columns of the panel that its column reads.
@@ -41,6 +56,8 @@ class Compiler:
     def add(self, expr: Expr) -> str:
         """Plan an expression and what it needs; returns its key."""
         key = canonical(expr)
+        if key in self.given:
+            self._put(key, F.col(self.given[key]), 0, {self.given[key]})
         if key not in self.columns:
             match expr:
                 case Field(name):
@@ -51,6 +68,10 @@ class Compiler:
                     self._operator(key, expr)
         return key
 
+    @property
+    def by(self) -> tuple[str, ...]:
+        return ("code", stretches.STRETCH) if self.stretch else ("code",)
+
     def _operator(self, key: str, call: Call) -> None:
         op = OPS[call.op]
         timed = op.kind in ("rolling", "pair")
@@ -67,12 +88,21 @@ class Compiler:
         args = [self._named(self.inputs, first, ("input", k), self.columns[k]) for k in keys]
         if call.op == "Rank":
             column, level = self._named(self.ranks, first, ("value", key), args[0]), first
+        elif op.ordered and window > sliding.WIDE:
+            level += 1
+            self.back[level] = max(self.back.get(level, 0), window)
+            where, slid = {}, self.slides.setdefault(level, {})
+            column = clean(self._named(where, level, ("value", key, 0), args[0]))
+            # The values slide by the name of their input, which the panel has at this depth.
+            slid |= {name: (op.ordered, self.names["input", keys[0], first], window) for name in where.get(level, {})}
         else:
+            self.endless |= op.endless
             earlier: list[Column] = []
             for step, build in enumerate(op.passes):
                 level += 1
+                self.back[level] = max(self.back.get(level, 0), window)
                 hold = lambda stat, c, at=level, k=tuple(keys): self._named(self.windows, at, (stat, window, k, at), c)
-                earlier.append(self._named(self.values, level, ("value", key, step), clean(build(args, window, Pass(hold, list(earlier))))))
+                earlier.append(self._named(self.values, level, ("value", key, step), clean(build(args, window, Pass(hold, list(earlier), self.by)))))
             column = earlier[-1]
         self._put(key, column, level, {self.names[("value", key) if call.op == "Rank" else ("value", key, len(op.passes) - 1)]})
 
@@ -89,19 +119,36 @@ class Compiler:
 
     def run(self, panel: DataFrame, outputs: list[str], keep: list[str]) -> DataFrame:
         """panel with the columns that the outputs read; what later depths do not need is dropped before each exchange."""
+        if self.stretch and self.endless:
+            raise ValueError("averages without end cannot be cut into stretches")
         always = {"t", "trade_date", "code", *keep}.union(*(self.reads[k] for k in outputs))
-        for level in sorted({*self.inputs, *self.windows, *self.values, *self.ranks}):
+        levels = sorted({*self.inputs, *self.windows, *self.values, *self.ranks, *self.slides})
+        is_cut = False
+        for level in levels:
             ranks = self.ranks.get(level, {})
+            if self.stretch and not ranks and not is_cut and level in self.back:
+                # Windows between two depths of ranks look back through one another.
+                phase = [at for at in levels if at // PHASE == level // PHASE]
+                panel, is_cut = stretches.cut(panel, self.stretch, sum(self.back.get(at, 0) for at in phase)), True
+            if ranks and is_cut:
+                panel, is_cut = stretches.join_up(panel), False
             if ranks:
                 later = always.union(*(names for at, names in self.wanted.items() if at >= level))
                 panel = panel.select(*[c for c in panel.columns if c in later])
-            few = {n: rank_of(x) for n, x in ranks.items()} if len(ranks) <= FEW_RANKS else {}
+            few = {n: rank_of(x) for n, x in ranks.items()} if len(ranks) <= FEW_RANKS and not self.apart else {}
             for added in (self.inputs.get(level, {}), self.windows.get(level, {}), self.values.get(level, {}), few):
                 panel = panel.withColumns(added) if added else panel
+            if level in self.slides:
+                if self.stretch:
+                    panel = sliding.with_slides(panel, list(self.by), self.slides[level])
+                else:
+                    held = stretches.cut(panel, SLIDING_STRETCH, self.back[level])
+                    panel = stretches.join_up(sliding.with_slides(held, ["code", stretches.STRETCH], self.slides[level]))
             if ranks and not few:
                 later = always.union(*(names for at, names in self.wanted.items() if at > level))
-                panel = _rank_together(panel, ranks, [c for c in panel.columns if c in later])
-        return panel
+                kept = [c for c in panel.columns if c in later]
+                panel = rank_apart(panel, ranks, kept, self.apart) if self.apart else _rank_together(panel, ranks, kept)
+        return stretches.join_up(panel) if is_cut else panel
 
 
 #: So many ranks at one depth have a window each; more are ranked date by date.
@@ -124,9 +171,18 @@ def _rank_together(panel: DataFrame, ranks: dict[str, Column], keep: list[str])
     return inputs.groupBy("trade_date").applyInArrow(rank, inputs.schema)
 
 
-def evaluate(panel: DataFrame, nodes: dict[str, Expr], keep: list[str] = ()) -> DataFrame:
-    """(t, trade_date, code, keep..., one column for each named expression) of a dense panel."""
-    compiler = Compiler()
+def evaluate(
+    panel: DataFrame,
+    nodes: dict[str, Expr],
+    keep: list[str] = (),
+    given: dict[str, str] | None = None,
+    stretch: int | None = None,
+    apart: str | None = None,
+) -> DataFrame:
+    """(t, trade_date, code, keep..., one column for each named expression) of a dense panel. given: keys of sub-expressions
+    that the panel holds already -> their columns. stretch: steps of t of one code that a task takes at a time. apart: a
+    folder where ranks are sorted over many tasks, for dates of more codes than a task should hold."""
+    compiler = Compiler(given, stretch, apart)
     keys = {name: compiler.add(node) for name, node in nodes.items()}
     out = compiler.run(panel, list(keys.values()), list(keep))
     return out.select("t", "trade_date", "code", *keep, *[compiler.columns[k].alias(n) for n, k in keys.items()])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +15,10 @@ from pyspark.sql import functions as F
 from loomfactor.functions.features import PUBLIC
 from loomfactor.operators import metrics
 from loomfactor.operators.panel import densify, forward_return
-from loomfactor.plans.compile import evaluate, long_form
+from loomfactor.plans.compile import evaluate
 from loomfactor.plans.expressions import Expr, Limits, Validator, canonical, parse
+from loomfactor.plans.shared import MOST, Store, choose
+from loomfactor.sources import panels
 from loomfactor.sources.store import ResultStore, run_id, top_k
 
 #: Figures of a result, in the order of the store.
@@ -37,6 +42,8 @@ class Config:
     checkpoint: float = 0.05
     top_checkpoint: int = 50
     top: int = 100
+    #: Columns of sub-expressions that are kept for later batches at most.
+    shared: int = MOST
 
 
 @dataclass(frozen=True)
@@ -68,17 +75,18 @@ def base_panel(features: DataFrame, config: Config) -> DataFrame:
     return densify(features, [*fields, "close"]).withColumn("fwd", forward_return(config.horizon))
 
 
-def score(base: DataFrame, planned: list[Planned], config: Config) -> DataFrame:
-    """(expr, canonical, status, figures) of valid expressions, compiled together."""
+def score(base: DataFrame, planned: list[Planned], config: Config, given: dict[str, str] | None = None) -> DataFrame:
+    """(expr, canonical, status, figures) of valid expressions, compiled together and scored in one pass over their values.
+    An expression whose figures cannot be computed has the error as its status."""
     names = {f"e{i:05d}": p for i, p in enumerate(planned)}
-    wide = evaluate(base, {n: p.tree for n, p in names.items()}, ["fwd"])
-    found = metrics.summarise(metrics.daily_of_many(wide, list(names)), config.least, config.train_end, config.test_start)
-    long = long_form(wide, list(names), ["fwd"])
-    spread = metrics.quantile_spread(long, least=config.least_spread)
-    moved = metrics.turnover_proxy(long, config.least)
+    wide = evaluate(base, {n: p.tree for n, p in names.items()}, ["fwd"], given)
+    days = metrics.cross_sections(wide, list(names), config.least)
+    found = metrics.summarise(days, config.least, config.train_end, config.test_start, config.least_spread)
     known = base.sparkSession.createDataFrame([(n, p.expr, p.key) for n, p in names.items()], "expr_id string, expr string, canonical string")
-    out = F.broadcast(known).join(found, "expr_id").join(spread, "expr_id", "left").join(moved, "expr_id", "left")
-    return out.select("expr", "canonical", F.lit("OK").alias("status"), *FIGURES)
+    failed = F.col("error").isNotNull()
+    status = F.when(failed, F.concat(F.lit("EVAL_ERROR:"), F.substring("error", 1, 200))).otherwise("OK")
+    figures = [F.when(~failed, F.col(c)).alias(c) for c in FIGURES]
+    return F.broadcast(known).join(found, "expr_id").select("expr", "canonical", status.alias("status"), *figures)
 
 
 def refused(spark: SparkSession, planned: list[Planned]) -> DataFrame:
@@ -96,24 +104,48 @@ def results(features: DataFrame, expressions: list[str], config: Config) -> Data
     return out.unionByName(score(base_panel(features, config), good, config)) if good else out
 
 
-def _store(store: ResultStore, name: str, base: DataFrame, planned: list[Planned], config: Config) -> None:
-    """Score a batch and keep it. If it fails, its halves are tried, so that only what fails gets an error row."""
-    spark, good = base.sparkSession, [p for p in planned if p.status == "OK"]
-    tagged = lambda rows: rows.withColumn("run_id", F.lit(name))
-    if bad := [p for p in planned if p.status != "OK"]:
-        store.upsert(tagged(refused(spark, bad)))
-    if not good:
+#: Times a batch is tried again when executors, and not its expressions, were lost.
+RETRIES = 2
+#: What Spark says of failures that come from the cluster. Fixed values.
+_LOST = re.compile(r"ExecutorLostFailure|FetchFailed|executor \S+ exited|Executor heartbeat timed out|Worker lost|decommission|No space left on device|OutOfMemoryError")
+
+
+def lost(error: Exception) -> bool:
+    """Whether a job failed with the machines it ran on, so that the same batch may well succeed later."""
+    return _LOST.search(str(error)) is not None
+
+
+def _said(error: Exception) -> str:
+    """The first line that names the cause."""
+    cause = getattr(error, "java_exception", None)
+    while cause is not None and cause.getCause() is not None:
+        cause = cause.getCause()
+    text = (str(cause.getMessage()) if cause is not None else str(error)).strip()
+    name = str(cause.getClass().getSimpleName()) if cause is not None else type(error).__name__
+    return f"{name}:{(text.splitlines() or [''])[0][:200]}"
+
+
+def _store(keep: Callable[[DataFrame], None], panel: Callable[[list[Planned]], tuple[DataFrame, dict[str, str]]], planned: list[Planned], config: Config) -> None:
+    """Score a batch and keep it. If its job fails for what its expressions are, its halves are tried, so that only what fails
+    gets an error row; if machines were lost, it is tried again and, failing that, the error is raised: no row says that
+    an expression failed that did not. A later run takes up what is left."""
+    if not planned:
         return
-    try:
-        store.upsert(tagged(score(base, good, config)))
-    except PySparkException as e:
-        if len(good) > 1:
-            for half in (good[: len(good) // 2], good[len(good) // 2 :]):
-                _store(store, name, base, half, config)
-            return
-        said = str(e).strip().splitlines() or [""]
-        failed = Planned(good[0].expr, good[0].key, f"EVAL_ERROR:{type(e).__name__}:{said[0][:200]}")
-        store.upsert(tagged(refused(spark, [failed])))
+    base, given = panel(planned)
+    for left in range(RETRIES, -1, -1):
+        try:
+            return keep(score(base, planned, config, given))
+        except (PySparkException, Py4JJavaError) as e:
+            if lost(e):
+                if not left:
+                    raise
+                continue
+            if len(planned) > 1:
+                for half in (planned[: len(planned) // 2], planned[len(planned) // 2 :]):
+                    _store(keep, panel, half, config)
+                return
+            failed = Planned(planned[0].expr, planned[0].key, f"EVAL_ERROR:{_said(e)}")
+            return keep(refused(base.sparkSession, [failed]))
 
 
 def _marks(total: int, batch: int, step: float) -> Iterator[tuple[int, float | None]]:
@@ -129,12 +161,20 @@ def _marks(total: int, batch: int, step: float) -> Iterator[tuple[int, float | N
             return
 
 
+def _sources(features: DataFrame) -> list[str]:
+    """Names of the files that the features are read from: other data is another run."""
+    return sorted(features.inputFiles())
+
+
 def run(features: DataFrame, expressions: list[str], config: Config, out: str, **named: object) -> dict:
     """Score all expressions that the store under ``out`` has not got yet, and write raw rows, expressions, results, the
-    best of them, checkpoints and a summary. The run is named by its configuration and by what named says of the data;
-    the same run goes on where it was stopped."""
+    best of them, checkpoints and a summary. The run is named by its configuration, by the files its features come from and by
+    what named says of the data; the same run goes on where it was stopped.
+
+    The dense panel is kept as a table bucketed by code, and beside it the sub-expressions that several batches read: each of
+    them is computed once in a run."""
     spark = features.sparkSession
-    name = run_id(asdict(config) | named)
+    name = run_id(asdict(config) | {"files": _sources(features)} | named)
     store = ResultStore(spark, f"{out}/results")
     features.write.mode("overwrite").parquet(f"{out}/raw")
     raw = spark.read.parquet(f"{out}/raw")
@@ -143,14 +183,26 @@ def run(features: DataFrame, expressions: list[str], config: Config, out: str, *
     wanted = spark.createDataFrame([(p.key,) for p in planned], "canonical string")
     left = {r.canonical for r in store.remaining(name, wanted).collect()}
     todo = [p for p in planned if p.key in left]
-    # Written once: the batches read the dense panel, not the features.
-    base_panel(raw, config).write.mode("overwrite").parquet(f"{out}/panel")
-    base, start = spark.read.parquet(f"{out}/panel"), 0
-    for end, share in _marks(len(todo), config.batch, config.checkpoint):
-        _store(store, name, base, todo[start:end], config)
-        start = end
-        if share is not None:
-            _csv(top_k(store.all(name), config.top_checkpoint), f"{out}/checkpoints/top{config.top_checkpoint}_pct_{share:.0%}")
+    keep = lambda rows: store.upsert(rows.withColumn("run_id", F.lit(name)))
+    if bad := [p for p in todo if p.status != "OK"]:
+        keep(refused(spark, bad))
+    marks = list(_marks(len(todo), config.batch, config.checkpoint)) if todo else []
+    ends = [0, *(end for end, _ in marks)]
+    batches = [[p for p in todo[i:j] if p.status == "OK"] for i, j in zip(ends, ends[1:])]
+    held = f"panel_{uuid.uuid4().hex}"
+    with panels.co_located(spark):
+        try:
+            # Written once: the batches read the dense panel, not the features.
+            base = panels.save(base_panel(raw, config), held, f"{out}/kept/{held}")
+            shared = Store(base, f"{out}/kept").build(choose([[p.tree for p in batch] for batch in batches], config.shared))
+            for (_, share), batch in zip(marks, batches):
+                _store(keep, lambda some: shared.panel([p.tree for p in some]), batch, config)
+                if share is not None:
+                    _csv(top_k(store.all(name), config.top_checkpoint), f"{out}/checkpoints/top{config.top_checkpoint}_pct_{share:.0%}")
+            shared.release()
+        finally:
+            panels.drop(spark, held, f"{out}/kept/{held}")
+    store.compact(name)
     found = store.all(name)
     _csv(found, f"{out}/factor_results")
     _csv(top_k(found, config.top), f"{out}/top{config.top}")

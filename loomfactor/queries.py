@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -17,7 +18,7 @@ from loomfactor.plans import mining
 from loomfactor.plans.compile import evaluate, long_form
 from loomfactor.plans.expressions import Call, Expr, parse
 from loomfactor.plans.grammar import enumerate_templates
-from loomfactor.sources import adapters, store, tables
+from loomfactor.sources import adapters, files, panels, store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -426,16 +427,6 @@ _SNAP = """snap as (select cast(s_suppkey as varchar) as code, s_name as name, r
   from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
 
 
-@_q(
-    "industry_map",
-    f"with {_SNAP} select cast(l_suppkey as varchar) as code, coalesce(max(case when s.name not like '%3' then industry end), 'UNKNOWN') as industry from lineitem l left join snap s on s.code = cast(l_suppkey as varchar) group by 1",
-)
-def _industry_map(spark, sf_dir):
-    snap = adapters.snapshot(spark, sf_dir).filter("name not like '%3'")
-    rows = adapters.bars(spark, sf_dir).select("code", "trade_date").join(snap, "code", "left")
-    return groups.industry_map(rows)
-
-
 @_q(
     "industry_map_all",
     f"with {_SNAP} select cast(l_suppkey as varchar) as code, coalesce(max(industry), 'UNKNOWN') as industry from lineitem l left join snap s on s.code = cast(l_suppkey as varchar) group by 1",
@@ -531,15 +522,6 @@ def _resume(spark, sf_dir):
     return wanted.join(done.distinct(), "canonical", "left_anti")
 
 
-@_q(
-    "grammar_counts",
-    "select * from (values ('single_field', 2100::BIGINT), ('binary', 6525), ('pair_corr', 765), ('directional', 75), ('total', 9465)) as v(name, n)",
-)
-def _grammar(spark, sf_dir):
-    _, stats = enumerate_templates(PUBLIC)
-    return spark.createDataFrame(list(stats.items()), "name string, n long")
-
-
 # ---- warehouse queries -------------------------------------------------------------------------------------------
 
 _DAYS = "days as (select user_id, date_trunc('day', ts) as day, last(value order by ts, event_id) as close, first(value order by ts, event_id) as open, max(value) as high, min(value) as low, count(*)::DOUBLE as vol from events group by all)"
@@ -690,28 +672,6 @@ def _const_keys(spark, sf_dir):
     return rounded(out.select(F.col("t").cast("long").alias("t"), "code", *exprs))
 
 
-@_q(
-    "op_tsema_long",
-    """with recursive p as (
-  select t, c, case when (t * 13 + c) % 17 > 0 and not (c = 2 and t between 900 and 3100) then ((t * 37 + c * 101) % 997) / 997.0::DOUBLE end as x
-  from generate_series(1, 5000) a(t) cross join generate_series(1, 3) b(c)
-), r(t, c, y, seen, last) as (
-  select 0::BIGINT, c, null::DOUBLE, 0::BIGINT, null::BIGINT from generate_series(1, 3) b(c)
-  union all
-  select p.t, p.c, case when p.x is null then r.y when r.y is null then p.x
-      else (power(9.0::DOUBLE / 11, p.t - r.last) * r.y + 2.0::DOUBLE / 11 * p.x) / (power(9.0::DOUBLE / 11, p.t - r.last) + 2.0::DOUBLE / 11) end,
-    r.seen + (p.x is not null)::BIGINT, case when p.x is null then r.last else p.t end
-  from r join p on p.c = r.c and p.t = r.t + 1
-) select t, 'c' || c as code, round(case when seen >= 10 then y end, 6) as v from r where t > 0""",
-)
-def _ema_long(spark, sf_dir):
-    """Five thousand rows a code, one of them with a gap of two thousand: far beyond what one exponent can hold."""
-    grid = spark.range(1, 5001).select(F.col("id").alias("t")).crossJoin(spark.range(1, 4).select(F.col("id").alias("c")))
-    held = ((F.col("t") * 13 + F.col("c")) % 17 > 0) & ~((F.col("c") == 2) & F.col("t").between(900, 3100))
-    rows = grid.select("t", F.lpad(F.col("t").cast("string"), 8, "0").alias("trade_date"), F.concat(F.lit("c"), F.col("c")).alias("code"), F.when(held, ((F.col("t") * 37 + F.col("c") * 101) % 997) / 997.0).alias("x"))
-    return rounded(evaluate(rows, {"v": parse("TsEMA($x,10)")}).select("t", "code", "v"))
-
-
 @_q(
     "rolling_ic_120",
     """with d as (
@@ -756,6 +716,114 @@ def _ic_by_period(spark, sf_dir):
     return rounded(diagnostics.ic_by_period(diagnostics.clean_factor(scored(spark, sf_dir))))
 
 
+@_q(
+    "alpha_beta",
+    f"""with {SCORED}, k as (select trade_date, code, f, lead(close, 1) over o / close - 1 as period_1, lead(close, 5) over o / close - 1 as period_5, lead(close, 10) over o / close - 1 as period_10
+  from e window o as (partition by code order by t)), c as (select * from k where f is not null and period_1 is not null and period_5 is not null and period_10 is not null),
+w as (select *, f - avg(f) over (partition by trade_date) as w from c), l as (unpivot w on period_1, period_5, period_10 into name period value r),
+d as (select trade_date, period, avg(r) as x, sum(w * r) / nullif(sum(abs(w)), 0) as y from l group by 1, 2), g as (
+  select period, count(*) as n_dates, regr_slope(y, x) as beta, regr_intercept(y, x) as alpha from d where x is not null and y is not null group by 1)
+select period, n_dates, round(alpha, 6) + 0.0::DOUBLE as alpha, round(beta, 6) + 0.0::DOUBLE as beta, round(ln(power(1 + alpha, 252 / split_part(period, '_', 2)::DOUBLE)), 6) + 0.0::DOUBLE as log_ann from g""",
+)
+def _alpha_beta(spark, sf_dir):
+    found = diagnostics.alpha_beta(diagnostics.clean_factor(scored(spark, sf_dir)))
+    return rounded(found.withColumn("log_ann", F.log1p("ann_alpha")).drop("ann_alpha"))
+
+
+@_q(
+    "quantile_turnover",
+    f"""with {SCORED}, k as (select trade_date, t, code, f, lead(close, 1) over o as p1, lead(close, 5) over o as p5, lead(close, 10) over o as p10, close as p0 from e window o as (partition by code order by t)),
+c as (select * from k where f is not null and p0 is not null and p1 is not null and p5 is not null and p10 is not null),
+q as (select trade_date, quantile_cont(f, [0.2, 0.4, 0.6, 0.8]) as edges from c group by 1),
+m as (select c.*, (1 + len(list_filter(edges, lambda v: f > v)))::INTEGER as factor_quantile, dense_rank() over (order by trade_date) as i from c join q using (trade_date))
+select a.trade_date, a.factor_quantile, count(*) as n, round(case when any_value(a.i) > 5 then avg(case when b.factor_quantile = a.factor_quantile then 0.0 else 1.0 end) end, 6)::DOUBLE as turnover
+from m a left join m b on b.code = a.code and b.i = a.i - 5 group by 1, 2""",
+)
+def _quantile_turnover(spark, sf_dir):
+    """Quantiles of each date against those five dates earlier."""
+    return rounded(diagnostics.quantile_turnover(diagnostics.clean_factor(scored(spark, sf_dir)), 5))
+
+
+# ---- stored panels, histories in stretches, wide windows ---------------------------------------------------------
+
+
+@_q("panel_stored", f"with {PANEL} select t, code, round(case when count(x) over w = 10 then avg(x) over w end, 6) + 0.0::DOUBLE as v from p window w as (partition by code order by t rows between 9 preceding and current row)")
+def _panel_stored(spark, sf_dir):
+    """A window over a panel that is kept bucketed by code, and read from there."""
+    kept = panels.save(panel(spark, sf_dir, (X,)), f"panel_{uuid.uuid4().hex}", files.shared_folder(spark))
+    out = evaluate(kept, {"v": parse(f"TsMean(${X},10)")})
+    return rounded(out.select(F.col("t").cast("long").alias("t"), "code", "v"))
+
+
+STRETCHED = {
+    "mean": "TsMean($close,5)", "most": "TsMax($close,5)", "wma": "TsWMA($close,5)", "corr": "TsCorr($close,$vol,5)", "delta": "TsDelta($close,3)",
+    "deep": "TsMean(TsDelta($close,2),3)", "ranked": "TsMean(Rank(TsMean($close,3)),4)", "median": "TsMed($close,4)",
+}
+_EV = lambda x, w, f: f"case when count({x}) over (o rows between {w - 1} preceding and current row) = {w} then {f} over (o rows between {w - 1} preceding and current row) end"
+
+
+@_q(
+    "events_stretches",
+    f"""with a as (select cast(user_id as varchar) as code, strftime(ts, '%Y%m%d') as trade_date, avg(value) as close, count(*)::DOUBLE as vol from events group by all),
+c as (select trade_date, row_number() over (order by trade_date) as t from (select distinct trade_date from a)),
+p as (select c.t, c.trade_date, k.code, close, vol from c cross join (select distinct code from a) k left join a using (trade_date, code)),
+q as (select *, close - lag(close, 2) over o as d2, {_EV("close", 3, "avg(close)")} as m3, case when vol is not null then close end as cx, case when close is not null then vol end as cy from p window o as (partition by code order by t)),
+r as (select *, case when m3 is not null then row_number() over (partition by trade_date, m3 is null order by m3, code) / count(*) over (partition by trade_date, m3 is null) end as r3 from q)
+select t, code, round({_EV("close", 5, "avg(close)")}, 6) + 0.0::DOUBLE as mean, round({_EV("close", 5, "max(close)")}, 6) + 0.0::DOUBLE as most,
+  round(({_EV("close", 5, "sum(t * close)")} - (t - 5) * {_EV("close", 5, "sum(close)")}) / 15.0, 6) + 0.0::DOUBLE as wma,
+  round(case when t >= 5 and count(cx) over f >= 2 and count(cx) over f * stddev_pop(cx) over f * stddev_pop(cy) over f > 1e-10 then covar_pop(cx, cy) over f / (stddev_pop(cx) over f * stddev_pop(cy) over f) end, 6) + 0.0::DOUBLE as corr,
+  round(close - lag(close, 3) over o, 6) + 0.0::DOUBLE as delta, round({_EV("d2", 3, "avg(d2)")}, 6) + 0.0::DOUBLE as deep, round({_EV("r3", 4, "avg(r3)")}, 6) + 0.0::DOUBLE as ranked,
+  round({_EV("close", 4, "median(close)")}, 6) + 0.0::DOUBLE as median
+from r window o as (partition by code order by t), f as (partition by code order by t rows between 4 preceding and current row)""",
+)
+def _events_stretches(spark, sf_dir):
+    """A user's days in stretches of seven: no task holds a whole history, every window finds the rows it reaches back to."""
+    base = densify(adapters.events(spark, sf_dir), ["close", "vol"])
+    out = evaluate(base, {k: parse(e) for k, e in STRETCHED.items()}, stretch=7)
+    return rounded(out.select(F.col("t").cast("long").alias("t"), "code", *STRETCHED))
+
+
+WIDE_WINDOWS = {"med": "TsMed($x,250)", "med_odd": "TsMed($x,101)", "rank": "TsRank($x,250)", "mad": "TsMad($x,250)"}
+_WIDE = lambda w, f: f"case when count(x) over w{w} = {w} then {f} end"
+
+
+@_q(
+    "windows_wide",
+    f"""with a as (select l_returnflag as code, strftime(l_shipdate, '%Y%m%d') as trade_date, avg(l_quantity) as x from lineitem group by all),
+c as (select trade_date, row_number() over (order by trade_date) as t from (select distinct trade_date from a)),
+p as (select c.t, k.code, x from c cross join (select distinct code from a) k left join a using (trade_date, code)),
+h as (select t, code, x, {_WIDE(250, "median(x) over w250")} as med, {_WIDE(101, "median(x) over w101")} as med_odd, case when count(x) over w250 = 250 then list(x) over w250 end as held, avg(x) over w250 as m
+  from p window w250 as (partition by code order by t rows between 249 preceding and current row), w101 as (partition by code order by t rows between 100 preceding and current row))
+select t, code, round(med, 6) as med, round(med_odd, 6) as med_odd, round((len(list_filter(held, lambda v: v < x)) + (len(list_filter(held, lambda v: v = x)) + 1) / 2.0::DOUBLE) / 250, 6) as rank,
+  round(list_sum(list_transform(held, lambda v: abs(v - m))) / 250, 6) as mad from h""",
+)
+def _windows_wide(spark, sf_dir):
+    """Daily mean quantities by return flag: windows of 250 days slide over ordered values."""
+    day = F.date_format("l_shipdate", "yyyyMMdd").alias("trade_date")
+    facts = adapters.read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("code"), day).agg(F.avg("l_quantity").alias("x"))
+    out = evaluate(densify(facts, ["x"]), {k: parse(e) for k, e in WIDE_WINDOWS.items()})
+    return rounded(out.select(F.col("t").cast("long").alias("t"), "code", *WIDE_WINDOWS))
+
+
+@_q(
+    "ranks_wide",
+    """with p as (select strftime(date_trunc('month', ts), '%Y%m%d') as trade_date, cast(event_id as varchar) as code, nullif(length(event_type), 5)::DOUBLE as x, value as y from events)
+select trade_date, code, case when x is not null then row_number() over (partition by trade_date, x is null order by x, code) / count(*) over (partition by trade_date, x is null) end as rx,
+  row_number() over (partition by trade_date order by y, code) / count(*) over (partition by trade_date) as ry from p""",
+)
+def _ranks_wide(spark, sf_dir):
+    """Ranks of all events of a month by value, and by a figure of few values, some missing: each month is spread over all tasks."""
+    rows = adapters.read(spark, sf_dir, "events").select(
+        F.month("ts").alias("t"),
+        F.date_format(F.date_trunc("month", "ts"), "yyyyMMdd").alias("trade_date"),
+        F.col("event_id").cast("string").alias("code"),
+        F.nullif(F.length("event_type"), F.lit(5)).cast("double").alias("x"),
+        F.col("value").alias("y"),
+    )
+    out = evaluate(rows, {"rx": parse("Rank($x)"), "ry": parse("Rank($y)")}, apart=files.shared_folder(spark))
+    return out.select("trade_date", "code", "rx", "ry")
+
+
 # ---- batches of expressions --------------------------------------------------------------------------------------
 
 
@@ -861,23 +929,44 @@ _RUN_ROWS = " union all ".join(
 )
 
 
-@_q(
-    "mining_run",
-    f"""with {batch_sql({f"e{i}": parse(e) for i, e in enumerate(RUN)})}, {BATCH_STATS}, tk as (
+def _run_sql(exprs: dict[str, Expr], rows: str) -> str:
+    """All figures of expressions; rows: (canonical, status, expr_id)."""
+    return f"""with {batch_sql(exprs)}, {BATCH_STATS}, tk as (
   select l.expr_id, l.code, j.u, row_number() over (partition by l.expr_id, l.t order by f, code) / count(*) over (partition by l.expr_id, l.t) as rk from l join j using (expr_id, t) where f is not null
 ), tm as (select *, lag(rk) over o as before, lag(u) over o as ub from tk window o as (partition by expr_id, code order by u)
 ), tp as (select expr_id, avg(case when ub = u - 1 then abs(rk - before) end) as turnover from tm group by 1
 ), q0 as (select expr_id, t, avg(case when rf / np >= 1 - 1 / 5.0::DOUBLE then fwd end) - avg(case when rf / np <= 1 / 5.0::DOUBLE then fwd end) as spread, count(*) as n from lp group by 1, 2
 ), qs as (select expr_id, avg(spread) as spread from q0 where n >= {LEAST} group by 1
-), rr as ({_RUN_ROWS})
-select canonical, status, {BATCH_COLUMNS}, round(turnover, 6) as turnover_proxy, round(spread, 6) + 0.0::DOUBLE as quantile_spread from rr left join s using (expr_id) left join tp using (expr_id) left join qs using (expr_id)""",
-)
+), rr as ({rows})
+select canonical, status, {BATCH_COLUMNS}, round(turnover, 6) as turnover_proxy, round(spread, 6) + 0.0::DOUBLE as quantile_spread from rr left join s using (expr_id) left join tp using (expr_id) left join qs using (expr_id)"""
+
+
+@_q("mining_run", _run_sql({f"e{i}": parse(e) for i, e in enumerate(RUN)}, _RUN_ROWS))
 def _mining_run(spark, sf_dir):
     """Good and bad expressions: each is a row, with its figures or with the reason why it has none."""
     config = mining.Config(windows=(W,), least=LEAST, least_spread=LEAST, train_end=TRAIN_END, test_start=TEST_START)
     return rounded(mining.results(features(spark, sf_dir), [*RUN, RUN[0], *REFUSED], config).drop("expr"))
 
 
+#: Three batches of three, most of which read what another batch reads too.
+SHARED = [
+    "Rank(TsMean($ret_1d,10))", "Sub(Rank(TsMean($vol_log,10)),Rank(TsMean($ret_1d,10)))", "SLog1p(TsDelta($ret_1d,10))",
+    "Div(Rank(TsMean($ret_1d,10)),Rank(TsStd($vol_log,10)))", "Rank(TsStd($vol_log,10))", "Sub(Rank(TsMax($ret_1d,10)),Rank(TsMean($vol_log,10)))",
+    "SLog1p(TsMin($ret_1d,10))", "Rank(TsMax($ret_1d,10))", "Sub(Rank(TsDelta($ret_1d,10)),Rank(TsMean($ret_1d,10)))",
+]
+_SHARED_ROWS = " union all ".join(f"select '{e}' as canonical, 'OK' as status, 'e{i}' as expr_id" for i, e in enumerate(SHARED))
+
+
+@_q("mining_shared", _run_sql({f"e{i}": parse(e) for i, e in enumerate(SHARED)}, _SHARED_ROWS))
+def _mining_shared(spark, sf_dir):
+    """A whole run in three batches with its store of shared sub-expressions; the rows that its result store holds at the end."""
+    config = mining.Config(windows=(W,), least=LEAST, least_spread=LEAST, train_end=TRAIN_END, test_start=TEST_START, batch=3)
+    out = files.shared_folder(spark)
+    done = mining.run(features(spark, sf_dir), SHARED, config, out)
+    found = store.ResultStore(spark, f"{out}/results").all(done["run_id"])
+    return rounded(found.select("canonical", "status", *mining.FIGURES))
+
+
 PORTFOLIOS = {"f1": parse("Rank(TsMean($ret_1d,10))"), "f2": parse("Rank(TsDelta($vol_log,10))")}
 
 

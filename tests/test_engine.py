@@ -291,10 +291,10 @@ def test_a_failing_expression_gets_an_error_row(spark, tmp_path, monkeypatch):
 
     good = mining.score
 
-    def sometimes(base, planned, config):
+    def sometimes(base, planned, config, given=None):
         if any(p.key == "Abs($ret_1d)" for p in planned):
             raise AnalysisException("no such thing")
-        return good(base, planned, config)
+        return good(base, planned, config, given)
 
     monkeypatch.setattr(mining, "score", sometimes)
     market = with_features(tables.simulate(spark, 30, 12, seed=3))
