@@ -51,7 +51,7 @@ class Scope:
     def release(self) -> None:
         """Delete the tables. Call it only when no DataFrame that reads them is needed."""
         for p in self.paths:
-            _delete(self.spark, p)
+            discard_path(self.spark, p)
         self.paths.clear()
 
 
@@ -72,13 +72,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() returned and no later step reads."""
-    _delete(df.sparkSession, df.scratch_path)
+    discard_path(df.sparkSession, df.scratch_path)
     for scope in _scopes:
         if df.scratch_path in scope.paths:
             scope.paths.remove(df.scratch_path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def discard_path(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -3,7 +3,8 @@
 Text is canonicalised to a template: numbers (digits or number words), units after a number and capitalised
 words become typed placeholders, a run of one type that only spaces part is one slot ("New York", "twenty five"); all
 else is lower-cased. Windows of ``window`` template tokens (a whole item, if it is shorter) are hash-joined with those
-of the benchmark. A window of fewer than ``plain`` ordinary words says too little as a template: it is searched with
+of the benchmark. An item of fewer than LEAST words ("yes", "Paris", "thank you very much") says too little to be found
+inside a text: it matches only a text of exactly its tokens. A window of fewer than ``plain`` ordinary words says too little as a template: it is searched with
 the values in its slots, and only in items of which most windows are of this kind. Matches that agree, up to a few
 words put in or left out, on where the item would begin are taken together; their slots must be consistent, one document
 value for each item value: where an item value meets several, windows that hold another than the most frequent do not
@@ -77,6 +78,10 @@ def canonicalise(text: str | None) -> tuple[list[str], list[str]]:
     return tokens, values
 
 
+#: Words an item must have to be looked for inside longer texts.
+LEAST = 5
+
+
 class Windows:
     """Hashes of a text's windows: of the template alone, and with the values in its slots."""
 
@@ -101,20 +106,21 @@ class Windows:
 
 
 def item_windows(benchmark: DataFrame, window: int, plain: int) -> DataFrame:
-    """(item_id, ik, n_windows, h, length, at, values): the windows that are searched for each item; ik tells texts apart,
-    length is negative for windows searched with their values."""
-    names = ["item_id", "ik", "n_windows", "h", "length", "at", "values"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+    """(item_id, ik, n_windows, h, length, whole, at, values): the windows that are searched for each item; ik tells texts
+    apart, length is negative for windows searched with their values, whole asks for a text of no more tokens."""
+    names = ["item_id", "ik", "n_windows", "h", "length", "whole", "at", "values"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.string())]
 
     def of_item(text: str | None) -> list[tuple]:
         tokens, values = canonicalise(text)
         size, found = min(window, len(tokens)), Windows(tokens, values)
+        whole = sum(len(v.split()) if v else 1 for v in values) < LEAST
         count = len(tokens) - size + 1 if size else 0
         special = [values[at : at + size].count("") >= min(plain, size) for at in range(count)]
         few = 2 * sum(special) < count
         chosen = [at for at in range(count) if special[at] or few]
         by = {v: found.hashes(size, v).tolist() for v in (False, True)} if count else {}
-        return [(len(chosen), by[not special[at]][at], size if special[at] else -size, at, values[at : at + size]) for at in chosen]
+        return [(len(chosen), by[not special[at]][at], size if special[at] else -size, whole, at, values[at : at + size]) for at in chosen]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -124,14 +130,15 @@ def item_windows(benchmark: DataFrame, window: int, plain: int) -> DataFrame:
 
     text = F.col("text").cast("string")
     items = benchmark.select(F.col("item_id").cast("long"), F.xxhash64(text).alias("ik"), text.alias("text"))
-    return items.mapInArrow(run, "item_id long, ik long, n_windows int, h long, length int, at int, values array<string>")
+    return items.mapInArrow(run, "item_id long, ik long, n_windows int, h long, length int, whole boolean, at int, values array<string>")
 
 
-def _matches(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
-    """(doc_id, tk, h, length, pos, found): document windows whose hash is among those wanted for their length."""
+def _matches(docs: DataFrame, wanted: dict[tuple[int, bool], np.ndarray]) -> DataFrame:
+    """(doc_id, tk, h, length, whole, pos, found): document windows whose hash is among those wanted for their length, in
+    any text or as a whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    names = ["doc_id", "tk", "h", "length", "pos", "found"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+    names = ["doc_id", "tk", "h", "length", "whole", "pos", "found"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -139,15 +146,17 @@ def _matches(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
             for doc, tk, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens, values = canonicalise(text)
                 windows = Windows(tokens, values)
-                for length, known in shared.value.items():
+                for (length, whole), known in shared.value.items():
+                    if whole and windows.size != abs(length):
+                        continue
                     h = windows.hashes(abs(length), length < 0)
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     for p in np.flatnonzero(known[at] == h).tolist():
-                        rows.append((doc, tk, int(h[p]), length, p, values[p : p + abs(length)]))
+                        rows.append((doc, tk, int(h[p]), length, whole, p, values[p : p + abs(length)]))
             cols = [pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, "doc_id long, tk long, h long, length int, pos int, found array<string>")
+    return docs.mapInArrow(run, "doc_id long, tk long, h long, length int, whole boolean, pos int, found array<string>")
 
 
 def judge(windows: list[dict]) -> tuple[int, int, bool]:
@@ -195,17 +204,18 @@ def contaminated(
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
     items = materialize(item_windows(benchmark, window, plain).distinct())
-    hashes = items.select("length", "h").distinct()
+    hashes = items.select("length", "whole", "h").distinct()
     parts = max(1, -(-hashes.count() // block))
     hits = None
     for k in range(parts):
         # At most about ``block`` hashes at a time are brought here and broadcast.
         rows = hashes.filter(F.pmod(F.xxhash64("h"), F.lit(parts)) == k).toArrow()
-        length, h = (c.to_numpy() for c in rows.columns)
-        found = _matches(docs, {int(s): np.sort(h[length == s]) for s in np.unique(length)})
+        length, whole, h = (c.to_numpy(zero_copy_only=False) for c in rows.columns)
+        kinds = sorted(set(zip(length.tolist(), whole.tolist())))
+        found = _matches(docs, {(n, w): np.sort(h[(length == n) & (whole == w)]) for n, w in kinds})
         hits = found if hits is None else hits.unionByName(found)
-    hits = hits.dropDuplicates(["doc_id", "tk", "length", "pos"])
-    met = hits.join(items, ["h", "length"]).withColumn("start", F.col("pos") - F.col("at"))
+    hits = hits.dropDuplicates(["doc_id", "tk", "length", "whole", "pos"])
+    met = hits.join(items, ["h", "length", "whole"]).withColumn("start", F.col("pos") - F.col("at"))
     # Starts up to DRIFT apart share one of two overlapping stretches; a group holds few windows of one item.
     near = F.array(F.floor(F.col("start") / (2 * DRIFT)) * 2, F.floor((F.col("start") + DRIFT) / (2 * DRIFT)) * 2 + 1)
     place = ["doc_id", "tk", "item_id", "ik", "n_windows", "near"]

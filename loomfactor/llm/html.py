@@ -4,9 +4,9 @@ Tags are read one after the other. The tree builder closes elements that a start
 paragraph before a block, a list item before the next, a cell before the next cell or row), ignores end tags
 that match nothing, and closes all that is open inside the one it ends. An element is not displayed by nature, by the
 hidden attribute, or by a declaration of display in its style or in a style element; visibility is inherited and may be
-taken back inside. Style elements count with their rules for a single tag, class or id, or a compound of these, outside
-at-rules. What is marked as hidden from assistive readers (aria-hidden) is decoration and left out too. Of a select
-element the selected option is shown. The renderer collapses white space outside pre, puts blocks on lines of their own
+taken back inside. Style elements count with their rules for a tag, class or id, a compound of these, and compounds joined
+as descendants or children, outside at-rules. Of a select element the selected option is shown, of an input field its value,
+of closed details their summary; what is only kept from assistive readers (aria-hidden) is seen like anything else. The renderer collapses white space outside pre, puts blocks on lines of their own
 and paragraphs apart, marks list items by depth and number, and pads table cells, spans included, so that columns align.
 It keeps its own stack: pages may nest to any depth.
 
@@ -39,6 +39,8 @@ _SPACE = re.compile(r"[ \t\r\n\f]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNSEEN = frozenset("head script style template noscript title desc defs metadata annotation annotation-xml iframe object datalist".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+#: Input fields that show no value.
+MUTE = frozenset("hidden checkbox radio color range file image password".split())
 #: What a head may hold; any other start tag ends it, as does text.
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Blocks set apart by an empty line, and other blocks.
@@ -111,37 +113,84 @@ def _without_at_rules(css: str) -> str:
     return "".join(out) + css[at:]
 
 
-def style_rules(css: str) -> list[tuple[str, frozenset[str], tuple, dict]]:
-    """(tag or '', names, specificity, declarations) of the rules with simple selectors that hide or show."""
+#: A selector: from the outermost compound to that of the element itself (whether it is a child of the one before, tag or
+#: '', names).
+Selector = list[tuple[bool, str, frozenset[str]]]
+
+
+def _selector(said: str) -> Selector | None:
+    out: Selector = []
+    child = False
+    for part in re.sub(r"\s*>\s*", " > ", said.strip()).split():
+        if part == ">":
+            child = True
+            continue
+        m = _SELECTOR.fullmatch(part)
+        if not m or not m[0] or (child and not out):
+            return None
+        out.append((child, "" if m[1] in (None, "*") else m[1].lower(), frozenset(re.findall(r"[.#][\w-]+", m[2]))))
+        child = False
+    return None if child else out or None
+
+
+def style_rules(css: str) -> list[tuple[Selector, tuple, dict]]:
+    """(selector, specificity, declarations) of the rules that hide or show."""
     css, out = _without_at_rules(re.sub(r"(?s)/\*.*?\*/", " ", css)), []
     for order, (selectors, body) in enumerate(re.findall(r"([^{}]+)\{([^{}]*)\}", css)):
         said = {k: v for k, v in _declared(body).items() if k in ("display", "visibility")}
-        for selector in selectors.split(",") if said else ():
-            if (m := _SELECTOR.fullmatch(selector.strip())) and m[0]:
-                names = re.findall(r"[.#][\w-]+", m[2])
-                tag = "" if m[1] in (None, "*") else m[1].lower()
-                out.append((tag, frozenset(names), (sum(x[0] == "#" for x in names), len(names), bool(tag), order), said))
+        for selector in map(_selector, selectors.split(",") if said else ()):
+            if selector:
+                names = [x for _, _, some in selector for x in some]
+                weight = (sum(x[0] == "#" for x in names), sum(x[0] == "." for x in names), sum(bool(tag) for _, tag, _ in selector), order)
+                out.append((selector, weight, said))
     return out
 
 
+def _names(node: Node) -> set[str]:
+    said = node.attributes
+    return {f".{x}" for x in said.get("class", "").split()} | ({f"#{said['id']}"} if "id" in said else set())
+
+
 def _hide(root: Node) -> None:
     """Decide of every element whether it is displayed and what it says of visibility."""
     todo, sheets = [root], []
     every: list[Node] = []
+    above: dict[int, Node] = {}
     while todo:
         node = todo.pop()
         every.append(node)
         if node.tag == "style":
             sheets += [x for x in node.children if isinstance(x, str)]
-        todo += [x for x in reversed(node.children) if isinstance(x, Node)]
+        below = [x for x in reversed(node.children) if isinstance(x, Node)]
+        above |= {id(x): node for x in below}
+        todo += below
     rules = style_rules("\n".join(sheets)) if sheets else []
+    nested = any(len(selector) > 1 for selector, _, _ in rules)
+    named = {id(x): _names(x) for x in every} if nested else {}
+
+    def fits(node: Node, part: tuple, names: set[str]) -> bool:
+        return part[1] in ("", node.tag) and part[2] <= names
+
+    def inside(node: Node, selector: Selector, last: int) -> bool:
+        """Whether the elements around node meet the compounds up to the last one."""
+        if last < 0:
+            return True
+        near, up = selector[last + 1][0], above.get(id(node))
+        while up is not None:
+            if fits(up, selector[last], named[id(up)]) and inside(up, selector, last - 1):
+                return True
+            up = None if near else above.get(id(up))
+        return False
+
     for node in every:
         said = node.attributes
+        if node.tag == "details" and "open" not in said:
+            node.children = [x for x in node.children if isinstance(x, Node) and x.tag == "summary"][:1]
         if not said and not rules:
             continue
-        names = {f".{x}" for x in said.get("class", "").split()} | ({f"#{said['id']}"} if "id" in said else set())
+        names = _names(node)
         best: dict[str, tuple] = {}
-        found = [(weight, body) for tag, need, weight, body in rules if tag in ("", node.tag) and need <= names]
+        found = [(weight, body) for selector, weight, body in rules if fits(node, selector[-1], names) and inside(node, selector, len(selector) - 2)]
         if "style" in said:
             found.append(((9**9,), _declared(said["style"])))
         for weight, body in found:
@@ -151,7 +200,6 @@ def _hide(root: Node) -> None:
             node.gone |= best["display"][1] == "none"
         else:
             node.gone |= "hidden" in said
-        node.gone |= said.get("aria-hidden", "").lower() == "true"
         if "visibility" in best:
             node.shown = {"hidden": False, "collapse": False, "visible": True}.get(best["visibility"][1])
 
@@ -313,6 +361,9 @@ def _render(children: list, out: Layout, pre: bool, shown: bool) -> Step:
             out.block(True)
             out.add((yield _table(x, seen)))
             out.block(True)
+        elif x.tag == "input":
+            if seen and x.attributes.get("type", "text").lower() not in MUTE:
+                out.text(f" {x.attributes.get('value', '')} ", pre)
         elif x.tag == "select":
             yield _render(_chosen(x), out, pre, seen)
         elif x.tag in BLOCK:

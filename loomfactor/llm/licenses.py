@@ -4,8 +4,9 @@ The notices are templates: the sentences and file headers by which licenses are
 highest IDF of each template, ``RARE`` of them, with their postings (notice, position). All words of a file are looked
 up, however long it is. A posting places its notice at (word's position in the file - position in the notice); postings
 are intersected by that relative position: two rare words of a template must agree on a place (one, if it has only one).
-There the whole template is compared word by word, and its mandatory key phrase must stand in the file. Beside these, a
-fixed list of phrases is counted wherever its words stand consecutively.
+There the whole template is compared word by word, and its mandatory key phrase must stand at its own place in it: a phrase
+elsewhere in the file, of another license or in a remark, vouches for nothing. Short notices must agree in every word. Beside
+these, a fixed list of phrases is counted wherever its words stand consecutively.
 
 IDF is over the notices, so the index is fixed and small and goes with the plan; files are read in one pass.
 
@@ -24,9 +25,28 @@ from pyspark.sql import functions as F
 #: Phrases counted as such, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+#: Label and name of licenses, and the ways in which a sentence grants one: a short notice for each pair. Fixed values.
+NAMES = (
+    ("apache-2.0", "apache license"),
+    ("mit", "mit license"),
+    ("bsd", "bsd license"),
+    ("isc", "isc license"),
+    ("zlib", "zlib license"),
+    ("artistic", "artistic license"),
+    ("afl", "academic free license"),
+    ("epl", "eclipse public license"),
+    ("mpl-2.0", "mozilla public license"),
+    ("cddl", "common development and distribution license"),
+    ("gpl", "gnu general public license"),
+    ("lgpl", "gnu lesser general public license"),
+    ("agpl", "gnu affero general public license"),
+    ("wtfpl", "do what the fuck you want to public license"),
+    ("unlicense", "unlicense"),
+)
+GRANTS = ("licensed under the", "released under the", "distributed under the", "available under the", "terms of the")
 #: Notices (label, words, key phrase): sentences and file headers that publishers use to name a license. Fixed values.
 NOTICES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
+    *((label, f"{grant} {name}", name) for label, name in NAMES for grant in GRANTS),
     (
         "apache-2.0",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
@@ -34,7 +54,6 @@ NOTICES = (
         "agreed to in writing software distributed under the license is distributed on an as is basis",
         "in compliance with the license",
     ),
-    ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
     (
         "mit",
@@ -43,15 +62,12 @@ NOTICES = (
         "merge publish distribute sublicense and or sell copies of the software",
         "to deal in the software without restriction",
     ),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
     (
         "gpl",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
         "published by the free software foundation either version 3 of the license or at your option any later version",
         "gnu general public license",
     ),
-    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license"),
-    ("lgpl", "licensed under the gnu lesser general public license version", "lesser general public license"),
     (
         "lgpl",
         "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
@@ -66,7 +82,18 @@ NOTICES = (
         "retain the above copyright notice",
     ),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    (
+        "epl",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        "eclipse public license",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any "
+        "damages arising from the use of this software permission is granted to anyone to use this software for any purpose including "
+        "commercial applications and to alter it and redistribute it freely",
+        "alter it and redistribute it freely",
+    ),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
     ("cc-by", "licensed under cc by 4 0", "cc by"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
@@ -76,6 +103,8 @@ NOTICES = (
 )
 #: Words of each notice that the index holds.
 RARE = 8
+#: A notice of up to so many words must stand word for word: of "released under the x license" most words say nothing of x.
+SHORT = 12
 
 
 def index(notices=NOTICES) -> dict[str, tuple[float, list[tuple[int, int]]]]:
@@ -124,8 +153,8 @@ def _let(value: Column, body) -> Column:
 
 
 def notices_found(norm: Column, notices=NOTICES, share: float = 0.6) -> Column:
-    """Array of (label, score): for each notice whose key phrase stands in the text and each place on which its rare words
-    agree, the share of its words that stand in place, if at least ``share``."""
+    """Array of (label, score): for each notice and each place on which its rare words agree and where its key phrase stands,
+    the share of its words that stand in place, if at least ``share`` (all of them, for a short notice)."""
     words, size = index(notices), len(notices)
     postings = F.create_map(
         *[
@@ -138,7 +167,13 @@ def notices_found(norm: Column, notices=NOTICES, share: float = 0.6) -> Column:
     alone = [k for k in range(size) if held_words[k] == 1]
     templates = F.array(*[F.array(*[F.lit(w) for w in text.split()]) for _, text, _ in notices])
     labels = F.array(*[F.lit(label) for label, _, _ in notices])
-    keys = [F.contains(norm, F.lit(f" {key} ")) for _, _, key in notices]
+    phrases = list(dict.fromkeys(key for _, _, key in notices))
+    # Only notices whose key phrase the file holds at all are placed; that it stands where it should is asked there.
+    said = F.array(*[F.contains(norm, F.lit(f" {key} ")) for key in phrases])
+    key_of = F.array(*[F.lit(phrases.index(key)) for _, _, key in notices])
+    key_at = F.array(*[F.lit(len(f"{text} ".split(f"{key} ")[0].split())) for _, text, key in notices])
+    key_size = F.array(*[F.lit(len(key.split())) for _, _, key in notices])
+    least = F.array(*[F.lit(1.0 if len(text.split()) <= SHORT else share) for _, text, _ in notices])
 
     def placed(all_words: Column, held: Column) -> Column:
         """place * number of notices + notice, in order, for every posting of every word of the file, of the notices held."""
@@ -147,7 +182,7 @@ def notices_found(norm: Column, notices=NOTICES, share: float = 0.6) -> Column:
         kept = F.transform(
             found,
             lambda s: F.transform(
-                F.filter(s["q"], lambda q: F.get(held, q["k"])),
+                F.filter(s["q"], lambda q: F.get(held, F.get(key_of, q["k"]))),
                 lambda q: (s["i"] - q["p"]).cast("long") * size + q["k"],
             ),
         )
@@ -167,18 +202,20 @@ def notices_found(norm: Column, notices=NOTICES, share: float = 0.6) -> Column:
         at = ((v - k) / size).cast("int")
         want = F.get(templates, k)
         hits = F.transform(want, lambda w, j: F.coalesce(F.get(all_words, at + j) == w, F.lit(False)).cast("int"))
-        score = F.aggregate(hits, F.lit(0), lambda s, x: s + x) / F.size(want)
-        return F.struct(F.get(labels, k).alias("label"), score.alias("score"))
+
+        def of(h: Column) -> Column:
+            keyed = F.forall(F.slice(h, F.get(key_at, k) + 1, F.get(key_size, k)), lambda x: x == 1)
+            score = F.aggregate(h, F.lit(0), lambda s, x: s + x) / F.size(h)
+            return F.struct(F.get(labels, k).alias("label"), F.when(keyed & (score >= F.get(least, k)), score).alias("score"))
+
+        return _let(hits, of)
 
     def found(w: Column) -> Column:
-        at = _let(_let(F.array(*keys), lambda held: placed(w, held)), agreed)
-        return F.filter(F.transform(at, lambda v: score_at(w, v)), lambda s: s["score"] >= share)
+        at = _let(_let(said, lambda held: placed(w, held)), agreed)
+        return F.filter(F.transform(at, lambda v: score_at(w, v)), lambda s: s["score"].isNotNull())
 
     none = F.array().cast("array<struct<label:string,score:double>>")
-    some = keys[0]
-    for k in keys[1:]:
-        some = some | k
-    return F.when(some, _let(F.split(F.trim(norm), " "), found)).otherwise(none)
+    return F.when(F.exists(said, lambda x: x), _let(F.split(F.trim(norm), " "), found)).otherwise(none)
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -97,6 +97,16 @@ def with_posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], sharp
     return docs.mapInArrow(run, schema)
 
 
+#: Domains of the query and the pipeline are pairs of labels; weights that the mix of tokens should have.
+TARGETS = {"q1t0": 0.90, "q0t0": 0.08, "q1t1": 0.015, "q0t1": 0.005}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of labelled rows."""
+    name = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
+    return labels.select("doc_id", name.alias("domain"))
+
+
 def _moved(rate, y: np.ndarray):
     """A rate after one step, projected on r >= 0."""
     return F.greatest(F.lit(0.0), rate - sum((F.col("p")[i] * float(v) for i, v in enumerate(y)), F.lit(0.0)))
@@ -111,7 +121,8 @@ def finish(rows: DataFrame, want: np.ndarray, tolerance: float, rounds: int = 30
     """(steps, residual) that bring rows (tokens, p, rate) to the least squared residual from their present rates.
 
     Each step y makes a rate max(0, rate - p . y), where y minimises a convex function whose gradient is want -
-    totals + eps y. Newton's method with halved steps finds it, one aggregation for each y that is tried.
+    totals + eps y. Newton's method with halved steps finds it, one aggregation for each y that is tried. Rates that have not
+    settled after so many rounds are those of the round with the least residual.
     """
     k = len(want)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -132,13 +143,16 @@ def finish(rows: DataFrame, want: np.ndarray, tolerance: float, rounds: int = 30
         return half, np.array(out[:k]), h
 
     rate, history, before = F.col("rate"), [], None
+    best, left, nearest = 0, np.inf, np.zeros(k)
     half, got, h = at(rate, np.zeros(k))
     eps = 1e-6 * max(np.trace(h) / k, 1e-3)
     for _ in range(rounds):
         residual = got - want
+        if np.abs(residual).max() < left:
+            best, left, nearest = len(history), np.abs(residual).max(), residual
         still = before is not None and np.abs(residual - before).max() < tolerance
         if still or np.abs(residual).max() < tolerance:
-            return history, residual
+            return history[:best], nearest
         before, y = residual, np.zeros(k)
         for _ in range(60):
             g = want - got + eps * y
@@ -156,7 +170,9 @@ def finish(rows: DataFrame, want: np.ndarray, tolerance: float, rounds: int = 30
             y = tried
         history.append(y)
         rate = _moved(rate, y)
-    raise RuntimeError(f"rates did not settle in {rounds} rounds; residual {got - want}")
+    if np.abs(got - want).max() < left:
+        return history, got - want
+    return history[:best], nearest
 
 
 def mix(

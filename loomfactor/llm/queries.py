@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from loomfactor.llm import ann, chat, decontaminate, divergence, fim, html, licenses, mixing, oracle, pii, simhash, substring, suffix_array, toxicity
 from loomfactor.llm.common import table
 
@@ -24,8 +23,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = corpus_pipeline.domains(table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, labels, corpus_pipeline.TARGETS, keep=["doc_id"])
+    labels = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labels, mixing.TARGETS, keep=["doc_id"])
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +82,6 @@ QUERIES = {
     "op11_fim": op11_fim,
     "op12_pii": op12_pii,
     "op13_divergence": op13_divergence,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -8,10 +8,12 @@ radius. Trees are built in the task that holds the shard (shipped by shuffle: a
 fingerprints would have no size bound). A shard of more than ``tile`` fingerprints is cut into tiles, and
 each pair of tiles is one tree and one set of searches.
 
-``representatives`` keeps one document of each group of near copies by similarity instead: fingerprints of several
-words of 64 bits over distinct shingles, linked within the number of bits at which two texts of that Jaccard similarity
-differ, one standard deviation allowed. That radius is too wide for the pigeonhole index; its shards are keyed by
-samples of bits, so many that a pair at the threshold shares one with probability 0.95, and more similar pairs almost surely.
+``representatives`` removes near copies by similarity instead. Fingerprints of several words of 64 bits over distinct
+shingles, linked within the number of bits at which two texts of that Jaccard similarity differ, one standard deviation
+allowed, only propose links; that radius is too wide for the pigeonhole index, so its shards are keyed by samples of bits, so
+many that a pair at the threshold shares one with probability 0.95, and more similar pairs almost surely. A document goes only
+if the exact Jaccard similarity of its shingles with those of a document that stays is at least the threshold: nothing goes
+because it resembles something that itself goes.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; repeated rows each
 return their row; a null doc_id keeps its row and never names a component unless all members lack an id;
@@ -30,22 +32,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfactor.llm.anchors import mix
-from loomfactor.llm.common import NO_ID, id_or_last, materialize, small_batches
+from loomfactor.llm.common import NO_ID, discard, id_or_last, materialize, small_batches
 from loomfactor.llm.components import components
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, words: int = 1, distinct: bool = False) -> list[int]:
-    """SimHash of a text's word shingles, as so many 64-bit words; bytes.lower and bytes.split act on ASCII only."""
-    said = (text or "").encode().lower().split()
+def _words(text: str | None) -> list[bytes]:
+    """bytes.lower and bytes.split act on ASCII only."""
+    return (text or "").encode().lower().split()
+
+
+def shingle_hashes(said: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle of a text's words, repeats included; of the whole sequence, if it is shorter; none of no words."""
     if not said:
-        return [0] * words
+        return np.zeros(0, np.uint64)
     joined = b" ".join(said)
     ends = np.cumsum([len(w) + 1 for w in said])
     n = max(1, len(said) - shingle + 1)
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stops = (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[s:e], seed) for s, e in zip(starts, stops)], dtype=np.uint64)
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts, stops)], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, words: int = 1, distinct: bool = False) -> list[int]:
+    """SimHash of a text's word shingles, as so many 64-bit words."""
+    return _print(_words(text), shingle, seed, words, distinct)
+
+
+def _print(said: list[bytes], shingle: int, seed: int, words: int, distinct: bool) -> list[int]:
+    h = shingle_hashes(said, shingle, seed)
+    if not len(h):
+        return [0] * words
     if distinct:
         h = np.unique(h)
     out = []
@@ -60,14 +77,16 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, words: int =
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, words: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, tk, fp0, fp1, ...) for every row of docs: the xxhash64 of the text, and the bits as signed longs."""
-    names = ["doc_id", "tk", *word_names(words)]
+    """(doc_id, tk, nk, fp0, fp1, ...) for every row of docs: the xxhash64 of the text, a hash of its words, and the bits as
+    signed longs."""
+    names = ["doc_id", "tk", "nk", *word_names(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            found = [fingerprint(t, shingle, seed, words, distinct) for t in batch.column(2).to_pylist()]
-            fps = np.array(found, dtype=np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x) for x in fps.T.copy())], names)
+            said = [_words(t) for t in batch.column(2).to_pylist()]
+            same = np.array([xxhash.xxh64_intdigest(b" ".join(x)) for x in said], dtype=np.uint64).view(np.int64)
+            fps = np.array([_print(x, shingle, seed, words, distinct) for x in said], dtype=np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same), *(pa.array(x) for x in fps.T.copy())], names)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text")).mapInArrow(
@@ -281,18 +300,82 @@ def bit_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+#: Members that are compared with one document in one task.
+FANOUT = 2048
+#: Numbers given to nodes whose id is null or repeated begin here.
+_LATE = 2**62
+
+
+def numbered(nodes: DataFrame) -> DataFrame:
+    """nodes (low: smallest oid and tk, ...) with a number of its own each, in the order of the ids; those that share an id or
+    have none come last."""
+    first = nodes.filter(F.col("low.oid") < NO_ID).groupBy("low.oid").agg(F.min("low.tk").alias("first_tk"))
+    late = F.lit(_LATE) + F.pmod(F.xxhash64("low.oid", "low.tk"), F.lit(_LATE - 1))
+    joined = nodes.join(first, nodes["low.oid"] == first.oid, "left").drop("oid")
+    return joined.withColumn("id", F.when(F.col("low.tk") == F.col("first_tk"), F.col("low.oid")).otherwise(late)).drop("first_tk")
+
+
+def close_members(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int, fanout: int = FANOUT) -> DataFrame:
+    """(a) of pairs (a, b) whose texts (id, text) have at least this Jaccard similarity of distinct shingles. A document that
+    many are compared with goes to as many tasks as it takes."""
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / fanout).cast("int").alias("k"))
+    left = pairs.join(sizes, "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+    left = left.withColumn("s", F.pmod(F.xxhash64("a"), F.col("k")).cast("int")).drop("k")
+    right = sizes.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    right = right.select("b", "y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = None, np.zeros(0, np.uint64)
+        hashes = lambda t: np.unique(shingle_hashes(_words(t), shingle))
+        for batch in small_batches(batches, "x", 128):
+            out = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != known:
+                    known, held = b, hashes(y)
+                mine = hashes(x)
+                both = len(np.intersect1d(mine, held, assume_unique=True))
+                if both >= similarity * (len(mine) + len(held) - both) - 1e-9:
+                    out.append(a)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["a"])
+
+    return left.join(right, ["b", "s"]).select("a", "b", "x", "y").mapInArrow(run, "a long").distinct()
+
+
 def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, tile: int = 4096) -> DataFrame:
-    """(doc_id, tk) of one document of each group of near copies, by id (nulls last), then by text hash: a row of docs
-    stays if its id (null-safe) and the xxhash64 of its text are found here. Rows that repeat both are one document."""
+    """(doc_id, tk) of the documents that stay: a row of docs stays if its id (null-safe) and the xxhash64 of its text are
+    found here. Texts of the same words are one document, that of the smallest id (nulls last, then by text hash).
+
+    Round by round, the documents that no proposed link leads to a smaller id stay for good; of the others, those go that
+    are exactly close to one of them; the rest meet again. So every document that goes is close to one that stays, and no two
+    that stay are close unless no link proposed them.
+    """
     names, p = word_names(words), bit_share(similarity)
     size = 64 * words
     radius = int(size * p + np.sqrt(size * p * (1 - p)))
-    rows = materialize(fingerprints(docs, shingle, words=words, distinct=True))
     low = F.struct(id_or_last().alias("oid"), "tk")
-    nodes = materialize(rows.groupBy(*names).agg(F.min(low).alias("low")).withColumn("id", F.xxhash64(*names)))
+    rows = fingerprints(docs, shingle, words=words, distinct=True)
+    # Rows of equal nk have equal fingerprints.
+    nodes = materialize(numbered(rows.groupBy("nk").agg(F.min(low).alias("low"), *[F.min(c).alias(c) for c in names])).drop("nk"))
     bits = min(max(12, nodes.count().bit_length() + 1), size // 2)
     masks = sampled_masks(words, bits, int(np.ceil(3 / (1 - p) ** bits)))
-    roots = components(links(nodes.select("id", *names), radius, masks, tile))
-    placed = nodes.join(roots, nodes.id == roots.node, "left").select("low", F.coalesce("root", "id").alias("root"))
-    first = placed.groupBy("root").agg(F.min("low").alias("low"))
-    return first.select(F.nullif("low.oid", F.lit(NO_ID)).alias("doc_id"), "low.tk")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    said = docs.select(id_or_last().alias("oid"), F.xxhash64(text).alias("tk"), text.alias("text"))
+
+    present, stay = nodes, []
+    while True:
+        found = materialize(links(present.select("id", *names), radius, masks, tile).distinct())
+        if found.isEmpty():
+            stay.append(present.select("low"))
+            break
+        members = found.select(F.col("a").alias("id")).distinct()
+        stay.append(present.join(members, "id", "left_anti").select("low"))
+        pairs = found.join(members.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(present.select("id", "low.*"), "id")
+        texts = materialize(said.join(ends, ["oid", "tk"]).groupBy("id").agg(F.first("text").alias("text")))
+        close = close_members(pairs, texts, similarity, shingle).select(F.col("a").alias("id"))
+        present = materialize(present.join(members, "id", "left_semi").join(close, "id", "left_anti"))
+        discard(texts)
+    kept = stay[0]
+    for more in stay[1:]:
+        kept = kept.unionByName(more)
+    return kept.select(F.nullif("low.oid", F.lit(NO_ID)).alias("doc_id"), "low.tk")

@@ -26,6 +26,8 @@ def brute(docs, items, window=8, plain=4, share=0.5, verbatim=25):
                 continue
             hits = []
             for a, size, exact in good:
+                if sum(len(v.split()) or 1 for v in slots) < 5 and len(tokens) != size:
+                    continue
                 for p in range(len(tokens) - size + 1):
                     if tokens[p] == want[a] and tokens[p : p + size] == want[a : a + size] and (not exact or values[p : p + size] == slots[a : a + size]):
                         hits.append((p - a, a, slots[a : a + size], values[p : p + size]))
@@ -86,7 +88,8 @@ def test_reparameterised_questions(spark):
         assert found(got) == brute(docs, ITEMS)
     rows = {(r.doc_id, r.item_id): r for r in got.collect()}
     assert not rows[1, 1].exact and rows[4, 2].exact and (None, 2) in rows and len(rows) == len(got.collect())
-    assert (5, 2) not in rows and (6, 3) not in rows and (7, 4) in rows
+    assert (5, 2) not in rows and (6, 3) not in rows
+    assert (7, 4) not in rows  # three words inside a text say nothing
     assert d.contaminated(df.limit(0), items).count() == 0 == d.contaminated(df, items.limit(0)).count()
 
 
@@ -133,3 +136,10 @@ def test_one_odd_slot_does_not_reject_an_alignment():
     assert d.judge(windows) == (3, 0, False)
     assert d.judge([row(0, ["a", ""], ["a", ""]), row(1, ["", ""], ["", ""])]) == (2, 3, True)
     assert d.canonicalise("New York has twenty five parks, Ann")[1] == ["new york", "", "twenty five", "", "ann"]
+
+
+def test_items_of_few_words_match_whole_texts_only(spark):
+    items = [(1, "yes"), (2, "Paris"), (3, "how far is it"), (4, "how far is it now")]
+    docs = [(1, "oh yes it is"), (2, "We went to Paris"), (3, "Yes"), (4, "yes"), (5, " yes. "), (6, "tell me how far is it now"), (7, "How far is it?"), (8, "how far is it?"), (9, "Paris"), (10, "London")]
+    found = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(4, 1), (5, 1), (6, 4), (8, 3), (9, 2)}

@@ -13,7 +13,12 @@ CASES = [
     ("<table><tr><th>Name<th>N<tr><td>x<td>10<tr><td>long one<td>2</table>", "Name     | N\nx        | 10\nlong one | 2"),
     ("<table><caption>C</caption><tbody><tr><td>a</td></tr></tbody></table>z", "C\na\n\nz"),
     ("<style>p{}</style><script>var t='</p>';</script>x<!-- no -->y", "xy"),
-    ("<p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p><p data-hidden-x=1>yes", "yes"),
+    ("<p hidden>no</p><p style='display: none'>no</p><p data-hidden-x=1>yes", "yes"),
+    ("<p>a <span aria-hidden=true>seen</span>", "a seen"),
+    ("<p>name <input value='Ann'> <input type=hidden value=no> <input type=submit value=Go> <input type=checkbox value=on>", "name Ann Go"),
+    ("<style>.a .b{display:none} ul > li.c{display:none} #x p .d{visibility:hidden}</style><p class=b>1<div class=a><p>2<b class=b>no</b></div><ul><li class=c>no<li>3</ul><div id=x><p>4<i class=d>no</i></div><i class=d>5</i>", "1\n\n2\n\n- 3\n\n4\n\n5"),
+    ("<style>div > .b{display:none}</style><div><p class=b>no</p><p><i class=b>1</i></div>", "1"),
+    ("<details><summary>more</summary>no <p>no</details><details open><summary>all</summary>seen</details>", "more\nall\nseen"),
     ("<pre>a\n  b</pre>", "a\n  b"),
     ("a<br>b&amp;c &lt;d&gt;", "a\nb&c <d>"),
     ("<b>bold<i>x</b>y</i>z", "boldxyz"),
@@ -160,7 +165,7 @@ def test_pages_against_a_plain_reader(spark):
         def handle_starttag(self, tag, attrs):
             said = dict(attrs)
             style = (said.get("style") or "").replace(" ", "").lower()
-            off = tag in html.UNSEEN or "hidden" in said or "display:none" in style or "visibility:hidden" in style or said.get("aria-hidden") == "true"
+            off = tag in html.UNSEEN or "hidden" in said or "display:none" in style or "visibility:hidden" in style
             if tag not in html.VOID:
                 self.stack.append((tag, off))
 

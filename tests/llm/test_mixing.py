@@ -71,6 +71,17 @@ def test_targets_out_of_reach_are_met_as_nearly_as_possible(spark):
     assert steps and np.allclose(residual, [0.6 * best - 0.9, 0.4 * best - 0.1], atol=1e-5)
 
 
+def test_rates_that_do_not_settle_are_the_nearest_found(spark):
+    """Too few rounds: the best steps and their residual come back, and mix() warns."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(int(n), p.tolist(), 1.0) for n, p in zip(rng.integers(1, 50, 40), rng.dirichlet([1, 1, 1], 40))], "tokens long, p array<double>, rate double")
+    start = mixing.finish(rows, np.array([0.98, 0.01, 0.01]), 1e-12, rounds=0)
+    assert start[0] == []
+    one = mixing.finish(rows, np.array([0.98, 0.01, 0.01]), 1e-12, rounds=1)
+    more = mixing.finish(rows, np.array([0.98, 0.01, 0.01]), 1e-12, rounds=4)
+    assert len(one[0]) <= 1 and np.abs(more[1]).max() <= np.abs(one[1]).max() <= 1
+
+
 def brute_posteriors(docs, labels, domains, sharp):
     """Naive Bayes over hashed words, counted in plain Python."""
     said = [(d, (mixing.word_hashes(t) % mixing.BUCKETS).astype(int).tolist()) for d, t in docs]

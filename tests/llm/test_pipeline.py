@@ -23,8 +23,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     model = toxicity.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
     assert set(b) == {i for i, r in a.items() if model.score(r.text) < 0.5}
     a, b = kept["simhash near-dedup"]
-    want = brute_heads(a)
-    assert want <= set(b) and len(set(b) - want) <= 0.02 * len(a) and all(b[i] == a[i] for i in b)
+    check_near_copies(a, b)
     a, b = kept["suffix-array dedup"]
     removed = {eval(r[0]): r for r in brute_bytes([(i, r.text) for i, r in a.items()], 200)}
     for i, r in a.items():
@@ -44,18 +43,48 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     assert abs((m * p).sum() / sum(len(toxicity.word_hashes(r.text)) for r in a.values()) - 1) < 1e-3
 
 
-def brute_heads(rows):
-    """The smallest id of each component of fingerprints within the radius, by comparing every pair."""
-    ids = sorted(rows)
-    fps = np.array([simhash.fingerprint(rows[i].text, 5, words=4, distinct=True) for i in ids], dtype=np.uint64)
-    p = simhash.bit_share(0.8)
-    near = simhash._bits(fps[:, None] ^ fps[None]) <= int(256 * p + np.sqrt(256 * p * (1 - p)))
-    label = np.arange(len(ids))
-    while True:
-        new = np.array([label[row].min() for row in near])
-        if (new == label).all():
-            return {ids[x] for x in label}
-        label = new
+def shingles(text):
+    said = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return {tuple(said[i : i + 5]) for i in range(max(1, len(said) - 4))} if said else set()
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def check_near_copies(before, after):
+    """Every pair compared: what went is close to what stays, and what stays is not close to what stays."""
+    sets = {i: shingles(r.text) for i, r in before.items()}
+    assert all(after[i] == before[i] for i in after)
+    for i in set(before) - set(after):
+        assert any(j < i and likeness(sets[i], sets[j]) >= 0.8 for j in after), i
+    kept = sorted(after)
+    close = sum(likeness(sets[i], sets[j]) >= 0.8 for k, i in enumerate(kept) for j in kept[:k])
+    assert close <= max(1, 0.02 * len(before))
+
+
+def test_texts_alike_by_way_of_others_stay(spark):
+    """A chain whose neighbours are close and whose ends have nothing in common, in the order of ids and in another."""
+    words = [f"w{i}" for i in range(250)]
+    for order in (range(16), np.random.default_rng(0).permutation(16)):
+        rows = [(int(i), " ".join(words[6 * k : 6 * k + 100]), "en", "s", 1) for k, i in enumerate(order)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        a, b = ({r.doc_id: r for r in x.collect()} for x in (df, cp.drop_near_copies(spark, df, SF)))
+        check_near_copies(a, b)
+        assert 6 <= len(b) < 16 and likeness(shingles(rows[0][1]), shingles(rows[1][1])) > 0.8
+
+
+def test_many_copies_of_one_text(spark, monkeypatch):
+    """A group larger than the number of comparisons in a task, with ties, long and empty texts."""
+    monkeypatch.setattr(simhash, "FANOUT", 16)
+    rng = np.random.default_rng(4)
+    base = [f"k{x}" for x in rng.integers(0, 9000, 300)]
+    rows = [(i, " ".join([*base[:5], f"v{i}", *base[6:]])) for i in range(120)] + [(i, " ".join(base).upper()) for i in (200, 201)]
+    rows += [(300, " ".join(f"k{x}" for x in rng.integers(0, 9000, 60_000))), (301, ""), (302, None), (303, " \n")]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    a, b = ({r.doc_id: r for r in x.collect()} for x in (df, cp.drop_near_copies(spark, df, SF)))
+    check_near_copies(a, b)
+    assert set(b) == {0, 300, 301}
 
 
 def test_stages_keep_what_they_should_not_judge(spark, tmp_path):
