@@ -16,13 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfactor.llm import decontaminate, mixing, simhash, suffix_array, toxicity
-from loomfactor.llm.common import Scope, scratch_dir, table
+from loomfactor.llm.common import Scope, discard_path, scratch_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Domains are pairs of labels; weights that the mix of tokens should have.
-TARGETS = {"q1t0": 0.90, "q0t0": 0.08, "q1t1": 0.015, "q0t1": 0.005}
-
-
 #: Scopes of stages that STAGES ran and whose tables may still be read.
 _open: list[Scope] = []
 
@@ -55,7 +51,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @staged
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document of the smallest id stays."""
+    """A document goes if its five-word shingles have a Jaccard similarity of 0.8 with those of a document that stays, of each
+    such pair the one of the larger id; what is only alike by way of others stays."""
     heads = simhash.representatives(docs).select(F.col("doc_id").alias("head"), "tk")
     rows = docs.select(COLUMNS).withColumn("tk", text_key())
     kept = rows.join(heads, (rows.tk == heads.tk) & rows.doc_id.eqNullSafe(heads["head"]), "left_semi")
@@ -80,15 +77,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.withColumn("tk", text_key()).join(found, "tk", "left_anti").select(COLUMNS)
 
 
-def domains(labels: DataFrame) -> DataFrame:
-    name = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
-    return labels.select("doc_id", name.alias("domain"))
-
-
 @staged
 def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document gets the rate at which the mix draws it; one that is never drawn goes."""
-    mixed = mixing.mix(docs.select(COLUMNS), domains(table(spark, sf_dir, "labels")), TARGETS)
+    mixed = mixing.mix(docs.select(COLUMNS), mixing.label_domains(table(spark, sf_dir, "labels")), mixing.TARGETS)
     return mixed.filter("rate > 0").select(*COLUMNS, "tokens", "rate")
 
 
@@ -105,13 +97,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that the last stage returns for the table documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows that the last stage returns for the table documents. The output of a stage is deleted once the next one's is
+    written; the last one's is what the caller reads."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         with Scope(spark) as own:
             out = stage.__wrapped__(spark, docs, sf_dir)
             path = f"{scratch_dir(spark)}/stage-{uuid.uuid4().hex}"
             out.write.parquet(path)
         own.release()
-        docs = spark.read.parquet(path)
+        if before:
+            discard_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
