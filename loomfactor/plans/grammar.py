@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations, zip_longest
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfactor.plans.expressions import Validator, canonical, parse
+from loomfactor.sources import files
 
 #: Operators and field pairs that templates are made of.
 SINGLE = "TsMean TsStd TsIr TsMinMaxDiff TsRank TsDelta TsDiv TsPctChange TsWMA TsEMA".split()
@@ -24,7 +26,7 @@ DIRECTED = [
     ("active_big_buy_pressure", "ret_1d"),
 ]
 SPREADS = [("Sub", "TsMean"), ("Sub", "TsDelta"), ("Div", "TsMean")]
-#: Fields that take part in correlations of all pairs.
+#: Fixed value: fields that take part in correlations of all pairs.
 CORRELATED = 18
 
 
@@ -71,10 +73,14 @@ def enumerate_templates(
 
 
 def save_templates(spark: SparkSession, path: str, fields: list[str], **options) -> dict[str, int]:
-    """Write numbered templates, one 'index<TAB>expression' a line."""
+    """Write numbered templates, one 'index<TAB>expression' a line, and beside them the sizes of their groups as
+    ``expression_stats.json``."""
     found, stats = enumerate_templates(fields, **options)
     lines = spark.createDataFrame([(i, f"{i}\t{e}") for i, e in enumerate(found, 1)], "i int, value string")
     lines.orderBy("i").select("value").coalesce(1).write.mode("overwrite").text(path)
+    beside = f"{path.rsplit('/', 1)[0]}/expression_stats.json"
+    files.delete(spark, beside)
+    files.write_text(spark, beside, json.dumps(stats, indent=2))
     return stats
 
 

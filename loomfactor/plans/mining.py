@@ -20,6 +20,7 @@ from loomfactor.plans.expressions import Expr, Limits, Validator, canonical, par
 from loomfactor.plans.shared import MOST, Store, choose
 from loomfactor.sources import panels
 from loomfactor.sources.store import ResultStore, run_id, top_k
+from loomfactor.sources.tables import write_report
 
 #: Figures of a result, in the order of the store.
 FIGURES = (
@@ -198,14 +199,14 @@ def run(features: DataFrame, expressions: list[str], config: Config, out: str, *
             for (_, share), batch in zip(marks, batches):
                 _store(keep, lambda some: shared.panel([p.tree for p in some]), batch, config)
                 if share is not None:
-                    _csv(top_k(store.all(name), config.top_checkpoint), f"{out}/checkpoints/top{config.top_checkpoint}_pct_{share:.0%}")
+                    write_report(top_k(store.all(name), config.top_checkpoint), f"{out}/checkpoints/top{config.top_checkpoint}_pct_{share:.0%}")
             shared.release()
         finally:
             panels.drop(spark, held, f"{out}/kept/{held}")
     store.compact(name)
     found = store.all(name)
-    _csv(found, f"{out}/factor_results")
-    _csv(top_k(found, config.top), f"{out}/top{config.top}")
+    write_report(found, f"{out}/factor_results")
+    write_report(top_k(found, config.top), f"{out}/top{config.top}")
     sizes = raw.agg(F.count("*").alias("n_raw_rows"), F.countDistinct("trade_date").alias("n_dates"), F.countDistinct("code").alias("n_codes")).first()
     summary = sizes.asDict() | {"run_id": name, "n_exprs": len(planned), "n_results": found.count(), "n_resumed": len(planned) - len(todo), "features": list(config.fields)}
     spark.createDataFrame([summary]).coalesce(1).write.mode("overwrite").json(f"{out}/summary")
@@ -215,8 +216,3 @@ def run(features: DataFrame, expressions: list[str], config: Config, out: str, *
 def _lines(spark: SparkSession, texts: list[str], path: str) -> None:
     rows = spark.createDataFrame([(i, f"{i}\t{e}") for i, e in enumerate(texts, 1)], "i int, value string")
     rows.orderBy("i").select("value").coalesce(1).write.mode("overwrite").text(path)
-
-
-def _csv(rows: DataFrame, path: str) -> None:
-    """A table of results: one row an expression."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -12,6 +12,7 @@ from loomfactor.operators import backtest, diagnostics, groups, metrics
 from loomfactor.operators.panel import densify, forward_return
 from loomfactor.plans.compile import evaluate, long_form
 from loomfactor.plans.expressions import Limits, Validator, parse
+from loomfactor.sources.tables import write_report
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ def factor_panels(features: DataFrame, factors: DataFrame, config: Config) -> tu
 
 
 def run(features: DataFrame, factors: DataFrame, config: Config, out: str) -> dict[str, DataFrame]:
-    """Write and return status, summary, rolling IC, size and industry groups (of the first factor, as they stand for the
+    """Write (as Parquet, and reports as CSV too) and return status, summary, rolling IC, size and industry groups (of the first factor, as they stand for the
     market), portfolio summary, equity curves, and clean tables of the first factors with their aggregates."""
     spark = features.sparkSession
     status, long = factor_panels(features, factors, config)
@@ -88,7 +89,10 @@ def run(features: DataFrame, factors: DataFrame, config: Config, out: str) -> di
             found[f"quantile_returns_{name}"] = diagnostics.quantile_returns(table)
             found[f"ic_by_period_{name}"] = diagnostics.ic_by_period(table)
     done = ("factor_metrics_summary",)
-    return {name: table if name in done else _written(table, f"{out}/{name}") for name, table in found.items()}
+    found = {name: table if name in done else _written(table, f"{out}/{name}") for name, table in found.items()}
+    for name, table in found.items():  # a row a factor, date or group: reports are read as CSV
+        write_report(table, f"{out}/csv/{name}")
+    return found
 
 
 def _written(table: DataFrame, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +14,9 @@ from pyspark.sql.window import Window
 from loomfactor.functions.features import OTHER, PUBLIC, with_features
 from loomfactor.operators import backtest, diagnostics, groups, metrics
 from loomfactor.operators.panel import by_code, densify, forward_return
-from loomfactor.plans import mining
+from loomfactor.plans import mining, validation
 from loomfactor.plans.compile import evaluate, long_form
-from loomfactor.plans.expressions import Call, Expr, parse
+from loomfactor.plans.expressions import Call, Expr, canonical, parse
 from loomfactor.plans.grammar import enumerate_templates
 from loomfactor.sources import adapters, files, panels, store, tables
 
@@ -967,6 +967,40 @@ def _mining_shared(spark, sf_dir):
     return rounded(found.select("canonical", "status", *mining.FIGURES))
 
 
+_FULL_ROWS = " union all ".join(f"select '{canonical(e)}' as canonical, 'OK' as status, '{i}' as expr_id" for i, e in BATCH.items())
+
+
+@_q("mining_full", _run_sql(BATCH, _FULL_ROWS))
+def _mining_full(spark, sf_dir):
+    """The sixty-four expressions with all their figures, as a mining run scores a batch."""
+    config = mining.Config(windows=(W,), least=LEAST, least_spread=LEAST, train_end=TRAIN_END, test_start=TEST_START)
+    return rounded(mining.results(features(spark, sf_dir), [canonical(e) for e in BATCH.values()], config).drop("expr"))
+
+
+_TOP_ROWS = " union all ".join(f"select '{e}' as canonical, 'OK' as status, 'e{i}' as expr_id" for i, e in enumerate(RUN))
+
+
+@_q(
+    "top_factors",
+    f"""with x as ({_run_sql({f"e{i}": parse(e) for i, e in enumerate(RUN)}, _TOP_ROWS)})
+select 'F' || lpad((row_number() over (order by score desc nulls last, canonical))::VARCHAR, 4, '0') || '_' || md5(canonical)[1:8] as factor_id, canonical as expr, score from x""",
+)
+def _top_factors(spark, sf_dir):
+    """The results of a run as CSV, read again as numbered factors."""
+    config = mining.Config(windows=(W,), least=LEAST, least_spread=LEAST, train_end=TRAIN_END, test_start=TEST_START)
+    path = files.shared_folder(spark)
+    tables.write_report(rounded(mining.results(features(spark, sf_dir), RUN, config)), path)
+    return rounded(tables.read_top_factors(spark, path, 3))
+
+
+@_q("pool_json", f"with {BARS} select code, trade_date, close from feat where code in (select cast(s_suppkey as varchar) from supplier where s_acctbal > 5000)")
+def _pool_json(spark, sf_dir):
+    """A pool written as a JSON array and read again selects the rows of its codes."""
+    path = files.shared_folder(spark)
+    tables.write_pool(adapters.read(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").cast("string").alias("code")), path)
+    return rounded(adapters.bars(spark, sf_dir).join(tables.read_pool(spark, path), "code", "left_semi").select("code", "trade_date", "close"))
+
+
 PORTFOLIOS = {"f1": parse("Rank(TsMean($ret_1d,10))"), "f2": parse("Rank(TsDelta($vol_log,10))")}
 
 
@@ -995,3 +1029,36 @@ def _backtest_batch(spark, sf_dir):
     long = long_form(wide, list(PORTFOLIOS), ["close"]).withColumnRenamed("expr_id", "factor_id")
     curves = backtest.equity(backtest.run(long, found))
     return rounded(curves.select("factor_id", F.col("top_pct"), "trade_date", "turnover", "net", F.ln("equity").alias("log_equity")))
+
+
+#: Scores of a validation share ties, and ask only that ranks differ.
+_AVERAGE = (
+    ("row_number() over (partition by expr_id, t order by f, code) as rf", "rank() over (partition by expr_id, t order by f) + (count(*) over (partition by expr_id, t, f) - 1) / 2.0 as rf"),
+    ("row_number() over (partition by expr_id, t order by fwd, code) as rr", "rank() over (partition by expr_id, t order by fwd) + (count(*) over (partition by expr_id, t, fwd) - 1) / 2.0 as rr"),
+    ("n * s > 1e-10", "s > 0"),
+    ("n * rs > 1e-10", "rs > 0"),
+)
+VALIDATED = {"f1": parse("Rank(TsMean($ret_1d,10))"), "f2": parse("Rank(TsMax($ret_1d,10))")}
+_PORTFOLIO_SQL = ORACLE["backtest_batch"].split("\nselect factor_id, top_pct, trade_date")[0].replace(batch_sql(PORTFOLIOS), batch_sql(VALIDATED))
+_PORTFOLIO_SQL = reduce(lambda sql, change: sql.replace(*change), _AVERAGE, _PORTFOLIO_SQL)
+
+
+@_q(
+    "validation_run",
+    f"""{_PORTFOLIO_SQL}, c1 as (select *, exp(sum(ln(1 + net)) over (partition by factor_id, top_pct order by t)) as equity from r1), c2 as (
+  select *, greatest(max(equity) over (partition by factor_id, top_pct order by t), 1) as peak, case when trade_date <= '{TRAIN_END}' then net end as a, case when trade_date >= '{TEST_START}' then net end as b from c1
+), c3 as (
+  select factor_id, top_pct, arg_max(equity, t) as last, min(equity / peak - 1) as dd, avg(case when net > 0 then 1.0 else 0.0 end) as wr, avg(a) * 252 as ar, stddev_pop(a) * sqrt(252) as av, avg(b) * 252 as br,
+    stddev_pop(b) * sqrt(252) as bv, avg(turnover) as turn from c2 group by 1, 2
+)
+select factor_id, top_pct, case when mean_rank_ic >= 0 then 1 else -1 end::INTEGER as direction, round(ln(last), 6) as log_total_return, round(dd, 6) as max_drawdown, round(wr, 6)::DOUBLE as win_rate,
+  round(ar, 6) as ann_return, round(av, 6) as ann_vol, round(ar / av, 6) as sharpe, round(br, 6) as test_ann_return, round(br / bv, 6) as test_sharpe, round(turn, 6) as avg_turnover, round(ar / -dd, 6) as calmar,
+  {BATCH_COLUMNS} from c3 join s on s.expr_id = c3.factor_id""",
+)
+def _validation_run(spark, sf_dir):
+    """A whole validation of two factors: the portfolio summary with the scores by which they were directed, as written."""
+    config = validation.Config(windows=(W,), least=LEAST, least_bucket=LEAST, train_end=TRAIN_END, test_start=TEST_START, clean=1)
+    factors = spark.createDataFrame([(k, canonical(e)) for k, e in VALIDATED.items()], "factor_id string, expr string")
+    found = validation.run(features(spark, sf_dir), factors, config, files.shared_folder(spark))
+    rows = found["portfolio_summary"].join(found["factor_metrics_summary"], "factor_id")
+    return rounded(rows.withColumn("log_total_return", F.log1p("total_return")).drop("total_return"))

@@ -130,3 +130,14 @@ def read_factor(spark: SparkSession, path: str, factor_id: str) -> DataFrame:
 def write_factors(long: DataFrame, path: str) -> None:
     """All factor cells, missing ones included, partitioned by factor."""
     long.write.mode("overwrite").partitionBy("factor_id").parquet(path)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A table of results, a row an expression, factor or date, as one CSV file with a header."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_pool(codes: DataFrame, path: str) -> None:
+    """A pool (code) as one JSON array: a list of what is to be studied, of some hundred codes."""
+    listed = codes.select("code").distinct().agg(F.to_json(F.array_sort(F.collect_list("code"))).alias("value"))
+    listed.coalesce(1).write.mode("overwrite").text(path)

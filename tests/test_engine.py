@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -148,7 +149,8 @@ def test_templates(spark, tmp_path):
     found, stats = enumerate_templates(PUBLIC)
     assert stats == {"single_field": 2100, "binary": 6525, "pair_corr": 765, "directional": 75, "total": 9465}
     assert len(found) == len({canonical(parse(e)) for e in found}) == 9465
-    save_templates(spark, str(tmp_path / "e"), ["ret_1d", "vol_log"], windows=(10,))
+    told = save_templates(spark, str(tmp_path / "e"), ["ret_1d", "vol_log"], windows=(10,))
+    assert json.loads((tmp_path / "expression_stats.json").read_text()) == told == save_templates(spark, str(tmp_path / "e"), ["ret_1d", "vol_log"], windows=(10,))
     rows = read_range(spark, str(tmp_path / "e"), 2, 4).collect()
     assert sorted(r.idx for r in rows) == [2, 3, 4] and all(parse(r.expr) for r in rows)
 
@@ -317,6 +319,7 @@ def test_validation_run_writes_all_its_tables(spark, tmp_path):
     assert found["equity_curves"].groupBy("factor_id", "top_pct").count().filter("count = 49").count() == 4
     assert [r.bucket for r in found["group_metrics_by_size"].collect()].count("mega") == 1 and found["group_metrics_by_industry"].count() == 8
     assert {n.split("_F")[0] for n in found} >= {"rolling_ic", "quantile_returns", "ic_by_period"}
+    assert spark.read.option("header", True).csv(f"{out}/csv/portfolio_summary").count() == 4 and (tmp_path / "val" / "csv" / "rolling_ic").exists()
     assert tables.read_factor(spark, f"{out}/panels", found["factor_metrics_summary"].first().factor_id).count() == 1000
 
 
