@@ -59,16 +59,31 @@ def neutralise(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return rows.withColumns({f"{value}_neutral": F.col(value) - mean, f"{value}_ratio": F.when(mean != 0, F.col(value) / mean)})
 
 
+def overall_ranks(rows: DataFrame, values: list[str], tie: str, parts: int = 32) -> list[Column]:
+    """For each of values the place of each row of a whole table by it, greatest first, NULLs last, ties in the order of tie.
+    Rows are dealt to ``parts`` stretches of the value and ranked inside each; the sizes of the stretches before are added.
+    One sketch and one count serve all values."""
+    cuts = rows.approxQuantile(values, [i / parts for i in range(1, parts)], 0.005)
+
+    def stretch(value: str, edges: list[float]) -> Column:
+        held = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]).cast("array<double>")
+        above = F.coalesce(F.size(F.filter(held, lambda e: e > F.col(value))), F.lit(parts + 1))
+        return F.when(F.col(value).isNull(), parts + 1).otherwise(above)
+
+    stretches = [stretch(v, c) for v, c in zip(values, cuts)]
+    each = F.posexplode(F.array(*stretches)).alias("v", "s")
+    sizes = rows.select(each).groupBy("v", "s").agg(F.count("*").alias("n")).collect()  # at most parts + 1 rows a value
+    out = []
+    for i, (value, at) in enumerate(zip(values, stretches)):
+        before, total = [], 0
+        for r in sorted(r for r in sizes if r.v == i):
+            before += [F.lit(r.s), F.lit(total)]
+            total += r.n
+        place = F.row_number().over(Window.partitionBy(at).orderBy(F.desc_nulls_last(value), tie))
+        out.append((place + (F.try_element_at(F.create_map(*before), at) if before else F.lit(0))).cast("long"))
+    return out
+
+
 def overall_rank(rows: DataFrame, value: str, tie: str, parts: int = 32) -> Column:
-    """Place of each row of a whole table by value, greatest first, NULLs last, ties in the order of tie. Rows are dealt to
-    ``parts`` stretches of the value and ranked inside each; the sizes of the stretches before are added."""
-    edges = sorted(set(rows.approxQuantile(value, [i / parts for i in range(1, parts)], 0.005)))
-    stretch = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>"), lambda e: e > F.col(value))), F.lit(parts + 1))
-    stretch = F.when(F.col(value).isNull(), parts + 1).otherwise(stretch)
-    sizes = rows.groupBy(stretch.alias("s")).agg(F.count("*").alias("n")).collect()  # at most parts + 1 rows
-    before, total = [], 0
-    for r in sorted(sizes):
-        before += [F.lit(r.s), F.lit(total)]
-        total += r.n
-    place = F.row_number().over(Window.partitionBy(stretch).orderBy(F.desc_nulls_last(value), tie))
-    return (place + (F.try_element_at(F.create_map(*before), stretch) if before else F.lit(0))).cast("long")
+    """overall_ranks() by one value."""
+    return overall_ranks(rows, [value], tie, parts)[0]

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomfactor.operators.ranks import rank_apart
+
 DAY = ["expr_id", "t", "trade_date"]
 
 
@@ -47,6 +49,24 @@ def daily(long: DataFrame, ranks: str = "ordinal") -> DataFrame:
     )
 
 
+def daily_apart(long: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
+    """daily() with ordinal ranks, for dates of more codes than a task should hold: ranks are sorted over many tasks, and
+    what is left are sums, which are added up where the rows lie."""
+    ids, ok = ["expr_id", "t", "trade_date"], F.col("f").isNotNull() & F.col("fwd").isNotNull()
+    ranked = rank_apart(long.filter(ok), {"rf": F.col("f"), "rr": F.col("fwd")}, [*ids, "code", "f", "fwd"], folder, parts, tuple(ids))
+    n = F.count("*")
+
+    def corr(x: str, y: str, scale: Column) -> Column:
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        return F.when((n >= 10) & (n * spread * scale * scale > 1e-10), F.covar_pop(x, y) / spread)
+
+    # Percentiles are places over n.
+    paired = ranked.groupBy(*ids).agg(n.alias("_pairs"), corr("f", "fwd", F.lit(1.0)).alias("ic"), corr("rf", "rr", n).alias("rank_ic"))
+    sizes = long.groupBy(*ids).agg(n.alias("cells"), F.count("f").alias("n"))
+    out = sizes.join(paired, ids, "left")
+    return out.select(*ids, "cells", "n", F.coalesce("_pairs", F.lit(0).cast("long")).alias("pairs"), "ic", "rank_ic")
+
+
 def cells(column: pa.ChunkedArray) -> np.ndarray:
     """Doubles, NaN where missing."""
     return column.combine_chunks().to_numpy(zero_copy_only=False).astype(float)

@@ -19,6 +19,8 @@ from loomfactor.plans.compile import evaluate
 from loomfactor.plans.expressions import Call, Expr, canonical
 from loomfactor.sources import panels
 
+#: The store as a reader of sub-expressions, before all batches.
+STORE = -1
 #: Columns of one table of the store: they are computed together.
 BLOCK = 64
 #: Columns that are kept at most; what is beyond is computed by each batch that needs it.
@@ -54,7 +56,7 @@ def _read(expr: Expr, kept: set[str]) -> Iterator[str]:
 
 
 def choose(batches: list[list[Expr]], most: int = MOST) -> list[Expr]:
-    """The sub-expressions to keep, those first that the earliest batches read."""
+    """The sub-expressions to keep, those first that others need, then those that the earliest batches read."""
     known: dict[str, Expr] = {}
     seen: dict[str, set[int]] = {}
     for i, batch in enumerate(batches):
@@ -70,6 +72,10 @@ def choose(batches: list[list[Expr]], most: int = MOST) -> list[Expr]:
             for expr in batch:
                 for key in _read(expr, kept):
                     reads.setdefault(key, set()).add(i)
+        for k in kept:  # a column that the store needs for others is read by it
+            for a in known[k].args:
+                for key in _read(a, kept):
+                    reads.setdefault(key, set()).add(STORE)
         # What larger kept expressions hide goes; it is not taken back if they go in turn.
         still = {k for k in kept if len(reads.get(k, ())) > 1}
         if still == kept:
@@ -92,7 +98,7 @@ class Store:
     def build(self, chosen: list[Expr], block: int = BLOCK) -> "Store":
         """Compute and write what was chosen; later blocks read what earlier ones hold."""
         for i in range(0, len(chosen), block):
-            some = {f"k{i + j}": x for j, x in enumerate(chosen[i : i + block])}
+            some = {f"k{len(self.columns) + j}": x for j, x in enumerate(chosen[i : i + block])}
             panel, given = self.panel(list(some.values()))
             name = f"kept_{uuid.uuid4().hex}"
             panels.save(evaluate(panel, some, given=given), name, f"{self.folder}/{name}")

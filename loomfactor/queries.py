@@ -317,6 +317,13 @@ def _rank_ord(spark, sf_dir):
     return rounded(metrics.daily_ic(scored(spark, sf_dir)).select("t", "trade_date", "rank_ic"))
 
 
+@_q("daily_ic_wide", f"with {DAILY} select t, trade_date, n as pairs, round(ic, 6) + 0.0::DOUBLE as ic, round(rank_ic, 6) + 0.0::DOUBLE as rank_ic from d join d0 using (t, trade_date)")
+def _daily_wide(spark, sf_dir):
+    """Scores by ranks that are sorted over many tasks."""
+    days = metrics.daily_apart(scored(spark, sf_dir), files.shared_folder(spark)).filter("pairs > 0")
+    return rounded(days.select("t", "trade_date", "pairs", "ic", "rank_ic"))
+
+
 @_q("daily_rank_ic_avg", f"with {DAILY} select t, trade_date, round(vic, 6) + 0.0::DOUBLE as ic, round(vrank_ic, 6) + 0.0::DOUBLE as rank_ic from d")
 def _rank_avg(spark, sf_dir):
     return rounded(metrics.daily_ic(scored(spark, sf_dir), "average").select("t", "trade_date", "ic", "rank_ic"))
@@ -574,8 +581,10 @@ select code, industry, round(score, 6) + 0.0::DOUBLE as score, row_number() over
 def _composite(spark, sf_dir):
     m = adapters.bars(spark, sf_dir).groupBy("code").agg((F.sum("net_mf_amount") / F.nullif(F.sum("amount"), F.lit(0.0))).alias("flow"), F.avg("volume_ratio").alias("vr"), F.max("circ_mv").alias("mv"))
     s = m.join(adapters.snapshot(spark, sf_dir), "code", "left").select("code", F.coalesce("industry", F.lit("UNKNOWN")).alias("industry"), F.coalesce("flow", F.lit(0.0)).alias("flow"), F.least("vr", F.lit(2.0)).alias("vr"), "mv")
-    s = s.withColumn("score", 0.5 * F.col("flow") + 0.5 * F.col("vr")).persist()  # a row a code, read by every ranking
-    places = [groups.overall_rank(s, c, "code").alias(f"{c}_rank") for c in ("flow", "vr", "mv")]
+    path = files.shared_folder(spark)
+    s.withColumn("score", 0.5 * F.col("flow") + 0.5 * F.col("vr")).write.parquet(path)  # a row a code, read by every ranking
+    s, by = spark.read.parquet(path), ["flow", "vr", "mv"]
+    places = [c.alias(f"{name}_rank") for name, c in zip(by, groups.overall_ranks(s, by, "code"))]
     inside = F.row_number().over(Window.partitionBy("industry").orderBy(F.desc("score"), "code")).cast("long").alias("industry_rank")
     return rounded(s.select("code", "industry", "score", *places, inside))
 
