@@ -7,7 +7,8 @@ hidden attribute, or by a declaration of display in its style or in a style elem
 taken back inside. Style elements count with their rules for a tag, class or id, a compound of these, and compounds joined
 as descendants or children, outside at-rules. Of a select element the selected option is shown, of an input field its value,
 of closed details their summary; what is only kept from assistive readers (aria-hidden) is seen like anything else. The renderer collapses white space outside pre, puts blocks on lines of their own
-and paragraphs apart, marks list items by depth and number, and pads table cells, spans included, so that columns align.
+and paragraphs apart, marks list items by depth and number, and pads table cells, spans included, so that columns align;
+a table inside a cell keeps its lines there.
 It keeps its own stack: pages may nest to any depth.
 
 Defined results: null or empty pages give an empty text; unclosed, misnested or cut tags are repaired by the
@@ -72,11 +73,13 @@ SPAN = 1000
 class Node:
     """An element. shown is None where visibility is inherited; gone elements and all they hold are not displayed."""
 
-    __slots__ = ("tag", "children", "attributes", "gone", "shown")
+    __slots__ = ("tag", "children", "attributes", "gone", "shown", "holds")
 
     def __init__(self, tag: str, attributes: dict[str, str] | None = None):
         self.tag, self.children, self.attributes = tag, [], attributes or {}
         self.gone, self.shown = tag in UNSEEN, None
+        #: Whether a table lies inside.
+        self.holds = False
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -164,6 +167,10 @@ def _hide(root: Node) -> None:
         below = [x for x in reversed(node.children) if isinstance(x, Node)]
         above |= {id(x): node for x in below}
         todo += below
+    for node in every:
+        up = above.get(id(node)) if node.tag == "table" else None
+        while up is not None and not up.holds:
+            up.holds, up = True, above.get(id(up))
     rules = style_rules("\n".join(sheets)) if sheets else []
     nested = any(len(selector) > 1 for selector, _, _ in rules)
     named = {id(x): _names(x) for x in every} if nested else {}
@@ -459,22 +466,24 @@ def _table(node: Node, shown: bool) -> Step:
                 column += 1
             lines = yield _lines(x.children, False, seen if x.shown is None else x.shown)
             wide, high = _span(x, "colspan"), _span(x, "rowspan")
-            cells.append((column, wide, " ".join(s for s in lines if s)))
+            lines = [s for s in lines if s]
+            # A table inside a cell keeps its lines; other blocks in a cell share one.
+            cells.append((column, wide, lines if x.holds and lines else [" ".join(lines)]))
             if high > 1:
                 below |= {c: high - 1 for c in range(column, column + wide)}
             column += wide
         grid.append(cells)
     widths = [0] * max((c + w for row in grid for c, w, _ in row), default=0)
-    for c, w, text in (x for row in grid for x in row if x[1] == 1):
-        widths[c] = max(widths[c], len(text))
-    for c, w, text in (x for row in grid for x in row if x[1] > 1):
-        widths[c + w - 1] += max(0, len(text) - sum(widths[c : c + w]) - 3 * (w - 1))
+    for c, w, lines in (x for row in grid for x in row if x[1] == 1):
+        widths[c] = max(widths[c], *map(len, lines))
+    for c, w, lines in (x for row in grid for x in row if x[1] > 1):
+        widths[c + w - 1] += max(0, max(map(len, lines)) - sum(widths[c : c + w]) - 3 * (w - 1))
     for row in grid:
-        if any(text for _, _, text in row):
+        for k in range(max((len(lines) for _, _, lines in row if any(lines)), default=0)):
             parts, at = [], 0
-            for c, w, text in row:
+            for c, w, lines in row:
                 parts += [" " * widths[i] for i in range(at, c)]
-                parts.append(text.ljust(sum(widths[c : c + w]) + 3 * (w - 1)))
+                parts.append((lines[k] if k < len(lines) else "").ljust(sum(widths[c : c + w]) + 3 * (w - 1)))
                 at = c + w
             out.append(" | ".join(parts).rstrip())
     return out

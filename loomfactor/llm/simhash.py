@@ -196,7 +196,21 @@ def shard_links(tree: np.ndarray, queries: np.ndarray | None, radius: int) -> li
     return [(v, low) for g in groups.values() if len(g) > 1 for low in [min(g)] for v in g if v != low]
 
 
-def _search_shards(radius: int):
+def shard_degrees(tree: np.ndarray, queries: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+    """(member, number of others within the radius) of the members of a shard that have any; rows as in shard_links()."""
+    rows = tree if queries is None else np.concatenate([tree, queries])
+    values = np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
+    first = 0 if queries is None else len(tree)
+    counts = np.zeros(len(rows), np.int64)
+    for a, b in BKTree(values[: len(tree)]).search(values[first:], np.arange(first, len(rows)), radius):
+        counts += np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
+    if queries is None:  # every pair was met from both ends, and every member met itself
+        counts = counts // 2 - 1
+    met = np.flatnonzero(counts)
+    return list(zip(rows[met, 0].tolist(), counts[met].tolist()))
+
+
+def _search_shards(radius: int, found=shard_links):
     """Rows come sorted by shard, tile pair; each run of equal keys is one tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,11 +233,11 @@ def _search_shards(radius: int):
         out: list[tuple[int, int]] = []
         for g in groups:
             if g[0, 2] == g[0, 3]:
-                out += shard_links(g[:, 5:], None, radius)
+                out += found(g[:, 5:], None, radius)
             else:
                 first = g[:, 4] == g[0, 2]
                 if first.any() and not first.all():
-                    out += shard_links(g[first, 5:], g[~first, 5:], radius)
+                    out += found(g[first, 5:], g[~first, 5:], radius)
         if out:
             a = np.array(out, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
@@ -250,8 +264,8 @@ def sampled_masks(words: int, bits: int, tables: int) -> list[list[int]]:
     return out
 
 
-def links(nodes: DataFrame, radius: int = 4, masks: list[list[int]] | None = None, tile: int = 4096) -> DataFrame:
-    """nodes(id, fp0, ...), distinct -> links (a, b) between ids. Without masks they join exactly the fingerprints
+def links(nodes: DataFrame, radius: int = 4, masks: list[list[int]] | None = None, tile: int = 4096, found=shard_links) -> DataFrame:
+    """nodes(id, fp0, ...), distinct -> links (a, b) between ids, or what else is found in a shard. Without masks they join exactly the fingerprints
     reachable within the radius; masks name other shards, whose members are linked if within it."""
     if masks is None:  # as the table grows, longer shard keys keep shards small; any choice finds all pairs
         n = nodes.count()
@@ -274,7 +288,7 @@ def links(nodes: DataFrame, radius: int = 4, masks: list[list[int]] | None = Non
     return (
         tiled.repartition("replica", "key", "i", "j")
         .sortWithinPartitions("replica", "key", "i", "j")
-        .mapInArrow(_search_shards(radius), "a long, b long")
+        .mapInArrow(_search_shards(radius, found), "a long, b long")
     )
 
 
@@ -302,17 +316,28 @@ def bit_share(similarity: float) -> float:
 
 #: Members that are compared with one document in one task.
 FANOUT = 2048
-#: Numbers given to nodes whose id is null or repeated begin here.
-_LATE = 2**62
-
-
-def numbered(nodes: DataFrame) -> DataFrame:
-    """nodes (low: smallest oid and tk, ...) with a number of its own each, in the order of the ids; those that share an id or
-    have none come last."""
+#: Words of the fingerprints of documents that a first round has not decided.
+FINE_WORDS = 64
+#: Meetings with near ones that are too few to tell a text from its copies.
+FEW_NEAR = 16
+#: Share of the tables that are read to tell how many near ones a document has.
+DEGREE_TABLES = 0.2
+#: Numbers of nodes below are ids; those of nodes whose id is null, repeated or outside of them come after.
+_LATE = 2**56
+
+
+def numbered(nodes: DataFrame, degrees: DataFrame) -> DataFrame:
+    """nodes (nk, low: smallest oid and tk, ...) with a number of its own each: those first that have most others near
+    (degrees: a, b), to a power of two; of equals, and where few are near, in the order of the ids, those that share an id or
+    have none last."""
     first = nodes.filter(F.col("low.oid") < NO_ID).groupBy("low.oid").agg(F.min("low.tk").alias("first_tk"))
-    late = F.lit(_LATE) + F.pmod(F.xxhash64("low.oid", "low.tk"), F.lit(_LATE - 1))
     joined = nodes.join(first, nodes["low.oid"] == first.oid, "left").drop("oid")
-    return joined.withColumn("id", F.when(F.col("low.tk") == F.col("first_tk"), F.col("low.oid")).otherwise(late)).drop("first_tk")
+    joined = joined.join(degrees.groupBy(F.col("a").alias("nk")).agg(F.sum("b").alias("near")), "nk", "left")
+    own = (F.col("low.tk") == F.col("first_tk")) & F.col("low.oid").between(0, _LATE - 1)
+    body = F.when(own, F.col("low.oid")).otherwise(F.lit(_LATE) + F.pmod(F.xxhash64("low.oid", "low.tk"), F.lit(_LATE)))
+    many = F.coalesce("near", F.lit(0)) / FEW_NEAR
+    level = 63 - F.least(F.floor(F.log2(1 + many)), F.lit(63)).cast("long")
+    return joined.withColumn("id", F.shiftleft(level, 57) + body).drop("first_tk", "near")
 
 
 def close_members(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int, fanout: int = FANOUT) -> DataFrame:
@@ -345,9 +370,11 @@ def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     """(doc_id, tk) of the documents that stay: a row of docs stays if its id (null-safe) and the xxhash64 of its text are
     found here. Texts of the same words are one document, that of the smallest id (nulls last, then by text hash).
 
-    Round by round, the documents that no proposed link leads to a smaller id stay for good; of the others, those go that
-    are exactly close to one of them; the rest meet again. So every document that goes is close to one that stays, and no two
-    that stay are close unless no link proposed them.
+    Documents are put in order: those that have most others near come first (a text from which many copies were made, before
+    the copies, which may be far from each other), of equals the smaller id. Round by round, the documents that no proposed link
+    leads to an earlier one stay for good; of the others, those go that are exactly close to one of them; the rest meet again,
+    by finer fingerprints: texts that are alike but not close would otherwise keep each other waiting.
+    So every document that goes is close to one that stays, and no two that stay are close unless no link proposed them.
     """
     names, p = word_names(words), bit_share(similarity)
     size = 64 * words
@@ -355,13 +382,16 @@ def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     low = F.struct(id_or_last().alias("oid"), "tk")
     rows = fingerprints(docs, shingle, words=words, distinct=True)
     # Rows of equal nk have equal fingerprints.
-    nodes = materialize(numbered(rows.groupBy("nk").agg(F.min(low).alias("low"), *[F.min(c).alias(c) for c in names])).drop("nk"))
-    bits = min(max(12, nodes.count().bit_length() + 1), size // 2)
+    texts_of = materialize(rows.groupBy("nk").agg(F.min(low).alias("low"), *[F.min(c).alias(c) for c in names]))
+    bits = min(max(12, texts_of.count().bit_length() + 1), size // 2)
     masks = sampled_masks(words, bits, int(np.ceil(3 / (1 - p) ** bits)))
+    some = masks[: int(np.ceil(DEGREE_TABLES * len(masks)))]
+    degrees = links(texts_of.select(F.col("nk").alias("id"), *names), radius, some, tile, shard_degrees)
+    nodes = materialize(numbered(texts_of, degrees).drop("nk"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     said = docs.select(id_or_last().alias("oid"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
-    present, stay = nodes, []
+    present, stay, fine = nodes, [], False
     while True:
         found = materialize(links(present.select("id", *names), radius, masks, tile).distinct())
         if found.isEmpty():
@@ -373,7 +403,17 @@ def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(present.select("id", "low.*"), "id")
         texts = materialize(said.join(ends, ["oid", "tk"]).groupBy("id").agg(F.first("text").alias("text")))
         close = close_members(pairs, texts, similarity, shingle).select(F.col("a").alias("id"))
-        present = materialize(present.join(members, "id", "left_semi").join(close, "id", "left_anti"))
+        present = present.join(members, "id", "left_semi").join(close, "id", "left_anti")
+        if not fine:
+            # What is left is alike, but not close to what stays: finer fingerprints tell which of it may be close at all.
+            fine, names, size = True, word_names(FINE_WORDS), 64 * FINE_WORDS
+            radius = int(size * p + 2 * np.sqrt(size * p * (1 - p)))
+            masks = [[*m, *[0] * (FINE_WORDS - words)] for m in masks]
+            present = materialize(present.select("id", "low"))
+            rows = said.join(present.select("id", "low.*"), ["oid", "tk"]).select(F.col("id").alias("doc_id"), "text")
+            prints = fingerprints(rows, shingle, words=FINE_WORDS, distinct=True).groupBy(F.col("doc_id").alias("id"))
+            present = present.join(prints.agg(*[F.min(c).alias(c) for c in names]), "id")
+        present = materialize(present)
         discard(texts)
     kept = stay[0]
     for more in stay[1:]:

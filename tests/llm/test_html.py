@@ -14,6 +14,8 @@ CASES = [
     ("<table><caption>C</caption><tbody><tr><td>a</td></tr></tbody></table>z", "C\na\n\nz"),
     ("<style>p{}</style><script>var t='</p>';</script>x<!-- no -->y", "xy"),
     ("<p hidden>no</p><p style='display: none'>no</p><p data-hidden-x=1>yes", "yes"),
+    ("<table><tr><td><table><tr><td>a<td>bb<tr><td>ccc<td>d</table><td>e<tr><td>f<td>g</table>", "a   | bb | e\nccc | d  |\nf        | g"),
+    ("<table><tr><td colspan=2>x<table><tr><td>y</table><td>z</table>", "x   | z\ny   |"),
     ("<p>a <span aria-hidden=true>seen</span>", "a seen"),
     ("<p>name <input value='Ann'> <input type=hidden value=no> <input type=submit value=Go> <input type=checkbox value=on>", "name Ann Go"),
     ("<style>.a .b{display:none} ul > li.c{display:none} #x p .d{visibility:hidden}</style><p class=b>1<div class=a><p>2<b class=b>no</b></div><ul><li class=c>no<li>3</ul><div id=x><p>4<i class=d>no</i></div><i class=d>5</i>", "1\n\n2\n\n- 3\n\n4\n\n5"),
