@@ -51,8 +51,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @staged
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document goes if its five-word shingles have a Jaccard similarity of 0.8 with those of a document that stays, of each
-    such pair the one of the larger id; what is only alike by way of others stays."""
+    """A document goes if its five-word shingles have a Jaccard similarity of 0.8 with those of a document that stays: of a
+    group the one that most are near to, of equals that of the smallest id. What is only alike by way of others stays."""
     heads = simhash.representatives(docs).select(F.col("doc_id").alias("head"), "tk")
     rows = docs.select(COLUMNS).withColumn("tk", text_key())
     kept = rows.join(heads, (rows.tk == heads.tk) & rows.doc_id.eqNullSafe(heads["head"]), "left_semi")

@@ -182,6 +182,8 @@ def test_sources(spark, tmp_path):
     daily = market.select("code", "trade_date", "close")
     out = tables.market(daily, [market.select("code", "trade_date", "amount")], market.select("code", "industry").distinct(), "20240101", "20241231", pool)
     assert out.count() == 40 and set(out.columns) == {"code", "trade_date", "close", "amount", "industry"}
+    market.limit(1).createOrReplaceTempView("known_table")
+    assert tables.resolve(spark, ["no_such_table", "known_table", "other"]) == "known_table" and tables.resolve(spark, ["none_a", "none_b"]) == "none_a"
     ids = tables.factor_ids(spark.createDataFrame([("Abs($x)", 0.5), ("Abs($x)", 0.5), ("Inv($x)", 0.9), (None, 1.0)], "expr string, score double"))
     assert [r.factor_id[:5] for r in ids.orderBy("factor_id").collect()] == ["F0001", "F0002"] and ids.orderBy("factor_id").first().expr == "Inv($x)"
 
@@ -293,10 +295,10 @@ def test_a_failing_expression_gets_an_error_row(spark, tmp_path, monkeypatch):
 
     good = mining.score
 
-    def sometimes(base, planned, config, given=None):
+    def sometimes(base, planned, config, given=None, days=16):
         if any(p.key == "Abs($ret_1d)" for p in planned):
             raise AnalysisException("no such thing")
-        return good(base, planned, config, given)
+        return good(base, planned, config, given, days)
 
     monkeypatch.setattr(mining, "score", sometimes)
     market = with_features(tables.simulate(spark, 30, 12, seed=3))
