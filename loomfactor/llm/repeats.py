@@ -6,7 +6,7 @@ stretch of symbols with its occurrences, and a class is the contents that share
 company in their class need to be compared symbol by symbol; their symbols are read from one text that holds
 them. All steps are equi-joins and partial aggregates on hashes, so a passage that a third of all texts share
 is not gathered anywhere; the contents of a class of more than ``tile`` contents are never brought together either:
-each of their windows becomes a row, and equal windows meet by hash.
+they are cut into pieces, whose classes are told apart by more symbols around the anchor, until none is crowded.
 
 Texts are told apart by a 64-bit hash, and a repeated row is simply one more place.
 """
@@ -146,34 +146,73 @@ def largest_class(stuff: DataFrame) -> int:
     return stuff.groupBy("c").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
 
 
-def window_rows(rows: DataFrame, decode: Callable[[bytes], np.ndarray], window: int) -> DataFrame:
-    """(c, f, oid, j, h1, h2): a row for each window of contents, with two hashes of its symbols."""
-    names = ["c", "f", "oid", "j", "h1", "h2"]
+def pieces(rows: DataFrame, decode: Callable[[bytes], np.ndarray], window: int, gram: int, width: int) -> DataFrame:
+    """(pc, pf, c, f, oid, start, n, symbols): each content (pc, pf) cut where the place of its anchor in the window passes a
+    multiple of ``width``. Equal windows lie in pieces of equal class c: that of the content, the number of the cut and the
+    window - width + 1 symbols around the anchor that all windows of such a piece hold."""
+    names = ["pc", "pf", "c", "f", "oid", "start", "n", "symbols"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "symbols", 256):
             if not batch.num_rows:
                 continue
-            n = batch.column(3).to_numpy()
-            h1, h2 = [], []
-            for raw, size in zip(batch.column(4).to_pylist(), n.tolist()):
+            pc, pf, oid, n = (batch.column(i).to_numpy() for i in range(4))
+            found, symbols_of = [], []
+            for raw, key, count in zip(batch.column(4).to_pylist(), pc.view(np.uint64), n.tolist()):
                 symbols = decode(raw)
-                h1.append(anchors.Rolling(symbols).hashes(np.arange(size), window))
-                h2.append(anchors.Rolling(anchors.mix(symbols)).hashes(np.arange(size), window))
-            row, j = spread(n)
-            c, f, oid = (batch.column(i).to_numpy()[row] for i in range(3))
-            cols = [c, f, oid, j.astype(np.int32), np.concatenate(h1).view(np.int64), np.concatenate(h2).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names)
-
-    return rows.select("c", "f", "oid", "n", "symbols").mapInArrow(run, "c long, f long, oid long, j int, h1 long, h2 long")
-
-
-def joined_runs(marks: DataFrame) -> DataFrame:
-    """(c, f, j) of marked windows -> (c, f, a, b), runs of consecutive ones; a content has few windows."""
-    lists = marks.groupBy("c", "f").agg(F.array_sort(F.collect_set("j")).alias("j"))
-    # In a run of consecutive numbers, number less place is the same.
-    tagged = lists.select("c", "f", F.posexplode("j").alias("p", "j")).groupBy("c", "f", (F.col("j") - F.col("p")).alias("r"))
-    return tagged.agg(F.min("j").alias("a"), F.max("j").alias("b")).select("c", "f", "a", "b")
+                size = len(raw) // len(symbols)
+                anchor = anchors.segments(symbols[:window], window, gram)[3][0]
+                block = (anchor - np.arange(count)) // width
+                start = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1))
+                many, block = np.diff(np.append(start, count)), block[start]
+                rolling = anchors.Rolling(symbols)
+                shared = rolling.hashes(anchor - block * width, window - width + 1)
+                c = anchors.mix(shared ^ anchors.mix(key ^ (block * window + width).astype(np.uint64)))
+                ends = start + many + window - 1
+                found.append((c, rolling.hashes(start, many + window - 1), start, many))
+                symbols_of += [raw[s * size : e * size] for s, e in zip(start.tolist(), ends.tolist())]
+            row = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+            c, f, start, many = (np.concatenate(x) for x in zip(*found))
+            cols = [pc[row], pf[row], c.view(np.int64), f.view(np.int64), oid[row], start.astype(np.int32), many.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(symbols_of, pa.binary())], names)
+
+    schema = "pc long, pf long, c long, f long, oid long, start int, n int, symbols binary"
+    return rows.select("c", "f", "oid", "n", "symbols").mapInArrow(run, schema)
+
+
+def refined(
+    rows: DataFrame, decode: Callable[[bytes], np.ndarray], window: int, gram: int, tile: int
+) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
+    """Contents (c, f, k, oid, n, symbols) in classes of at most ``tile``, and how their matches lead back to those of rows.
+
+    The contents of larger classes are cut into pieces, which are contents themselves, in classes of more symbols; what is
+    still crowded is cut finer. Pieces of one window have no other in their class, so this ends after log2(window) cuts. Only
+    pieces with company go on. Each cut is (places, stuff): where a piece (c, f) lies in its content (pc, pf), and each
+    distinct piece with its occurrences among the contents and the first document that holds it."""
+    usual, cuts, width = rows.filter(F.col("k") <= tile), [], -(-window // 4)
+    crowded = rows.filter(F.col("k") > tile)
+    while crowded.head(1):
+        places = materialize(pieces(crowded, decode, window, gram, width))
+        first = F.min(F.struct("oid", "n", "symbols")).alias("owner")
+        stuff = materialize(places.groupBy("c", "f").agg(F.count("*").alias("times"), first).select("c", "f", "times", "owner.*"))
+        company = materialize(stuff.groupBy("c").agg(F.count("*").alias("k")).filter("k > 1"))
+        finer = materialize(stuff.join(company, "c").select("c", "f", "k", "oid", "n", "symbols"))
+        usual = usual.unionByName(finer.filter(F.col("k") <= tile))
+        crowded = finer.filter(F.col("k") > tile)
+        cuts.append((places.drop("symbols"), stuff.drop("symbols")))
+        width = max(1, width // 2)
+    return usual, cuts
+
+
+def lifted(runs: DataFrame, cuts: list[tuple[DataFrame, DataFrame]], marked: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Matches (c, f, a, b) of all contents, from the runs that were found in the usual ones: marked(places, stuff, runs)
+    gives the places of a cut with the runs s that lie in each."""
+    out = runs
+    for places, stuff in reversed(cuts):
+        at = marked(places, stuff, out)
+        ends = [(F.col("start") + F.col(f"s.{x}")).alias(x) for x in ("a", "b")]
+        out = runs.unionByName(materialize(at.select(F.col("pc").alias("c"), F.col("pf").alias("f"), *ends)))
+    return out
 
 
 def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,8 @@ shard a suffix automaton of the contents of earlier documents is built in the or
 document's contents are streamed through it for matching statistics: the length of the longest suffix, at each
 word, that the automaton knows. Where it reaches the window length, a window has been seen before. Automata go to
 the tasks by shuffle: those of a whole corpus have no size bound, so they are not broadcast. A class of more than
-``tile`` contents would make one automaton too large: its windows are matched as rows, by two 64-bit hashes.
+``tile`` contents would make one automaton too large: its contents are cut into pieces, in classes told apart by more
+words around the anchor, and the pieces go through automata like all others.
 
 Defined results: a null text has no words; repeated rows have the same id, so neither is earlier than the other;
 rows with a null id come after all others; a text shorter than the window keeps everything; an empty table
@@ -126,28 +127,27 @@ def matches(docs: DataFrame, window: int, tile: int) -> DataFrame:
     common = repeats.common_anchors(docs, word_symbols, window, GRAM)
     dups = materialize(repeats.repeated_by_sort(repeats.segment_table(docs, word_symbols, window, GRAM, common)))
     stuff = materialize(repeats.contents(dups))
-    groups = max(8, stuff.count() // GROUP)
-    rows = repeats.with_symbols(docs, stuff, word_symbols, window)
-    crowded = repeats.largest_class(stuff) > tile
-    rows = materialize(rows) if crowded else rows
-    usual = rows.filter(F.col("k") <= tile).withColumn("g", F.pmod("c", F.lit(groups)))
-    runs = usual.groupBy("g").applyInArrow(_shard(window), "c long, f long, a int, b int")
-    if crowded:
-        # A window of a crowded class was seen before if the first document that holds it is an earlier one.
-        wins = materialize(repeats.window_rows(rows.filter(F.col("k") > tile), lambda raw: np.frombuffer(raw, np.uint64), window))
-        first = materialize(wins.groupBy("h1", "h2").agg(F.min("oid").alias("first"), F.max("oid").alias("top")).filter("first < top"))
-        runs = runs.unionByName(repeats.joined_runs(wins.join(first, ["h1", "h2"]).filter("oid > first").select("c", "f", "j")))
-    runs = materialize(runs)
-    # A later document's segment of equal content lies in the owner whole; the owner's own is as the automaton says.
+    rows, cuts, held = repeats.with_symbols(docs, stuff, word_symbols, window), [], stuff.count()
+    if repeats.largest_class(stuff) > tile:
+        rows, cuts = repeats.refined(materialize(rows), lambda raw: np.frombuffer(raw, np.uint64), window, GRAM, tile)
+        held = rows.count()
+    rows = rows.withColumn("g", F.pmod("c", F.lit(max(8, held // GROUP))))
+    runs = materialize(rows.groupBy("g").applyInArrow(_shard(window), "c long, f long, a int, b int"))
+    runs = repeats.lifted(runs, cuts, marked)
+    spans = marked(dups, stuff.select("c", "f", "times", "owner.oid"), runs)
+    discard(stuff)
+    return spans.select("tk", "oid", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+
+
+def marked(places: DataFrame, stuff: DataFrame, runs: DataFrame) -> DataFrame:
+    """Places with the runs s of windows that an earlier document holds. A content lies whole in the first document that
+    holds it, so all of it was seen by a later one; the first one's own is as the automaton says."""
     own = runs.groupBy("c", "f").agg(F.collect_list(F.struct("a", "b")).alias("own"))
-    marks = stuff.select("c", "f", "times", F.col("owner.oid").alias("first")).join(own, ["c", "f"], "left")
+    marks = stuff.select("c", "f", "times", F.col("oid").alias("first")).join(own, ["c", "f"], "left")
     marks = materialize(marks.filter("times > 1 or own is not null").drop("times"))
-    discard(stuff)
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))
-    spans = dups.join(marks, ["c", "f"]).select(
-        "tk", "oid", "start", F.explode(F.when(F.col("oid") > F.col("first"), whole).otherwise(F.col("own"))).alias("s")
-    )
-    return spans.select("tk", "oid", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+    seen = F.explode(F.when(F.col("oid") > F.col("first"), whole).otherwise(F.col("own"))).alias("s")
+    return places.join(marks, ["c", "f"]).select(*[places[x] for x in places.columns], seen)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, tile: int = 20_000) -> DataFrame:

@@ -8,8 +8,8 @@ level is of its own size, both sorted arrays are merged, equal neighbours from b
 array is the new level, which goes on to the next; against larger levels its suffixes are looked up in their order.
 Each content is so sorted once and merged a logarithmic number of times. Levels are written tables, one row a group.
 
-Groups hold about ``GROUP`` windows. A class of more than ``tile`` contents would outgrow its group: its windows are
-matched as rows, by two 64-bit hashes.
+Groups hold about ``GROUP`` windows. A class of more than ``tile`` contents would outgrow its group: its contents are cut
+into pieces, in classes told apart by more symbols around the anchor, and the pieces are indexed like all others.
 
 Defined results: a null text is empty; a text shorter than the window keeps everything; repeated rows and
 copies are other places, so they lose all they share; a null doc_id keeps its row; an empty table returns no
@@ -209,19 +209,23 @@ def matches(docs: DataFrame, window: int, batches: int | None, tile: int) -> Dat
     discard(segs)
     stuff = materialize(repeats.contents(dups))
     arriving = materialize(repeats.with_symbols(docs, stuff, raw_bytes, window))
-    usual, hot = arriving.filter(F.col("k") <= tile), arriving.filter(F.col("k") > tile)
+    usual, cuts = repeats.refined(arriving, lambda raw: anchors.BYTE_SYMBOLS[np.frombuffer(raw, np.uint8)], window, GRAM, tile)
     windows = usual.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     batches = batches or batch_count(windows)
     usual = usual.withColumn("g", F.pmod("c", F.lit(max(8, windows // GROUP)))).drop("k", "oid")
     family, found = IndexFamily(window), []
     for b in range(batches):
         found.append(family.add(usual.filter(F.pmod(F.xxhash64("f"), F.lit(batches)) == b), last=b + 1 == batches))
-    rows = materialize(repeats.window_rows(hot, lambda raw: anchors.BYTE_SYMBOLS[np.frombuffer(raw, np.uint8)], window))
-    often = materialize(rows.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").drop("times"))
-    found.append(repeats.joined_runs(rows.join(often, ["h1", "h2"]).select("c", "f", "j")))
-    whole = stuff.filter("times > 1").select("c", "f", F.lit(0).alias("a"), (F.col("owner.n") - 1).alias("b"))
-    runs = reduce(DataFrame.unionByName, found, whole)
-    return dups.join(runs, ["c", "f"]).select("tk", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    runs = repeats.lifted(reduce(DataFrame.unionByName, found), cuts, marked)
+    return marked(dups, stuff.select("c", "f", "times", "owner.n"), runs).select(
+        "tk", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")
+    )
+
+
+def marked(places: DataFrame, stuff: DataFrame, runs: DataFrame) -> DataFrame:
+    """Places with the runs s of repeated windows in their content: all of it where it occurs more than once."""
+    whole = stuff.filter("times > 1").select("c", "f", F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))
+    return places.join(runs.unionByName(whole).select("c", "f", F.struct("a", "b").alias("s")), ["c", "f"])
 
 
 def remove_repeats(

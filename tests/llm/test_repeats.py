@@ -61,7 +61,7 @@ def test_documents_match_brute_force(spark):
     assert rows(substring.remove_repeats(docs)) == brute_words(plain, 13)
 
 
-@pytest.mark.parametrize("tile", [3, 20000])
+@pytest.mark.parametrize("tile", [1, 3, 20000])
 def test_edges(spark, tile):
     rng = np.random.default_rng(3)
     passage = " ".join(f"p{i}" for i in range(60))
@@ -79,6 +79,32 @@ def test_edges(spark, tile):
     assert suffix_array.remove_repeats(df.limit(0)).count() == 0 == substring.remove_repeats(df.limit(0)).count()
 
 
+def test_crowded_classes_are_cut_until_none_is(spark):
+    """A passage that many texts share in part: pieces hold the windows of their contents, equal windows meet in one class."""
+    from loomfactor.llm import repeats
+
+    rng, window, gram = np.random.default_rng(5), 13, 4
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([f"a{rng.integers(9)}", *passage[rng.integers(8) : 40 - rng.integers(20)], f"b{rng.integers(9)}"]) for _ in range(60)]
+    docs = repeats.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    stuff = repeats.contents(repeats.repeated(repeats.segment_table(docs, substring.word_symbols, window, gram))).cache()
+    known = repeats.with_symbols(docs, stuff, substring.word_symbols, window).cache()
+    decode = lambda raw: np.frombuffer(raw, np.uint64)
+    usual, cuts = repeats.refined(known, decode, window, gram, 2)
+    assert repeats.largest_class(stuff) > 2 >= max(r.k for r in usual.collect()) and len(cuts) > 1
+    whole = {(r.c, r.f): decode(r.symbols).tolist() for r in known.collect()}
+    crowded = {(r.c, r.f) for r in known.collect() if r.k > 2}
+    classes, covered = defaultdict(set), defaultdict(list)
+    for r in repeats.pieces(known.filter("k > 2"), decode, window, gram, 4).collect():
+        own = whole[r.pc, r.pf]
+        assert decode(r.symbols).tolist() == own[r.start : r.start + r.n + window - 1]
+        covered[r.pc, r.pf] += range(r.start, r.start + r.n)
+        for j in range(r.start, r.start + r.n):
+            classes[tuple(own[j : j + window])].add(r.c)
+    assert {k: sorted(v) for k, v in covered.items()} == {k: list(range(len(whole[k]) - window + 1)) for k in crowded}
+    assert all(len(c) == 1 for c in classes.values())
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 3, 400).astype(np.uint64)
