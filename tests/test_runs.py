@@ -334,5 +334,13 @@ def test_alpha_beta_and_turnover_against_numpy(holed):  # noqa: F811
     assert diagnostics.alpha_beta(cleaned.limit(0)).count() == 0 and diagnostics.quantile_turnover(cleaned.limit(0)).count() == 0
 
 
+def test_a_yearly_loss_of_nearly_all_still_has_a_log(spark):
+    # The market earns 1 and 3 %, the portfolio -70 and -78 % a date: alpha -0.66, of which a year leaves less than a double tells from -1.
+    rows = [(d, c, f, m + s * p) for d, m, p in (("20240101", 0.01, -0.70), ("20240102", 0.03, -0.78)) for c, f, s in (("a", 2.0, 1), ("b", 1.0, -1))]
+    r = diagnostics.alpha_beta(spark.createDataFrame(rows, "trade_date string, code string, factor double, period_5 double")).first()
+    assert r.alpha == pytest.approx(-0.66) and r.beta == pytest.approx(-4) and r.ann_alpha == -1
+    assert r.log_ann == pytest.approx(252 / 5 * np.log(0.34))
+
+
 def test_features_hold_what_the_runs_read():
     assert {"ret_1d", "vol_log"} <= set(PUBLIC)
