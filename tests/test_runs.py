@@ -5,6 +5,7 @@ import threading
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,26 @@ def test_cross_sections_equal_figures_one_by_one(holed, days):  # noqa: F811
     pd.testing.assert_frame_equal(got[want.columns], want, check_dtype=False, atol=1e-12)
 
 
+def test_a_task_holds_one_date_of_a_group():
+    """Dates come one by one, whatever the batches; ranks of codes that come and go meet by code."""
+    at = lambda t: pa.RecordBatch.from_pydict({"t": pa.array(t, pa.int32()), "code": pa.array([str(i) for i in range(len(t))])})
+    batches = iter([at([1, 1, 2]), at([2, 2]), at([]), at([3, 5, 5]), at([5])])
+    assert [(d["t"].to_pylist(), d.num_rows) for d in metrics._dates(batches)] == [([1, 1], 2), ([2, 2, 2], 3), ([3], 1), ([5, 5, 5], 3)]
+    before, now = (pa.array(["a", "b", "c"]), np.array([0.5, np.nan, 1.0])), (pa.array(["a", "c", "d"]), np.array([0.75, 0.5, 1.0]))
+    assert metrics._moved(before, now) == (0.75, 2) and metrics._moved(before, before) == (0.0, 2)
+
+
+def test_groups_meet_over_groups_without_a_usable_day(spark):
+    """Codes that the last usable day does not hold are not taken from a day before it, however groups are cut."""
+    values = {1: "abc", 2: "ab", 3: "a", 4: "a", 5: "abd", 6: "bc", 7: "", 8: "cd"}
+    rows = [(t, f"{t}", c, float((ord(c) * t * 7) % 11), 0.1) for t, codes in values.items() for c in codes]
+    rows = spark.createDataFrame(rows, "t int, trade_date string, code string, x double, fwd double")
+    want = metrics.turnover_proxy(long_form(rows, ["x"], ["fwd"]), 2).first().turnover_proxy
+    for days in (1, 2, 3, 100):
+        found = metrics.cross_sections(rows, ["x"], 2, days=days)
+        assert metrics.summarise(found, 2).first().turnover_proxy == pytest.approx(want) and found.count() == 7
+
+
 def test_the_wide_frame_is_read_once(holed):  # noqa: F811
     _, df = holed
     base = densify(df, ["x", "y", "close"]).withColumn("fwd", forward_return(5))
