@@ -78,7 +78,7 @@ def base_panel(features: DataFrame, config: Config) -> DataFrame:
 
 def score(base: DataFrame, planned: list[Planned], config: Config, given: dict[str, str] | None = None, days: int = metrics.DAYS) -> DataFrame:
     """(expr, canonical, status, figures) of valid expressions, compiled together and scored in one pass over their values.
-    An expression whose figures cannot be computed has the error as its status. days: dates that a task scores at a time."""
+    An expression whose figures cannot be computed has the error as its status. days: dates of a group, of which a task holds one at a time."""
     names = {f"e{i:05d}": p for i, p in enumerate(planned)}
     wide = evaluate(base, {n: p.tree for n, p in names.items()}, ["fwd"], given)
     scored = metrics.cross_sections(wide, list(names), config.least, days=days)
@@ -105,8 +105,6 @@ def results(features: DataFrame, expressions: list[str], config: Config) -> Data
     return out.unionByName(score(base_panel(features, config), good, config)) if good else out
 
 
-#: Rows of a panel that a task scores at a time, but a date at least.
-GROUP_ROWS = 200_000
 #: Times a batch is tried again when executors, and not its expressions, were lost.
 RETRIES = 2
 #: What Spark says of failures that come from the cluster. Fixed values.
@@ -129,7 +127,7 @@ def _said(error: Exception) -> str:
 
 
 def _store(
-    keep: Callable[[DataFrame], None], panel: Callable[[list[Planned]], tuple[DataFrame, dict[str, str]]], planned: list[Planned], config: Config, days: int
+    keep: Callable[[DataFrame], None], panel: Callable[[list[Planned]], tuple[DataFrame, dict[str, str]]], planned: list[Planned], config: Config
 ) -> None:
     """Score a batch and keep it. If its job fails for what its expressions are, its halves are tried, so that only what fails
     gets an error row; if machines were lost, it is tried again and, failing that, the error is raised: no row says that
@@ -139,7 +137,7 @@ def _store(
     base, given = panel(planned)
     for left in range(RETRIES, -1, -1):
         try:
-            return keep(score(base, planned, config, given, days))
+            return keep(score(base, planned, config, given))
         except (PySparkException, Py4JJavaError) as e:
             if lost(e):
                 if not left:
@@ -147,7 +145,7 @@ def _store(
                 continue
             if len(planned) > 1:
                 for half in (planned[: len(planned) // 2], planned[len(planned) // 2 :]):
-                    _store(keep, panel, half, config, days)
+                    _store(keep, panel, half, config)
                 return
             failed = Planned(planned[0].expr, planned[0].key, f"EVAL_ERROR:{_said(e)}")
             return keep(refused(base.sparkSession, [failed]))
@@ -184,8 +182,6 @@ def run(features: DataFrame, expressions: list[str], config: Config, out: str, *
     features.write.mode("overwrite").parquet(f"{out}/raw")
     raw = spark.read.parquet(f"{out}/raw")
     sizes = raw.agg(F.count("*").alias("n_raw_rows"), F.countDistinct("trade_date").alias("n_dates"), F.countDistinct("code").alias("n_codes")).first()
-    # The figures are the same whatever the number of dates in a group.
-    days = max(1, min(metrics.DAYS, GROUP_ROWS // max(sizes.n_codes, 1)))
     planned = plan(expressions, config)
     _lines(spark, [p.expr for p in planned], f"{out}/expressions")
     wanted = spark.createDataFrame([(p.key,) for p in planned], "canonical string")
@@ -204,7 +200,7 @@ def run(features: DataFrame, expressions: list[str], config: Config, out: str, *
             base = panels.save(base_panel(raw, config), held, f"{out}/kept/{held}")
             shared = Store(base, f"{out}/kept").build(choose([[p.tree for p in batch] for batch in batches], config.shared))
             for (_, share), batch in zip(marks, batches):
-                _store(keep, lambda some: shared.panel([p.tree for p in some]), batch, config, days)
+                _store(keep, lambda some: shared.panel([p.tree for p in some]), batch, config)
                 if share is not None:
                     write_report(top_k(store.all(name), config.top_checkpoint), f"{out}/checkpoints/top{config.top_checkpoint}_pct_{share:.0%}")
             shared.release()
