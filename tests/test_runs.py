@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomfactor.functions.features import PUBLIC, with_features
-from loomfactor.operators import diagnostics, metrics, sliding
+from loomfactor.operators import diagnostics, frames, metrics, sliding
 from loomfactor.operators.panel import densify, forward_return
 from loomfactor.operators.registry import OPS, Op
 from loomfactor.plans import mining, shared
@@ -363,5 +363,27 @@ def test_a_yearly_loss_of_nearly_all_still_has_a_log(spark):
     assert r.log_ann == pytest.approx(252 / 5 * np.log(0.34))
 
 
+def test_many_frames_in_batches_equal_windows_of_spark(spark, holed, monkeypatch):  # noqa: F811
+    """The same doubles both ways, over batches that cut histories, windows of windows, and holes."""
+    _, df = holed
+    base = densify(df, ["x", "y", "close"])
+    single = [op for op, o in OPS.items() if o.windowed and o.kind == "rolling"]
+    texts = [f"{op}(${c},5)" for op in single for c in ("x", "y")] + ["TsCorr($x,$y,6)", "TsCov($y,$close,5)", "TsCorr($y,$x,3)"]
+    texts += ["TsMean(TsStd($x,3),4)", "Rank(TsCov($x,$y,5))", "TsMax(Rank(TsMean($x,3)),4)", "Rank(TsMean($y,4))", "Rank(TsIr($y,4))"]
+    nodes = {f"v{i}": parse(t) for i, t in enumerate(texts)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        many = evaluate(base, nodes)
+        assert "MapInArrow" in plan_of(many)
+        got = many.orderBy("code", "t").toPandas()
+        monkeypatch.setattr(frames, "FEW", 10**6)
+        few = evaluate(base, nodes)
+        assert "MapInArrow" not in plan_of(few)
+        pd.testing.assert_frame_equal(got, few.orderBy("code", "t").toPandas(), check_exact=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(got[c].notna().any() for c in nodes) == len(nodes)
+
+
 def test_features_hold_what_the_runs_read():
     assert {"ret_1d", "vol_log"} <= set(PUBLIC)
