@@ -325,6 +325,21 @@ def test_validation_run_writes_all_its_tables(spark, tmp_path):
     assert tables.read_factor(spark, f"{out}/panels", found["factor_metrics_summary"].first().factor_id).count() == 1000
 
 
+def test_a_validation_ranks_its_cells_once(spark, tmp_path, monkeypatch):
+    market = with_features(tables.simulate(spark, 20, 12, seed=5))
+    factors = spark.createDataFrame([("f1", "Rank($ret_1d)")], "factor_id string, expr string")
+    out, good, calls, plans = str(tmp_path / "val"), metrics.daily, [], []
+    monkeypatch.setattr(metrics, "daily", lambda *a: calls.append(1) or good(*a))
+    run = validation.backtest.run
+    monkeypatch.setattr(validation.backtest, "run", lambda *a, **k: plans.append(run(*a, **k)) or plans[0])
+    found = validation.run(market, factors, validation.Config(least=5, least_bucket=5, clean=0), out)
+    # The portfolios read the written scores, and rank before there is a row for each size.
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and "stddev" not in plan.lower() and plan.index("Generate explode") < plan.index("row_number(")
+    assert spark.read.parquet(f"{out}/raw").columns == ["code", "trade_date", "industry", "ret_1d", "close", "circ_mv"]
+    assert found["rolling_ic"].count() == spark.read.parquet(f"{out}/daily").count() == 20 and found["portfolio_summary"].count() == 2
+
+
 def test_industry_map_takes_the_last_known_industry(spark):
     rows = [("a", "20240102", "steel"), ("a", "20240101", "coal"), ("a", "20240103", None), ("b", "20240101", None), ("c", None, "banks")]
     out = groups.industry_map(spark.createDataFrame(rows, "code string, trade_date string, industry string"))
