@@ -1,6 +1,7 @@
 """Runs over several batches, kept panels, wide windows, histories in stretches, the store and incremental loads."""
 
 import datetime as dt
+import re
 import threading
 
 import numpy as np
@@ -16,7 +17,7 @@ from loomfactor.operators.registry import OPS, Op
 from loomfactor.plans import mining, shared
 from loomfactor.plans.compile import evaluate, long_form
 from loomfactor.plans.expressions import canonical, parse
-from loomfactor.sources import files, panels, store, tables
+from loomfactor.sources import adapters, files, panels, store, tables
 from loomfactor.streaming import incremental
 from tests.test_engine import holed  # noqa: F401
 
@@ -387,3 +388,32 @@ def test_many_frames_in_batches_equal_windows_of_spark(spark, holed, monkeypatch
 
 def test_features_hold_what_the_runs_read():
     assert {"ret_1d", "vol_log"} <= set(PUBLIC)
+
+
+def test_a_panel_of_items_is_dealt_by_code_once(spark):
+    base = mining.base_panel(with_features(adapters.bars(spark, "/root/testdata/sf0.001")), mining.Config())
+    plan = plan_of(evaluate(base, {"e": parse("TsEMA($ret_1d,10)"), "m": parse("TsMean($vol_log,10)")}, ["fwd"]))
+    # Once for the panel; its list of dates stands twice in the plan.
+    assert plan.count("Exchange hashpartitioning(code") == 3 and "NestedLoop" not in plan and "SortMergeJoin" not in plan
+
+
+def test_cells_of_facts_that_stand_twice_or_have_no_key(spark):
+    rows = [("a", "2", 1.0), ("a", "2", 2.0), ("a", "4", 3.0), ("b", "3", 4.0), (None, "3", 5.0), (None, "3", 6.0), ("c", None, 7.0)]
+    df = spark.createDataFrame(rows, "code string, trade_date string, x double")
+    got = densify(df, ["x"])
+    days, codes = df.select("trade_date").distinct().collect(), df.select("code").distinct().collect()
+    numbered = {d: i for i, d in enumerate(sorted((r[0] for r in days), key=lambda d: d or ""), 1)}
+    want = [
+        (numbered[d], d, c, x)
+        for (d,) in days
+        for (c,) in codes
+        for x in ([r[2] for r in rows if r[:2] == (c, d) and None not in r[:2]] or [None])
+    ]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr) and got.columns == ["t", "trade_date", "code", "x"]
+
+
+def test_a_value_of_frames_comes_back_as_one_column(spark, holed, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(frames, "FEW", 0)
+    plan = plan_of(evaluate(densify(holed[1], ["x", "y"]), {"c": parse("TsCorr($x,$y,6)"), "m": parse("TsMean($x,5)")}))
+    read, told = re.search(r"MapInArrow run\((.*?)\)#\d+L?, \[(.*?)\]", plan).groups()
+    assert len(told.split(",")) == len(read.split(",")) + 2
